@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fingerprints import op9_fingerprints
 from .line_dedup import OP2_SQL, op2_line_dedup
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
