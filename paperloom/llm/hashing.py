@@ -92,14 +92,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Groups of consecutive texts: index of the first, words in each text, and all their word hashes in order."""
+def _joined(column: pa.Array) -> Iterator[tuple[int, np.ndarray | None, np.ndarray]]:
+    """Groups of consecutive texts: index of the first, their ends, and their bytes with a space after each text.
+
+    A text of half a block or more comes alone, without ends and as it is.
+    """
     at, data = text_bytes(column)
     i, n = 0, len(column)
     while i < n:
         if at[i + 1] - at[i] >= BLOCK // 2:
-            words = _long_words(data[at[i] : at[i + 1]])
-            yield i, np.array([len(words)]), words
+            yield i, None, data[at[i] : at[i + 1]]
             i += 1
             continue
         stop = int(np.searchsorted(at[i + 1 :] + np.arange(1, n - i + 1), at[i] + BLOCK - 1, "right")) + i
@@ -107,13 +109,53 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         long = np.flatnonzero(np.diff(at[i : stop + 1]) >= BLOCK // 2)
         stop = i + int(long[0]) if len(long) else stop
         ends = at[i + 1 : stop + 1] - at[i]
-        joined = np.insert(data[at[i] : at[stop]], ends, np.uint8(0x20))  # a space after each text
-        start, length, raw = _raw_words(joined)
-        owner = np.searchsorted(ends + np.arange(1, stop - i + 1), start, "right")
-        yield i, np.bincount(owner, minlength=stop - i), _finish(raw, length)
+        yield i, ends + np.arange(1, stop - i + 1), np.insert(data[at[i] : at[stop]], ends, np.uint8(0x20))
         i = stop
 
 
+def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Groups of consecutive texts: index of the first, words in each text, and all their word hashes in order."""
+    for i, ends, data in _joined(column):
+        if ends is None:
+            words = _long_words(data)
+            yield i, np.array([len(words)]), words
+        else:
+            start, length, raw = _raw_words(data)
+            owner = np.searchsorted(ends, start, "right")
+            yield i, np.bincount(owner, minlength=len(ends)), _finish(raw, length)
+
+
+def word_cues(column: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``word_hashes``, with one column for the word and one for its first k bytes, k in ``prefixes``.
+
+    A word no longer than k has its own hash there.  Long texts are read in blocks that end at white space; a run of a
+    whole block without any is cut there.
+    """
+    for i, ends, data in _joined(column):
+        blocks, at = [], 0
+        while at < len(data):
+            stop = min(at + BLOCK, len(data))
+            if stop < len(data):
+                spaces = np.flatnonzero(_SPACE[data[at:stop]])
+                stop = at + int(spaces[-1]) + 1 if len(spaces) else stop
+            blocks.append((at, data[at:stop]))
+            at = stop
+        counts = np.zeros(1 if ends is None else len(ends), np.int64)
+        out = [np.zeros((0, 1 + len(prefixes)), np.uint64)]
+        for at, block in blocks:
+            edge = np.diff(np.concatenate(([1], _SPACE[block].view(np.int8), [1])).astype(np.int8))
+            start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+            power, inverse = _tables(len(block))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[block] * power, dtype=np.uint64)))
+            cues = np.empty((len(start), 1 + len(prefixes)), np.uint64)
+            for j, k in enumerate((len(block), *prefixes)):
+                end = np.minimum(stop, start + k)
+                cues[:, j] = _finish((total[end] - total[start]) * inverse[start], end - start)
+            out.append(cues)
+            counts += len(start) if ends is None else np.bincount(np.searchsorted(ends, start + at, "right"), minlength=len(ends))
+        yield i, counts, np.concatenate(out)
+
+
 def shingles(counts: np.ndarray, words: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; fewer words make one shingle, none make none."""
     n = len(words)

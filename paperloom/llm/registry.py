@@ -6,11 +6,13 @@ from .bpe import op1_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fingerprints import op9_fingerprints
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
