@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fingerprints import op9_fingerprints
+from .jaccard_join import op7_jaccard_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
