@@ -1,23 +1,49 @@
-"""A training-corpus pipeline over ``documents``: line dedup so far."""
+"""A training-corpus pipeline over ``documents``: toxic texts go, then repeated lines, then near duplicates; the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from paperloom.llm.bpe import default_path
+from paperloom.llm.common import table
+from paperloom.llm.jaccard_join import drop_near_duplicates
 from paperloom.llm.line_dedup import drop_repeated_lines
+from paperloom.llm.packing import pack_documents
+from paperloom.llm.toxicity import drop_toxic, train
 
+#: Toxicity needs a trained model and packing a tokenizer: SQL expresses neither, so brute-force tests hold the stages.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model does not call toxic."""
+    return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(docs)
+    """Later occurrences of three repeated lines go; ``n_chars`` follows the text."""
+    out = drop_repeated_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8 or more)."""
+    return drop_near_duplicates(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, default_path("word_bpe_49k.json"))
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("jaccard_join", jaccard), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .chat import OP3_SQL, op3_chat
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fingerprints import op9_fingerprints
+from .html_text import op4_html_text
 from .jaccard_join import op7_jaccard_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_packing
+from .token_counts import op5_token_counts
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_chat": op3_chat,
+    "op4_html_text": op4_html_text,
+    "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_chat": OP3_SQL, "op8_exact_dedup": OP8_SQL}
