@@ -5,14 +5,16 @@ when they share at least o(n, m) = ceil(num * (n + m) / (num + den)) of them.
 
 * Small sets enumerate subsets of fixed size: a set of n emits, for each size m of a possible partner, all its subsets of
   o(n, m) shingles.  Equal subsets are links, without any comparison; those who share one are tied to its smallest member.
-* Large sets scan inverted lists: in hash order the first n - ceil(num * n / den) + 1 shingles of a set must meet those
-  of a partner, so only these are listed.  What meets on a list is filtered by size and by a parity sketch, whose bits
-  never differ more than the sets do, and then compared in full.
+* Large sets scan inverted lists: in one order of all shingles the first n - ceil(num * n / den) + 1 of a set must meet
+  those of a partner, so only these are listed.  The order is that of the hashes with shingles that many documents share
+  (passages, phrases) at the end, so that they are listed only for sets that hold little else.  What meets on a list is
+  filtered by size, by what comes before the first shared shingle, and by a parity sketch, whose bits never differ more
+  than the sets do, and then compared in full.
 
 The boundary between the two is the size at which the summed cost of subsets, by the histogram of sizes, is least above
 that of lists.  Lists of more than a few members do not compare all pairs.  First some rounds compare each
-member with one leader and contract what is linked; then only pairs of different components are left.  A list with many
-such pairs is split by a second shingle, which the same prefix bound guarantees.  No pair is dropped at any point.
+member with one leader and contract what is linked; then the pairs of different components that are left are compared.
+No pair is dropped at any point.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ from .hashing import mix, text_shingles
 SMALL_MOST = 31
 #: Lists up to this length compare all pairs of components at once.
 SHORT = 8
-#: Longer lists may make this many pairs for each of their members before they are split by a second shingle.
-PAIRS_EACH = 16
+#: Rounds in which the members of longer lists meet one leader.
 ROUNDS = 2
+#: Shingles counted at once in a task, count in one such part from which a shingle is reported, least sum of these counts of a
+#: common shingle, and common shingles at most (they are broadcast; which they are changes the cost and not the result).
+PART, REPORTED, COMMON_LEAST, COMMON_MOST = 1 << 22, 3, 24, 1 << 18
 #: Cost of a listed shingle (its list and the comparisons that follow), in subset keys.
 LIST_COST = 8
 
@@ -83,10 +87,36 @@ def _parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def common_shingles(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles that many documents share, sorted; all data is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+            some = counts >= REPORTED
+            return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["token", "c"])
+
+        parts, held = [], 0
+        for b in batches:
+            for s in text_shingles(b.column("text"), n):
+                parts.append(s)
+                held += len(parts[-1])
+                if held > PART:
+                    yield counted(parts)
+                    parts, held = [], 0
+        yield counted(parts)
+
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    top = counts.filter(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "token").limit(COMMON_MOST).select("token").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64))
+
+
 def shingle_heads(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, d1, d2, head, parity): size and digest of each set, its first shingles in hash order, its sketch."""
+    """(doc_id, n, d1, d2, head, parity): size and digest of each set, its first shingles in order, its sketch."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n, num, den, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for b in batches:
             size, d1, d2, heads, parity = [], [], [], [], []
             for s in text_shingles(b.column("text"), n):
@@ -94,7 +124,10 @@ def shingle_heads(docs: DataFrame, n: int, num: int, den: int, id_col: str, text
                 size.append(len(s))
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                heads.append(s[: len(s) if len(s) <= SMALL_MOST else prefix_length(len(s), num, den) + 1].view(np.int64))
+                if len(common) and len(s):
+                    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                    s = np.concatenate((s[~late], s[late]))
+                heads.append(s[: len(s) if len(s) <= SMALL_MOST else prefix_length(len(s), num, den)].view(np.int64))
                 parity.append(_parity(s))
             columns = [b.column("doc_id"), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(parity, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "head", "parity"])
@@ -135,10 +168,16 @@ def _subset_links(classes: DataFrame, x: int, num: int, den: int) -> DataFrame:
     return keys.join(hubs, ["k1", "k2"]).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _fits(n: Column, m: Column, x: int, num: int, den: int) -> Column:
-    """Sizes that can link, not both small."""
+def _fits(x: int, num: int, den: int) -> Column:
+    """Sizes n and n2 that can link, not both small, given the places i and i2 of a shingle.
+
+    What comes before the first shared shingle is in one set only, so i + i2 and the difference of what follows is no more
+    than the sets may differ.  A pair that links passes this at its first shared shingle.
+    """
+    n, m, i, j = (F.col(c).cast("long") for c in ("n", "n2", "i", "i2"))
     low, high = F.least(n, m), F.greatest(n, m)
-    return (low * den >= high * num) & (high > x)
+    most = n + m - 2 * F.ceil((n + m) * num / F.lit(num + den))
+    return (low * den >= high * num) & (high > x) & (i + j + F.abs((n - i) - (m - j)) <= most)
 
 
 def _compare(pairs: DataFrame, side: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,9 +232,9 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     large = classes.filter(F.col("n") * den > x * num)  # those above x, and what is near enough to them
     size = F.col("n")
     prefix = (size - F.ceil(size * num / F.lit(den)) + 1).cast("int")
-    postings = large.select("rep", "n", F.explode(F.slice("head", F.lit(1), prefix)).alias("token"))
+    postings = large.select("rep", "n", F.posexplode(F.slice("head", F.lit(1), prefix)).alias("i", "token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    lists = durable(postings.join(counts, "token").select("token", "rep", "n", "c"))
+    lists = durable(postings.join(counts, "token").select("token", "rep", "n", "i", "c"))
     involved = lists.select("rep").distinct()
     side = durable(classes.select("rep", "n", "parity").join(involved, "rep", "left_semi"))
 
@@ -215,30 +254,20 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
         return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
     labels = connected(links)
-    fits = _fits(F.col("n"), F.col("n2"), x, num, den)
-    for i in range(ROUNDS):
+    fits = _fits(x, num, den)
+    for turn in range(ROUNDS):
         own = labelled(lists.filter(F.col("c") > SHORT), labels)
-        who = F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        leaders = own.groupBy("token").agg(F.min_by(who, F.xxhash64("rep", F.lit(i))).alias("w")).select("token", "w.*")
+        # the leader has least before the shingle, so it is the one nearest to all others; later rounds take several
+        who = F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
+        several = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 + 3 * turn))
+        leaders = own.groupBy("token", several.alias("k")).agg(F.min_by(who, F.struct("i", F.xxhash64("rep"))).alias("w")).select("token", "w.*")
         pairs = own.join(leaders, "token").filter((F.col("label") != F.col("label2")) & fits)
         found = _compare(ordered(pairs), side, sets, num, den)
         links = durable(links.unionByName(found))
         labels = connected(links)
 
     own = durable(labelled(lists, labels))
-    pairs = _cross(own.filter(F.col("c") <= SHORT), ["token"], fits)
-    long = own.filter(F.col("c") > SHORT)
-    shares = long.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    shares = shares.groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most")).filter("most < all")
-    long = durable(long.join(shares, "token"))
-    few = (F.col("all") - F.col("most")) <= PAIRS_EACH
-    pairs = pairs.unionByName(_cross(long.filter(few), ["token"], fits))
-    # a second shingle: among the first p + 1 of both sets, after the one that they share first
-    second = long.filter(~few).select("token", "rep", "n", "label").join(classes.select("rep", "head", F.col("n").alias("size")), "rep")
-    second = second.filter(F.col("n") == F.col("size")).withColumn("at", F.array_position("head", F.col("token")).cast("int"))
-    last = (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 2).cast("int")
-    second = second.select("token", "rep", "n", "label", F.explode(F.slice("head", F.col("at") + 1, F.greatest(last - F.col("at"), F.lit(0)))).alias("token2"))
-    pairs = pairs.unionByName(_cross(second, ["token", "token2"], fits))
+    pairs = _cross(own, ["token"], fits)
     found = _compare(ordered(pairs), side, sets, num, den)
     labels = connected(links.unionByName(found))
     every = heads.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
@@ -252,7 +281,7 @@ def _cross(rows: DataFrame, key: list[str], fits: Column) -> DataFrame:
     main = shares.groupBy(*key).agg(F.max(F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     main = main.filter("labels > 1").select(*key, F.col("main.label").alias("main"))
     mixed = rows.join(main, key)
-    other = mixed.filter("label <> main").select(*key, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    other = mixed.filter("label <> main").select(*key, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
     met = mixed.join(other, key).filter((F.col("label") != F.col("label2")) & fits)
     return met.filter((F.col("label") == F.col("main")) | (F.col("rep") < F.col("rep2"))).select("rep", "rep2")
 
