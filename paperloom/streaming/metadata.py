@@ -11,7 +11,7 @@ from ..operators.metadata import contract_records
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole files of a folder as they arrive."""
-    files = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.readStream.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
