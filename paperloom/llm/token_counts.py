@@ -74,7 +74,8 @@ def count_tokens(
         raise ValueError(f"rule is one of {RULES}: {rule}")
     source = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if sections is not None:
+    own_sections = sections is not None
+    if own_sections:
         clean = sections.select(F.col(id_col).alias("of_id"), *(F.col(c).cast("long") for c in ("section", "start", "stop"))).dropna()
         given = clean.groupBy("of_id").agg(F.collect_list(F.struct("section", "start", "stop")).alias("given"))
         rows = rows.join(given, rows["doc_id"] == given["of_id"], "left").drop("of_id")
@@ -83,7 +84,7 @@ def count_tokens(
         bpe, between = compiled(source.value), re.compile(split or r"\n+")
         for b in batches:
             row, name, first, last, count = [], [], [], [], []
-            own = b.column("given").to_pylist() if sections is not None else None
+            own = b.column("given").to_pylist() if own_sections else None
             for i, text in enumerate(b.column("text").to_pylist()):
                 text = text or ""
                 if own is None:
