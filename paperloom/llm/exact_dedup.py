@@ -1,7 +1,8 @@
 """Exact dedup by content sort.
 
-Rows are range-partitioned on the normalised text itself (Spark samples the splitters), each partition is sorted
-externally, so equal texts lie next to each other and the window below compares neighbours in full.  A text that holds
+Rows are range-partitioned on the head of the normalised text, then on a hash of all of it (Spark samples the splitters,
+which stay short however long the texts are).  Each partition is sorted externally, so equal texts lie next to each other
+and the window below compares neighbours in full.  A text that holds
 so many rows that one range would be too large is dealt into sub-ranges by a salt; its sub-groups, a bounded number of
 rows, are merged by a second content sort.
 """
@@ -18,6 +19,8 @@ from .common import ascii_lower, text_of
 HOT_SHARE = 256
 HOT_LEAST = 1000
 SALTS = 64
+#: Characters of the text that splitters hold.
+HEAD = 64
 
 
 def hot_keys(hashes: DataFrame, column: str, rows: int) -> list[int]:
@@ -42,12 +45,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     best = F.max if keep == "largest" else F.min
 
-    key = ["norm"]
+    base = base.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("hash", F.xxhash64("norm"))
+    key = ["head", "hash"]
     if hot:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        base = base.withColumn("salt", F.when(F.xxhash64("norm").isin(hot), salt).otherwise(F.lit(0)))
-        key = ["norm", "salt"]
-    group = W.partitionBy(*key)
+        base = base.withColumn("salt", F.when(F.col("hash").isin(hot), salt).otherwise(F.lit(0)))
+        key = ["head", "hash", "salt"]
+    group = W.partitionBy(*key, "norm")
     rows = (
         base.repartitionByRange(*key)
         .withColumn("place", F.row_number().over(group.orderBy(order)))
@@ -57,7 +61,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     if hot:
         # one row for each salt of a hot text: at most HOT_SHARE * SALTS rows, compared in full once more
-        heads = rows.filter((F.col("place") == 1) & F.xxhash64("norm").isin(hot))
+        heads = rows.filter((F.col("place") == 1) & F.col("hash").isin(hot))
         whole = W.partitionBy("norm")
         merged = (
             heads.repartitionByRange("norm")
