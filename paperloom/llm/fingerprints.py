@@ -102,13 +102,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have no next document: it is taken as empty.  Of rows that repeat an identifier the smallest text is the next document of
     others.  Likeness of two empty fingerprints is 1.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    base = base.withColumn("n_chars", F.length("text").cast("long")).withColumn("sketch", sketch(F.col("text")))
-    want = docs.select(F.col(id_col).alias("doc_id"), F.length(text_of(text_col)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    want = want.join(next_ids(docs, id_col), "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), (F.col("n") / 3).cast("int").alias("most"))
-    heads = base.join(want, "doc_id").select("for_id", F.struct(F.expr("substring(text, 1, most)").alias("head"), F.col("sketch").alias("next_sketch")).alias("n"))
+    same = id_col == "doc_id"
+    docs = base = docs.select(F.col(id_col) if same else F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    # both joins read the same columns of the same rows, so that Spark moves the texts once and reuses the exchange; sketches
+    # come after the joins, as plans with lambdas never count as the same
+    own = base.filter("doc_id IS NOT NULL")
+    want = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    want = want.join(next_ids(docs), "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), (F.col("n") / 3).cast("int").alias("most"))
+    heads = own.join(want, "doc_id").select("for_id", F.struct(F.expr("substring(text, 1, most)").alias("head"), sketch(F.col("text")).alias("next_sketch")).alias("n"))
     heads = heads.groupBy("for_id").agg(F.min("n").alias("n")).select("for_id", "n.head", "n.next_sketch")
-    both = base.join(heads, base["doc_id"] == heads["for_id"], "left")
+    alone = base.filter("doc_id IS NULL").withColumn("head", F.lit(None).cast("string")).withColumn("next_sketch", F.lit(None).cast("array<bigint>"))
+    both = own.join(heads, own["doc_id"] == heads["for_id"]).drop("for_id").unionByName(alone)
+    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("sketch", sketch(F.col("text")))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut)))
     both = both.withColumn("edited_sketch", sketch(F.col("edited")))
