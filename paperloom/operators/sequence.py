@@ -57,12 +57,14 @@ def tag_characters(text: Column, entities: Column) -> Column:
 
     taken = F.aggregate(spans, start, take)
 
-    def label(p: Column) -> Column:
-        own = F.get(F.filter(taken, lambda s: (s["p"] <= p) & (p < s["q"])), 0)
+    def label(spans: Column, p: Column) -> Column:
+        own = F.get(F.filter(spans, lambda s: (s["p"] <= p) & (p < s["q"])), 0)
         lead = own["p"] + F.length(own["value"]) - F.length(F.ltrim(own["value"]))
         return F.when(own.isNull() | (text.substr(p, F.lit(1)) == " "), F.lit("O")).when(p == lead, F.concat(F.lit("B-"), own["type"])).otherwise(F.concat(F.lit("I-"), own["type"]))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), label)).otherwise(F.array().cast("array<string>"))
+    # the one-element array has the spans computed once and not for every character
+    labels = F.get(F.transform(F.array(taken), lambda spans: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: label(spans, p))), 0)
+    return F.when(n > 0, labels).otherwise(F.array().cast("array<string>"))
 
 
 def expand_token_labels(tokens: DataFrame, key: tuple[str, ...] = ("sent_id",)) -> DataFrame:
