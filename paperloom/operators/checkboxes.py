@@ -48,7 +48,16 @@ ITEMS = {
         "nuri_types": {"type_1": ["제1유형", "type 1"], "type_2": ["제2유형", "type 2"], "type_3": ["제3유형", "type 3"], "type_4": ["제4유형", "type 4"]},
     },
     "copyright_transfer": {
-        "transfer_scope": {k: [v[0], v[-1]] if k != "derivative" else v for k, v in RIGHTS.items()} | {"moral_rights": ["인격권", "moral rights"]},
+        "transfer_scope": {
+            "reproduction": ["복제권", "reproduction"],
+            "performance": ["공연권", "performance"],
+            "broadcasting": ["공중송신권", "broadcasting"],
+            "exhibition": ["전시권", "exhibition"],
+            "distribution": ["배포권", "distribution"],
+            "rental": ["대여권", "rental"],
+            "derivative": ["2차적저작물작성권", "2차적저작물", "derivative"],
+            "moral_rights": ["인격권", "moral rights"],
+        },
         "transfer_type": {"full_transfer": ["전체양도", "full transfer"], "partial_transfer": ["부분양도", "partial transfer"], "license": ["이용허락", "license"]},
         "nuri_conditions": {"attribution": ["저작자표시", "attribution"], "commercial_use": ["상업적이용", "commercial use"], "modification": ["변경허용", "modification"], "share_alike": ["동일조건변경허락", "share alike"]},
     },
