@@ -8,6 +8,7 @@ cells of a table stand in aligned columns.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -62,9 +63,17 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.depth: Counter = Counter()  # open elements by tag, so that deep pages are not searched for what is not open
+
+    def _cut(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.depth[node.tag] -= 1
+        del self.open[at:]
 
     def _end(self, tags: set[str], walls: set[str]) -> None:
         """Closes from the outermost open element of ``tags`` that no wall hides."""
+        if not any(self.depth[t] for t in tags):
+            return
         at = None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in walls:
@@ -72,13 +81,14 @@ class Tree(HTMLParser):
             if self.open[i].tag in tags:
                 at = i
         if at is not None:
-            del self.open[at:]
+            self._cut(at)
 
     def _push(self, tag: str, attrs: dict[str, str | None]) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.depth[tag] += 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
@@ -87,7 +97,7 @@ class Tree(HTMLParser):
             self.open[-1].attrs.update({k: v for k, v in attrs if k not in self.open[-1].attrs}) if tag == "html" else self._push(tag, dict(attrs))
             return
         if self.open[-1].tag == "head" and (tag in BLOCK or tag in ("a", "b", "i", "span", "em", "strong", "br", "img")):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in CLOSES_P:
             self._end({"p"}, {"table", "td", "th", "button", "caption", "object"})
         if tag in ENDS:
@@ -100,22 +110,24 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
+        if tag == "p" and not self.depth["p"]:
             self._push("p", {})
         if tag in VOID:
             if tag == "br":
                 self._push("br", {})
             return
+        if not self.depth[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
                 return
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
