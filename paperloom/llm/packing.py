@@ -37,7 +37,7 @@ STEPS, BATCH, SHARE, SHARPNESS = 120, 32, 0.5, 3.0
 #: Rows of one length that are ranked together.
 RANK_ROWS = 50_000
 #: Encoded words a Python worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 Config = tuple[tuple[int, int], ...]
 
@@ -163,12 +163,17 @@ def _class(kind: str) -> str:
     return "".join(out)
 
 
+def _normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).lower()
+
+
 class WordIds:
     """Ids of whole texts as a tokenizer file with word ends gives them, word by word with a memo.
 
-    The file's own normaliser runs first (for ASCII text it is lower-casing); words are then split as the file's pattern does,
-    and those not seen before are encoded by the library, many at once: each word's last id is one with a word end.
-    Texts that write special tokens are encoded as they are, and so are those whose normal form is not stable.
+    Text is put in normal form C and lower case, words are split as the file's pattern does, and those not seen before are
+    encoded by the library, many at once: each word's last id is one with a word end.  Texts that write special tokens are
+    encoded as they are, and so are those with characters that the file's normaliser treats otherwise or whose normal
+    form is not stable.
     """
 
     def __init__(self, source: str) -> None:
@@ -176,6 +181,9 @@ class WordIds:
 
         self.tokenizer = tokenizers.Tokenizer.from_str(source)
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
+        split = [tokenizers.pre_tokenizers.WhitespaceSplit(), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.plain = tokenizers.Tokenizer(self.tokenizer.model)  # the merges alone, for words in normal form
+        self.plain.pre_tokenizer = tokenizers.pre_tokenizers.Sequence(split)
         self.marks = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         suffix = json.loads(source)["model"]["end_of_word_suffix"]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -187,13 +195,16 @@ class WordIds:
         self.basic = re.compile(form.format(_class("L"), _class("N"), WHITE))
         self.every = regex.compile(form.format(r"\p{L}", r"\p{N}", WHITE))
         self.astral = re.compile("[\U00010000-\U0010ffff]")
+        own = self.tokenizer.normalizer.normalize_str
+        odd = [chr(c) for c in [*range(128, 0xD800), *range(0xE000, 0x10000)] if chr(c) not in WHITE and (own(chr(c)) != _normal(chr(c)) or max(_normal(chr(c))) > "\uffff")]
+        self.odd = re.compile("[" + re.escape("".join({*odd, "Σ"})) + "]")
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, new: list[str]) -> bool:
-        ids = self._whole(" ".join(new))
+        ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(new):
             return False
@@ -209,17 +220,20 @@ class WordIds:
         if text.isascii():
             normal, pattern = text.lower(), self.ascii
         else:
-            normal = self.tokenizer.normalizer.normalize_str(text)
+            if self.odd.search(text):
+                return self._whole(text).tobytes()
+            wide = self.astral.search(text)
+            normal = self.tokenizer.normalizer.normalize_str(text) if wide else _normal(text)
             if not unicodedata.is_normalized("NFC", normal):
                 return self._whole(text).tobytes()
-            pattern = self.every if self.astral.search(normal) else self.basic
+            pattern = self.every if wide else self.basic
         words, memo = pattern.findall(normal), self.memo
-        new = [w for w in set(words) if w not in memo]
+        new = set(words).difference(memo)
         if new:
             if len(memo) > MEMO:
                 memo.clear()
-                new = list(set(words))
-            if not self._learn(new):
+                new = set(words)
+            if not self._learn(list(new)):
                 return self._whole(text).tobytes()
         return b"".join(map(memo.__getitem__, words))
 
