@@ -92,7 +92,7 @@ def api_spend(calls: DataFrame, prices: DataFrame, per_hour: float = 10.0, error
     """
     priced = calls.join(F.broadcast(prices), "provider", "left").withColumn("cost", estimate_cost(F.col("text"), F.coalesce("price", F.lit(0.0))))
     by = priced.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
-        F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 6).alias("cost"), F.round(F.avg(F.col("is_error").cast("int")), 6).alias("error_rate"), F.round(F.avg("latency"), 6).alias("latency")
+        F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 6).alias("cost"), F.round(F.avg(F.col("is_error").cast("int")), 9).alias("error_rate"), F.round(F.avg("latency"), 9).alias("latency")
     )
     return by.withColumn("alert", (F.col("cost") > per_hour) | (F.col("error_rate") > error_rate) | (F.col("latency") > response_time))
 

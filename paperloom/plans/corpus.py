@@ -215,12 +215,12 @@ def latest_requests(spark, sf_dir):
 def api_spend(spark, sf_dir):
     prices = spark.createDataFrame([("alpha", 5.0), ("beta", 2.5)], "provider string, price double")
     out = R.api_spend(view(spark, sf_dir, CALLS), prices, per_hour=1.0)
-    return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH")).withColumn("latency", F.round("latency", 3))
+    return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
 SPEND_SQL = f"""WITH c AS ({CALLS}), d AS (SELECT date_trunc('hour', ts) AS h, length(text) / 4 * CASE provider WHEN 'alpha' THEN 5.0 WHEN 'beta' THEN 2.5 ELSE 0.0 END / 1000 AS cost, latency, is_error FROM c),
-s AS (SELECT h, count(*) AS calls, round(sum(cost), 6) AS cost, round(avg(CAST(is_error AS INT)), 6) AS error_rate, round(avg(latency), 6) AS latency FROM d GROUP BY h)
-SELECT strftime(h, '%Y-%m-%d %H') AS hour, calls, cost, error_rate, round(latency, 3) AS latency, cost > 1.0 OR error_rate > 0.05 OR latency > 10.0 AS alert FROM s"""
+s AS (SELECT h, count(*) AS calls, round(sum(cost), 6) AS cost, round(avg(CAST(is_error AS INT)), 9) AS error_rate, round(avg(latency), 9) AS latency FROM d GROUP BY h)
+SELECT strftime(h, '%Y-%m-%d %H') AS hour, calls, cost, error_rate, latency, cost > 1.0 OR error_rate > 0.05 OR latency > 10.0 AS alert FROM s"""
 
 
 def folder_documents(spark, sf_dir):
