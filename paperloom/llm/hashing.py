@@ -7,6 +7,8 @@ Texts are read in blocks of ``BLOCK`` bytes, so one very long text needs no more
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,13 @@ _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def release_memory() -> None:
+    """Gives memory that a task no longer uses back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), element by element."""
     x = x.astype(np.uint64, copy=True)

@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
-from .hashing import word_cues
+from .common import table
+from .hashing import release_memory, word_cues
 
 #: Hashed cues; the model is one weight for each, so its size does not depend on the data.
 CUES = 1 << 20
@@ -30,6 +31,8 @@ POSITIVES, UNLABELLED = 6_000, 18_000
 SCREENED = 20_000
 CLEAR = 6.0
 THRESHOLD = 0.3
+#: Rows that are filtered and sent back at once.
+SLICE = 1000
 
 
 @dataclass(frozen=True)
@@ -93,6 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 seen[1, own] += u[i]
         some = np.flatnonzero(seen[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["cue", "p", "u"])
+        release_memory()
 
     sizes = sample.agg(F.sum("p"), F.sum("u")).first()
     n_p, n_u = int(sizes[0] or 0), int(sizes[1] or 0)
@@ -102,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # log-likelihood gain of a cue's count among toxic rows over its count if it were independent of toxicity
     p, expected = F.col("p"), (F.col("u") + 0.5) * (n_p / n_u)
     gain = p * F.log(p / expected) - (p - expected)
-    top = counted.filter(p > expected).withColumn("gain", gain).filter(F.col("gain") > CLEAR).orderBy(F.desc("gain"), "cue").limit(SCREENED)
+    top = counted.filter((p >= 3) & (p > expected)).withColumn("gain", gain).filter(F.col("gain") > CLEAR).orderBy(F.desc("gain"), "cue").limit(SCREENED)
     cues = np.array(sorted(r[0] for r in top.select("cue").collect()), np.int64)
     wanted = np.zeros(CUES, bool)
     wanted[cues] = True
@@ -112,22 +116,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             own = pa.array(list(document_cues(b.column("text"), shared.value)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("p"), b.column("u"), own], ["p", "u", "cues"])
+        release_memory()
 
-    rows = sample.mapInArrow(keep, "p int, u int, cues array<long>").collect()
-    return _fit(rows, cues, float(prior))
+    rows = sample.mapInArrow(keep, "p int, u int, cues array<long>").toArrow()  # the bounded sample, screened cues only
+    p, u = (rows.column(k).to_numpy().astype(float) for k in ("p", "u"))
+    lists = rows.column("cues").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return _fit(p, u, np.repeat(np.arange(len(p)), sizes), np.searchsorted(cues, lists.flatten().to_numpy()), cues, float(prior))
 
 
-def _fit(rows: list, cues: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
-    flat = [np.searchsorted(cues, np.array(r["cues"], np.int64)) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in flat])
-    cols = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    p, u = (np.array([r[k] for r in rows], float) for k in ("p", "u"))
+def _fit(p: np.ndarray, u: np.ndarray, owner: np.ndarray, cols: np.ndarray, cues: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
+    """Full-batch Adam on the non-negative risk with the logistic loss; row ``owner`` has cue ``cues[cols]``."""
     wp, wu = p / p.sum(), u / u.sum()
     w, bias = np.zeros(len(cues)), np.log(prior / (1 - prior)) if prior < 1 else 1.0
     m = v = np.zeros(len(cues) + 1)
     for t in range(1, steps + 1):
-        f = np.bincount(owner, w[cols], len(rows)) + bias
+        f = np.bincount(owner, w[cols], len(p)) + bias
         s = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
         neg = np.logaddexp(0, f)
         below = wu @ neg - prior * (wp @ neg)
@@ -160,21 +164,23 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below the threshold."""
+    """The rows of ``docs``, all columns as they are, whose text scores below the threshold; rows stream through by batch."""
     if model is None:
         return docs
-    (flag,) = fresh(docs, "toxic_flag")
     shared = docs.sparkSession.sparkContext.broadcast((model.table(), model.bias))
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        f = np.array([weights[own].sum() for own in document_cues(pa.array(texts, pa.string()), weights != 0)], float) + bias
-        return pd.Series(1 / (1 + np.exp(-np.clip(f, -40, 40))) >= threshold)
-
-    return docs.withColumn(flag, toxic(F.col(text_col))).filter(~F.col(flag)).drop(flag)
+        wanted = weights != 0
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                f = np.array([weights[own].sum() for own in document_cues(b.column(at), wanted)], float) + bias
+                yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))) < threshold))
+        release_memory()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
