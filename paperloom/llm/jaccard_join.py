@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 from .components import connected
-from .hashing import mix, text_shingles
+from .hashing import mix, release_memory, text_shingles
 
 #: Sets up to this size carry all their shingles, so that any boundary up to it can be chosen.
 SMALL_MOST = 31
@@ -41,9 +41,11 @@ SHORT = 8
 ROUNDS = 2
 #: Shingles counted at once in a task, count in one such part from which a shingle is reported, least sum of these counts of a
 #: common shingle, and common shingles at most (they are broadcast; which they are changes the cost and not the result).
-PART, REPORTED, COMMON_LEAST, COMMON_MOST = 1 << 22, 3, 24, 1 << 18
+PART, REPORTED, COMMON_LEAST, COMMON_MOST = 1 << 20, 3, 24, 1 << 18
 #: Cost of a listed shingle (its list and the comparisons that follow), in subset keys.
 LIST_COST = 8
+#: Bits of the table that marks the documents to be compared in full (4 MB).
+SLOTS = 1 << 25
 
 
 def least_overlap(n: int, m: int, num: int, den: int) -> int:
@@ -105,6 +107,7 @@ def common_shingles(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
                     yield counted(parts)
                     parts, held = [], 0
         yield counted(parts)
+        release_memory()
 
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     top = counts.filter(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "token").limit(COMMON_MOST).select("token").toArrow()
@@ -131,6 +134,7 @@ def shingle_heads(docs: DataFrame, n: int, num: int, den: int, id_col: str, text
                 parity.append(_parity(s))
             columns = [b.column("doc_id"), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(parity, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "head", "parity"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -180,7 +184,34 @@ def _fits(x: int, num: int, den: int) -> Column:
     return (low * den >= high * num) & (high > x) & (i + j + F.abs((n - i) - (m - j)) <= most)
 
 
-def _compare(pairs: DataFrame, side: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(rep, set): the whole shingle sets of the documents in ``ids`` (rep).
+
+    Their identifiers are marked in a bit table of fixed size, by which other documents are passed over before anything is
+    shuffled; the join that follows is exact, however full the table is.
+    """
+    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS))
+    words = ids.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {SLOTS}) % 64 AS int))").alias("bit"))
+    words = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most SLOTS / 64 rows
+    table_ = np.zeros(SLOTS // 64, np.int64)
+    table_[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    marked = docs.sparkSession.sparkContext.broadcast(table_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marked.value
+        for b in batches:
+            slots = b.column("slot").to_numpy()
+            some = b.filter(pa.array((bits[slots >> 6] >> (slots & 63)) & 1 == 1))
+            sets = pa.array([s.tobytes() for s in text_shingles(some.column("text"), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column("rep"), sets], ["rep", "set"])
+        release_memory()
+
+    kind = docs.schema["rep"].dataType.simpleString()
+    found = docs.filter("rep IS NOT NULL").select("rep", slot.alias("slot"), "text").mapInArrow(run, f"rep {kind}, set binary")
+    return durable(found.join(ids, "rep", "left_semi"))
+
+
+def _compare(pairs: DataFrame, side: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The links among candidate pairs (a, b): by parity sketch first, then in full."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +235,7 @@ def _compare(pairs: DataFrame, side: DataFrame, sets: DataFrame, num: int, den:
     first = side.select(F.col("rep").alias("a"), "n", F.col("parity").alias("p"))
     second = side.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("parity").alias("q"))
     left = durable(pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(near, schema).distinct())
+    sets = _sets(docs, left.select(F.col("a").alias("rep")).unionByName(left.select(F.col("b").alias("rep"))).distinct(), n)
     s, t = sets.select(F.col("rep").alias("a"), F.col("set").alias("s")), sets.select(F.col("rep").alias("b"), F.col("set").alias("t"))
     return durable(left.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(linked, schema).distinct())
 
@@ -215,10 +247,12 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     """
     if not 2 * num > den >= num > 0:
         raise ValueError("the least similarity num / den lies above a half and is at most 1")
-    heads = durable(shingle_heads(docs, n, num, den, id_col, text_col))
+    # texts are cheaper to read and hash again than heads of all documents are to keep
+    heads = shingle_heads(docs, n, num, den, id_col, text_col)
+    every = durable(heads.select("doc_id", "n", "d1", "d2"))
     some = heads.filter("n > 0 AND doc_id IS NOT NULL")
     classes = durable(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("parity").alias("parity")))
-    members = durable(some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct())
+    members = durable(every.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct())
     # an identifier that repeats with other texts is one document: its classes are tied together
     repeated = members.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     links = members.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -238,14 +272,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     involved = lists.select("rep").distinct()
     side = durable(classes.select("rep", "n", "parity").join(involved, "rep", "left_semi"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array([s.tobytes() for s in text_shingles(b.column("text"), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("rep"), sets], ["rep", "set"])
-
-    kind = side.schema["rep"].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(involved, "rep", "left_semi")
-    sets = durable(texts.mapInArrow(whole, f"rep {kind}, set binary"))
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -262,15 +289,15 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
         several = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 + 3 * turn))
         leaders = own.groupBy("token", several.alias("k")).agg(F.min_by(who, F.struct("i", F.xxhash64("rep"))).alias("w")).select("token", "w.*")
         pairs = own.join(leaders, "token").filter((F.col("label") != F.col("label2")) & fits)
-        found = _compare(ordered(pairs), side, sets, num, den)
+        found = _compare(ordered(pairs), side, texts, n, num, den)
         links = durable(links.unionByName(found))
         labels = connected(links)
 
     own = durable(labelled(lists, labels))
     pairs = _cross(own, ["token"], fits)
-    found = _compare(ordered(pairs), side, sets, num, den)
+    found = _compare(ordered(pairs), side, texts, n, num, den)
     labels = connected(links.unionByName(found))
-    every = heads.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
+    every = every.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     every = every.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     return every, labels
 
