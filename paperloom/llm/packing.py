@@ -29,15 +29,16 @@ from pyspark.sql import functions as F
 
 from .bpe import WHITE, default_path, vocabulary
 from .common import durable, table
+from .hashing import release_memory
 
 CAPACITY = 2048
 #: Pieces that the last best-fit pass may get; more go through the linear program again.
 TAIL = 100_000
 STEPS, BATCH, SHARE, SHARPNESS = 120, 32, 0.5, 3.0
-#: Rows of one length that are ranked together.
-RANK_ROWS = 50_000
+#: Pieces are ranked in parts: one for so many rows, and so many at most.
+RANK_ROWS, PARTS = 2_000, 4_096
 #: Encoded words a Python worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 
 Config = tuple[tuple[int, int], ...]
 
@@ -269,6 +270,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32()))), names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -283,7 +285,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     arrays = pieces.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))
-    parts = max(1, -(-sum(histogram.values()) // RANK_ROWS))
+    parts = min(PARTS, max(1, -(-sum(histogram.values()) // RANK_ROWS)))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     before = dealt.groupBy("length", "part").count()
