@@ -41,7 +41,7 @@ SHORT = 8
 ROUNDS = 2
 #: Shingles counted at once in a task, count in one such part from which a shingle is reported, least sum of these counts of a
 #: common shingle, and common shingles at most (they are broadcast; which they are changes the cost and not the result).
-PART, REPORTED, COMMON_LEAST, COMMON_MOST = 1 << 20, 3, 24, 1 << 18
+PART, REPORTED, COMMON_LEAST, COMMON_MOST = 1 << 21, 2, 24, 1 << 18
 #: Cost of a listed shingle (its list and the comparisons that follow), in subset keys.
 LIST_COST = 8
 #: Bits of the table that marks the documents to be compared in full (4 MB).
