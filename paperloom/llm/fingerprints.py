@@ -2,7 +2,7 @@
 
 Every five-word shingle is hashed to 64 bits and kept when its hash lies below a fixed fraction of the hash range.  As
 the threshold is the same for all documents, sketches of texts of very different lengths can be united, intersected
-and compared without the texts.
+and compared without the texts.  The query keeps the whole range, so that its likenesses are those of the texts.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 WORDS = 5
-#: A shingle is retained with probability 1 / SCALE.
+#: A shingle is retained with probability 1 / SCALE, where nothing else is asked for.
 SCALE = 8
+#: The scale that retains every shingle.
+WHOLE = 1
 #: Rows of a range of identifiers, in which the next identifier is looked up; at most RANGES ranges.
 RANGES = 512
 
@@ -23,51 +25,58 @@ RANGES = 512
 def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
     """array<bigint>, sorted and distinct: the retained hashes of the k-word shingles of a text.
 
-    Words are the runs between white space, in lower case.  Fewer than k words make one shingle, none make none.  A text
-    that has shingles but none below the threshold keeps its smallest hash, so that only empty texts have an empty sketch.
+    Words are the runs between white space, in lower case.  Fewer than k words make one shingle, which is always retained;
+    none make none.  Whether a shingle is retained depends on it alone, so a sketch holds the same hashes of what two texts
+    share.  A text that has shingles of which none is retained has no sketch (null): nothing is known of it, while an empty
+    sketch is that of a text without words.  With scale 1 every text has a sketch, and all estimates are exact.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[\t\n\x0B\f\r]", " "), " "), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     least = -(1 << 63) + (1 << 64) // scale
 
-    def roll(h: Column) -> Column:
+    def thin(h: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-        return F.when(F.size(h) >= k, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-
-    def thin(s: Column) -> Column:
-        low = F.filter(s, lambda x: x < F.lit(least))
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(s)
+        low = many if scale == WHOLE else F.filter(many, lambda x: x < F.lit(least))
+        return F.when(F.size(h) >= k, F.sort_array(F.array_distinct(low))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     # each step is bound once: transform over a one-element array is SQL's let
-    rolled = F.transform(F.array(hashes), roll)
-    return F.get(F.transform(rolled, thin), 0)
+    thinned = F.transform(F.array(hashes), lambda h: F.struct(thin(h).alias("s"), (F.size(h) > 0).alias("any")))
+    return F.get(F.transform(thinned, lambda t: F.when((F.size(t["s"]) > 0) | ~t["any"], t["s"])), 0)
 
 
 def union(a: Column, b: Column) -> Column:
-    """The sketch of two texts taken together."""
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of the shingles of two texts taken together; null only if neither has a retained hash and one is null."""
+    known = F.when(F.size(b) > 0, b)
+    return F.coalesce(F.sort_array(F.array_union(a, b)), F.when(F.size(a) > 0, a), known)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches; of two empty ones it is 1."""
+    """Estimated Jaccard similarity of two sketches; of two empty ones it is 1, and null where a sketch is null."""
     both, one = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
-    return F.when(one == 0, F.lit(1.0)).otherwise(both / (one - both)).cast("double")
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(one == 0, F.lit(1.0)).otherwise(both / (one - both))).cast("double")
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has too, however much longer b is; 1 when a is empty."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+    """Estimated share of a's shingles that b has too, however much longer b is; 1 when a is empty, null when a is null.
+
+    A null b has shingles, but none of those that are retained of a.
+    """
+    both = F.coalesce(F.size(F.array_intersect(a, b)), F.lit(0))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(a.isNotNull(), F.greatest(both, F.lit(0)) / F.size(a)).cast("double")
 
 
 def as_text(s: Column) -> Column:
     """A sketch as a string: 16 hex digits for each hash, in order."""
-    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """(doc_id, n_shingles_kept, sketch): one row per input row; null texts are empty, extra columns are ignored."""
+    """(doc_id, n_shingles_kept, sketch): one row per input row; null texts are empty, extra columns are ignored.
+
+    The sketch is null where a text has shingles of which none is retained.
+    """
     s = docs.select(F.col(id_col).alias("doc_id"), sketch(text_of(text_col), k, scale).alias("sketch"))
-    return s.select("doc_id", F.size("sketch").cast("long").alias("n_shingles_kept"), "sketch")
+    return s.select("doc_id", F.when(F.col("sketch").isNull(), 0).otherwise(F.size("sketch")).cast("long").alias("n_shingles_kept"), "sketch")
 
 
 def next_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -100,24 +109,22 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document, by descending identifier, after the last the first.  Null texts are empty.  Rows without an identifier
     have no next document: it is taken as empty.  Of rows that repeat an identifier the smallest text is the next document of
-    others.  Likeness of two empty fingerprints is 1.
+    others.  Fingerprints hold every shingle, so likeness is the Jaccard similarity of the shingles; of two empty
+    fingerprints it is 1.
     """
     same = id_col == "doc_id"
     docs = base = docs.select(F.col(id_col) if same else F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     # both joins read the same columns of the same rows, so that Spark moves the texts once and reuses the exchange; sketches
-    # come after the joins, as plans with lambdas never count as the same
+    # come after the joins, as plans with lambdas never count as the same, and as a text is smaller than its shingles
     own = base.filter("doc_id IS NOT NULL")
-    want = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    want = want.join(next_ids(docs), "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), (F.col("n") / 3).cast("int").alias("most"))
-    heads = own.join(want, "doc_id").select("for_id", F.struct(F.expr("substring(text, 1, most)").alias("head"), sketch(F.col("text")).alias("next_sketch")).alias("n"))
-    heads = heads.groupBy("for_id").agg(F.min("n").alias("n")).select("for_id", "n.head", "n.next_sketch")
-    alone = base.filter("doc_id IS NULL").withColumn("head", F.lit(None).cast("string")).withColumn("next_sketch", F.lit(None).cast("array<bigint>"))
-    both = own.join(heads, own["doc_id"] == heads["for_id"]).drop("for_id").unionByName(alone)
-    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("sketch", sketch(F.col("text")))
+    want = next_ids(docs).select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"))
+    heads = own.join(want, "doc_id").groupBy("for_id").agg(F.min("text").alias("next_text"))
+    alone = base.filter("doc_id IS NULL").withColumn("next_text", F.lit(None).cast("string"))
+    both = own.join(heads, own["doc_id"] == heads["for_id"]).drop("for_id").unionByName(alone).withColumn("next_text", text_of("next_text"))
+    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("sketch", sketch(F.col("text"), scale=WHOLE))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut)))
-    both = both.withColumn("edited_sketch", sketch(F.col("edited")))
-    empty = F.array().cast("array<bigint>")
+    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), cut)))
+    both = both.withColumn("edited_sketch", sketch(F.col("edited"), scale=WHOLE)).withColumn("next_sketch", sketch(F.col("next_text"), scale=WHOLE))
     return both.select(
         "doc_id",
         "n_chars",
@@ -125,7 +132,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.coalesce("next_sketch", empty)).alias("near_next"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
 
 

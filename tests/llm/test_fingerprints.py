@@ -43,3 +43,33 @@ def test_odd_rows(spark, make):
     one = G.edited_fingerprints(make([(1, "a b c d e f")])).first()
     assert one.near_next == 1.0
     assert G.edited_fingerprints(make([])).count() == 0
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_short_texts_are_compared_whole(spark, make):
+    texts = {i: " ".join(f"q{(i // 2 * 7 + k) % 50}" for k in range(5 + i % 9)) for i in range(60)}
+    got = {r.doc_id: r for r in G.edited_fingerprints(make(list(texts.items()))).collect()}
+    for i, t in texts.items():
+        nxt = texts[(i - 1) % 60]
+        c = len(t) // 3
+        for other, near in ((t[: len(t) - c] + nxt[:c], got[i].near_edited), (nxt, got[i].near_next)):
+            a, b = shingles(t), shingles(other)
+            assert abs(near - len(a & b) / len(a | b)) < 1e-12
+        assert len(got[i].fingerprint) == 16 * len(shingles(t))
+
+
+def test_sketches_of_a_scale_unite_and_contain(spark, make):
+    short = {i: " ".join(f"a{i}x{k}" for k in range(6)) for i in range(40)}
+    rows = [(i, t) for i, t in short.items()] + [(100 + i, t + "".join(f" b{i}y{k}" for k in range(60))) for i, t in short.items()]
+    for scale in (1, 2, 8):
+        s = {r.doc_id: r for r in G.fingerprints(make(rows), scale=scale).collect()}
+        assert all((r.sketch is None) == (r.n_shingles_kept == 0) for r in s.values())
+        pairs = spark.createDataFrame([(i, s[i].sketch, s[100 + i].sketch) for i in short], "i long, a array<long>, b array<long>")
+        for r in pairs.select("a", "b", G.containment(F.col("a"), F.col("b")).alias("c"), G.likeness(F.col("a"), F.col("b")).alias("j"), G.union(F.col("a"), F.col("b")).alias("u")).collect():
+            assert r.c == (None if r.a is None else 1.0) and (r.j is None) == (r.a is None or r.b is None)
+            assert r.u == r.b  # the long text holds the short one
+        assert scale == 8 or any(r.sketch for r in s.values())
