@@ -6,6 +6,7 @@ error and never fails the job.  Use ``repartition(n)`` before these to bound the
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,16 +52,25 @@ def _called(df: DataFrame, load: Callable, name: str) -> DataFrame:
     return df.select("doc_id", "document_type", "prompt").mapInPandas(run, f"doc_id {kind}, document_type string, prompt string, model_used string, raw_response string, error string")
 
 
+def _answered(df: DataFrame) -> DataFrame:
+    """The rows written to ``spark.checkpoint.dir`` at once, or to a temporary folder where none is set (tests)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-"))
+    return df.checkpoint(eager=True)
+
+
 def extract_with_model(df: DataFrame, schema_json: str, providers: list[tuple[str, Callable]], id_col: str = "doc_id", text_col: str = "text", type_col: str = "document_type") -> DataFrame:
     """(doc_id, document_type, metadata, model_used, raw_response, error): the first provider that answers.
 
-    ``providers`` are (name, load) in order; rows that failed go to the next one.  ``metadata`` is the JSON object of the answer
-    as a string, an empty one where there is none.
+    ``providers`` are (name, load) in order; rows that failed go to the next one.  Each provider's answers are written once
+    before they are split by error, so a row is asked once of each and every row comes out.  ``metadata`` is the JSON object of
+    the answer as a string, an empty one where there is none.
     """
     left = df.select(F.col(id_col).alias("doc_id"), F.col(type_col).alias("document_type"), build_prompt(F.col(text_col), schema_json, F.col(type_col)).alias("prompt")).filter("prompt IS NOT NULL")
     done = None
     for k, (name, load) in enumerate(providers):
-        got = _called(left, load, name)
+        got = _answered(_called(left, load, name))
         keep = got if k == len(providers) - 1 else got.filter("error IS NULL")
         done = keep if done is None else done.unionByName(keep)
         left = got.filter("error IS NOT NULL").select("doc_id", "document_type", "prompt")

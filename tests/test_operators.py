@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
@@ -200,6 +201,31 @@ def test_models(spark):
     assert r.metadata == "{}" and "down" in r.error
 
 
+@pytest.mark.parametrize("fails", [0, 1])
+def test_models_are_asked_once(spark, tmp_path, fails):
+    """A provider that fails at its first call for a prompt only, or at every later one only, neither loses nor repeats a row."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def flaky():
+        def call(prompt):
+            mark = calls / hashlib.md5(prompt.encode()).hexdigest()
+            n = len(mark.read_bytes()) if mark.exists() else 0
+            with mark.open("ab") as f:
+                f.write(b"x")
+            if (n > 0) == bool(fails):
+                raise TimeoutError("slow")
+            return "{}"
+
+        return call
+
+    df = docs(spark, *(f"text {i}" for i in range(20))).withColumn("document_type", F.lit("general"))
+    got = models.extract_with_model(df, "{}", [("first", flaky), ("second", lambda: lambda prompt: "{}")])
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in df.collect())
+    assert {r.model_used for r in got.collect()} == {"first" if fails else "second"}
+    assert [len(m.read_bytes()) for m in calls.iterdir()] == [1] * 20
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in/a").mkdir(parents=True)
     (tmp_path / "in/a/1.txt").write_bytes("가나다라마바사아자차카".encode("cp949"))
