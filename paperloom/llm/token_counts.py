@@ -7,7 +7,9 @@ a rule:
 * ``most``: the section with most of its characters, the earlier one among equals;
 * ``first`` / ``last``: the section with the first / last of its characters that lie in any.
 
-Tokens that touch no section are counted as section -1, so the counts of a document add up to its tokens.
+Characters that several sections share belong to the one that starts first, of those the one that ends first, then the
+one with the smaller number; a section that has none of its own has count 0.  Tokens that touch no section are counted as
+section -1, so the counts of a document add up to its tokens.
 """
 
 from __future__ import annotations
@@ -67,8 +69,8 @@ def count_tokens(
 
     Sections are the non-empty stretches between matches of ``split``, numbered from 0, or the rows of ``sections``
     (doc_id, section, start, stop in characters), of which those with a null or with no characters are ignored.  Every
-    section has a row, one without tokens too; the row of section -1 has the whole text as its span.  Null texts are
-    empty.  Rows that repeat an identifier are counted each; extra columns are ignored; an empty table gives no rows.
+    section has a row with its own span within the text, one without tokens, one inside another and a repeated one too; the
+    row of section -1 has the whole text as its span.  Null texts are empty.  Rows that repeat an identifier are counted each; extra columns are ignored; an empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}: {rule}")
@@ -92,13 +94,17 @@ def count_tokens(
                     parts = [(k, s, e) for k, (s, e) in enumerate((s, e) for s, e in zip(cuts[::2], cuts[1::2], strict=True) if e > s)]
                 else:
                     parts = [(s["section"], max(s["start"], 0), min(s["stop"], len(text))) for s in own[i] or []]
-                names, starts, stops = _disjoint(parts)
+                    parts = sorted((p for p in parts if p[2] > p[1]), key=lambda p: (p[1], p[2], p[0]))
+                # tokens go to what each section has of its own; rows are those of all sections
+                held, starts, stops = _disjoint([(k, s, e) for k, (_, s, e) in enumerate(parts)])
                 a, e = token_spans(bpe, text)
-                counts = np.bincount(allocate(a, e, starts, stops, rule) + 1, minlength=len(names) + 1)
-                row.append(np.full(len(names) + 1, i))
-                name += [np.array([-1]), names]
-                first += [np.array([0]), starts]
-                last += [np.array([len(text)]), stops]
+                counts = np.zeros(len(parts) + 1, np.int64)
+                counts[np.append(0, held + 1)] = np.bincount(allocate(a, e, starts, stops, rule) + 1, minlength=len(held) + 1)
+                given = np.array(parts, np.int64).reshape(-1, 3)
+                row.append(np.full(len(parts) + 1, i))
+                name += [np.array([-1]), given[:, 0]]
+                first += [np.array([0]), given[:, 1]]
+                last += [np.array([len(text)]), given[:, 2]]
                 count.append(counts)
             cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(cat(row)), cat(name), cat(first), cat(last), cat(count)], ["doc_id", "section", "start", "stop", "n_tokens"])

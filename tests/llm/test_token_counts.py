@@ -49,3 +49,15 @@ def test_overlapping_sections():
     names, starts, stops = T._disjoint([(1, 0, 5), (2, 3, 8), (3, 4, 5)])
     assert names.tolist() == [1, 2] and starts.tolist() == [0, 5] and stops.tolist() == [5, 8]
     assert T.allocate(np.array([0, 4]), np.array([4, 7]), starts, stops, "most").tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("rule", T.RULES)
+def test_every_given_section_has_a_row(spark, make, rule):
+    text = "one two three four five six seven"
+    given = [(1, 0, 18), (2, 4, 7), (2, 4, 7), (3, 14, 23), (4, 0, 18), (5, 20, 400), (6, -3, 2)]
+    sections = spark.createDataFrame([(0, *g) for g in given], "doc_id long, section long, start long, stop long")
+    got = T.count_tokens(make([(0, text)]), PATH, sections=sections, rule=rule).collect()
+    assert sorted((r.section, r.start, r.stop) for r in got) == sorted([(-1, 0, len(text)), *((n, max(a, 0), min(b, len(text))) for n, a, b in given)])
+    assert sum(r.n_tokens for r in got) == len(compiled(vocabulary(PATH)).encode(text)) // 4
+    count = {r.section: r.n_tokens for r in got}
+    assert count[2] == count[4] == 0 and count[1] > 0 and count[-1] == 0
