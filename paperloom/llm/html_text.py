@@ -2,7 +2,8 @@
 
 Pages are parsed into a tree, with the tags that HTML leaves out implied; the tree is walked with the visibility rules of a
 browser, and all visible text is put out as lines: blocks are set apart, list items have markers and indentation, and the
-cells of a table stand in aligned columns.
+cells of a table stand in aligned columns.  Formulas (MathML) run on in their line, rows of a matrix and formulas of their own have
+lines; in drawings (SVG) each label is a line, and what a foreignObject holds is rendered as the page.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import table
 
 # Fixed values of HTML: element kinds by their rendering and their implied end tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist noframes".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body div section article main aside header footer nav address li dt dd form figcaption details summary legend tr td th caption thead tbody tfoot center option optgroup select".split()
@@ -40,21 +41,62 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: Start tags that end a formula or drawing that was not closed.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements of drawings that are rendered, outside of labels and in them; shapes, definitions and descriptions show no text.
+DRAWN = {"svg": frozenset("svg g a switch text foreignobject".split()), "label": frozenset("tspan textpath a".split())}
+#: Elements of formulas that are not shown, those that show their first child, and those whose children stand apart.
+UNSHOWN = frozenset("annotation annotation-xml mphantom".split())
+FIRST = frozenset("semantics maction".split())
+APART = frozenset("mfrac mroot munder mover munderover mtr mlabeledtr mtd".split())
+#: Elements of formulas and drawings whose children are those of a page, and those that no end tag of a page looks past.
+PAGES = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+FENCE = frozenset(("foreignobject", "mtext"))
 #: Columns are padded up to this width; longer cells run over it.
 WIDEST = 40
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
-_MARKED = re.compile(r"<!\[[^>]*>")
+_MARKED = re.compile(r"<!\[(?!CDATA\[)[^>]*>")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    """An element; ``kind`` is "math", "svg", "label" (in an SVG text) or "" for a page's own, ``inner`` that of its children."""
+
+    __slots__ = ("attrs", "children", "inner", "kind", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
+    def __init__(self, tag: str, attrs: dict[str, str | None], around: str = "") -> None:
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.kind = around or (tag if tag in ("svg", "math") else "")
+        self.inner = "" if tag in PAGES.get(self.kind, ()) else "label" if (self.kind, tag) == ("svg", "text") else self.kind
 
     def hidden(self) -> bool:
+        if self.kind in DRAWN and (self.tag not in DRAWN[self.kind] or self.attrs.get("display") == "none" or self.attrs.get("visibility") in ("hidden", "collapse")):
+            return True
+        if self.kind == "math" and self.tag in UNSHOWN:
+            return True
         return self.tag in HIDDEN or "hidden" in self.attrs or bool(_UNSEEN.search((self.attrs.get("style") or "").lower()))
 
+    def lined(self) -> bool:
+        """Whether an element of a formula or drawing has lines of its own."""
+        if self.kind == "math":
+            return self.tag in ("mtr", "mlabeledtr") or (self.tag == "math" and self.attrs.get("display") == "block")
+        return self.tag in ("text", "foreignobject") or (self.tag == "tspan" and not self.attrs.keys().isdisjoint(("x", "y")))
+
+    def shown(self) -> list[Node | str]:
+        """The children that are rendered where the element is."""
+        if self.inner == "svg":
+            nodes = [c for c in self.children if isinstance(c, Node)]
+            if self.tag == "switch":
+                free = [c for c in nodes if c.attrs.keys().isdisjoint(("systemlanguage", "requiredextensions"))]
+                return (free or nodes)[:1]
+            return nodes
+        if self.kind == "math" and self.tag in FIRST:
+            return [c for c in self.children if isinstance(c, Node)][:1]
+        if self.kind == "math" and self.tag in APART:
+            return [x for c in self.children for x in (" ", c)] + [" "]
+        return self.children
+
 
 class Tree(HTMLParser):
     """Builds the tree; tags that may be left out are opened and closed where the next tag implies it."""
@@ -76,7 +118,7 @@ class Tree(HTMLParser):
             return
         at = None
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in walls:
+            if self.open[i].tag in walls or self.open[i].tag in FENCE:
                 break
             if self.open[i].tag in tags:
                 at = i
@@ -84,19 +126,26 @@ class Tree(HTMLParser):
             self._cut(at)
 
     def _push(self, tag: str, attrs: dict[str, str | None]) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.open[-1].inner)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
             self.depth[tag] += 1
 
+    def _leave(self) -> None:
+        """Closes the formula or drawing that is open, up to what holds parts of a page."""
+        while self.open[-1].inner:
+            self._cut(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in BREAKS_OUT or (tag == "font" and any(k in ("color", "face", "size") for k, _ in attrs)):
+            self._leave()
         if tag in ("html", "body"):
             if tag == "body":
                 self._end({"head"}, set())
             self.open[-1].attrs.update({k: v for k, v in attrs if k not in self.open[-1].attrs}) if tag == "html" else self._push(tag, dict(attrs))
             return
-        if self.open[-1].tag == "head" and (tag in BLOCK or tag in ("a", "b", "i", "span", "em", "strong", "br", "img")):
+        if self.open[-1].tag == "head" and (tag in BLOCK or tag in ("a", "b", "i", "span", "em", "strong", "br", "img", "svg", "math")):
             self._cut(len(self.open) - 1)
         if tag in CLOSES_P:
             self._end({"p"}, {"table", "td", "th", "button", "caption", "object"})
@@ -108,8 +157,12 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if self.open[-1].kind and self.open[-1].tag == tag:
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in ("p", "br"):
+            self._leave()
         if tag == "p" and not self.depth["p"]:
             self._push("p", {})
         if tag in VOID:
@@ -124,6 +177,18 @@ class Tree(HTMLParser):
                 return
             if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
                 return
+            if self.open[i].tag in FENCE and tag not in ("svg", "math"):
+                return
+
+    def parse_html_declaration(self, i: int) -> int:
+        """CDATA is text in formulas and drawings, and a comment elsewhere."""
+        if not self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_html_declaration(i)
+        if not self.open[-1].kind:
+            return self.rawdata.find(">", i) + 1 or super().parse_html_declaration(i)
+        end = self.rawdata.find("]]>", i + 9)
+        self.handle_data(self.rawdata[i + 9 : end if end >= 0 else len(self.rawdata)])
+        return end + 3 if end >= 0 else len(self.rawdata)
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
@@ -241,8 +306,10 @@ def render(html: str | None) -> str:
                     tables[-1].append([])
                 writers.append(Lines())
                 lists.append(["ul", 0, ""])
+            if node.kind and node.lined():
+                out.block(1)
             work.append((False, node))
-            work += [(True, c) for c in reversed(node.children)]
+            work += [(True, c) for c in reversed(node.shown())]
             continue
         if tag in ("td", "th") and tables:
             lists.pop()
@@ -262,6 +329,8 @@ def render(html: str | None) -> str:
             out.indent = out.indent[:-2]
         elif tag == "pre":
             verbatim -= 1
+        if node.kind and node.lined() and tag != "tspan":
+            out.block(1)
         if tag in BLOCK:
             out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
     return "\n".join(writers[0].result())

@@ -38,3 +38,33 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (1, "<p>a", "t"), (None, None, "u"), (2, "", "u")], "page_id long, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in extract_text(df).collect()) == [("1", "a"), ("1", "a"), ("2", ""), ("None", "")]
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "so x=1 holds"),
+        ("<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding='application/x-tex'>E=mc^2</annotation><annotation-xml><ci>no</ci></annotation-xml></semantics></math>", "E=mc2"),
+        ("a<math display=block><mfrac><mn>1</mn><mn>2</mn></mfrac><mphantom><mi>no</mi></mphantom></math>b", "a\n1 2\nb"),
+        ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>0</mn></mtd></mtr><mtr><mtd><mn>0</mn></mtd><mtd><mspace/><mn>1</mn></mtd></mtr></mtable></math>", "1 0\n0 1"),
+        ("<math><mi>x</mi><mtext>for <b>all</b> y</mtext></math>", "xfor all y"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>no</style>no<rect/><text x=1>Left</text><g><text>Ri<tspan>ght</tspan></text></g></svg>", "Left\nRight"),
+        ("<svg><text><tspan x=0>one</tspan><tspan x=0 dy=1em>two</tspan></text></svg>", "one\ntwo"),
+        ("<div>x<svg><switch><foreignObject><p>a<p>b</foreignObject><text>no</text></switch></svg>y</div>", "x\n\na\n\nb\n\ny"),
+        ("<svg><text display=none>no</text><text visibility=hidden>no</text><text style='display:none'>no</text><text>yes</text></svg>", "yes"),
+        ("<svg><path d='M0'/><text><![CDATA[a < b]]></text></svg><![CDATA[no]]>c", "a < b\nc"),
+        ("<svg><path d='M0'><p>out", "out"),
+        ("<p>a <svg width=1><path d='M0'/></svg>b</p>", "a b"),
+        ("<table><tr><td><svg><text>k</text></svg><td><math><mn>7</mn></math></table>", "k | 7"),
+        ("<ul><li>a<svg><foreignObject><ul><li>b</ul></foreignObject></svg></ul>", "- a\n  - b"),
+        ("<svg/>a<math/>b", "ab"),
+    ],
+)
+def test_formulas_and_drawings(html, text):
+    assert render(html) == text
+
+
+def test_deep_drawings():
+    assert render("<svg>" + "<g>" * 30000 + "<text>x") == "x"
+    assert render("<svg><path>" * 20000 + "<p>x") == "x"
+    assert render("<math>" + "<mrow>" * 30000 + "<mi>x") == "x"
