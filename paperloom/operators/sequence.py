@@ -89,13 +89,18 @@ def stratified_split(sentences: DataFrame, ratios: tuple[float, float, float] =
     """W2 with J3: (sent_id, split): each type's sentences in hash order, cut at the ratios; sentences without a type are a stratum.
 
     A sentence may be in validation and test by different types; it is in train only if it is in neither.  The order is
-    that of md5(seed/id), so it is the same however the data is partitioned.
+    that of md5(seed/id), so it is the same however the data is partitioned.  Sentences are ranked within 4,096 ranges of the
+    hash, after the counts of the ranges before, so a type of many sentences is not sorted in one task.
     """
     types = entity_types(F.col(labels_col))
     rows = sentences.select(F.col(id_col).alias("sent_id"), F.explode(F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("")))).alias("type"))
     order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("sent_id").cast("string")))
-    w = W.partitionBy("type")
-    rows = rows.withColumn("k", F.row_number().over(w.orderBy(order, "sent_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("order", order).withColumn("part", F.substring("order", 1, 3))
+    w, rank = W.partitionBy("type"), F.row_number().over(W.partitionBy("type", "part").orderBy("order", "sent_id"))
+    parts = rows.groupBy("type", "part").agg(F.count(F.lit(1)).alias("own"))
+    upto = F.sum("own").over(w.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow))
+    parts = parts.select("type", "part", (upto - F.col("own")).alias("before"), F.sum("own").over(w).alias("n"))
+    rows = rows.join(parts, ["type", "part"]).withColumn("k", F.col("before") + rank)
     a = F.floor(F.col("n") * ratios[0])
     b = a + F.floor(F.col("n") * ratios[1])
     rows = rows.select("sent_id", F.when(F.col("k") <= a, "train").when(F.col("k") <= b, "validation").otherwise("test").alias("split")).distinct()

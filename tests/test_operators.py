@@ -201,6 +201,19 @@ def test_models(spark):
     assert r.metadata == "{}" and "down" in r.error
 
 
+def test_stratified_split_ranks_in_parts(spark):
+    df = spark.createDataFrame([(i, ["B-A", "O"] if i % 3 else ["O"]) for i in range(3000)], "sent_id long, labels array<string>")
+    out = sequence.stratified_split(df)
+    want = {}
+    for ids in ([i for i in range(3000) if i % 3], range(0, 3000, 3)):
+        order = sorted(ids, key=lambda i: hashlib.md5(f"42/{i}".encode()).hexdigest())
+        a, n = int(len(order) * 0.8), int(len(order) * 0.1)
+        want |= {i: "train" if k < a else "validation" if k < a + n else "test" for k, i in enumerate(order)}
+    assert {(r.sent_id, r.split) for r in out.collect()} == set(want.items())
+    ranked = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number()" in x and "Window" in x]
+    assert ranked and all("part" in x.split("row_number()")[1].split("specifiedwindowframe")[0] for x in ranked)
+
+
 @pytest.mark.parametrize("fails", [0, 1])
 def test_models_are_asked_once(spark, tmp_path, fails):
     """A provider that fails at its first call for a prompt only, or at every later one only, neither loses nor repeats a row."""
