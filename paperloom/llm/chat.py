@@ -56,10 +56,8 @@ def encode_turns(rows: DataFrame, tokenizer: str, template: Template, conv_col:
         bpe = compiled(source.value)
         begin, body, end = (np.array([len(bpe.labels) + i], "<u4").tobytes() for i in range(3))
         for b in batches:
-            out = [
-                b"".join((begin, bpe.encode(template.escape(role), False), body, bpe.encode(template.escape(text), False), end))
-                for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)
-            ]
+            roles, texts = ([template.escape(x) for x in b.column(c).to_pylist()] for c in ("role", "text"))
+            out = [b"".join((begin, r.tobytes(), body, t.tobytes(), end)) for r, t in zip(bpe.encode_all(roles, False), bpe.encode_all(texts, False), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], ["conv_id", "turn", "role", "text", "ids"])
 
     kinds = [rows.schema[c].dataType.simpleString() for c in (conv_col, turn_col)]
@@ -147,11 +145,11 @@ def format_conversations(
 def read_turns(bpe: ByteBpe, template: Template, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, str, int]]:
     """(role, text, text under the mask, formatted characters) of each turn of a part, read from its tokens."""
     size = len(bpe.labels)
-    text = lambda part: template.unescape(bpe.decode(part.astype("<u4").tobytes()).decode("utf-8", "replace"))
+    text = lambda part: template.unescape(bpe.decode(part).decode("utf-8", "replace"))
     for a, b, c in np.flatnonzero(ids >= size).reshape(-1, 3):
         own = ids[b + 1 : c]
         loss = own[mask[b + 1 : c].astype(bool)]
-        n = sum(len(bpe.decode(ids[i + 1 : j].astype("<u4").tobytes()).decode("utf-8", "replace")) for i, j in ((a, b), (b, c)))
+        n = sum(len(bpe.decode(ids[i + 1 : j]).decode("utf-8", "replace")) for i, j in ((a, b), (b, c)))
         yield text(ids[a + 1 : b]), text(own), text(loss), n + len(template.begin) + len(template.body) + len(template.end)
 
 

@@ -1,11 +1,12 @@
 """Best-fit packing: the configuration linear program, solved by multiplicative weights, then rounded.
 
 A configuration is a multiset of lengths that fits into one sequence.  Only the histogram of lengths, one count for each
-length up to the capacity, reaches the driver.  There each step prices the lengths by how little of them is covered so far,
-finds by a knapsack table the most valuable completion for the least covered lengths, and adds a fraction of these
-configurations.  Whole multiples are kept, the rest goes through the program again while it is large, and what is left
-at the end (TAIL pieces and a bounded rounding loss) is placed by best fit on the histogram.  Spark then deals the pieces to
-the slots of the plan by their rank among the pieces of their length.
+length up to the capacity, reaches the driver.  There ``program`` covers all counts by as little of configurations as it can:
+each step prices the lengths by how little of them is covered so far, finds the most valuable completions of the least
+covered ones by a knapsack table, and adds a part of these; the same prices bound the optimum from below, and the
+steps end when the two are near.  Whole uses are kept, of the broken ones the larger are rounded up in place of the smaller, and what is left
+goes through the program again, until it is a fiftieth of the pieces; this rounding loss is placed by best fit.
+Spark then deals the pieces to the slots of the plan by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -22,23 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import WHITE, default_path, vocabulary
+from .bpe import default_path, vocabulary
 from .common import durable, table
 from .hashing import release_memory
+from .words import SPACE, WordTable, classes, encode_texts
 
 CAPACITY = 2048
-#: Pieces that the last best-fit pass may get; more go through the linear program again.
-TAIL = 100_000
-STEPS, BATCH, SHARE, SHARPNESS = 120, 32, 0.5, 3.0
-#: Pieces are ranked in parts: one for so many rows, and so many at most.
-RANK_ROWS, PARTS = 2_000, 4_096
-#: Encoded words a Python worker remembers.
-MEMO = 100_000
+#: A program ends at this gap between its uses and their lower bound, or after so many steps (each adds BATCH configurations).
+GAP, STEPS, BATCH, SHARE, SHARPNESS = 0.01, 8, 384, 0.7, 3.0
+#: What rounding may leave to best fit: this share of the pieces, and no more than one piece for each length.
+LOSS = 0.02
+#: A sequence less full than this has gaps.
+FULL = 0.97
+#: Pieces are ranked in parts: one for so many rows.
+RANK_ROWS = 2_000
 
 Config = tuple[tuple[int, int], ...]
 
@@ -46,51 +48,100 @@ Config = tuple[tuple[int, int], ...]
 def _price_table(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Knapsack over the capacity: best value of each room, and the length taken first (0: leave one token free)."""
     value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    lengths, prices = lengths[prices > 0], prices[prices > 0]
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
         k = upto[room]
-        value[room] = value[room - 1]
+        most, taken = value[room - 1], 0
         if k:
-            total = value[room - lengths[:k]] + prices[:k]
-            best = int(total.argmax())
-            if total[best] > value[room]:
-                value[room], choice[room] = total[best], lengths[best]
+            total = value[room - lengths[:k]]
+            total += prices[:k]
+            best = total.argmax()
+            if total[best] > most:
+                most, taken = total[best], lengths[best]
+        value[room], choice[room] = most, taken
     return value, choice
 
 
-def _fractional(counts: np.ndarray, capacity: int) -> dict[Config, float]:
-    """Configurations and how often to use each; no length is used more often than it occurs."""
+def _complete(first: int, lengths: np.ndarray, prices: np.ndarray, value: np.ndarray, choice: np.ndarray, have: np.ndarray, capacity: int) -> Config:
+    """The most valuable configuration with ``first``; a length that would be used more often than it occurs gives way to the next best."""
+    parts, room, spare = Counter([first]), capacity - first, None
+    while room > 0:
+        n = int(choice[room])
+        if not n:
+            room -= 1
+            continue
+        if parts[n] >= have[n]:
+            if spare is None:
+                spare = have[lengths].copy()
+                spare[np.searchsorted(lengths, list(parts))] -= list(parts.values())
+            k = int(np.searchsorted(lengths, room, "right"))
+            worth = np.where(spare[:k] > 0, value[room - lengths[:k]] + prices[:k], 0)
+            best = int(worth.argmax()) if k else 0
+            if not k or prices[best] <= 0 or spare[best] <= 0:
+                break
+            n = int(lengths[best])
+        if spare is not None:
+            spare[np.searchsorted(lengths, n)] -= 1
+        parts[n] += 1
+        room -= n
+    return tuple(sorted(parts.items(), reverse=True))
+
+
+def program(counts: np.ndarray, capacity: int) -> tuple[dict[Config, float], float]:
+    """Configurations and how often to use each, and a lower bound of the sequences that any packing needs.
+
+    Weights start at the volumes, fall exponentially with what is covered, and are the dual solution of the bound.
+    """
     lengths = np.flatnonzero(counts)
     have = counts[lengths].astype(float)
     left = have.copy()
     where = {int(n): i for i, n in enumerate(lengths)}
     used: dict[Config, float] = {}
+    total, bound = 0.0, float((have * lengths).sum()) / capacity
     for _ in range(STEPS):
         cover = 1 - left / have
         progress = float((cover * have * lengths).sum() / (have * lengths).sum())
         # long pieces first among equals, so that short ones remain to fill gaps
         prices = lengths * (1 + 0.02 * lengths / capacity) * np.exp(-SHARPNESS * (cover - progress))
         open_ = left >= np.minimum(1, have * 0.25)
-        prices = np.where(open_, prices, 0)
-        if not open_.any():
+        if not open_.any() or total + 2 * float((left * lengths).sum()) / capacity <= (1 + GAP) * bound:
             break
-        _, choice = _price_table(lengths, prices, capacity)
+        value, choice = _price_table(lengths, np.where(open_, prices, 0), capacity)
+        prices = np.where(open_, prices, 0)
+        bound = max(bound, float((have * prices).sum() / value[capacity]))
         anchors = np.argsort(np.where(open_, cover - lengths / (4 * capacity), 9), kind="stable")[: min(BATCH, int(open_.sum()))]
         for i in anchors:
-            parts, room = Counter([int(lengths[i])]), capacity - int(lengths[i])
-            while room > 0:
-                if choice[room]:
-                    parts[int(choice[room])] += 1
-                    room -= int(choice[room])
-                else:
-                    room -= 1
-            times = SHARE * min(left[where[n]] / k for n, k in parts.items())
+            config = _complete(int(lengths[i]), lengths, prices, value, choice, counts, capacity)
+            times = SHARE * min(left[where[n]] / k for n, k in config)
             if times > 0:
-                config = tuple(sorted(parts.items(), reverse=True))
                 used[config] = used.get(config, 0) + times
-                for n, k in parts.items():
+                total += times
+                for n, k in config:
                     left[where[n]] -= k * times
-    return used
+    return used, bound
+
+
+def _round(used: dict[Config, float], counts: np.ndarray, out: Counter) -> None:
+    """Moves whole uses from ``counts`` to ``out``: all that are whole, then the larger of the broken ones rounded up, as many as all of them make."""
+    order = sorted(used.items(), key=lambda x: (-x[1], x[0]))
+    broken = sorted(((c, x % 1) for c, x in order), key=lambda x: (-x[1], x[0]))
+    ups = max(1, int(sum(x for _, x in broken)))
+
+    def take(config: Config, times: int) -> int:
+        whole = min(times, *(int(counts[n]) // k for n, k in config))
+        if whole > 0:
+            out[config] += whole
+            for n, k in config:
+                counts[n] -= k * whole
+        return whole
+
+    for config, times in order:
+        take(config, int(times))
+    for config, _ in broken:
+        ups -= take(config, 1)
+        if not ups:
+            break
 
 
 def _best_fit(counts: np.ndarray, capacity: int) -> Counter:
@@ -116,27 +167,33 @@ def _best_fit(counts: np.ndarray, capacity: int) -> Counter:
     return Counter(tuple(sorted(b.items(), reverse=True)) for same in bins.values() for b in same)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
-    """Configurations and their whole numbers of uses, which together hold exactly the pieces of the histogram."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, Counter]:
+    """Configurations and their whole numbers of uses: those of the program, and those of best fit for what rounding left."""
     counts = np.zeros(capacity + 1, np.int64)
     for n, k in histogram.items():
         counts[n] = k
     out: Counter = Counter()
     if counts[capacity]:
-        out[((capacity, 1),)] = int(counts[capacity])
+        out[((capacity, 1),)] = int(counts[capacity])  # a full piece is a configuration of its own
         counts[capacity] = 0
-    while counts.any():
-        before = int(counts.sum())
-        for config, times in sorted(_fractional(counts, capacity).items(), key=lambda x: -x[1]):
-            whole = min(int(times), *(int(counts[n]) // k for n, k in config))
-            if whole:
-                out[config] += whole
-                for n, k in config:
-                    counts[n] -= k * whole
-        if counts.sum() <= TAIL or counts.sum() > 0.9 * before:
-            break
-    out.update(_best_fit(counts, capacity))
-    return sorted(out.items())
+    loss = min(int(LOSS * counts.sum()), int((counts > 0).sum()))
+    while counts.sum() > loss:
+        used, _ = program(counts, capacity)
+        _round(used, counts, out)
+    rest = _best_fit(counts, capacity)
+    # uses that rounding up left with gaps are placed anew with the rest where that takes fewer sequences: one of each at most
+    loose = Counter(c for c in out if sum(n * k for n, k in c) < FULL * capacity)
+    for config in loose:
+        for n, k in config:
+            counts[n] += k
+    other = _best_fit(counts, capacity) if loose else rest
+    return (out - loose, other) if other.total() < rest.total() + loose.total() else (out, rest)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
+    """Configurations and their whole numbers of uses, which together hold exactly the pieces of the histogram."""
+    main, rest = solve(histogram, capacity)
+    return sorted((main + rest).items())
 
 
 def slots(configs: list[tuple[Config, int]]) -> tuple[np.ndarray, ...]:
@@ -153,23 +210,12 @@ def slots(configs: list[tuple[Config, int]]) -> tuple[np.ndarray, ...]:
     return (a[:, 0] << 48) | a[:, 1], a[:, 1], a[:, 2], a[:, 3], a[:, 4]
 
 
-def _class(kind: str) -> str:
-    """The characters of a Unicode category below 0x10000 as the inside of a character class, in ranges."""
-    found = [ord(c) for c in regex.findall(rf"\p{{{kind}}}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))]
-    out, first = [], found[0]
-    for c, after in zip(found, [*found[1:], None], strict=True):
-        if after != c + 1:
-            out.append(f"\\U{first:08x}-\\U{c:08x}")
-            first = after
-    return "".join(out)
-
-
 def _normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).lower()
 
 
 class WordIds:
-    """Ids of whole texts as a tokenizer file with word ends gives them, word by word with a memo.
+    """Ids of whole texts as a tokenizer file with word ends gives them, by a table of words.
 
     Text is put in normal form C and lower case, words are split as the file's pattern does, and those not seen before are
     encoded by the library, many at once: each word's last id is one with a word end.  Texts that write special tokens are
@@ -190,53 +236,39 @@ class WordIds:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        # Fixed value: the splitting pattern of the word-end format; explicit classes are several times as fast.
-        form = "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{2}{0}{1}]+"
-        self.ascii = re.compile(form.format("a-zA-Z", "0-9", WHITE))
-        self.basic = re.compile(form.format(_class("L"), _class("N"), WHITE))
-        self.every = regex.compile(form.format(r"\p{L}", r"\p{N}", WHITE))
         self.astral = re.compile("[\U00010000-\U0010ffff]")
         own = self.tokenizer.normalizer.normalize_str
-        odd = [chr(c) for c in [*range(128, 0xD800), *range(0xE000, 0x10000)] if chr(c) not in WHITE and (own(chr(c)) != _normal(chr(c)) or max(_normal(chr(c))) > "\uffff")]
+        white = {chr(c) for c in np.flatnonzero(classes() == SPACE)}
+        odd = [chr(c) for c in [*range(128, 0xD800), *range(0xE000, 0x10000)] if chr(c) not in white and (own(chr(c)) != _normal(chr(c)) or max(_normal(chr(c))) > "\uffff")]
         self.odd = re.compile("[" + re.escape("".join({*odd, "Σ"})) + "]")
-        self.memo: dict[str, bytes] = {}
+        self.words = WordTable(self._learn)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, new: list[str]) -> bool:
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(new):
-            return False
-        data, at = ids.tobytes(), 0
-        for word, end in zip(new, ends.tolist(), strict=True):
-            self.memo[word] = data[4 * at : 4 * end]
-            at = end
-        return True
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(new) else None
 
-    def encode(self, text: str) -> bytes:
+    def _plain(self, text: str) -> str | None:
+        """The normal form of a text, or None where only the library knows it."""
         if any(m in text for m in self.marks):
-            return self._whole(text).tobytes()
+            return None
         if text.isascii():
-            normal, pattern = text.lower(), self.ascii
-        else:
-            if self.odd.search(text):
-                return self._whole(text).tobytes()
-            wide = self.astral.search(text)
-            normal = self.tokenizer.normalizer.normalize_str(text) if wide else _normal(text)
-            if not unicodedata.is_normalized("NFC", normal):
-                return self._whole(text).tobytes()
-            pattern = self.every if wide else self.basic
-        words, memo = pattern.findall(normal), self.memo
-        new = set(words).difference(memo)
-        if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = set(words)
-            if not self._learn(list(new)):
-                return self._whole(text).tobytes()
-        return b"".join(map(memo.__getitem__, words))
+            return text.lower()
+        if self.odd.search(text):
+            return None
+        normal = self.tokenizer.normalizer.normalize_str(text) if self.astral.search(text) else _normal(text)
+        return normal if unicodedata.is_normalized("NFC", normal) else None
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [self._plain(t) for t in texts]
+        for text, known, ids in zip(texts, plain, encode_texts([p or "" for p in plain], self.words, False, self._whole), strict=True):
+            yield ids if known is not None else self._whole(text)
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text])).tobytes()
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -255,16 +287,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(source.value)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(pc.fill_null(b.column("text"), "")):
-                own = coder.encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(own), 4 * capacity)):
-                    part = own[at : at + 4 * capacity]
-                    row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+            for i, got in enumerate(coder.encode_all(pc.fill_null(b.column("text"), "").to_pylist())):
+                own = np.concatenate((got, end))
+                for k, at in enumerate(range(0, len(own), capacity)):
+                    part = own[at : at + capacity]
+                    row.append(i), piece.append(k), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<i4"))
+                        ids.append(part.view("<i4"))
             columns = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
@@ -285,7 +317,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     arrays = pieces.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))
-    parts = min(PARTS, max(1, -(-sum(histogram.values()) // RANK_ROWS)))
+    parts = max(1, -(-sum(histogram.values()) // RANK_ROWS))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     before = dealt.groupBy("length", "part").count()

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +29,8 @@ from .common import table
 RULES = ("most", "first", "last")
 
 
-def token_spans(bpe: ByteBpe, text: str, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """First and end character of each token; tokens that share a character both have it."""
-    ids = np.frombuffer(bpe.encode(text, special), "<u4")
+def token_spans(bpe: ByteBpe, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end character of each token of a text; tokens that share a character both have it."""
     ends = np.cumsum(bpe.lengths[ids])
     starts = ends - bpe.lengths[ids]
     if text.isascii():
@@ -87,8 +87,8 @@ def count_tokens(
         for b in batches:
             row, name, first, last, count = [], [], [], [], []
             own = b.column("given").to_pylist() if own_sections else None
-            for i, text in enumerate(b.column("text").to_pylist()):
-                text = text or ""
+            texts = pc.fill_null(b.column("text"), "").to_pylist()
+            for i, (text, ids) in enumerate(zip(texts, bpe.encode_all(texts), strict=True)):
                 if own is None:
                     cuts = [0, *(x for m in between.finditer(text) for x in m.span()), len(text)]
                     parts = [(k, s, e) for k, (s, e) in enumerate((s, e) for s, e in zip(cuts[::2], cuts[1::2], strict=True) if e > s)]
@@ -97,7 +97,7 @@ def count_tokens(
                     parts = sorted((p for p in parts if p[2] > p[1]), key=lambda p: (p[1], p[2], p[0]))
                 # tokens go to what each section has of its own; rows are those of all sections
                 held, starts, stops = _disjoint([(k, s, e) for k, (_, s, e) in enumerate(parts)])
-                a, e = token_spans(bpe, text)
+                a, e = token_spans(bpe, text, ids)
                 counts = np.zeros(len(parts) + 1, np.int64)
                 counts[np.append(0, held + 1)] = np.bincount(allocate(a, e, starts, stops, rule) + 1, minlength=len(held) + 1)
                 given = np.array(parts, np.int64).reshape(-1, 3)

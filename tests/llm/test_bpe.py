@@ -29,6 +29,32 @@ def test_like_the_library(both):
         assert bpe.decode(bpe.encode(t)).decode() == t
 
 
+def test_many_texts_at_once(both, monkeypatch):
+    from paperloom.llm import words as W
+
+    bpe, lib = both
+    random.seed(6)
+    texts = ["".join(random.choice("abcdefgh'stll \n.é日1") for _ in range(random.randint(0, 90))) for _ in range(500)]
+    texts += ["x" * 5000, " ".join(["lorem"] * 3000), "", "q<|endoftext|> r"]
+    want = [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in bpe.encode_all(texts)] == want
+    # small blocks cut long texts, a small table starts anew again and again
+    monkeypatch.setattr(W, "BLOCK", 64)
+    bpe.words = W.WordTable(bpe.words.learn, 256)
+    assert [x.tolist() for x in bpe.encode_all(texts)] == want
+
+
+def test_table_is_that_of_the_gadgets(both):
+    # the transition table against whether two tokens are their own encoding, for random pairs
+    bpe, lib = both
+    m = bpe.automaton
+    random.seed(7)
+    arcs = list(m.arcs.values())
+    pairs = [(a, b) for a, b in ((random.choice(arcs), random.choice(arcs)) for _ in range(4000))]
+    got = m.allows(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])).tolist()
+    assert got == [m.encode(m.labels[a] + m.labels[b]) == [a, b] for a, b in pairs]
+
+
 def test_automaton_accepts_only_what_merges_give():
     # aab -> merges (a, a), (aa, b): "aaab" is aa + ab, never a + aab
     labels = [b"a", b"b", b"aa", b"ab", b"aab"]

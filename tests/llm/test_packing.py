@@ -28,6 +28,35 @@ def test_plan_holds_every_piece_and_is_tight(n, seed):
     assert total <= least * 1.01 + 2
 
 
+@pytest.mark.parametrize(("n", "share"), [(300, 0.85), (4000, 0.95)])
+def test_pieces_come_from_the_program(n, share):
+    random.seed(n)
+    h = Counter(min(2047, max(1, int(random.lognormvariate(5.5, 1.3)))) for _ in range(n))
+    main, rest = P.solve(h)
+    placed = lambda c: sum(k * times for config, times in c.items() for _, k in config)
+    assert placed(main) + placed(rest) == n and placed(main) >= share * n
+    counts = np.zeros(2049, np.int64)
+    counts[list(h)] = list(h.values())
+    bound = P.program(counts, 2048)[1]
+    volume = sum(a * k for a, k in h.items()) / 2048
+    assert volume <= bound + 1e-6 and sum((main + rest).values()) <= bound * 1.01 + 2
+
+
+def test_bound_is_below_what_pairs_of_long_pieces_need():
+    counts = np.zeros(2049, np.int64)
+    counts[1100] = 50  # no two fit together
+    used, bound = P.program(counts, 2048)
+    assert bound == pytest.approx(50) and sum(P.solve({1100: 50})[0].values()) == 50
+
+
+def test_all_words_like_the_library_many_texts_at_once():
+    c = P.WordIds(vocabulary(PATH))
+    random.seed(9)
+    texts = ["".join(random.choice("aab's 'll 12 !? éÉ\n\t 日x") for _ in range(random.randint(0, 80))) for _ in range(3000)]
+    for t, ids in zip(texts, c.encode_all(texts), strict=True):
+        assert ids.tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_word_ids_like_the_library():
     c = P.WordIds(vocabulary(PATH))
     texts = ["It's a TEST, we'll see 123!", "H̱ ẖ Σ ΑΣ", "a\xa0b C\x1cd", "<|endoftext|> x <|ENDOFTEXT|>", "İ ǅ ﬁ 日本語 ½ 𝐀😀", "é É", "", "\n", "ßẞ ﷺ \u0301x"]
