@@ -12,9 +12,11 @@ when they share at least o(n, m) = ceil(num * (n + m) / (num + den)) of them.
   than the sets do, and then compared in full.
 
 The boundary between the two is the size at which the summed cost of subsets, by the histogram of sizes, is least above
-that of lists.  Lists of more than a few members do not compare all pairs.  First some rounds compare each
-member with one leader and contract what is linked; then the pairs of different components that are left are compared.
-No pair is dropped at any point.
+that of lists.  Lists of more than a few members do not compare all pairs.  First each member is compared with the list's
+leader and what is linked is contracted; then the pairs of different components that are left are compared, size band by
+size band, so that a long list is many keys.  No pair is dropped at any point.
+
+Heads and sketches of all documents are hashed and written once; texts are read again only to compare candidates in full.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,6 @@ from .hashing import mix, release_memory, text_shingles
 SMALL_MOST = 31
 #: Lists up to this length compare all pairs of components at once.
 SHORT = 8
-#: Rounds in which the members of longer lists meet one leader.
-ROUNDS = 2
 #: Shingles counted at once in a task, count in one such part from which a shingle is reported, least sum of these counts of a
 #: common shingle, and common shingles at most (they are broadcast; which they are changes the cost and not the result).
 PART, REPORTED, COMMON_LEAST, COMMON_MOST = 1 << 21, 2, 24, 1 << 18
@@ -115,7 +115,7 @@ def common_shingles(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
 
 
 def shingle_heads(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, d1, d2, head, parity): size and digest of each set, its first shingles in order, its sketch."""
+    """(doc_id, n, d1, d2, head, parity), written: size and digest of each set, its first shingles in order, its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n, num, den, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,9 @@ def shingle_heads(docs: DataFrame, n: int, num: int, den: int, id_col: str, text
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n int, d1 long, d2 long, head array<long>, parity binary")
+    written = durable(rows.mapInArrow(run, f"doc_id {kind}, n int, d1 long, d2 long, head array<long>, parity binary"))
+    shared.destroy()
+    return written
 
 
 def _subset_links(classes: DataFrame, x: int, num: int, den: int) -> DataFrame:
@@ -184,35 +186,21 @@ def _fits(x: int, num: int, den: int) -> Column:
     return (low * den >= high * num) & (high > x) & (i + j + F.abs((n - i) - (m - j)) <= most)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(rep, set): the whole shingle sets of the documents in ``ids`` (rep).
-
-    Their identifiers are marked in a bit table of fixed size, by which other documents are passed over before anything is
-    shuffled; the join that follows is exact, however full the table is.
-    """
-    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS))
-    words = ids.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {SLOTS}) % 64 AS int))").alias("bit"))
-    words = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most SLOTS / 64 rows
-    table_ = np.zeros(SLOTS // 64, np.int64)
-    table_[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    marked = docs.sparkSession.sparkContext.broadcast(table_)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
-        for b in batches:
-            slots = b.column("slot").to_numpy()
-            some = b.filter(pa.array((bits[slots >> 6] >> (slots & 63)) & 1 == 1))
-            sets = pa.array([s.tobytes() for s in text_shingles(some.column("text"), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([some.column("rep"), sets], ["rep", "set"])
-        release_memory()
+def _marked(left: DataFrame) -> np.ndarray:
+    """A bit table of fixed size that marks the identifiers of the pairs (a, b)."""
+    ids = left.select(F.explode(F.array("a", "b")).alias("rep")).select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot"))
+    words = ids.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()  # at most SLOTS / 64 rows
+    return out
 
-    kind = docs.schema["rep"].dataType.simpleString()
-    found = docs.filter("rep IS NOT NULL").select("rep", slot.alias("slot"), "text").mapInArrow(run, f"rep {kind}, set binary")
-    return durable(found.join(ids, "rep", "left_semi"))
 
+def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The links among distinct candidate pairs (a, b): by parity sketch first, then in full.
 
-def _compare(pairs: DataFrame, side: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The links among candidate pairs (a, b): by parity sketch first, then in full."""
+    Whole sets are made of marked documents only, so others are passed over before anything is shuffled; the joins that
+    follow are exact, however full the bit table is.
+    """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,14 +218,27 @@ def _compare(pairs: DataFrame, side: DataFrame, docs: DataFrame, n: int, num: in
                 keep.append(den * both >= num * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = side.schema["rep"].dataType.simpleString()
-    schema = f"a {kind}, b {kind}"
-    first = side.select(F.col("rep").alias("a"), "n", F.col("parity").alias("p"))
-    second = side.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("parity").alias("q"))
-    left = durable(pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(near, schema).distinct())
-    sets = _sets(docs, left.select(F.col("a").alias("rep")).unionByName(left.select(F.col("b").alias("rep"))).distinct(), n)
-    s, t = sets.select(F.col("rep").alias("a"), F.col("set").alias("s")), sets.select(F.col("rep").alias("b"), F.col("set").alias("t"))
-    return durable(left.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(linked, schema).distinct())
+    kind = classes.schema["rep"].dataType.simpleString()
+    first = classes.select(F.col("rep").alias("a"), "n", F.col("parity").alias("p"))
+    second = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("parity").alias("q"))
+    left = durable(pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(near, f"a {kind}, b {kind}"))
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(left))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marked.value
+        for b in batches:
+            slots = b.column("slot").to_numpy()
+            some = b.filter(pa.array((bits[slots >> 6] >> (slots & 63)) & 1 == 1))
+            own = pa.array([s.tobytes() for s in text_shingles(some.column("text"), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column("rep"), own], ["rep", "set"])
+        release_memory()
+
+    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")
+    found = durable(docs.filter("rep IS NOT NULL").select("rep", slot, "text").mapInArrow(sets, f"rep {kind}, set binary"))
+    marked.destroy()
+    s, t = found.select(F.col("rep").alias("a"), F.col("set").alias("s")), found.select(F.col("rep").alias("b"), F.col("set").alias("t"))
+    # an identifier with several texts may bring a pair several times
+    return durable(left.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(linked, f"a {kind}, b {kind}"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -247,18 +248,16 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     """
     if not 2 * num > den >= num > 0:
         raise ValueError("the least similarity num / den lies above a half and is at most 1")
-    # texts are cheaper to read and hash again than heads of all documents are to keep
     heads = shingle_heads(docs, n, num, den, id_col, text_col)
-    every = durable(heads.select("doc_id", "n", "d1", "d2"))
     some = heads.filter("n > 0 AND doc_id IS NOT NULL")
     classes = durable(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("parity").alias("parity")))
-    members = durable(every.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct())
-    # an identifier that repeats with other texts is one document: its classes are tied together
-    repeated = members.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    links = members.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    takes_part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    members = heads.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
+    members = durable(members.select("doc_id", "n", F.when(takes_part, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), takes_part.alias("takes_part")))
 
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= SMALL_MOST).groupBy("n").count().collect()}
     x = boundary(sizes, num, den)
+    links = _repeated(members)
     if x:
         links = links.unionByName(_subset_links(classes, x, num, den))
     links = durable(links)
@@ -269,47 +268,45 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     postings = large.select("rep", "n", F.posexplode(F.slice("head", F.lit(1), prefix)).alias("i", "token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     lists = durable(postings.join(counts, "token").select("token", "rep", "n", "i", "c"))
-    involved = lists.select("rep").distinct()
-    side = durable(classes.select("rep", "n", "parity").join(involved, "rep", "left_semi"))
-
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
 
-    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
-    labels = connected(links)
     fits = _fits(x, num, den)
-    for turn in range(ROUNDS):
-        own = labelled(lists.filter(F.col("c") > SHORT), labels)
-        # the leader has least before the shingle, so it is the one nearest to all others; later rounds take several
-        who = F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
-        several = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 + 3 * turn))
-        leaders = own.groupBy("token", several.alias("k")).agg(F.min_by(who, F.struct("i", F.xxhash64("rep"))).alias("w")).select("token", "w.*")
-        pairs = own.join(leaders, "token").filter((F.col("label") != F.col("label2")) & fits)
-        found = _compare(ordered(pairs), side, texts, n, num, den)
-        links = durable(links.unionByName(found))
-        labels = connected(links)
-
-    own = durable(labelled(lists, labels))
-    pairs = _cross(own, ["token"], fits)
-    found = _compare(ordered(pairs), side, texts, n, num, den)
+    # the leader has least before the shingle, so it is the one nearest to all others
+    own = lists.filter(F.col("c") > SHORT)
+    who = F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    leaders = own.groupBy("token").agg(F.min_by(who, F.struct("i", F.xxhash64("rep"))).alias("w")).select("token", "w.*")
+    found = _compare(ordered(own.join(leaders, "token").filter((F.col("rep") != F.col("rep2")) & fits)), classes, texts, n, num, den)
     labels = connected(links.unionByName(found))
-    every = every.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
-    every = every.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    return every, labels
-
-
-def _cross(rows: DataFrame, key: list[str], fits: Column) -> DataFrame:
-    """(rep, rep2): pairs of different components that share a key, each member of all but the largest one with all."""
-    shares = rows.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("k"))
-    main = shares.groupBy(*key).agg(F.max(F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    main = main.filter("labels > 1").select(*key, F.col("main.label").alias("main"))
-    mixed = rows.join(main, key)
-    other = mixed.filter("label <> main").select(*key, F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
-    met = mixed.join(other, key).filter((F.col("label") != F.col("label2")) & fits)
+
+    rows = lists.select("token", "rep", "n", "i").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    found = _compare(ordered(_cross(durable(rows), fits, num, den)), classes, texts, n, num, den)
+    labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
+    return members.select("doc_id", "n", "rep"), labels
+
+
+def _repeated(members: DataFrame) -> DataFrame:
+    """(a, b): an identifier that repeats with other texts is one document: its classes are tied together."""
+    own = members.filter("takes_part").select("doc_id", "rep")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("doc_id")
+    return own.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
+def _cross(rows: DataFrame, fits: Column, num: int, den: int) -> DataFrame:
+    """(rep, rep2): pairs of different components on a list, each member of all but its largest component with all.
+
+    Sizes that can link lie in the same band of sizes or in neighbouring ones, so lists are joined by (token, band).
+    """
+    shares = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = shares.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    main = main.filter("labels > 1").select("token", F.col("main.label").alias("main"))
+    width = 1.001 * log(den / num) if den > num else 1e-9
+    mixed = rows.join(main, "token").withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    other = mixed.filter("label <> main").select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"), "band")
+    other = other.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    met = mixed.join(other, ["token", "band"]).filter((F.col("label") != F.col("label2")) & fits)
     return met.filter((F.col("label") == F.col("main")) | (F.col("rep") < F.col("rep2"))).select("rep", "rep2")
 
 
