@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import default_path
-from paperloom.llm.common import table
+from paperloom.llm.common import durable, table
 from paperloom.llm.jaccard_join import drop_near_duplicates
 from paperloom.llm.line_dedup import drop_repeated_lines
 from paperloom.llm.packing import pack_documents
@@ -43,7 +43,8 @@ STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("jaccard_join", j
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written once, and the next one reads that."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
