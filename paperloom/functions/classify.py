@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 
 CONTRACT, CONSENT = "계약서", "동의서"
 
+TRANSFER, PUBLIC, OTHER = "저작재산권 양도동의서", "공공저작물 자유이용허락 동의서", "기타문서"
+
 # Rules in order, (class, words any of which decides).
-BY_NAME = [(CONTRACT, ["계약서", "contract"]), (CONSENT, ["동의서", "consent"]), ("저작재산권양도동의서", ["양도", "transfer"]), ("공공저작물자유이용허락동의서", ["공공", "public"]), ("기타문서", ["기타"])]
-BY_TITLE = [("저작재산권양도동의서", ["양도동의서", "저작재산권 양도"]), ("공공저작물자유이용허락동의서", ["공공누리", "공공저작물"]), (CONTRACT, ["계약", "contract", "agreement"]), (CONSENT, ["동의", "consent"])]
-SCHEMAS = [("copyright_transfer", ["양도동의서", "양도 동의서", "copyright_transfer"]), ("public_copyright", ["공공저작물", "공공누리", "public_copyright"]), ("contract", ["계약", "contract"]), ("consent", ["동의", "consent"])]
+BY_NAME = [(CONTRACT, ["계약서", "contract"]), (CONSENT, ["동의서", "consent"]), (TRANSFER, ["양도", "transfer"]), (PUBLIC, ["공공", "public"])]
+BY_CONTENT = [(CONTRACT, ["계약서", "계약", "contract"]), (CONSENT, ["동의서", "동의", "consent"]), (TRANSFER, ["양도", "transfer"]), (PUBLIC, ["공공저작물", "공공", "public"])]
+BY_TITLE = [(TRANSFER, ["양도동의서", "copyright transfer", "transfer consent"]), (PUBLIC, ["공공저작물 자유이용허락 동의서", "공공누리", "public copyright"]), (CONTRACT, ["계약서", "contract", "agreement"]), (CONSENT, ["동의서", "consent"])]
+SCHEMAS = [
+    ("copyright_transfer", ["양도동의", "copyright transfer", "transfer consent"]),
+    ("public_copyright", ["공공저작물", "공공누리", "자유이용허락", "public copyright"]),
+    ("contract", ["계약서", "contract"]),
+    ("consent", ["동의서", "consent"]),
+]
 PATH_WORDS = [(CONTRACT, ["계약서", "contract"]), (CONSENT, ["동의서", "consent"])]
 STEM_WORDS = [(CONTRACT, ["계약", "contract", "agreement"]), (CONSENT, ["동의", "consent", "approval"])]
-FILE_WORDS = [("contract", ["계약", "contract", "agreement"]), ("consent", ["동의", "consent", "agreement"]), ("copyright", ["저작", "copyright"])]
+FILE_WORDS = [("contract", ["계약서", "contract", "agreement"]), ("consent", ["동의서", "consent"]), ("copyright", ["저작권", "copyright", "양도"])]
 ANCHORS = ["data", "documents", "files", "images"]
 
 
-def by_words(text: Column, rules: list[tuple[str, list[str]]], default: Column) -> Column:
-    """The class of the first rule one of whose words the text has, in lower case."""
-    low = F.lower(text)
+def by_words(text: Column, rules: list[tuple[str, list[str]]], default: Column, lower: bool = True) -> Column:
+    """The class of the first rule one of whose words the text has, in lower case unless said otherwise."""
+    low = F.lower(text) if lower else text
     cases = [(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), F.lit(name)) for name, words in rules]
     return reduce(lambda rest, case: F.when(*case).otherwise(rest), reversed(cases), default)
 
@@ -43,12 +51,12 @@ def detect_doc_type(text: Column, forced: str | None = None) -> Column:
 
 def detect_document_type(filename: Column, content: Column) -> Column:
     """By the words of the file name, then by those of the content, else 기타문서."""
-    return by_words(filename, BY_NAME, by_words(content, BY_NAME[:4], F.lit("기타문서")))
+    return by_words(filename, BY_NAME, by_words(content, BY_CONTENT, F.lit(OTHER)))
 
 
 def document_type_from_title(title: Column) -> Column:
-    """Specific kinds before generic ones."""
-    return by_words(title, BY_TITLE, F.lit("기타문서"))
+    """Specific kinds before generic ones; the words count as they are written, so English ones in lower case only."""
+    return by_words(title, BY_TITLE, F.lit(OTHER), lower=False)
 
 
 def stem(path: Column) -> Column:
@@ -73,5 +81,5 @@ def category_from_anchor(path: Column) -> Column:
 
 
 def schema_for_document_type(kind: Column) -> Column:
-    """P7."""
+    """The schema of a document type, specific ones first."""
     return by_words(kind, SCHEMAS, F.lit("general"))

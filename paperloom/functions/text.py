@@ -153,15 +153,25 @@ def normalize_consent_status(value: Column) -> Column:
     )
 
 
-def trim_record_fields(df: DataFrame, columns: tuple[str, ...] = ("rights_holder", "user", "work_title", "data_controller"), arrays: tuple[str, ...] = ("work_names",)) -> DataFrame:
-    """The named string columns trimmed, and every element of the named arrays; absent columns are left out."""
-    own = {c: strip_ws(F.col(c)) for c in columns if c in df.columns}
-    own |= {c: F.transform(F.col(c), strip_ws) for c in arrays if c in df.columns}
-    return df.withColumns(own) if own else df
+def trim_record_fields(
+    df: DataFrame,
+    columns: tuple[str, ...] = ("rights_holder", "user", "work_title", "data_controller", "work_info.work_title"),
+    arrays: tuple[str, ...] = ("work_names", "work_display.work_names"),
+) -> DataFrame:
+    """The named string fields trimmed, and every element of the named arrays; absent ones are left out, a.b is field b of a."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    for name in (*columns, *arrays):
+        top, _, inner = name.partition(".")
+        tidy = (lambda c: F.transform(c, strip_ws)) if name in arrays else strip_ws
+        if top in kinds and not inner:
+            df = df.withColumn(top, tidy(F.col(top)))
+        elif top in kinds and inner in getattr(kinds[top], "names", ()):
+            df = df.withColumn(top, F.when(F.col(top).isNotNull(), F.col(top).withField(inner, tidy(F.col(top)[inner]))))
+    return df
 
 
 def field_completeness(fields: list[Column], properties: int | None = None) -> Column:
-    """Filled fields / properties of the schema, at most 1; without properties 1."""
+    """Filled fields / properties of the schema, at most 1; without properties 1."""
     properties = len(fields) if properties is None else properties
     if not properties:
         return F.lit(1.0)
@@ -169,6 +179,11 @@ def field_completeness(fields: list[Column], properties: int | None = None) -> C
     return F.least(F.lit(1.0), filled / F.lit(float(properties)))
 
 
+def field_completeness_by_schema(fields: list[Column]) -> Column:
+    """The share of the schema's fields that are filled; 0 without fields."""
+    return field_completeness(fields) if fields else F.lit(0.0)
+
+
 def estimate_cost(text: Column, price: Column) -> Column:
     """A quarter token for each character, priced per thousand tokens."""
     return F.length(text) / 4 * price / 1000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import missing, strip_ws
@@ -83,17 +83,22 @@ def ticked(text: Column, *names: str) -> Column:
     return text.rlike(rf"(?:{'|'.join(TICKED['A'])})\s*(?:{words})")
 
 
-def item_table(spark: SparkSession) -> DataFrame:
-    """(kind, category, key, pattern): the items as a lookup table of fixed size."""
-    glyphs = "|".join(TICKED["A"])
-    rows = [(kind, category, key, rf"(?:{glyphs})\s*(?:{'|'.join(names)})") for kind, groups in ITEMS.items() for category, keys in groups.items() for key, names in keys.items()]
-    return spark.createDataFrame(rows, "kind string, category string, key string, pattern string")
+def extract_checkboxes(df: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, category, key, checked): every item of the kind, ticked under any of its names; null texts have none.
 
+    A text is searched once, for its ticked glyphs; what follows each of them is then compared with the names.
+    """
+    longest = max(len(n) for keys in ITEMS[kind].values() for names in keys.values() for n in names)
+    after = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s)(?:{'|'.join(TICKED['A'])})\s*(?=(.{{0,{longest}}}))"), F.lit(1))
 
-def extract_checkboxes(df: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, category, key, checked): every item of the kind, ticked under any of its names; null texts have none."""
-    own = [F.struct(F.lit(c).alias("category"), F.lit(k).alias("key"), ticked(F.col(text_col), *names).alias("checked")) for c, keys in ITEMS[kind].items() for k, names in keys.items()]
-    return df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.array(*own)).alias("c")).select("doc_id", "c.*")
+    def items(found: Column) -> Column:
+        def checked(names: list[str]) -> Column:
+            return F.exists(found, lambda x: reduce(lambda a, b: a | b, [x.startswith(n) for n in names]))
+
+        return F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("key"), checked(names).alias("checked")) for c, keys in ITEMS[kind].items() for k, names in keys.items()])
+
+    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.flatten(F.transform(F.array(after), items))).alias("c"))
+    return rows.select("doc_id", "c.*")
 
 
 def checkbox_summary(df: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def checkbox_summary(df: DataFrame) -> DataFrame:
 
 
 def extract_work_display(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, institution, work_names, work_category, detailed_info, n_components).
+    """(doc_id, institution, work_names, work_category, detailed_info, n_components, components): one flag per component.
 
     Names after 저작물명 up to ○ are either one `institution<title>` or a list of `YYYY년 <title>`.
     """
@@ -115,14 +120,15 @@ def extract_work_display(df: DataFrame, id_col: str = "doc_id", text_col: str =
     institution = strip_ws(F.regexp_extract(names, r"([^<]+)<([^>]+)>", 1))
     title = strip_ws(F.regexp_extract(names, r"([^<]+)<([^>]+)>", 2))
     own = F.when(titled, F.array(F.concat(institution, F.lit("<"), title, F.lit(">")))).otherwise(F.regexp_extract_all(names, F.lit(r"(\d{4}년\s*<[^>]+>)"), F.lit(1)))
-    parts = [ticked(t, *n).cast("int") for n in ITEMS["public_copyright_consent"]["work_details"].values()]
+    flags = {key: ticked(t, *n) for key, n in ITEMS["public_copyright_consent"]["work_details"].items()}
     return df.select(
         F.col(id_col).alias("doc_id"),
         F.when(titled, institution).alias("institution"),
         F.when(t.rlike(r"저작물명\s*:"), own).alias("work_names"),
         F.when(t.contains("우대미술"), F.lit("우대미술")).when(t.contains("의상") & t.contains("디자인"), F.lit("의상디자인")).alias("work_category"),
         missing(strip_ws(F.regexp_extract(t, r"(?s)상세정보\s*:\s*(.*?)(?:□|\z)", 1))).alias("detailed_info"),
-        reduce(lambda a, b: a + b, parts).alias("n_components"),
+        reduce(lambda a, b: a + b, [f.cast("int") for f in flags.values()]).alias("n_components"),
+        F.struct(*[f.alias(key) for key, f in flags.items()]).alias("components"),
     )
 
 

@@ -66,7 +66,17 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     from repeating a computed text for each of its conditions when the filter on the type moves down.
     """
     kind = F.get(F.transform(F.array(F.col(text_col)), lambda t: detect_doc_type(t, forced)), 0)
-    return df.select(F.col(id_col).alias("doc_id"), T.mask_resident_id(F.col(text_col)).alias("text"), kind.alias("document_type"))
+    path = ["path"] if "path" in df.columns else []
+    return df.select(F.col(id_col).alias("doc_id"), *path, T.mask_resident_id(F.col(text_col)).alias("text"), kind.alias("document_type"))
+
+
+def _common(df: DataFrame, id_col: str) -> list[Column]:
+    """Page count (unknown in plain texts) and where a record comes from; the file name is that of ``path``, or of the identifier."""
+    name = F.element_at(F.split(F.col("path" if "path" in df.columns else "doc_id").cast("string"), "/"), -1)
+    source = F.struct(
+        F.lit("기타").alias("source_platform"), name.alias("original_filename"), F.current_timestamp().alias("ingested_at"), F.lit("UNKNOWN").alias("ocr_engine"), F.lit("txt-v0.1").alias("pipeline_version")
+    )
+    return [F.lit(None).cast("int").alias("pages"), source.alias("provenance")]
 
 
 def contract_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forced: str | None = None) -> DataFrame:
@@ -86,13 +96,15 @@ def contract_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(amount.isNotNull(), F.struct(amount.alias("value"), F.lit("KRW").alias("currency"))).alias("amount"),
         parties(F.col("text")).alias("parties"),
         T.has_signature(F.col("text")).alias("signature_presence"),
+        *_common(rows, id_col),
     )
 
 
 def consent_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forced: str | None = None) -> DataFrame:
     """One record for each subject of a consent.  Null texts give no record."""
     rows = classified(df, id_col, text_col, forced).filter((F.col("document_type") == CONSENT) & F.col("text").isNotNull())
-    return rows.select("doc_id", "document_type", "text", F.posexplode(subjects(F.col("text"))).alias("multi_subject_index", "subject")).select(
+    rows = rows.select("*", *_common(rows, id_col))
+    return rows.select("doc_id", "document_type", "text", "pages", "provenance", F.posexplode(subjects(F.col("text"))).alias("multi_subject_index", "subject")).select(
         "doc_id",
         "document_type",
         F.lit("개인정보 수집·이용 동의서").alias("title"),
@@ -102,6 +114,8 @@ def consent_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "subject",
         T.has_signature(F.col("text"), "consent").alias("signature_presence"),
         "multi_subject_index",
+        "pages",
+        "provenance",
     )
 
 
@@ -113,6 +127,13 @@ def manifest(records: DataFrame, path_col: str = "path", id_col: str = "doc_id",
     return counted.withColumn("outputs", F.when(F.col("outputs_count") == 1, F.concat(base, F.lit(".json"))).otherwise(F.array_join(many, ";")))
 
 
-def write_records(records: DataFrame, out: str) -> None:
-    """JSON lines, one object for each record, partitioned by document type."""
-    records.write.mode("overwrite").partitionBy("document_type").json(out)
+def record_name(path: Column, index: Column, several: Column) -> Column:
+    """The name of a record's file: the stem of its text, with `__NN` where the text has several records."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?\z", 1)
+    return F.when(several, F.concat(stem, F.lit("__"), F.lpad(index.cast("string"), 2, "0"))).otherwise(stem)
+
+
+def write_records(records: DataFrame, out: str, name: Column | None = None) -> None:
+    """JSON lines, one object for each record, partitioned by document type and, where given, by the record's name."""
+    rows = records if name is None else records.withColumn("record", name)
+    rows.write.mode("overwrite").partitionBy("document_type", *([] if name is None else ["record"])).json(out)

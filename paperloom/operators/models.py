@@ -98,7 +98,7 @@ def ocr_pages(pages: DataFrame, load: Callable[[], Callable[[bytes], str]], prov
 
 
 def read_pages_of(files: DataFrame, load: Callable[[], Callable[[bytes], Iterator[bytes]]]) -> DataFrame:
-    """U4: (doc_id, page_number from 1, content) of documents (path, content); a document that cannot be read has no pages."""
+    """U4: (doc_id, page_number from 1, content, error) of documents (path, content); one that cannot be read is page 0 with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         render = load()
@@ -106,8 +106,9 @@ def read_pages_of(files: DataFrame, load: Callable[[], Callable[[bytes], Iterato
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     pages = list(render(content))
-                except Exception:
+                except Exception as e:
+                    yield pd.DataFrame({"doc_id": [path], "page_number": [0], "content": [None], "error": [f"{type(e).__name__}: {e}"]})
                     continue
-                yield pd.DataFrame({"doc_id": [path] * len(pages), "page_number": range(1, len(pages) + 1), "content": pages})
+                yield pd.DataFrame({"doc_id": [path] * len(pages), "page_number": range(1, len(pages) + 1), "content": pages, "error": None})
 
-    return files.select("path", "content").mapInPandas(run, "doc_id string, page_number int, content binary")
+    return files.select("path", "content").mapInPandas(run, "doc_id string, page_number int, content binary, error string")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..functions.classify import schema_for_document_type
-from ..functions.text import estimate_cost
+from ..functions.text import estimate_cost, field_completeness
 
 
 @dataclass(frozen=True)
 class FieldRule:
-    """A top-level field: whether it has to be there, the values it may have, and its bounds."""
+    """A field: whether it has to be there, the values it may have, and its bounds.
+
+    ``a.b`` is field b of the object a, ``a[].b`` field b of every object in the list a; they are asked for only where a is.
+    """
 
     field: str
     required: bool = False
@@ -22,45 +27,126 @@ class FieldRule:
     high: float | None = None
 
 
+def _required(*fields: str) -> list[FieldRule]:
+    return [FieldRule(f, True) for f in fields]
+
+
 # What the document schemas ask for.
+_STATUS, _NURI = ("동의함", "동의하지 않음", "null"), ("제1유형", "제2유형", "제3유형", "제4유형")
+_PATTERNS = ("pattern_a", "pattern_b", "pattern_c", "pattern_d")
+_BOXES = [FieldRule("checkbox_info.pattern_detected", allowed=_PATTERNS), FieldRule("checkbox_info.extraction_confidence", low=0, high=1)]
+_CONTRACT = [*_required("contract_type", "rights_holder", "user"), *_required("parties[].name")]
+_CONSENT = [*_required("consent_type", "data_controller"), FieldRule("consent_status", True, _STATUS), *_required("parties[].name")]
+_GENERAL = [*_required("document_type", "title"), *_required("parties[].name")]
 RULES = {
-    "contract": [FieldRule("contract_type", True), FieldRule("rights_holder", True), FieldRule("user", True), FieldRule("confidence", low=0, high=1)],
-    "consent": [FieldRule("consent_type", True), FieldRule("data_controller", True), FieldRule("consent_status", True, ("동의함", "동의하지 않음", "null"))],
-    "general": [FieldRule("document_type", True), FieldRule("title", True)],
+    "contract": [*_CONTRACT, FieldRule("confidence", low=0, high=1)],
+    "contract_enhanced": [*_CONTRACT, *_required("granted_rights"), *_BOXES],
+    "consent": _CONSENT,
+    "consent_enhanced": [*_CONSENT, *_BOXES],
+    "general": _GENERAL,
+    "general_enhanced": [*_GENERAL, *_BOXES],
     "copyright_transfer": [
-        FieldRule("document_type", True),
-        FieldRule("work_type", False, ("도서", "음악", "미술", "영상", "기타")),
-        FieldRule("transfer_type", False, ("전체양도", "부분양도", "이용허락")),
-        FieldRule("consent_status", True, ("동의함", "동의하지 않음", "조건부동의")),
+        *_required("document_type", "work_info", "copyright_transfer", "consent_info", "parties", "work_info.work_title"),
+        FieldRule("work_info.work_type", True, ("도서", "음악", "미술", "영상", "기타")),
+        FieldRule("copyright_transfer.transfer_type", True, ("전체양도", "부분양도", "이용허락")),
+        *_required("copyright_transfer.transfer_scope"),
+        FieldRule("public_nuri_license.license_type", False, _NURI),
+        FieldRule("consent_info.consent_status", True, ("동의함", "동의하지 않음", "조건부동의")),
+        *_required("consent_info.consent_date", "parties[].name"),
+        FieldRule("parties[].role", True, ("저작자", "출판사", "기관", "대리인", "증인")),
+        *_BOXES,
+    ],
+    "public_copyright": [
+        *_required("consent_type", "work_display", "copyright_license", "public_nuri_license", "work_display.work_names", "work_display.work_category"),
+        *_required("copyright_license.license_purpose", "copyright_license.licensing_institution", "copyright_license.granted_rights"),
+        FieldRule("public_nuri_license.nuri_type", True, _NURI),
+        *_required("public_nuri_license.license_purpose"),
+        *_required("personal_info_consent.collected_data_types", "personal_info_consent.collection_purpose", "personal_info_consent.retention_period"),
+        *_required("parties[].name", "parties[].role"),
+        FieldRule("processing_info.checkbox_pattern_detected", allowed=_PATTERNS),
+        FieldRule("processing_info.extraction_confidence", low=0, high=1),
     ],
-    "public_copyright": [FieldRule("consent_type", True), FieldRule("nuri_type", True, ("제1유형", "제2유형", "제3유형", "제4유형"))],
+}
+#: Top-level fields of the schemas, the denominators of completeness.
+PROPERTIES = {
+    "contract": "contract_type rights_holder user work_title work_category granted_rights contract_terms contract_purpose contract_duration payment_amount payment_currency signature_date effective_date expiration_date special_terms termination_conditions parties checkbox_info".split(),
+    "consent": "consent_type data_controller data_subject collection_purpose collected_data_types retention_period third_party_sharing consent_status consent_date signature contact_info withdrawal_rights consequences_of_refusal parties checkbox_info".split(),
+    "general": "document_type title checkbox_data parties key_dates key_amounts main_content important_terms checkbox_info".split(),
+    "copyright_transfer": "document_type document_title work_category work_info copyright_transfer public_nuri_license consent_info parties contract_terms checkbox_info".split(),
+    "public_copyright": "consent_type data_controller data_subject work_display copyright_license public_nuri_license personal_info_consent consent_date signature utilizing_institution parties processing_info".split(),
 }
 
 
-def rule_errors(rules: list[FieldRule], columns: list[str]) -> Column:
-    """array<string> of `field: what is wrong`; a column that the rows lack is a missing field."""
+def _wrong(rule: FieldRule, value: Column, name: Column) -> list[Column]:
+    """What is wrong with one value, as strings or nulls."""
     out = []
+    say = lambda what: F.concat(name, F.lit(f": {what}"))
+    if rule.required:
+        out.append(F.when(value.isNull(), say("is required")))
+    text = value.cast("string")
+    if rule.allowed:
+        out.append(F.when(~text.isin(*rule.allowed), say("is not one of the allowed values")))
+    if rule.low is not None:
+        out.append(F.when(text.try_cast("double") < rule.low, say("is too small")))
+    if rule.high is not None:
+        out.append(F.when(text.try_cast("double") > rule.high, say("is too large")))
+    return out
+
+
+def _fields(kind: DataType | None) -> set[str]:
+    return set(kind.fieldNames()) if isinstance(kind, StructType) else set()
+
+
+def _in_list(rule: FieldRule, top: str, inner: str, has: bool) -> Callable[[Column, Column], Column]:
+    def wrong(item: Column, at: Column) -> Column:
+        value = item[inner] if has else F.lit(None).cast("string")
+        return F.array(*_wrong(rule, value, F.concat(F.lit(f"{top}/"), at.cast("string"), F.lit(f"/{inner}"))))
+
+    return wrong
+
+
+def _ends_in(what: str) -> Callable[[Column], Column]:
+    return lambda error: error.endswith(what)
+
+
+def rule_errors(rules: list[FieldRule], schema: StructType) -> Column:
+    """array<string> of `field: what is wrong`; a field that the rows lack is a missing one."""
+    missing, out = F.lit(None).cast("string"), []
+    kinds = {f.name: f.dataType for f in schema}
     for r in rules:
-        value = F.col(r.field).cast("string") if r.field in columns else F.lit(None).cast("string")
-        if r.required:
-            out.append(F.when(value.isNull(), F.lit(f"{r.field}: is required")))
-        if r.allowed:
-            out.append(F.when(~value.isin(*r.allowed), F.lit(f"{r.field}: is not one of the allowed values")))
-        if r.low is not None:
-            out.append(F.when(value.try_cast("double") < r.low, F.lit(f"{r.field}: is too small")))
-        if r.high is not None:
-            out.append(F.when(value.try_cast("double") > r.high, F.lit(f"{r.field}: is too large")))
-    return F.filter(F.array(*out), lambda x: x.isNotNull()) if out else F.array().cast("array<string>")
+        if "[]." in r.field:
+            top, inner = r.field.split("[].")
+            if top in kinds:
+                has = inner in _fields(kinds[top].elementType)
+                listed = F.flatten(F.transform(F.col(top), _in_list(r, top, inner, inner in _fields(kinds[top].elementType))))
+                listed = F.coalesce(listed, F.array().cast("array<string>"))
+                # by what is wrong, then by place in the list
+                out += [F.filter(listed, _ends_in(what)) for what in ("required", "values", "small", "large")]
+        elif "." in r.field:
+            top, inner = r.field.split(".")
+            if top in kinds:
+                value = F.col(top)[inner] if inner in _fields(kinds[top]) else missing
+                out += [F.when(F.col(top).isNotNull(), F.array(e)) for e in _wrong(r, value, F.lit(r.field))]
+        else:
+            out += [F.array(e) for e in _wrong(r, F.col(r.field) if r.field in kinds else missing, F.lit(r.field))]
+    every = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in out])) if out else F.array().cast("array<string>")
+    return F.filter(every, lambda x: x.isNotNull())
 
 
 def validate_records(df: DataFrame, schema: str) -> DataFrame:
     """The rows with ``_validation_errors``, an empty array for a valid record."""
-    return df.withColumn("_validation_errors", rule_errors(RULES[schema], df.columns))
+    return df.withColumn("_validation_errors", rule_errors(RULES[schema], df.schema))
+
+
+def completeness(df: DataFrame, schema: str) -> Column:
+    """The share of the schema's top-level fields that a record of ``df`` has filled."""
+    own = PROPERTIES[schema]
+    return field_completeness([F.col(c) for c in own if c in df.columns], len(own))
 
 
 def routes(spark: SparkSession) -> DataFrame:
     """(schema, required, n_fields): the rule table as rows, of fixed size."""
-    rows = [(name, ",".join(r.field for r in rules if r.required), len(rules)) for name, rules in RULES.items()]
+    rows = [(name, ",".join(r.field for r in rules if r.required and r.field.isidentifier()), len(rules)) for name, rules in RULES.items()]
     return spark.createDataFrame(rows, "schema string, required string, n_fields int")
 
 
@@ -97,6 +183,13 @@ def api_spend(calls: DataFrame, prices: DataFrame, per_hour: float = 10.0, error
     return by.withColumn("alert", (F.col("cost") > per_hour) | (F.col("error_rate") > error_rate) | (F.col("latency") > response_time))
 
 
+def monthly_spend(calls: DataFrame, prices: DataFrame, budget: float = 100.0) -> DataFrame:
+    """Cost of each month, and whether it passes the budget; arguments as in ``api_spend``."""
+    priced = calls.join(F.broadcast(prices), "provider", "left").withColumn("cost", estimate_cost(F.col("text"), F.coalesce("price", F.lit(0.0))))
+    by = priced.groupBy(F.date_trunc("month", "ts").alias("month")).agg(F.round(F.sum("cost"), 6).alias("cost"))
+    return by.withColumn("alert", F.col("cost") > budget)
+
+
 def archive_totals(members: DataFrame) -> DataFrame:
     """Per archive the members, PDF members and others; members with an error count for nothing."""
     ok = members.filter("error IS NULL")

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import checkboxes as B
 from ..operators import entities as E
 from ..operators import fields as L
-from .metadata import _WS, DOCS, docs
+from ..functions.classify import CONSENT, CONTRACT, detect_doc_type
+from .metadata import _WS, DOCS, TYPED, docs
+
+
+KINDS = f"{DOCS}, {TYPED.replace('typed AS', 'kinds AS').replace('FROM masked', 'FROM docs')}"
 
 
 def _list(words) -> str:
@@ -94,12 +98,18 @@ def filter_entities(spark, sf_dir):
     return E.filter_entities(scored, ["NAME", "EMAIL"], 0.85).select("doc_id", "value", "type")
 
 
+def _of_kind(spark, sf_dir, kind: str):
+    # the one-element array keeps the optimizer from repeating a rendered text for each condition
+    found = F.get(F.transform(F.array("text"), lambda t: detect_doc_type(t)), 0)
+    return docs(spark, sf_dir).withColumn("document_type", found).filter(F.col("document_type") == kind)
+
+
 def _contracts(spark, sf_dir):
-    return docs(spark, sf_dir).filter("doc_id % 5 < 3")
+    return _of_kind(spark, sf_dir, CONTRACT)
 
 
 def _consents(spark, sf_dir):
-    return docs(spark, sf_dir).filter("doc_id % 5 >= 3")
+    return _of_kind(spark, sf_dir, CONSENT)
 
 
 def fields_simple(spark, sf_dir):
@@ -107,11 +117,11 @@ def fields_simple(spark, sf_dir):
 
 
 def _simple_sql(kind: str) -> str:
-    where = "doc_id % 5 < 3" if kind == "contract" else "doc_id % 5 >= 3"
-    return " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, trim(regexp_extract(text, '{p}', 1), {_WS}) AS value FROM docs WHERE {where} AND regexp_matches(text, '{p}')" for label, p in L.SIMPLE[kind])
+    where = "document_type = '계약서'" if kind == "contract" else "document_type = '동의서'"
+    return " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, trim(regexp_extract(text, '{p}', 1), {_WS}) AS value FROM kinds WHERE {where} AND regexp_matches(text, '{p}')" for label, p in L.SIMPLE[kind])
 
 
-SIMPLE_SQL = f"WITH {DOCS} {_simple_sql('contract')} UNION ALL {_simple_sql('consent')}"
+SIMPLE_SQL = f"WITH {KINDS} {_simple_sql('contract')} UNION ALL {_simple_sql('consent')}"
 
 
 def fields_ranked(spark, sf_dir):
@@ -119,14 +129,14 @@ def fields_ranked(spark, sf_dir):
 
 
 def _ranked_parts(kind: str) -> list[str]:
-    where = "doc_id % 5 < 3" if kind == "contract" else "doc_id % 5 >= 3"
+    where = "document_type = '계약서'" if kind == "contract" else "document_type = '동의서'"
     return [
-        f"SELECT doc_id, '{label}' AS label, {i} AS pattern_rank, trim(regexp_extract(text, '{p}', 1, 'is'), {_WS}) AS value FROM docs WHERE {where} AND length(trim(regexp_extract(text, '{p}', 1, 'is'), {_WS})) > 1"
+        f"SELECT doc_id, '{label}' AS label, {i} AS pattern_rank, trim(regexp_extract(text, '{p}', 1, 'is'), {_WS}) AS value FROM kinds WHERE {where} AND length(trim(regexp_extract(text, '{p}', 1, 'is'), {_WS})) > 1"
         for label, ps in L.RANKED[kind].items() for i, p in enumerate(ps)
     ]
 
 
-RANKED = f"{DOCS}, cand AS ({' UNION ALL '.join(_ranked_parts('contract') + _ranked_parts('consent'))})"
+RANKED = f"{KINDS}, cand AS ({' UNION ALL '.join(_ranked_parts('contract') + _ranked_parts('consent'))})"
 
 
 def fields_best_ranked(spark, sf_dir):
@@ -138,17 +148,17 @@ def fields_best(spark, sf_dir):
 
 
 def _best_parts(kind: str) -> list[str]:
-    where, out = "doc_id % 5 < 3" if kind == "contract" else "doc_id % 5 >= 3", []
+    where, out = "document_type = '계약서'" if kind == "contract" else "document_type = '동의서'", []
     for label, ps in L.BEST[kind].items():
         tries = []
         for p in ps:
             q = p.replace("\\z", "$")
             tries.append(f"list_filter(list_transform(regexp_extract_all(text, '{q}', 1, 'is'), lambda v: trim(regexp_replace(v, '\\s+', ' ', 'g'))), lambda v: length(v) > 1 AND length(v) < 200)[1]")
-        out.append(f"SELECT * FROM (SELECT doc_id, '{label}' AS label, coalesce({', '.join(tries)}) AS value FROM docs WHERE {where}) WHERE value IS NOT NULL")
+        out.append(f"SELECT * FROM (SELECT doc_id, '{label}' AS label, coalesce({', '.join(tries)}) AS value FROM kinds WHERE {where}) WHERE value IS NOT NULL")
     return out
 
 
-BEST_SQL = f"WITH {DOCS} " + " UNION ALL ".join(_best_parts("contract") + _best_parts("consent"))
+BEST_SQL = f"WITH {KINDS} " + " UNION ALL ".join(_best_parts("contract") + _best_parts("consent"))
 
 
 def fields_wide(spark, sf_dir):
@@ -157,7 +167,7 @@ def fields_wide(spark, sf_dir):
     return wide.select("doc_id", *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(labels)])
 
 
-WIDE_SQL = f"WITH {DOCS}, s AS ({_simple_sql('contract')}) SELECT doc_id, " + ", ".join(f"coalesce(min(value) FILTER (WHERE label = '{c}'), '') AS f{i}" for i, c in enumerate(L.LABELS["contract"][:5])) + " FROM s GROUP BY doc_id"
+WIDE_SQL = f"WITH {KINDS}, s AS ({_simple_sql('contract')}) SELECT doc_id, " + ", ".join(f"coalesce(min(value) FILTER (WHERE label = '{c}'), '') AS f{i}" for i, c in enumerate(L.LABELS["contract"][:5])) + " FROM s GROUP BY doc_id"
 
 
 def labelled_text(spark, sf_dir):
@@ -196,11 +206,11 @@ def checkboxes(spark, sf_dir):
 
 
 def _boxes(kind: str) -> str:
-    where = "doc_id % 5 < 3" if kind == "contract" else "doc_id % 5 >= 3"
-    return " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{k}' AS key, {_ticked(n)} AS checked FROM docs WHERE {where} AND text IS NOT NULL" for c, keys in B.ITEMS[kind].items() for k, n in keys.items())
+    where = "document_type = '계약서'" if kind == "contract" else "document_type = '동의서'"
+    return " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{k}' AS key, {_ticked(n)} AS checked FROM kinds WHERE {where} AND text IS NOT NULL" for c, keys in B.ITEMS[kind].items() for k, n in keys.items())
 
 
-BOXES = f"{DOCS}, boxes AS ({_boxes('contract')} UNION ALL {_boxes('consent')})"
+BOXES = f"{KINDS}, boxes AS ({_boxes('contract')} UNION ALL {_boxes('consent')})"
 
 
 def checkbox_summary(spark, sf_dir):
@@ -216,28 +226,31 @@ GLYPH_SQL = f"WITH {DOCS} SELECT doc_id, 'A' AS pattern, CASE WHEN {_COUNT('📧
 
 
 def work_display(spark, sf_dir):
-    rows = B.extract_work_display(_contracts(spark, sf_dir).filter("text IS NOT NULL"))
-    return rows.withColumn("work_names", F.array_join("work_names", ";")).drop("work_category")
+    rows = B.extract_work_display(docs(spark, sf_dir).filter("text IS NOT NULL"))
+    return rows.withColumn("work_names", F.array_join("work_names", ";")).select("*", "components.*").drop("components")
 
 
-WORK_SQL = rf"""WITH {DOCS}, w AS (SELECT doc_id, text, trim(regexp_extract(text, '저작물명\s*:\s*(.*?)(?:○|$)', 1, 's'), {_WS}) AS n FROM docs WHERE doc_id % 5 < 3 AND text IS NOT NULL)
-SELECT doc_id, trim(regexp_extract(n, '([^<]+)<([^>]+)>', 1)) AS institution, trim(regexp_extract(n, '([^<]+)<([^>]+)>', 1)) || '<' || trim(regexp_extract(n, '([^<]+)<([^>]+)>', 2)) || '>' AS work_names,
-  nullif(trim(regexp_extract(text, '상세정보\s*:\s*(.*?)(?:□|$)', 1, 's'), {_WS}), '') AS detailed_info, {' + '.join(f"CAST({_ticked(n)} AS INT)" for n in B.ITEMS["public_copyright_consent"]["work_details"].values())} AS n_components FROM w"""
+_TITLED = "contains(n, '<') AND contains(n, '>')"
+WORK_SQL = rf"""WITH {DOCS}, w AS (SELECT doc_id, text, trim(regexp_extract(text, '저작물명\s*:\s*(.*?)(?:○|$)', 1, 's'), {_WS}) AS n FROM docs WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN {_TITLED} THEN trim(regexp_extract(n, '([^<]+)<([^>]+)>', 1)) END AS institution, CASE WHEN {_TITLED} THEN trim(regexp_extract(n, '([^<]+)<([^>]+)>', 1)) || '<' || trim(regexp_extract(n, '([^<]+)<([^>]+)>', 2)) || '>' END AS work_names,
+  CASE WHEN contains(text, '우대미술') THEN '우대미술' WHEN contains(text, '의상') AND contains(text, '디자인') THEN '의상디자인' END AS work_category,
+  nullif(trim(regexp_extract(text, '상세정보\s*:\s*(.*?)(?:□|$)', 1, 's'), {_WS}), '') AS detailed_info, {' + '.join(f"CAST({_ticked(n)} AS INT)" for n in B.ITEMS["public_copyright_consent"]["work_details"].values())} AS n_components,
+  {', '.join(f"{_ticked(n)} AS {k}" for k, n in B.ITEMS["public_copyright_consent"]["work_details"].items())} FROM w"""
 
 
 def license_terms(spark, sf_dir):
-    return B.extract_license(_contracts(spark, sf_dir).filter("text IS NOT NULL"))
+    return B.extract_license(docs(spark, sf_dir).filter("text IS NOT NULL"))
 
 
-LICENSE_SQL = f"""WITH {DOCS} SELECT doc_id, CAST(NULL AS STRING) AS license_purpose, CASE WHEN contains(text, '국립극장') THEN '국립극장' END AS licensing_institution, {', '.join(f"{_ticked(n)} AS {k}" for k, n in B.RIGHTS.items())}, '비독점적 이용허락' AS license_type FROM docs WHERE doc_id % 5 < 3 AND text IS NOT NULL"""
+LICENSE_SQL = f"""WITH {DOCS} SELECT doc_id, CAST(NULL AS STRING) AS license_purpose, CASE WHEN contains(text, '국립극장') THEN '국립극장' END AS licensing_institution, {', '.join(f"{_ticked(n)} AS {k}" for k, n in B.RIGHTS.items())}, '비독점적 이용허락' AS license_type FROM docs WHERE text IS NOT NULL"""
 
 
 def open_license(spark, sf_dir):
-    return B.extract_open_license(_contracts(spark, sf_dir).filter("text IS NOT NULL"))
+    return B.extract_open_license(docs(spark, sf_dir).filter("text IS NOT NULL"))
 
 
 OPEN_SQL = rf"""WITH {DOCS} SELECT doc_id, CAST(NULL AS STRING) AS license_purpose, CASE {' '.join(f"WHEN {_ticked([f'제{i}유형'])} THEN '제{i}유형'" for i in (4, 3, 2, 1))} END AS nuri_type,
-  array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(제[1-4]유형)', 1))), ',') AS available_types, regexp_matches(text, '동일성유지권.*동의') AS integrity_right_waiver, regexp_matches(text, '변경.*가능') AS modification_allowed, CAST(NULL AS STRING) AS conditions FROM docs WHERE doc_id % 5 < 3 AND text IS NOT NULL"""
+  array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(제[1-4]유형)', 1))), ',') AS available_types, regexp_matches(text, '동일성유지권.*동의') AS integrity_right_waiver, regexp_matches(text, '변경.*가능') AS modification_allowed, CAST(NULL AS STRING) AS conditions FROM docs WHERE text IS NOT NULL"""
 
 QUERIES = {
     "extract_entities": extract_entities, "merge_entities": merge_entities, "entities_by_type": entities_by_type, "entity_summary": entity_summary, "merge_document_entities": merge_document_entities,

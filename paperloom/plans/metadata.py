@@ -8,7 +8,7 @@ from ..functions import classify as C
 from ..functions import text as T
 from ..operators import metadata as M
 from ..operators import records as R
-from .rendered import DOCUMENTS, RESPONSES, view
+from .rendered import DOCUMENTS, RESPONSES, TITLES, view
 
 DOCS = f"docs AS ({DOCUMENTS})"
 MASKED = rf"masked AS (SELECT doc_id, path, regexp_replace(text, '\d{{6}}-\d{{7}}', '******-*******', 'g') AS text FROM docs)"
@@ -93,14 +93,47 @@ def classify_documents(spark, sf_dir):
     )
 
 
-def _words(x: str, rules, default: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"lower({x}) LIKE '%{w}%'" for w in words) + f" THEN '{n}'" for n, words in rules) + f" ELSE {default} END"
+# The words stand here once more, written by hand, so that a wrong table in the library does not pass.
+_P2 = """CASE WHEN contains(lower(name), '계약서') OR contains(lower(name), 'contract') THEN '계약서'
+  WHEN contains(lower(name), '동의서') OR contains(lower(name), 'consent') THEN '동의서'
+  WHEN contains(lower(name), '양도') OR contains(lower(name), 'transfer') THEN '저작재산권 양도동의서'
+  WHEN contains(lower(name), '공공') OR contains(lower(name), 'public') THEN '공공저작물 자유이용허락 동의서'
+  WHEN contains(lower(content), '계약') OR contains(lower(content), 'contract') THEN '계약서'
+  WHEN contains(lower(content), '동의') OR contains(lower(content), 'consent') THEN '동의서'
+  WHEN contains(lower(content), '양도') OR contains(lower(content), 'transfer') THEN '저작재산권 양도동의서'
+  WHEN contains(lower(content), '공공') OR contains(lower(content), 'public') THEN '공공저작물 자유이용허락 동의서'
+  ELSE '기타문서' END"""
+_P3 = """CASE WHEN contains(title, '양도동의서') OR contains(title, 'copyright transfer') OR contains(title, 'transfer consent') THEN '저작재산권 양도동의서'
+  WHEN contains(title, '공공저작물 자유이용허락 동의서') OR contains(title, '공공누리') OR contains(title, 'public copyright') THEN '공공저작물 자유이용허락 동의서'
+  WHEN contains(title, '계약서') OR contains(title, 'contract') OR contains(title, 'agreement') THEN '계약서'
+  WHEN contains(title, '동의서') OR contains(title, 'consent') THEN '동의서' ELSE '기타문서' END"""
+_P4 = """CASE WHEN contains(lower(path), '계약서') OR contains(lower(path), 'contract') THEN '계약서' WHEN contains(lower(path), '동의서') OR contains(lower(path), 'consent') THEN '동의서'
+  WHEN contains(lower(stem), '계약') OR contains(lower(stem), 'contract') OR contains(lower(stem), 'agreement') THEN '계약서'
+  WHEN contains(lower(stem), '동의') OR contains(lower(stem), 'consent') OR contains(lower(stem), 'approval') THEN '동의서' ELSE '동의서' END"""
+_P5 = """CASE WHEN contains(lower(name), '계약서') OR contains(lower(name), 'contract') OR contains(lower(name), 'agreement') THEN 'contract'
+  WHEN contains(lower(name), '동의서') OR contains(lower(name), 'consent') THEN 'consent'
+  WHEN contains(lower(name), '저작권') OR contains(lower(name), 'copyright') OR contains(lower(name), '양도') THEN 'copyright' ELSE 'general' END"""
+
+
+def _p7(kind: str) -> str:
+    return f"""CASE WHEN contains(lower({kind}), '양도동의') OR contains(lower({kind}), 'copyright transfer') OR contains(lower({kind}), 'transfer consent') THEN 'copyright_transfer'
+  WHEN contains(lower({kind}), '공공저작물') OR contains(lower({kind}), '공공누리') OR contains(lower({kind}), '자유이용허락') OR contains(lower({kind}), 'public copyright') THEN 'public_copyright'
+  WHEN contains(lower({kind}), '계약서') OR contains(lower({kind}), 'contract') THEN 'contract' WHEN contains(lower({kind}), '동의서') OR contains(lower({kind}), 'consent') THEN 'consent' ELSE 'general' END"""
+
+
+CLASSIFY_SQL = rf"""WITH {DOCS}, masked AS (SELECT * FROM docs WHERE text IS NOT NULL), {TYPED}, n AS (SELECT *, text AS content, string_split(path, '/')[-1] AS name, replace(string_split(path, '/')[-1], '.txt', '') AS stem, string_split(text, chr(10))[1] AS title FROM typed), t AS (SELECT *, {_P2} AS p2 FROM n)
+SELECT doc_id, document_type AS doc_type, p2 AS document_type, {_P3} AS title_type, {_P4} AS path_category, {_P5} AS name_category, nullif(regexp_extract(path, '/(?:data|documents|files|images)/([^/]+)', 1), '') AS anchor, {_p7('p2')} AS schema FROM t"""
+
+
+def classify_titles(spark, sf_dir):
+    """P2, P3, P5 and P7 on names, titles and types that reach every branch."""
+    return view(spark, sf_dir, TITLES).select(
+        "doc_id", C.detect_document_type(F.col("name"), F.col("content")).alias("document_type"), C.document_type_from_title(F.col("title")).alias("title_type"),
+        C.category_from_filename(F.col("name")).alias("name_category"), C.schema_for_document_type(F.col("kind")).alias("schema"),
+    )
 
 
-_P2 = _words("name", C.BY_NAME, _words("text", C.BY_NAME[:4], "'기타문서'"))
-CLASSIFY_SQL = rf"""WITH {DOCS}, masked AS (SELECT * FROM docs WHERE text IS NOT NULL), {TYPED}, n AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(text, chr(10))[1] AS title FROM typed), t AS (SELECT *, {_P2} AS p2 FROM n)
-SELECT doc_id, document_type AS doc_type, p2 AS document_type, {_words('title', C.BY_TITLE, "'기타문서'")} AS title_type, {_words('path', C.PATH_WORDS, _words("replace(name, '.txt', '')", C.STEM_WORDS, "'동의서'"))} AS path_category,
-  {_words('name', C.FILE_WORDS, "'general'")} AS name_category, nullif(regexp_extract(path, '/(?:data|documents|files|images)/([^/]+)', 1), '') AS anchor, {_words('p2', C.SCHEMAS, "'general'")} AS schema FROM t"""
+TITLES_SQL = f"WITH t AS ({TITLES}) SELECT doc_id, {_P2} AS document_type, {_P3} AS title_type, {_P5} AS name_category, {_p7('kind')} AS schema FROM t"
 
 
 def text_functions(spark, sf_dir):
@@ -183,16 +216,48 @@ def route_extraction(spark, sf_dir):
     return R.route_extraction(rows).select("doc_id", "document_type", "schema", "required")
 
 
-ROUTE_SQL = rf"""WITH {DOCS}, n AS (SELECT *, string_split(path, '/')[-1] AS name FROM docs WHERE text IS NOT NULL), t AS (SELECT doc_id, {_P2} AS document_type FROM n), s AS (SELECT *, {_words('document_type', C.SCHEMAS, "'general'")} AS schema FROM t)
+ROUTE_SQL = rf"""WITH {DOCS}, n AS (SELECT *, text AS content, string_split(path, '/')[-1] AS name FROM docs WHERE text IS NOT NULL), t AS (SELECT doc_id, {_P2} AS document_type FROM n), s AS (SELECT *, {_p7('document_type')} AS schema FROM t)
 SELECT doc_id, document_type, schema, CASE schema WHEN 'contract' THEN 'contract_type,rights_holder,user' WHEN 'consent' THEN 'consent_type,data_controller,consent_status' WHEN 'general' THEN 'document_type,title'
-  WHEN 'copyright_transfer' THEN 'document_type,consent_status' ELSE 'consent_type,nuri_type' END AS required FROM s"""
+  WHEN 'copyright_transfer' THEN 'document_type,work_info,copyright_transfer,consent_info,parties' ELSE 'consent_type,work_display,copyright_license,public_nuri_license' END AS required FROM s"""
+
+
+def _transfers(spark, sf_dir):
+    """Nested records made of orders, with gaps."""
+    k = F.col("o_orderkey")
+    some = lambda n, value: F.when(k % n != 0, F.lit(value))
+    work = F.struct(some(3, "작품").alias("work_title"), F.when(k % 5 == 0, F.lit("조각")).otherwise(F.lit("도서")).alias("work_type"))
+    party = lambda n: F.struct(some(n, "가온").alias("name"), F.when(k % 8 == 0, F.lit("친구")).when(k % 8 != 1, F.lit("저작자")).alias("role"))
+    return view(spark, sf_dir, "SELECT * FROM orders").select(
+        k.alias("doc_id"), some(7, "양도동의서").alias("document_type"), F.when(k % 11 != 0, work).alias("work_info"),
+        F.struct(F.lit("전체양도").alias("transfer_type"), some(2, "전부").alias("transfer_scope")).alias("copyright_transfer"),
+        F.struct(F.lit("조건부동의").alias("consent_status"), F.lit("2024-01-01").alias("consent_date")).alias("consent_info"), F.array(party(4), party(6)).alias("parties"),
+        F.struct(((k % 15) / 10).alias("extraction_confidence")).alias("checkbox_info"),
+    )
+
+
+def validate_nested(spark, sf_dir):
+    """J5 and T16 with the rules of the transfer consents: nested fields, list items, enumerations and bounds."""
+    rows = R.validate_records(_transfers(spark, sf_dir), "copyright_transfer")
+    return rows.select("doc_id", F.array_join("_validation_errors", "; ").alias("errors"), F.round(R.completeness(rows, "copyright_transfer"), 6).alias("completeness"))
+
+
+NESTED_SQL = """WITH k AS (SELECT o_orderkey AS k FROM orders)
+SELECT k AS doc_id, concat_ws('; ', CASE WHEN k % 7 = 0 THEN 'document_type: is required' END, CASE WHEN k % 11 = 0 THEN 'work_info: is required' END,
+    CASE WHEN k % 11 <> 0 AND k % 3 = 0 THEN 'work_info.work_title: is required' END, CASE WHEN k % 11 <> 0 AND k % 5 = 0 THEN 'work_info.work_type: is not one of the allowed values' END,
+    CASE WHEN k % 2 = 0 THEN 'copyright_transfer.transfer_scope: is required' END,
+    CASE WHEN k % 4 = 0 THEN 'parties/0/name: is required' END, CASE WHEN k % 6 = 0 THEN 'parties/1/name: is required' END,
+    CASE WHEN k % 8 = 1 THEN 'parties/0/role: is required' END, CASE WHEN k % 8 = 1 THEN 'parties/1/role: is required' END,
+    CASE WHEN k % 8 = 0 THEN 'parties/0/role: is not one of the allowed values' END, CASE WHEN k % 8 = 0 THEN 'parties/1/role: is not one of the allowed values' END,
+    CASE WHEN k % 15 > 10 THEN 'checkbox_info.extraction_confidence: is too large' END) AS errors,
+  round((CASE WHEN k % 7 = 0 THEN 0 ELSE 1 END + CASE WHEN k % 11 = 0 THEN 0 ELSE 1 END + 4) / 10.0, 6) AS completeness FROM k"""
 
 QUERIES = {
     "contract_records": contract_records, "consent_records": consent_records, "extraction_manifest": extraction_manifest, "extract_parties": extract_parties, "classify_documents": classify_documents,
     "text_functions": text_functions, "mark_sections": mark_sections, "pack_sentences": pack_sentences, "model_answers": model_answers, "consent_status": consent_status, "validate_records": validate_records,
-    "extraction_summary": extraction_summary, "route_extraction": route_extraction,
+    "extraction_summary": extraction_summary, "route_extraction": route_extraction, "classify_titles": classify_titles, "validate_nested": validate_nested,
 }
 SQL = {
     "contract_records": CONTRACT_SQL, "consent_records": CONSENT_SQL, "extraction_manifest": MANIFEST_SQL, "extract_parties": PARTIES_SQL, "classify_documents": CLASSIFY_SQL, "text_functions": TEXT_SQL,
     "mark_sections": MARK_SQL, "model_answers": ANSWERS_SQL, "consent_status": STATUS_SQL, "validate_records": VALIDATE_SQL, "extraction_summary": SUMMARY_SQL, "route_extraction": ROUTE_SQL,
+    "classify_titles": TITLES_SQL, "validate_nested": NESTED_SQL,
 }

@@ -78,6 +78,15 @@ SELECT o_orderkey AS doc_id,
        CASE WHEN {K} % 97 = 0 THEN CAST(NULL AS STRING) WHEN {K} % 5 < 3 THEN {_CONTRACT} ELSE {_CONSENT} END AS text
 FROM orders JOIN customer ON o_custkey = c_custkey
 """
+#: (doc_id, name, title, content, kind): file names, titles, contents and types that reach every branch of the classifiers
+TITLES = f"""
+SELECT o_orderkey AS doc_id,
+       {_pick(K, "용역계약서.pdf", "Contract_7.PDF", "동의서.txt", "CONSENT-2.txt", "양도_1.pdf", "transfer form.pdf", "공공저작.pdf", "Public work.pdf", "저작권.hwp", "copyright.tif", "agreement.doc", "scan.tif", "계약_3.pdf")} AS name,
+       nullif({_pick(K, "저작재산권 양도동의서", "copyright transfer form", "a transfer consent", "Copyright Transfer Form", "공공저작물 자유이용허락 동의서", "공공누리 안내", "public copyright terms", "용역 계약서", "sales contract", "an agreement", "개인정보 동의서", "a consent", "계약 조건", "저작재산권 양도", "공공저작물 목록", "", "Consent")}, '') AS title,
+       {_pick(K, "용역 계약 조건", "수집에 동의 합니다", "권리를 양도 함", "Transfer of works", "공공 자료", "PUBLIC notice", "안내문")} AS content,
+       {_pick(K, "저작재산권 양도동의서", "Copyright Transfer Consent", "양도동의", "Transfer Consent form", "공공저작물 자유이용허락 동의서", "Public Copyright", "자유이용허락", "공공누리", "계약서", "Contract", "동의서", "CONSENT", "기타문서", "계약", "동의", "공공저작물")} AS kind
+FROM orders
+"""
 #: (doc_id, page_number, y, x, text, confidence)
 WORDS = """
 SELECT l_orderkey AS doc_id, CAST(1 + l_suppkey % 2 AS INT) AS page_number, CAST(l_linenumber * 13 + l_partkey % 9 AS DOUBLE) AS y, CAST(l_suppkey % 1000 AS DOUBLE) AS x,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.metadata import contract_records
+from ..operators.metadata import consent_records, contract_records
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -16,9 +16,10 @@ def text_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metadata_stream(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Contract records of all files not seen before, written once each as JSON; stops when it has caught up.
+    """Contract and consent records of all files not seen before, written once each as JSON; stops when it has caught up.
 
     The projection is the batch one, so a stream over the same files gives the same rows.
     """
-    records = contract_records(text_stream(spark, path), "path")
+    texts = text_stream(spark, path)
+    records = contract_records(texts, "path").unionByName(consent_records(texts, "path"), allowMissingColumns=True)
     return records.writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

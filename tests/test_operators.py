@@ -55,7 +55,7 @@ def test_masking_and_dates(spark):
         (C.detect_doc_type, "그냥", "동의서"),
         (C.category_from_anchor, "/x/data/folder/f.txt", "folder"),
         (C.category_from_anchor, "/x/y", None),
-        (C.document_type_from_title, "저작재산권 양도동의서", "저작재산권양도동의서"),
+        (C.document_type_from_title, "저작재산권 양도동의서", "저작재산권 양도동의서"),
         (checkboxes.checkbox_pattern, "■ x", "A"),
         (checkboxes.dominant_glyph, "■■ ☑", "■"),
     ],
@@ -295,3 +295,43 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.checksum_sha256 for r in spark.read.json(str(tmp_path / "out")).collect()}
     df = docs(spark, *[text + str(i) for i in range(3)])
     assert got == {r.checksum_sha256 for r in metadata.contract_records(df).collect()} and len(got) == 3
+
+
+def test_classes_branch_by_branch(spark):
+    # golden cases, one for each branch
+    names = {"용역계약서.pdf": "계약서", "CONSENT.txt": "동의서", "저작_양도동의서.pdf": "동의서", "양도_1.pdf": "저작재산권 양도동의서", "transfer": "저작재산권 양도동의서", "공공.pdf": "공공저작물 자유이용허락 동의서", "Public": "공공저작물 자유이용허락 동의서"}
+    texts = {"용역 계약 조건": "계약서", "수집에 동의 합니다": "동의서", "권리 양도": "저작재산권 양도동의서", "public notice": "공공저작물 자유이용허락 동의서", "안내": "기타문서"}
+    rows = spark.createDataFrame([(n, "", w) for n, w in names.items()] + [("scan", t, w) for t, w in texts.items()], "name string, content string, want string")
+    assert rows.filter(C.detect_document_type(F.col("name"), F.col("content")) != F.col("want")).count() == 0
+    titles = {"저작재산권 양도동의서": "저작재산권 양도동의서", "copyright transfer": "저작재산권 양도동의서", "transfer consent": "저작재산권 양도동의서", "Copyright Transfer Form": "기타문서", "public copyright": "공공저작물 자유이용허락 동의서", "공공누리": "공공저작물 자유이용허락 동의서", "agreement": "계약서", "계약": "기타문서", "a consent": "동의서", "동의": "기타문서"}
+    rows = spark.createDataFrame(list(titles.items()), "title string, want string")
+    assert rows.filter(C.document_type_from_title(F.col("title")) != F.col("want")).count() == 0
+    files = {"양도_1.pdf": "copyright", "저작권": "copyright", "동의.pdf": "general", "계약.pdf": "general", "동의서": "consent", "Agreement": "contract"}
+    rows = spark.createDataFrame(list(files.items()), "name string, want string")
+    assert rows.filter(C.category_from_filename(F.col("name")) != F.col("want")).count() == 0
+    kinds = {"Copyright Transfer Consent": "copyright_transfer", "양도동의": "copyright_transfer", "자유이용허락": "public_copyright", "계약": "general", "Contract": "contract", "동의서": "consent"}
+    rows = spark.createDataFrame(list(kinds.items()), "kind string, want string")
+    assert rows.filter(C.schema_for_document_type(F.col("kind")) != F.col("want")).count() == 0
+
+
+def test_record_names_and_nested_trims(spark):
+    rows = spark.createDataFrame([("/a/b.txt", 0, False), ("/a/c.txt", 1, True)], "path string, i int, several boolean")
+    assert [r[0] for r in rows.select(metadata.record_name(F.col("path"), F.col("i"), F.col("several"))).collect()] == ["b", "c__01"]
+    df = spark.sql("SELECT named_struct('work_title', ' x ', 'n', 1) AS work_info, named_struct('work_names', array(' a', 'b ')) AS work_display, ' u ' AS user")
+    got = T.trim_record_fields(df).first()
+    assert (got.work_info.work_title, got.work_info.n, list(got.work_display.work_names), got.user) == ("x", 1, ["a", "b"], "u")
+    assert df.select(T.field_completeness_by_schema([])).first()[0] == 0.0
+
+
+def test_pages_of_broken_documents_have_an_error(spark):
+    def load():
+        def pages(content):
+            if content == b"bad":
+                raise ValueError("no pages")
+            return [content, content]
+
+        return pages
+
+    files = spark.createDataFrame([("a", b"ok"), ("b", b"bad")], "path string, content binary")
+    got = sorted((r.doc_id, r.page_number, r.error) for r in models.read_pages_of(files, load).collect())
+    assert got == [("a", 1, None), ("a", 2, None), ("b", 0, "ValueError: no pages")]
