@@ -9,8 +9,11 @@ lines; in drawings (SVG) each label is a line, and what a foreignObject holds is
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -54,9 +57,13 @@ APART = frozenset("mfrac mroot munder mover munderover mtr mlabeledtr mtd".split
 #: Elements of formulas and drawings whose children are those of a page, and those that no end tag of a page looks past.
 PAGES = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
 FENCE = frozenset(("foreignobject", "mtext"))
-#: Columns are padded up to this width; longer cells run over it.
-WIDEST = 40
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+# Fixed values of HTML: the widest spans that count.
+SPANS = {"colspan": 1000, "rowspan": 65534}
+#: Lines of a cell are broken at spaces beyond this width, so that a long paragraph does not widen all rows.
+WIDEST = 200
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)")
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z]+)")
+_INTEGER = re.compile(r"[\t\n\f\r ]*([+-]?[0-9]{1,9})")
 _MARKED = re.compile(r"<!\[(?!CDATA\[)[^>]*>")
 
 
@@ -70,12 +77,30 @@ class Node:
         self.kind = around or (tag if tag in ("svg", "math") else "")
         self.inner = "" if tag in PAGES.get(self.kind, ()) else "label" if (self.kind, tag) == ("svg", "text") else self.kind
 
-    def hidden(self) -> bool:
-        if self.kind in DRAWN and (self.tag not in DRAWN[self.kind] or self.attrs.get("display") == "none" or self.attrs.get("visibility") in ("hidden", "collapse")):
+    def removed(self) -> bool:
+        """Whether neither the element nor anything in it is rendered."""
+        if self.kind in DRAWN and (self.tag not in DRAWN[self.kind] or self.attrs.get("display") == "none"):
             return True
-        if self.kind == "math" and self.tag in UNSHOWN:
+        if self.tag in HIDDEN or (self.kind == "math" and self.tag in UNSHOWN):
             return True
-        return self.tag in HIDDEN or "hidden" in self.attrs or bool(_UNSEEN.search((self.attrs.get("style") or "").lower()))
+        display = _DISPLAY.findall((self.attrs.get("style") or "").lower())
+        if display:
+            return display[-1] == "none"
+        return "hidden" in self.attrs or (self.tag == "dialog" and "open" not in self.attrs)
+
+    def visible(self, around: bool) -> bool:
+        """Whether own text is shown; unlike removal, an element in a hidden one can be shown again."""
+        said = _VISIBILITY.findall((self.attrs.get("style") or "").lower()) or [self.attrs.get("visibility") if self.kind in DRAWN else None]
+        return {"visible": True, "hidden": False, "collapse": False}.get(said[-1], around)
+
+    def number(self, name: str, default: int) -> int:
+        """An attribute as HTML reads integers; what is no number, or not a short one, is the default."""
+        found = _INTEGER.match(self.attrs.get(name) or "")
+        return int(found[1]) if found else default
+
+    def span(self, name: str) -> int:
+        n = self.number(name, 1)
+        return min(n, SPANS[name]) if n > 0 or (name == "rowspan" and n == 0) else 1
 
     def lined(self) -> bool:
         """Whether an element of a formula or drawing has lines of its own."""
@@ -95,6 +120,8 @@ class Node:
             return [c for c in self.children if isinstance(c, Node)][:1]
         if self.kind == "math" and self.tag in APART:
             return [x for c in self.children for x in (" ", c)] + [" "]
+        if self.tag == "details" and "open" not in self.attrs:
+            return [c for c in self.children if isinstance(c, Node) and c.tag == "summary"][:1]
         return self.children
 
 
@@ -246,15 +273,70 @@ class Lines:
         return self.done
 
 
-def _columns(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells, each a list of lines, as lines of aligned columns."""
-    n = max(map(len, rows), default=0)
-    widths = [min(WIDEST, max((len(line) for row in rows if i < len(row) for line in row[i]), default=0)) for i in range(n)]
+def _width(text: str) -> int:
+    """Columns that a line takes on a screen: wide characters two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 1 for c in text)
+
+
+def _wrapped(line: str) -> list[str]:
+    """A line broken at spaces so that parts are no wider than WIDEST; a wider word is a part of its own."""
+    if _width(line) <= WIDEST:
+        return [line]
+    out, own = [], 0
+    for word in line.split(" "):
+        n = _width(word)
+        if out and own + 1 + n <= WIDEST:
+            out[-1] += " " + word
+            own += 1 + n
+        else:
+            out.append(word)
+            own = n
+    return out
+
+
+@dataclass
+class Cell:
+    lines: list[str]
+    columns: int = 1
+    rows: int = 1
+    at: int = 0
+
+
+def _columns(rows: list[list[Cell]]) -> list[str]:
+    """The rows of a table as lines of aligned columns; cells that span rows or columns leave what they span free."""
+    taken: dict[int, int] = {}  # column -> row up to which a cell from above has it
+    for y, row in enumerate(rows):
+        x = 0
+        for cell in row:
+            while taken.get(x, 0) > y:
+                x += 1
+            cell.at = x
+            last = y + cell.rows if cell.rows else len(rows)
+            if last > y + 1:
+                taken.update(dict.fromkeys(range(x, x + cell.columns), last))
+            x += cell.columns
+    starts = sorted({c.at for row in rows for c in row})  # a column where no cell begins takes no room
+    place = {x: i for i, x in enumerate(starts)}
+    widths = [0] * len(starts)
+    for row in rows:
+        for cell in row:
+            cell.lines = [part for line in cell.lines for part in _wrapped(line)]
+            cell.columns = bisect_left(starts, cell.at + cell.columns) - place[cell.at]
+            cell.at = place[cell.at]
+            widths[cell.at] = max(widths[cell.at], max(map(_width, cell.lines), default=0))
     out = []
     for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            cells = [row[i][k] if i < len(row) and k < len(row[i]) else "" for i in range(n)]
-            out.append(" | ".join(c.ljust(w) for c, w in zip(cells, widths, strict=True)).rstrip(" |" if not any(cells) else " "))
+        for k in range(max((len(c.lines) for c in row), default=0)):
+            parts, x, any_text = [], 0, False
+            for cell in row:
+                parts += [" " * w for w in widths[x : cell.at]]
+                x = cell.at + cell.columns
+                line = cell.lines[k] if k < len(cell.lines) else ""
+                any_text |= bool(line)
+                parts += [line + " " * (widths[cell.at] - _width(line)), *(" " * w for w in widths[cell.at + 1 : x])]
+            out.append(" | ".join(parts).rstrip(" " if any_text else " |"))
     return out
 
 
@@ -266,18 +348,20 @@ def render(html: str | None) -> str:
     tree.feed(_MARKED.sub("", html))
     tree.close()
     writers, tables, lists, verbatim = [Lines()], [], [], 0
-    work: list[tuple[bool, Node | str]] = [(True, tree.root)]
+    work: list[tuple[bool, bool, Node | str]] = [(True, True, tree.root)]
     while work:
-        enter, node = work.pop()
+        enter, seen, node = work.pop()
         out = writers[-1]
         if isinstance(node, str):
             # loose text between the rows of a table belongs before it; white space there is nothing
-            out.verbatim(node) if verbatim else out.text(node)
+            if seen:
+                out.verbatim(node) if verbatim else out.text(node)
             continue
         tag = node.tag
         if enter:
-            if node.hidden():
+            if node.removed():
                 continue
+            seen = node.visible(seen)
             if tag == "br":
                 out._begin()
                 out.block(1)
@@ -285,11 +369,10 @@ def render(html: str | None) -> str:
             if tag in BLOCK:
                 out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol"):
-                start = node.attrs.get("start") or ""
-                lists.append([tag, int(start) - 1 if start.lstrip("-").isdigit() else 0, out.indent])
+                lists.append([tag, node.number("start", 1) - 1, out.indent])
             elif tag == "li":
                 kind, number, indent = lists[-1] if lists else ["ul", 0, out.indent]
-                mark = "- " if kind == "ul" else f"{number + 1}. "
+                mark = ("- " if kind == "ul" else f"{number + 1}. ") if seen else ""
                 if lists:
                     lists[-1][1] += 1
                 out.indent, out.marker = indent + " " * len(mark), mark
@@ -308,16 +391,15 @@ def render(html: str | None) -> str:
                 lists.append(["ul", 0, ""])
             if node.kind and node.lined():
                 out.block(1)
-            work.append((False, node))
-            work += [(True, c) for c in reversed(node.shown())]
+            work.append((False, seen, node))
+            work += [(True, seen, c) for c in reversed(node.shown())]
             continue
         if tag in ("td", "th") and tables:
             lists.pop()
-            span = node.attrs.get("colspan") or ""
-            tables[-1][-1] += [writers.pop().result(), *[[]] * (min(int(span), 100) - 1 if span.isdigit() and int(span) else 0)]
+            tables[-1][-1].append(Cell(writers.pop().result(), node.span("colspan"), node.span("rowspan")))
             continue
         if tag == "table":
-            for line in _columns([r for r in tables.pop() if any(r)]):
+            for line in _columns(tables.pop()):
                 out._begin()
                 out.line.append(line)
                 out.block(1)

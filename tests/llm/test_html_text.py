@@ -68,3 +68,71 @@ def test_deep_drawings():
     assert render("<svg>" + "<g>" * 30000 + "<text>x") == "x"
     assert render("<svg><path>" * 20000 + "<p>x") == "x"
     assert render("<math>" + "<mrow>" * 30000 + "<mi>x") == "x"
+
+
+def test_odd_attributes_and_spans():
+    for start in ("--5", "²", "9" * 5000, "", " 7x", "+3", "-2"):
+        assert "x" in render(f'<ol start="{start}"><li>x</ol>')
+    assert render('<ol start=" 7x"><li>a<li>b</ol>') == "7. a\n8. b"
+    for span in ("²", "9" * 5000, "-1", "0", "1000", "x"):
+        for name in ("colspan", "rowspan"):
+            assert render(f'<table><tr><td {name}="{span}">a<td>b<tr><td>c<td>d</table>').split() != []
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C<td>D</table>") == "A | B |\n  | C | D"
+    assert render("<table><tr><td rowspan=0>A<td>B<tr><td>C</table>") == "A | B\n  | C"
+    assert render("<table><tr><td colspan=1000>title<tr><td>a<td>b</table>") == "title |\na     | b"
+    assert render("<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>") == "日本 | x\nabcd | y"
+    long = " ".join(["word"] * 100)
+    lines = render(f"<table><tr><td>{long}<td>end<tr><td>a<td>b</table>").split("\n")
+    assert " ".join(lines).split().count("word") == 100 and {x.index("|") for x in lines if "|" in x} == {lines[0].index("|")}
+
+
+def test_visibility():
+    assert render("<details><summary>s</summary>body</details>") == "s" and render("<details open><summary>s</summary>body</details>") == "s\nbody"
+    assert render("<dialog>x</dialog>y") == "y" and "x" in render("<dialog open>x</dialog>y")
+    assert render('<div style="visibility:hidden">a<span style="visibility: visible">b</span>c</div>') == "b"
+    assert render('<div hidden>a</div><div hidden style="display:block">b</div>') == "b"
+    assert render('<div style="display:none">a<span style="visibility:visible">b</span></div>c') == "c"
+    assert render('<p style="no-display:none">a</p>') == "a"
+
+
+def test_random_trees_show_each_visible_word_once_in_order():
+    # trees of well-formed elements against what a plain walk says is visible
+    import random
+
+    rng = random.Random(4)
+    boxes = ["div", "p", "span", "b", "section", "ul", "li", "table", "blockquote", "h2", "a"]
+    for _ in range(300):
+        words: list[str] = []
+
+        def build(depth: int, shown: bool) -> str:
+            out = []
+            for _ in range(rng.randint(1, 3)):
+                if depth == 0 or rng.random() < 0.4:
+                    word = f"w{rng.randrange(10**9)}"
+                    out.append(f" {word} ")
+                    if shown:
+                        words.append(word)
+                    continue
+                tag, hide = rng.choice(boxes), rng.random() < 0.2
+                style = rng.choice([" hidden", ' style="display: none"', ' style="color:red;DISPLAY:none"']) if hide else ""
+                if tag == "table":
+                    out.append(f"<table{style}><tr><td>{build(depth - 1, shown and not hide)}</td></tr></table>")
+                elif tag == "p":  # nothing that ends a paragraph in it
+                    out.append(f"<p{style}>{build(0, shown and not hide)}</p>")
+                elif tag == "li":
+                    out.append(f"<ul{style}><li>{build(depth - 1, shown and not hide)}</li></ul>")
+                else:
+                    out.append(f"<{tag}{style}>{build(depth - 1, shown and not hide)}</{tag}>")
+            return "".join(out)
+
+        page = build(5, True)
+        assert [w for w in render(page).replace("|", " ").split() if w.startswith("w")] == words, page
+
+
+def test_broken_pages_never_fail():
+    import random
+
+    rng = random.Random(8)
+    bits = ["<table>", "</table>", "<tr>", "<td rowspan=3>", "<td colspan='x'>", "</td>", "<ul>", "<li>", "</ul>", "<ol start='--5'>", "<p>", "</p>", "text ", "<svg><text>", "</svg>", "<math><mi>", "</math>", "<b", " a='", "'>", "<!--", "-->", "<![CDATA[", "]]>", "&amp;", "&#x110000;", "<pre>\n x", "</pre>", "<details>", "<summary>", "<select><option>", "<br/>", "</br>", "<foreignobject>", "\x00", "<script>", "</script>", "<dialog>", "<dd>", "<caption>", "<td rowspan=0>", "<th>"]
+    for _ in range(10_000):
+        assert isinstance(render("".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))), str)
