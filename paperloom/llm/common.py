@@ -17,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder that the cluster names, lineage cut.
 
-    ``spark.checkpoint.dir`` wins; only where neither it nor a context folder is set (tests) a temporary one is made.
+    ``spark.checkpoint.dir`` wins, then the folder of the context.  Where neither is set a local run makes a temporary one; a
+    cluster has no folder that all its machines see, so there it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperloom-"))
     return df.checkpoint(eager=True)
 
 

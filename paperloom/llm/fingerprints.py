@@ -11,15 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import durable, table, text_of
 
 WORDS = 5
 #: A shingle is retained with probability 1 / SCALE, where nothing else is asked for.
 SCALE = 8
 #: The scale that retains every shingle.
 WHOLE = 1
-#: Rows of a range of identifiers, in which the next identifier is looked up; at most RANGES ranges.
-RANGES = 512
 
 
 def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
@@ -82,21 +80,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def next_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, next_id): the next smaller identifier of the table, for the smallest the largest.
 
-    Distinct identifiers are dealt into ranges at their quantiles; the neighbour is found within the range, or at the
-    top of the next range that has rows.  Only identifiers move, and what crosses ranges is one row per range.
+    Distinct identifiers, of any type that has an order, are sorted into ranges and written with the number of their range;
+    the neighbour is found within the range, or at the top of the next one that has rows.  Only identifiers move, and
+    what crosses ranges is one row per partition.
     """
     ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 20 * RANGES)).first()[0] or []
-    cut = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
-    part = F.size(F.filter(cut, lambda c: c < F.col("doc_id"))) if len(cuts) < 16 else F.expr("0")
-    if len(cuts) >= 16:  # two levels of search, so that a row compares with tens of cuts and not with all
-        steps = sorted({int(c) for c in cuts})
-        coarse = steps[::16]
-        blocks = F.array(*[F.array(*[F.lit(c) for c in steps[i : i + 16]]) for i in range(0, len(steps), 16)])
-        above = F.size(F.filter(F.array(*[F.lit(c) for c in coarse]), lambda c: c < F.col("doc_id")))
-        inner = F.size(F.filter(F.get(blocks, above - 1), lambda c: c < F.col("doc_id")))
-        part = F.when(above == 0, F.lit(0)).otherwise((above - 1) * 16 + inner)
-    dealt = ids.withColumn("part", part)
+    dealt = durable(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     tops = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
     tops = tops.select("part", F.coalesce(F.lag("top").over(W.orderBy("part")), F.max("top").over(W.partitionBy())).alias("below"))
     near = dealt.withColumn("lower", F.lag("doc_id").over(W.partitionBy("part").orderBy("doc_id")))

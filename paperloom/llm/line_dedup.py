@@ -22,7 +22,7 @@ _SPANS = """
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sig, pos, w1, w2): one row per window that has something else than white space in it."""
+    """(id, sig, pos, w1, w2): one row per window that has something else than spaces in it."""
     lines = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("sig"), F.split(text_of(text_col), "\n").alias("lines")
     ).filter(F.size("lines") >= WINDOW)
@@ -55,7 +55,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with every later occurrence of a repeated three-line window taken out of its texts.
 
     Lines end at ``\\n``; they are compared as they are.  Texts of fewer than three lines have no window and stay; a null
-    text stays null; windows of nothing but white space never count.  Occurrences are ordered by identifier (null ones
+    text stays null; windows of nothing but spaces (U+0020) never count.  Occurrences are ordered by identifier (null ones
     last), then by a hash of the text, then by position; overlapping repeats inside one text keep what no later
     occurrence covers.  Rows that repeat an identifier with the same text get the same result, rows that repeat it
     with another text are documents of their own.  A text may become empty; no row is dropped.  With ``counts`` two

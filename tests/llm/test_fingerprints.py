@@ -14,12 +14,16 @@ def edited(rows):
     return out
 
 
-def test_edited_and_next(spark, make, monkeypatch):
+def test_edited_and_next(spark, make):
     rows = [(i * 7 - 20, " ".join(f"w{(i * k) % 91}é" for k in range(i % 23 * 9))) for i in range(200)] + [(5000, None), (5001, "😀 tiny")]
-    for ranges in (512, 40, 4):
-        monkeypatch.setattr(G, "RANGES", ranges)
-        got = G.edited_fingerprints(make(rows)).collect()
-        assert {r.doc_id: r.edited_sha256 for r in got} == edited(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in (40, 4, 1):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            got = G.edited_fingerprints(make(rows)).collect()
+            assert {r.doc_id: r.edited_sha256 for r in got} == edited(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
@@ -73,3 +77,24 @@ def test_sketches_of_a_scale_unite_and_contain(spark, make):
             assert r.c == (None if r.a is None else 1.0) and (r.j is None) == (r.a is None or r.b is None)
             assert r.u == r.b  # the long text holds the short one
         assert scale == 8 or any(r.sketch for r in s.values())
+
+
+def test_identifiers_of_any_order(spark):
+    rows = [(f"id{i:03}", f"text of {i} " * 5) for i in range(50)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    want = edited([r for r in rows if r[0]])
+    assert {r.doc_id: r.edited_sha256 for r in G.edited_fingerprints(df).collect() if r.doc_id} == want
+
+
+def test_fingerprints_are_the_hashes_of_all_shingles(spark, make):
+    texts = {i: " ".join(f"W{(i * 3 + k) % 40}" for k in range(i % 12)) for i in range(60)}
+    got = {r.doc_id: r for r in G.edited_fingerprints(make(list(texts.items()))).collect()}
+    hashed = {}
+    for i, t in texts.items():
+        own = shingles(t)
+        assert len(got[i].fingerprint) == 16 * len(own)
+        parts = {got[i].fingerprint[k : k + 16] for k in range(0, len(got[i].fingerprint), 16)}
+        assert len(parts) == len(own) and got[i].fingerprint == "".join(sorted(parts, key=lambda h: int(h, 16) ^ 1 << 63))
+        for other in hashed:
+            assert len(parts & hashed[other]) == len(own & shingles(texts[other]))
+        hashed[i] = parts

@@ -77,7 +77,7 @@ def test_odd_attributes_and_spans():
     for span in ("²", "9" * 5000, "-1", "0", "1000", "x"):
         for name in ("colspan", "rowspan"):
             assert render(f'<table><tr><td {name}="{span}">a<td>b<tr><td>c<td>d</table>').split() != []
-    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C<td>D</table>") == "A | B |\n  | C | D"
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C<td>D</table>") == "A | B\n  | C | D"
     assert render("<table><tr><td rowspan=0>A<td>B<tr><td>C</table>") == "A | B\n  | C"
     assert render("<table><tr><td colspan=1000>title<tr><td>a<td>b</table>") == "title |\na     | b"
     assert render("<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>") == "日本 | x\nabcd | y"
