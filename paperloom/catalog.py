@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import corpus, entities, metadata
+from .plans import corpus, entities, metadata, services
 
-PARTS = (metadata, entities, corpus)
+PARTS = (metadata, entities, corpus, services)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}

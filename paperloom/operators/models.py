@@ -6,7 +6,6 @@ error and never fails the job.  Use ``repartition(n)`` before these to bound the
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import build_prompt, parse_model_json, strip_markdown
+from ..sources.files import scratch
 
 TOKEN = "pos int, start int, end int, label string, confidence double"
 
@@ -53,10 +53,9 @@ def _called(df: DataFrame, load: Callable, name: str) -> DataFrame:
 
 
 def _answered(df: DataFrame) -> DataFrame:
-    """The rows written to ``spark.checkpoint.dir`` at once, or to a temporary folder where none is set (tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-"))
+    """The rows written to ``spark.checkpoint.dir`` at once, or to a temporary folder where a local run has none."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -48,8 +50,11 @@ def folder_documents(df: DataFrame, sep: str = "\n", path_col: str = "path", tex
     """
     path = F.col(path_col)
     own = df.select(F.regexp_extract(path, r"^(.*)/[^/]*\z", 1).alias("folder"), path.alias("name"), F.col(text_col).alias("text"))
-    parents = own.select(F.regexp_extract("folder", r"^(.*)/[^/]*\z", 1).alias("folder"), "name", "text").filter("folder <> ''")
-    parents = parents.join(own.select("folder").distinct(), "folder", "left_anti")
+    # folders by name alone first, so that texts are copied to those parents only that have none of their own
+    names = own.select("folder").distinct()
+    above = names.select(F.regexp_extract("folder", r"^(.*)/[^/]*\z", 1).alias("parent"), "folder").filter("parent <> ''")
+    above = above.join(names.withColumnRenamed("folder", "parent"), "parent", "left_anti")
+    parents = own.join(above, "folder").select(F.col("parent").alias("folder"), "name", "text")
     groups = own.unionByName(parents).groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("name", "text"))).alias("f"))
     return groups.select("folder", F.array_join("f.text", sep).alias("text"), F.size("f").alias("n_files"))
 
@@ -83,7 +88,7 @@ def read_field_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """CSV files with a header (a byte order mark is dropped), put together; columns that a file lacks are null."""
     out = None
     for p in paths:
-        df = spark.read.option("header", "true").option("multiLine", "true").csv(p)
+        df = spark.read.option("header", "true").option("multiLine", "true").option("escape", "\"").csv(p)  # quotes are doubled
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
@@ -147,6 +152,15 @@ def scan_ocr_results(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.element_at(parts, -4).alias("provider"), F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("doc"), "text")
 
 
-def read_request_log(spark: SparkSession, path: str) -> DataFrame:
-    """Request entries, one JSON object per file or line."""
-    return spark.read.schema("timestamp string, log_file string, method string, path string, status int, body string").option("multiLine", "true").json(path)
+def read_request_log(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Request entries, one JSON object per file, or per line where files hold several."""
+    return spark.read.schema("timestamp string, log_file string, method string, path string, status int, body string").option("multiLine", str(whole_files).lower()).json(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all machines of a cluster share; a local run may use a temporary one."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='paperloom-')}/{uuid.uuid4()}"
