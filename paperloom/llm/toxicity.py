@@ -164,23 +164,26 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below the threshold; rows stream through by batch."""
+    """The rows of ``docs``, all columns as they are, whose text scores below the threshold.
+
+    Only texts go to Python and only a flag comes back; rows wait for it where they are.
+    """
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast((model.table(), model.bias))
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, bias = shared.value
         wanted = weights != 0
-        for whole in batches:
-            for first in range(0, whole.num_rows, SLICE):
-                b = whole.slice(first, SLICE)
-                f = np.array([weights[own].sum() for own in document_cues(b.column(at), wanted)], float) + bias
-                yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))) < threshold))
+        for whole in texts:
+            parts = []
+            for first in range(0, len(whole), SLICE):
+                f = np.array([weights[own].sum() for own in document_cues(whole.slice(first, SLICE), wanted)], float) + bias
+                parts.append(1 / (1 + np.exp(-np.clip(f, -40, 40))) < threshold)
+            yield pa.array(np.concatenate([np.zeros(0, bool), *parts]), pa.bool_())
         release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(F.arrow_udf(clean, "boolean")(F.col(text_col).cast("string")))
 
 
 def held_out(id_col: str = "doc_id"):
