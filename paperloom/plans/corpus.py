@@ -12,7 +12,7 @@ from ..operators import sequence as S
 from ..operators import synth as G
 from ..sources import files as X
 from .metadata import DOCS, docs
-from .rendered import CALLS, DUCK_TOKENS, PAGES, WORDS, tokens, view
+from .rendered import CALLS, DUCK_TOKENS, DUCK_WORDS, PAGES, WORDS, tokens, view
 
 
 def ocr_lines(spark, sf_dir):
@@ -56,6 +56,13 @@ def _choose_sql(order: str) -> str:
     return f"WITH {_PG}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY (status = 'success') DESC, {order}, provider) AS n FROM p) SELECT doc_id, page_number, provider, extracted_text, status FROM r WHERE n = 1"
 
 
+# DuckDB's distance counts bytes, so the one letter of more bytes becomes a sign that occurs nowhere else.
+CONSENSUS_SQL = f"""WITH {_PG}, q AS (SELECT *, replace(extracted_text, '글', '#') AS t FROM p),
+n AS (SELECT a.doc_id, a.page_number, a.provider, avg(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t), 1)) AS near FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.provider <> b.provider GROUP BY ALL),
+r AS (SELECT q.*, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY (status = 'success') DESC, coalesce(near, 0) DESC, provider) AS k FROM q LEFT JOIN n USING (doc_id, page_number, provider))
+SELECT doc_id, page_number, provider, extracted_text, status FROM r WHERE k = 1"""
+
+
 def assemble_documents(spark, sf_dir):
     best = O.choose_ocr_engine(_pages(spark, sf_dir), "google_priority")
     return O.assemble_ocr_documents(best)
@@ -170,6 +177,11 @@ def conll_round_trip(spark, sf_dir):
     return X.parse_conll(text).groupBy("path").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size("tokens")).alias("tokens"))
 
 
+CONLL_SQL = rf"""WITH {_TOK}, w AS ({DUCK_WORDS}), t AS (SELECT sent_id AS path, string_agg(word || chr(9) || gold, chr(10) ORDER BY pos) || chr(10) AS text FROM w JOIN tok USING (sent_id, pos) GROUP BY sent_id),
+b AS (SELECT path, unnest(regexp_split_to_array(regexp_replace(text, '(?m)^[ \t\r]+|[ \t\r]+$', '', 'g'), '\n{{2,}}')) AS block FROM t), n AS (SELECT path, len(list_filter(string_split(block, chr(10)), lambda x: len(string_split(x, chr(9))) = 2)) AS n FROM b)
+SELECT path, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS tokens FROM n WHERE n > 0 GROUP BY path"""
+
+
 def synthetic_corpus(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     rows = G.synthesize_corpus(ids)
@@ -248,5 +260,5 @@ SQL = {
     "first_sentences": f"WITH {_TOK} SELECT sent_id, CAST(count(*) AS INT) AS n FROM tok GROUP BY sent_id ORDER BY sent_id LIMIT 100",
     "expand_labels": f"WITH {_TOK} SELECT gold AS label, count(*) AS tokens, count(*) * 5 AS characters FROM tok GROUP BY gold",
     "synthetic_corpus": SYNTH_SQL, "synthetic_fields": FIELDS_SQL, "evaluation_mix": MIX_SQL, "latest_requests": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
-    "api_spend": SPEND_SQL, "folder_documents": FOLDER_SQL,
+    "api_spend": SPEND_SQL, "folder_documents": FOLDER_SQL, "choose_engine_consensus": CONSENSUS_SQL, "conll_round_trip": CONLL_SQL,
 }

@@ -163,6 +163,14 @@ def pack_sentences(spark, sf_dir):
     return d.select("doc_id", F.posexplode(T.pack_sentences(F.col("text"))).alias("part", "text"))
 
 
+# A list of no sentences has one empty element, as DuckDB reduces no empty list; its result is not used.
+PACK_SQL = rf"""WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split(replace(text, chr(10), '. '), '.'), lambda s: trim(s, {_WS})), lambda s: s <> '') AS p FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, text, len(p) AS n, list_reduce(list_transform(CASE WHEN len(p) = 0 THEN [''] ELSE p END, lambda s: {{'done': CAST([] AS STRING[]), 'cur': s || '. '}}),
+  lambda a, b: CASE WHEN length(a.cur) + length(b.cur) - 2 <= 512 THEN {{'done': a.done, 'cur': a.cur || b.cur}} ELSE {{'done': list_append(a.done, trim(a.cur, {_WS})), 'cur': b.cur}} END) AS s FROM p),
+l AS (SELECT doc_id, CASE WHEN length(text) <= 512 THEN [text] WHEN n = 0 THEN [] ELSE list_append(s.done, trim(s.cur, {_WS})) END AS l FROM r)
+SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS part, unnest(l) AS text FROM l"""
+
+
 def model_answers(spark, sf_dir):
     r = F.col("response")
     return view(spark, sf_dir, RESPONSES).select("doc_id", T.json_slice(r).alias("slice"), T.parse_model_json(r).alias("metadata"), T.strip_markdown(r).alias("plain"))
@@ -259,5 +267,5 @@ QUERIES = {
 SQL = {
     "contract_records": CONTRACT_SQL, "consent_records": CONSENT_SQL, "extraction_manifest": MANIFEST_SQL, "extract_parties": PARTIES_SQL, "classify_documents": CLASSIFY_SQL, "text_functions": TEXT_SQL,
     "mark_sections": MARK_SQL, "model_answers": ANSWERS_SQL, "consent_status": STATUS_SQL, "validate_records": VALIDATE_SQL, "extraction_summary": SUMMARY_SQL, "route_extraction": ROUTE_SQL,
-    "classify_titles": TITLES_SQL, "validate_nested": NESTED_SQL,
+    "classify_titles": TITLES_SQL, "validate_nested": NESTED_SQL, "pack_sentences": PACK_SQL,
 }

@@ -43,7 +43,7 @@ def compare(spark, name: str, query, sql: str, sf_dir: str = SF) -> str | None:
     want = normal([tuple(r[i] for i in order) for r in rel.fetchall()])
     if got == want:
         return None
-    only = [x for x in got if x not in set(want)][:2], [x for x in want if x not in set(got)][:2]
+    only = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
     return f"{len(got)} rows and {len(want)}; only in the query {only[0]}; only in the SQL {only[1]}"
 
 
