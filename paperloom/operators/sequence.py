@@ -40,7 +40,7 @@ def tag_characters(text: Column, entities: Column) -> Column:
     """
     n = F.length(text)
     ranked = F.array_sort(
-        F.transform(F.filter(entities, lambda e: F.length(e["value"]) > 0), lambda e, i: F.struct((-F.length(e["value"])).alias("size"), i.alias("i"), e["value"].alias("value"), e["type"].alias("type")))
+        F.transform(F.array_distinct(F.filter(entities, lambda e: F.length(e["value"]) > 0)), lambda e, i: F.struct((-F.length(e["value"])).alias("size"), i.alias("i"), e["value"].alias("value"), e["type"].alias("type")))
     )
 
     def occurrences(e: Column) -> Column:

@@ -183,9 +183,11 @@ SELECT path, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS tokens FROM n WHER
 
 
 def synthetic_corpus(spark, sf_dir):
+    """G1 with the pools of G2: four in five texts take the values for training, the others those for evaluation."""
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
-    rows = G.synthesize_corpus(ids)
-    return rows.select("id", "text", F.size("entities").alias("n_entities"), F.size(F.filter("labels", lambda x: x.startswith("B-"))).alias("n_begin"), (F.size("labels") == F.length("text")).alias("aligned"))
+    parts = [G.synthesize_corpus(ids.filter(rows), pools=G.part_pools(part)).withColumn("part", F.lit(part)) for part, rows in (("train", "id % 5 <> 0"), ("eval", "id % 5 = 0"))]
+    begins, tags = F.filter("labels", lambda x: x.startswith("B-")), F.filter("labels", lambda x: x != "O")
+    return parts[0].unionByName(parts[1]).select("id", "part", "text", F.size("entities").alias("n_entities"), F.size(begins).alias("n_begin"), F.size(tags).alias("n_tagged"))
 
 
 def _sql_pick(pool: list[str], slot: str) -> str:
@@ -193,11 +195,42 @@ def _sql_pick(pool: list[str], slot: str) -> str:
     return f"[{', '.join(repr(v) for v in pool)}][1 + {index}]"
 
 
-_TEXT = "tpl"
+def _hash(*words: str) -> str:
+    return f"CAST('0x' || substr(md5('42/' || CAST(id AS STRING) || '/' || {" || '/' || ".join(words)}), 1, 8) AS BIGINT)"
+
+
+def _of(values: str, *words: str) -> str:
+    return f"{values}[1 + {_hash(*words)} % len({values})]"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+
+
+def _ranked(values: list[str], slot: str) -> str:
+    keyed = ", ".join(f"{{'h': md5('42/' || CAST(id AS STRING) || '/{slot}/{i}'), 'v': '{v}'}}" for i, v in enumerate(values))
+    return f"list_transform(list_sort([{keyed}]), lambda x: x.v)"
+
+
+_SORTED = {k: f"list_transform(list_sort([{', '.join(f"{{'h': md5('42/{v}'), 'v': '{v}'}}" for v in pool)}]), lambda x: x.v)" for k, pool in G.POOLS.items()}
+_POOLS = " UNION ALL ".join(
+    f"SELECT '{part}' AS part, {', '.join(f'list_slice({srt}, {at}) AS p_{k}' for k, srt in _SORTED.items() for at in [f'1, {len(G.POOLS[k]) * 4 // 5}' if part == 'train' else f'{len(G.POOLS[k]) * 4 // 5 + 1}, {len(G.POOLS[k])}'])}"
+    for part in ("train", "eval")
+)
+_FILLED = "t"
 for _k in G.POOLS:
-    _TEXT = f"replace({_TEXT}, '{{{_k}}}', v_{_k})"
-_SLOTS = " + ".join(f"CAST(contains(tpl, '{{{k}}}') AS INT)" for k in G.POOLS)
-SYNTH_SQL = f"WITH i AS (SELECT o_orderkey AS id FROM orders), v AS (SELECT id, {_sql_pick(G.TEMPLATES, 'template')} AS tpl, {', '.join(f'{_sql_pick(p, k)} AS v_{k}' for k, p in G.POOLS.items())} FROM i) SELECT id, {_TEXT} AS text, {_SLOTS} AS n_entities, {_SLOTS} AS n_begin, true AS aligned FROM v"
+    _FILLED = f"replace({_FILLED}, '{{{_k}}}', {_of(f'p_{_k}', repr(_k), 'CAST(i - 1 AS STRING)')})"
+_USED = ", ".join(f"CASE WHEN contains(t, '{{{k}}}') THEN {{'v': {_of(f'p_{k}', repr(k), 'CAST(i - 1 AS STRING)')}, 'k': '{k}'}} END" for k in G.POOLS)
+_MORE = "CASE k " + " ".join(f"WHEN '{k}' THEN {_of(f'p_{k}', repr(k), repr('extra'))}" for k in G.POOLS) + " END"
+SYNTH_SQL = f"""WITH pools AS ({_POOLS}), i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN 'train' ELSE 'eval' END AS part FROM orders),
+a AS (SELECT *, CASE WHEN {_hash("'many'")} % 100 < 40 THEN 2 + {_hash("'templates'")} % 3 ELSE 1 END AS nt, CASE WHEN {_hash("'more'")} % 100 < 60 THEN 1 + {_hash("'extras'")} % 7 ELSE 0 END AS nx FROM i JOIN pools USING (part)),
+b AS (SELECT *, list_slice({_ranked(G.TEMPLATES, 'template')}, 1, nt) AS tpl, list_slice({_ranked(list(G.POOLS), 'type')}, 1, nx) AS more FROM a),
+c AS (SELECT id, part, array_to_string(list_transform(tpl, lambda t, i: {_FILLED}), chr(10)) || array_to_string(list_transform(more, lambda k: {_of(_list(G.CONNECTORS), 'k', "'link'")} || {_MORE}), '')
+    || CASE WHEN {_hash("'scan'")} % 100 < 20 THEN {_of(_list(G.SCANNED), "'scanned'")} ELSE '' END AS text,
+  list_concat(flatten(list_transform(tpl, lambda t, i: list_filter([{_USED}], lambda x: x IS NOT NULL))), list_transform(more, lambda k: {{'v': {_MORE}, 'k': k}})) AS e FROM b),
+d AS (SELECT *, list_distinct(list_transform(e, lambda x: x.v)) AS own FROM c WHERE len(e) >= 3 AND len(list_distinct(list_transform(e, lambda x: x.k))) >= 2)
+SELECT id, part, text, CAST(len(e) AS INT) AS n_entities, CAST(list_sum(list_transform(own, lambda v: (length(text) - length(replace(text, v, ''))) // length(v))) AS INT) AS n_begin,
+  CAST(list_sum(list_transform(own, lambda v: (length(text) - length(replace(text, v, ''))) // length(v) * length(replace(v, ' ', '')))) AS INT) AS n_tagged FROM d"""
 
 
 def synthetic_fields(spark, sf_dir):
@@ -205,6 +238,12 @@ def synthetic_fields(spark, sf_dir):
     return G.synthesize_field_documents(ids)
 
 
+def routed_fields(spark, sf_dir):
+    """What is found again in the texts made, and the corpus that each goes to."""
+    rows = G.route_field_documents(synthetic_fields(spark, sf_dir))
+    return rows.select("id", "route", F.size("fields").alias("n_fields"), F.col("fields")["저작물명"].alias("work"), F.col("fields")["양도인 주소"].alias("address"), F.coalesce(F.col("fields")["날짜"], F.col("fields")["동의날짜"]).alias("date"))
+
+
 _CON, _CNS = G.DOCUMENTS["contract"], G.DOCUMENTS["consent"]
 _FT = "tpl"
 for _k in G.POOLS:
@@ -212,6 +251,9 @@ for _k in G.POOLS:
 FIELDS_SQL = f"WITH i AS (SELECT o_orderkey AS id FROM orders), k AS (SELECT id, {_sql_pick(['contract', 'consent'], 'kind')} AS kind FROM i), t AS (SELECT *, CASE kind WHEN 'contract' THEN '{_CON}' ELSE '{_CNS}' END AS tpl FROM k) SELECT id, kind, replace({_FT}, '{{WORK}}', '작품 ' || CAST(id AS STRING)) AS text FROM t"
 
 
+ROUTED_SQL = f"WITH i AS (SELECT o_orderkey AS id FROM orders), k AS (SELECT id, {_sql_pick(['contract', 'consent'], 'kind')} AS route, {_sql_pick(G.POOLS['ADDRESS'], 'ADDRESS')} AS a, {_sql_pick(G.POOLS['DATE'], 'DATE')} AS date FROM i) SELECT id, route, 5 AS n_fields, CASE route WHEN 'contract' THEN '작품 ' || CAST(id AS STRING) END AS work, CASE route WHEN 'consent' THEN a END AS address, date FROM k"
+
+
 def evaluation_mix(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     return G.evaluation_mix(ids.filter("id % 3 <> 0"), ids.filter("id % 3 = 0"))
@@ -247,7 +289,7 @@ QUERIES = {
     "ocr_lines": ocr_lines, "ocr_confidence": ocr_confidence, "ocr_words": ocr_words, "choose_engine_priority": choose_engine("google_priority"), "choose_engine_longest": choose_engine("longest"),
     "choose_engine_consensus": choose_engine("consensus"), "assemble_documents": assemble_documents, "ocr_summary": ocr_summary, "decode_spans": decode_spans, "evaluate_entities": evaluate_entities,
     "evaluate_by_type": evaluate_by_type, "top_types": top_types, "evaluate_tokens": evaluate_tokens, "token_accuracy": token_accuracy, "stratified_split": stratified_split, "label_distribution": label_distribution,
-    "first_sentences": first_sentences, "expand_labels": expand_labels, "conll_round_trip": conll_round_trip, "synthetic_corpus": synthetic_corpus, "synthetic_fields": synthetic_fields,
+    "first_sentences": first_sentences, "expand_labels": expand_labels, "conll_round_trip": conll_round_trip, "synthetic_corpus": synthetic_corpus, "synthetic_fields": synthetic_fields, "routed_fields": routed_fields,
     "evaluation_mix": evaluation_mix, "latest_requests": latest_requests, "api_spend": api_spend, "folder_documents": folder_documents,
 }
 SQL = {
@@ -259,6 +301,6 @@ SQL = {
     "stratified_split": f"WITH {_SPLIT} SELECT sent_id, split FROM f", "label_distribution": DIST_SQL,
     "first_sentences": f"WITH {_TOK} SELECT sent_id, CAST(count(*) AS INT) AS n FROM tok GROUP BY sent_id ORDER BY sent_id LIMIT 100",
     "expand_labels": f"WITH {_TOK} SELECT gold AS label, count(*) AS tokens, count(*) * 5 AS characters FROM tok GROUP BY gold",
-    "synthetic_corpus": SYNTH_SQL, "synthetic_fields": FIELDS_SQL, "evaluation_mix": MIX_SQL, "latest_requests": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
+    "synthetic_corpus": SYNTH_SQL, "synthetic_fields": FIELDS_SQL, "routed_fields": ROUTED_SQL, "evaluation_mix": MIX_SQL, "latest_requests": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
     "api_spend": SPEND_SQL, "folder_documents": FOLDER_SQL, "choose_engine_consensus": CONSENSUS_SQL, "conll_round_trip": CONLL_SQL,
 }

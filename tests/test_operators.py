@@ -174,8 +174,24 @@ def test_synthesis_is_stable(spark):
     a = {r.id: r.text for r in synth.synthesize_corpus(spark.range(40), tagged=False).collect()}
     b = {r.id: r.text for r in synth.synthesize_corpus(spark.range(40).repartition(7), tagged=False).collect()}
     assert a == b and not any("{" in t for t in a.values())
-    parts = {r.part for r in synth.split_value_pool(spark).collect()}
-    assert parts == {"train", "eval"}
+    rows = synth.split_value_pool(spark).collect()
+    assert {(r.type, r.value) for r in rows} == {(k, v) for k, pool in synth.POOLS.items() for v in pool} and len(rows) == sum(map(len, synth.POOLS.values()))
+
+
+def test_generators_keep_to_their_part(spark):
+    pools = synth.part_pools("eval")
+    rows = synth.synthesize_corpus(spark.range(60), pools=pools).collect()
+    assert 40 < len(rows) <= 60 and all(e.value in pools[e.type] for r in rows for e in r.entities)
+    assert all(len(r.labels) == len(r.text) and len(r.entities) >= 3 and len({e.type for e in r.entities}) >= 2 for r in rows)
+    assert any("\n" in r.text for r in rows) and any(len(r.entities) > 8 for r in rows)
+
+
+def test_routes_follow_what_is_found(spark):
+    made = synth.synthesize_field_documents(spark.range(20))
+    odd = made.limit(0).unionByName(spark.createDataFrame([(90, "contract", None), (91, "contract", ""), (92, "contract", "저작물명: 바람 ○")], made.schema))
+    rows = synth.route_field_documents(made.unionByName(odd)).collect()
+    assert len(rows) == 23 and all(r.route == r.kind for r in rows if r.id < 90)
+    assert {r.id: r.route for r in rows if r.id >= 90} == {90: "consent", 91: "consent", 92: "contract"}
 
 
 def test_models(spark):
