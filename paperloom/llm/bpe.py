@@ -185,7 +185,10 @@ class MergeAutomaton:
 
 
 class _LabelTable:
-    """The labels of arcs and their beginnings by 64-bit hash; ``all_in`` finds the arcs in many words at once."""
+    """The labels of arcs and their beginnings by 64-bit hash; ``all_in`` finds the arcs in many words at once.
+
+    A beginning is known by the beginning without its last byte and that byte, so what is found is equal byte by byte.
+    """
 
     def __init__(self, labels: list[bytes], arcs: list[int]) -> None:
         self.beginnings = {labels[t][:k] for t in arcs for k in range(1, len(labels[t]) + 1)}
@@ -196,7 +199,9 @@ class _LabelTable:
         for k in range(int(length.max())):
             more = np.flatnonzero(length > k)
             h[more] = self._step(h[more], data[at[more] + k])
-        self.hash, self.arc = h, np.array([of.get(x, -1) for x in parts], np.int64)
+        self.arc = np.array([of.get(x, -1) for x in parts], np.int64)
+        place = {x: i for i, x in enumerate(parts)}
+        self.parent, self.last = np.array([place.get(x[:-1], -1) for x in parts], np.int64), data[at + length - 1]
         self.bits = (4 * len(parts)).bit_length()
         slots = np.full(1 << self.bits, -1, np.int64)
         left, slot = np.arange(len(parts)), self._slot(h)
@@ -217,16 +222,17 @@ class _LabelTable:
 
     def all_in(self, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, token) of every arc that begins at any byte of ``data`` and ends by that byte's ``stop``."""
-        live, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        live, h, node = np.arange(len(data)), np.zeros(len(data), np.uint64), np.full(len(data), -1, np.int64)
         where, token = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         k = 0
         while len(live):
-            h = self._step(h, data[live + k])
+            byte = data[live + k]
+            h = self._step(h, byte)
             k += 1
             slot, known, open_ = self._slot(h), np.full(len(live), -1, np.int64), np.arange(len(live))
             while len(open_):
                 i = self.slots[slot[open_]]
-                hit = (i >= 0) & (self.hash[i] == h[open_])
+                hit = (i >= 0) & (self.parent[i] == node[open_]) & (self.last[i] == byte[open_])
                 known[open_[hit]] = i[hit]
                 open_ = open_[(i >= 0) & ~hit]
                 slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
@@ -234,7 +240,7 @@ class _LabelTable:
             arc = self.arc[known[some]]
             where.append(live[some[arc >= 0]]), token.append(arc[arc >= 0])
             some = some[live[some] + k < stop[live[some]]]
-            live, h = live[some], h[some]
+            live, h, node = live[some], h[some], known[some]
         return np.concatenate(where), np.concatenate(token)
 
 

@@ -1,7 +1,8 @@
 """Vectorised word and shingle hashing over Arrow text columns.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as a-z.  Words are hashed with a
-polynomial over a byte table (prefix sums make every word of a buffer one subtraction), then mixed with their length.
+A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as a-z.  Words are hashed with two
+polynomials over byte tables (prefix sums make every word of a buffer one subtraction), one modulo 2^64 and one modulo the
+prime 2^31 - 1, as the former alone has equal values for long words by construction; they are mixed with the word's length.
 Texts are read in blocks of ``BLOCK`` bytes, so one very long text needs no more working memory than many short ones.
 """
 
@@ -50,47 +51,72 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = mix((_LOWER.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
 _BYTE[_SPACE] = 0
+_PRIME, _SHIFT = np.uint64((1 << 31) - 1), np.uint64(31)
+_P, _PBASE = (1 << 31) - 1, 1_000_000_007
+_PBYTE = mix(_LOWER.astype(np.uint64) + np.uint64(512)) % _PRIME
+_PBYTE[_SPACE] = 0
 _TABLES: dict[str, np.ndarray] = {}
 
 
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    filled = 1
+    while filled < n:  # doubles: base ** (filled + i) = base ** filled * base ** i
+        more = min(filled, n - filled)
+        out[filled : filled + more] = out[:more] * np.uint64(pow(base, filled, _P)) % _PRIME
+        filled += more
+    return out
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _TABLES:
         _TABLES["pow"] = _powers(_BASE, BLOCK)
         _TABLES["inv"] = _powers(pow(_BASE, -1, 1 << 64), BLOCK)
+        _TABLES["prime"] = _prime_powers(_PBASE, BLOCK)
+        _TABLES["prime inv"] = _prime_powers(pow(_PBASE, -1, _P), BLOCK)
     return _TABLES["pow"][:n], _TABLES["inv"][:n]
 
 
-def _raw_words(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and raw polynomial of every run of word bytes in a block of at most BLOCK bytes."""
+def _raw_words(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and both raw polynomials of every run of word bytes in a block of at most BLOCK bytes."""
     edge = np.diff(np.concatenate(([1], _SPACE[block].view(np.int8), [1])).astype(np.int8))
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = _tables(len(block))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[block] * power, dtype=np.uint64)))
-    return start, stop - start, (total[stop] - total[start]) * inverse[start]
+    low = _PBYTE[block] * _TABLES["prime"][: len(block)]
+    low = (low & _PRIME) + (low >> _SHIFT)  # the same modulo the prime, below 2^32, so that a block's sum stays below 2^52
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(low, dtype=np.uint64)))
+    return start, stop - start, (total[stop] - total[start]) * inverse[start], (sums[stop] - sums[start]) % _PRIME * _TABLES["prime inv"][start] % _PRIME
 
 
 def _finish(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix(raw + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _word(raw: np.ndarray, length: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mix(_finish(raw, length) + low * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def _long_words(data: np.ndarray) -> np.ndarray:
     """Word hashes of one text of any length, block by block; a word may span blocks."""
-    raws, lengths, open_raw, open_len = [], [], 0, 0
+    parts, open_raw, open_len, open_low = [], 0, 0, 0
     for at in range(0, len(data), BLOCK):
         block = data[at : at + BLOCK]
-        start, length, raw = _raw_words(block)
+        start, length, raw, low = _raw_words(block)
         if open_len and not (len(start) and start[0] == 0):
-            raws.append(np.array([open_raw], np.uint64)), lengths.append(np.array([open_len]))
+            parts.append((np.array([open_raw], np.uint64), np.array([open_len]), np.array([open_low], np.uint64)))
         elif open_len:
             raw[0] = np.uint64((open_raw + int(raw[0]) * pow(_BASE, open_len, 1 << 64)) & _M64)
+            low[0] = np.uint64((open_low + int(low[0]) * pow(_PBASE, open_len, _P)) % _P)
             length[0] += open_len
-        open_raw = open_len = 0
+        open_raw = open_len = open_low = 0
         if len(start) and not _SPACE[block[-1]]:
-            open_raw, open_len, raw, length = int(raw[-1]), int(length[-1]), raw[:-1], length[:-1]
-        raws.append(raw), lengths.append(length)
+            open_raw, open_len, open_low = int(raw[-1]), int(length[-1]), int(low[-1])
+            raw, length, low = raw[:-1], length[:-1], low[:-1]
+        parts.append((raw, length, low))
     if open_len:
-        raws.append(np.array([open_raw], np.uint64)), lengths.append(np.array([open_len]))
-    return _finish(np.concatenate(raws), np.concatenate(lengths)) if raws else np.zeros(0, np.uint64)
+        parts.append((np.array([open_raw], np.uint64), np.array([open_len]), np.array([open_low], np.uint64)))
+    return _word(*map(np.concatenate, zip(*parts, strict=True))) if parts else np.zeros(0, np.uint64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +155,9 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             words = _long_words(data)
             yield i, np.array([len(words)]), words
         else:
-            start, length, raw = _raw_words(data)
+            start, length, raw, low = _raw_words(data)
             owner = np.searchsorted(ends, start, "right")
-            yield i, np.bincount(owner, minlength=len(ends)), _finish(raw, length)
+            yield i, np.bincount(owner, minlength=len(ends)), _word(raw, length, low)
 
 
 def word_cues(column: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -169,8 +195,8 @@ def shingles(counts: np.ndarray, words: np.ndarray, k: int) -> Iterator[np.ndarr
     """For each text the sorted distinct hashes of its k-word shingles; fewer words make one shingle, none make none."""
     n = len(words)
     rolled = np.zeros(n, np.uint64)
-    for j in range(k):
-        rolled[: n - j if j else n] += mix(words[j:] + np.uint64((j * 0xA0761D6478BD642F) & _M64)) * np.uint64(2 * j + 3)
+    for j in range(min(k, n)):
+        rolled[: n - j] += mix(words[j:] + np.uint64((j * 0xA0761D6478BD642F) & _M64)) * np.uint64(2 * j + 3)
     rolled = mix(rolled)
     at = 0
     for c in counts.tolist():

@@ -2,7 +2,7 @@
 
 Many texts are read at once as one array of code points.  Words begin where the class of characters changes (letters,
 numbers, white space, all else) and are hashed with prefix sums of a polynomial, so no Python object is made for a word
-unless it is new to the table.
+unless it is new to the table.  A hash only says where to look: a word is that of the table if all its letters are.
 """
 
 from __future__ import annotations
@@ -11,25 +11,29 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import regex
 
 from .hashing import mix
 
 # Fixed values of the byte-level format: white space as its splitter sees it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # the inside of a character class
 LETTER, NUMBER, SPACE = 1, 2, 3
-#: Characters read at once.
+#: Characters read at once, and characters of words that a table holds.
 BLOCK = 1 << 19
+LETTERS = 1 << 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 @cache
 def classes() -> np.ndarray:
-    """The class of every code point: LETTER, NUMBER, SPACE or 0."""
+    """The class of every code point, LETTER, NUMBER, SPACE or 0, as the patterns of the tokenizers library have it."""
+    from tokenizers import Regex, pre_tokenizers
+
     out = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (f"[{WHITE}]", SPACE)):
-        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), "<u4")] = kind
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    every = "".join(map(chr, points.tolist()))
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (f"[{WHITE}]+", SPACE)):
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            out[points[a:b]] = kind
     return out
 
 
@@ -138,10 +142,11 @@ def _cut(text: str, at: int, most: int) -> int:
 
 
 class WordTable:
-    """Ids of words by hash, an open-addressing table in arrays.
+    """Ids of words, an open-addressing table in arrays: the hash of a word, its letters and its ids.
 
     ``learn`` gives the ids of a list of new words, one after the other, and how many each has (or None where it cannot).
-    A table that is half full starts anew, so memory stays bounded; what is kept changes the time and not the ids.
+    A table that is half full, or that holds LETTERS letters, starts anew, so memory stays bounded; what is kept changes the
+    time and not the ids.
     """
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray] | None], slots: int = 1 << 20) -> None:
@@ -150,9 +155,10 @@ class WordTable:
 
     def _clear(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
-        self.at = np.zeros(self.slots, np.int64)
-        self.n = np.zeros(self.slots, np.int32)
+        self.at, self.n = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
+        self.word_at, self.size = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
         self.pool, self.used, self.held = np.zeros(1 << 16, "<u4"), 0, 0
+        self.letters, self.lettered = np.zeros(1 << 16, "<u4"), 0
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each hash, and whether it is there (else the slot is empty)."""
@@ -167,43 +173,77 @@ class WordTable:
             rest = rest[(found != h[rest]) & (found != 0)]
         return slot, there
 
-    def _add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")))
+    def _add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        letters = points[_stretches(start, size)]
+        self.pool, self.letters = _grown(self.pool, self.used + len(ids)), _grown(self.letters, self.lettered + len(letters))
         self.pool[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(n) - n
-        self.used += len(ids)
+        self.letters[self.lettered : self.lettered + len(letters)] = letters
+        at, word_at = self.used + np.cumsum(n) - n, self.lettered + np.cumsum(size) - size
+        self.used, self.lettered = self.used + len(ids), self.lettered + len(letters)
         left = np.arange(len(h))
         while len(left):
             slot, _ = self._find(h[left])
             self.keys[slot] = h[left]
             won = self.keys[slot] == h[left]
-            self.at[slot[won]], self.n[slot[won]] = at[left[won]], n[left[won]]
+            own = left[won]
+            self.at[slot[won]], self.n[slot[won]], self.word_at[slot[won]], self.size[slot[won]] = at[own], n[own], word_at[own], size[own]
             left = left[~won]
         self.held += len(h)
 
-    def ids(self, text: str, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    def _same(self, slot: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the word of each slot is the one asked for, letter by letter."""
+        same = self.size[slot] == size
+        rows = np.flatnonzero(same)
+        if not len(rows):
+            return same
+        n = size[rows]
+        ends = np.cumsum(n)
+        first, last = start[rows[0]], start[rows[-1]] + n[-1]
+        own = points[first:last] if last - first == ends[-1] else points[_stretches(start[rows], n)]
+        differ = np.flatnonzero(self.letters[_stretches(self.word_at[slot[rows]], n)] != own)
+        same[rows[np.searchsorted(ends, differ, "right")]] = False
+        return same
+
+    def ids(self, text: str, points: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """All ids of the words of ``text`` in order, and how many each word has; None where one cannot be learned."""
+        size = stop - start
         slot, there = self._find(h)
         if not there.all():
             own, where = np.unique(h[~there], return_index=True)
-            if self.held + len(own) > self.slots // 2:
+            where = np.flatnonzero(~there)[where]
+            if self.held + len(own) > self.slots // 2 or self.lettered + size[where].sum() > LETTERS:
                 self._clear()
                 own, where = np.unique(h, return_index=True)
                 if len(own) > self.slots // 2:
                     self.slots = 1 << (2 * len(own)).bit_length()
                     self._clear()
-            else:
-                where = np.flatnonzero(~there)[where]
             got = self.learn([text[a:b] for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)])
             if got is None:
                 return None
-            self._add(own, *got)
+            self._add(own, *got, points, start[where], size[where])
             slot, _ = self._find(h)
-        n = self.n[slot].astype(np.int64)
-        ends = np.cumsum(n)
-        at = np.repeat(self.at[slot] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.pool[at], n
+        at, n, pool = self.at[slot], self.n[slot].astype(np.int64), self.pool
+        other = np.flatnonzero(~self._same(slot, points, start, size))
+        if len(other):  # words with the hash of another word are learned for this time only
+            words = [text[a:b] for a, b in zip(start[other].tolist(), stop[other].tolist(), strict=True)]
+            place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            got = self.learn(list(place))
+            if got is None:
+                return None
+            rows = np.array([place[w] for w in words])
+            at[other], n[other] = self.used + (np.cumsum(got[1]) - got[1])[rows], got[1][rows]
+            pool = np.concatenate((pool[: self.used], got[0]))
+        return pool[_stretches(at, n)], n
+
+
+def _grown(array: np.ndarray, least: int) -> np.ndarray:
+    return array if least <= len(array) else np.concatenate((array, np.zeros(max(len(array), least - len(array)), array.dtype)))
+
+
+def _stretches(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of stretches of n, one stretch after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def encode_texts(texts: list[str], table: WordTable, spaced: bool, whole: Callable[[str], np.ndarray]) -> Iterator[np.ndarray]:
@@ -218,7 +258,7 @@ def encode_texts(texts: list[str], table: WordTable, spaced: bool, whole: Callab
         if text:
             points = code_points(text)
             start, stop = split(points, bounds[sizes > 0], spaced)
-            got = table.ids(text, hashes(points, start, stop), start, stop)
+            got = table.ids(text, points, hashes(points, start, stop), start, stop)
         if text and got is None:
             own = [whole(p) for p in parts]
         elif text:

@@ -73,3 +73,28 @@ def test_rows(spark, make):
     back = sorted((str(r.doc_id), r.text) for r in B.decode_documents(out, PATH).collect())
     assert back == sorted((str(i), t or "") for i, t in ODD)
     assert B.encode_documents(make([]), PATH).count() == 0
+
+
+def test_words_with_equal_hashes_keep_their_own_ids(both, spark, make):
+    from llm_cases import crafted
+
+    bpe, lib = both
+    texts = [w for k in (10, 11, 12) for w in crafted(k)] * 2 + ["a b " + " ".join(crafted(11))]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in bpe.encode_all(texts)] == want
+    assert [x.tolist() for x in bpe.encode_all(texts)] == want  # now the table knows one of each pair
+    assert [bpe.decode(x).decode() for x in bpe.encode_all(texts)] == texts
+    rows = B.encode_documents(make(list(enumerate(texts))), PATH).collect()
+    assert {r.doc_id: r.ids for r in rows} == dict(enumerate(want))
+
+
+def test_every_word_in_one_slot(both, monkeypatch):
+    from paperloom.llm import words as W
+
+    bpe, lib = both
+    random.seed(8)
+    texts = ["".join(random.choice("abc d.") for _ in range(60)) for _ in range(40)]
+    monkeypatch.setattr(W, "hashes", lambda points, start, stop: np.full(len(start), 5, np.uint64))
+    table = W.WordTable(bpe.words.learn, 256)
+    got = list(W.encode_texts(texts, table, True, lambda part: part))
+    assert [x.tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]

@@ -86,3 +86,21 @@ def test_bounds():
                 assert o >= n - J.prefix_length(n, 80, 100) + 1
     with pytest.raises(ValueError):
         J.jaccard_links(None, 3, 50, 100)
+
+
+def test_crafted_words_do_not_link(spark, make):
+    from llm_cases import crafted
+
+    import pyarrow as pa
+
+    from paperloom.llm.hashing import text_shingles
+
+    words = [w for k in (10, 11, 12, 20) for w in crafted(k)]
+    hashes = [h.tolist() for h in text_shingles(pa.array(words), 3)]
+    assert len({x for h in hashes for x in h}) == len(words)
+    a, b = crafted(11)
+    docs = make([(1, f"{a} {a} {b}"), (2, f"{b} {b} {a}"), (3, f"{a} {a} {b}"), (4, a), (5, b)])
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    kept = {r.doc_id for r in J.drop_near_duplicates(make([(1, a), (2, b), (3, f"{a} x y z w"), (4, f"{b} x y z w")])).collect()}
+    assert kept == {1, 2, 3, 4}

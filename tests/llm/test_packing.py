@@ -94,3 +94,17 @@ def test_assemble(spark, make):
     docs = make([(1, "one two"), (2, "three"), (3, "four " * 3000)], extra=False)
     seqs = P.assemble(docs, P.pack_documents(docs, PATH), PATH).collect()
     assert sum(len(s.ids) for s in seqs) == sum(len(P.WordIds(vocabulary(PATH)).encode(t)) // 4 + 1 for t in ("one two", "three", "four " * 3000))
+
+
+def test_characters_of_any_unicode_version_like_the_library():
+    from llm_cases import crafted
+
+    c = P.WordIds(vocabulary(PATH))
+    random.seed(11)
+    planes = [(0x20, 0x3000), (0x3000, 0xD800), (0xE000, 0x10000), (0x10000, 0x20000), (0x20000, 0x32000), (0xE0000, 0x10FFFF)]
+    texts = ["".join(chr(random.randint(*random.choice(planes)) if random.random() < 0.7 else ord(random.choice("ab 1'."))) for _ in range(random.randint(1, 12))) for _ in range(10_000)]
+    texts = [t.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for t in texts]
+    texts += ["a\u0c5cb", "\U00010ee8\U0001df6d x\U00018ff4b", *[w for k in (10, 11, 12) for w in crafted(k)]]
+    want = [x.ids for x in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, ids, w in zip(texts, c.encode_all(texts), want, strict=True) if ids.tolist() != w]
+    assert not wrong, (len(wrong), [ascii(t) for t in wrong[:5]])
