@@ -18,8 +18,8 @@ BY_TITLE = [(TRANSFER, ["양도동의서", "copyright transfer", "transfer conse
 SCHEMAS = [
     ("copyright_transfer", ["양도동의", "copyright transfer", "transfer consent"]),
     ("public_copyright", ["공공저작물", "공공누리", "자유이용허락", "public copyright"]),
-    ("contract", ["계약서", "contract"]),
-    ("consent", ["동의서", "consent"]),
+    ("contract_enhanced", ["계약서", "contract"]),
+    ("consent_enhanced", ["동의서", "consent"]),
 ]
 PATH_WORDS = [(CONTRACT, ["계약서", "contract"]), (CONSENT, ["동의서", "consent"])]
 STEM_WORDS = [(CONTRACT, ["계약", "contract", "agreement"]), (CONSENT, ["동의", "consent", "approval"])]
@@ -81,5 +81,5 @@ def category_from_anchor(path: Column) -> Column:
 
 
 def schema_for_document_type(kind: Column) -> Column:
-    """The schema of a document type, specific ones first."""
-    return by_words(kind, SCHEMAS, F.lit("general"))
+    """The schema of a document type, specific ones first; plain documents have the extended schemas."""
+    return by_words(kind, SCHEMAS, F.lit("general_enhanced"))

@@ -179,11 +179,6 @@ def field_completeness(fields: list[Column], properties: int | None = None) -> C
     return F.least(F.lit(1.0), filled / F.lit(float(properties)))
 
 
-def field_completeness_by_schema(fields: list[Column]) -> Column:
-    """The share of the schema's fields that are filled; 0 without fields."""
-    return field_completeness(fields) if fields else F.lit(0.0)
-
-
 def estimate_cost(text: Column, price: Column) -> Column:
     """A quarter token for each character, priced per thousand tokens."""
     return F.length(text) / 4 * price / 1000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,50 +11,62 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_entity, strip_ws
+from ..sources.record_files import write_files
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, the group that is the value, and label prefixes to take out of it."""
+    """A pattern, the group that is the value, label prefixes to take out of it, and where to look for it.
+
+    One of ``words`` is in every match, so texts without any are not searched.  ``run`` are characters that every match begins
+    with and that may go on without a limit: the search begins where such a run begins, or where the last match ended, and not
+    at each of its characters.
+    """
 
     type: str
     pattern: str
-    group: int = 1
+    words: tuple[str, ...]
     drop: tuple[str, ...] = ()
+    run: str = ""
+    group: int = 1
+
+    def search(self) -> str:
+        return rf"(?:\G|(?<![{self.run}])){self.pattern}" if self.run else self.pattern
 
 
+HANGUL, LOCAL = "가-힣", "a-zA-Z0-9._%+-"
+ORGS = ("소속:", "회사:", "기관:")
 # The patterns of each type, in order.
-ORG_ENDS = "주식회사|㈜|회사|기관|재단|협회|센터|연구소|연구원|대학교|청|처|부|원"
 RULES = [
-    Rule("NAME", r"([가-힣]{2,4})(?=\s*(?:씨|님|선생|교수|박사|의원|대표|이사|부장|과장|대리|주임|팀장))", 1, (":",)),
-    Rule("NAME", r"성명:\s*([가-힣]{2,4})", 1, (":",)),
-    Rule("NAME", r"이름:\s*([가-힣]{2,4})", 1, (":",)),
-    Rule("NAME", r"계약자:\s*([가-힣]{2,4})", 1, (":",)),
-    Rule("NAME", r"(?:갑|을):\s*([가-힣]{2,4})", 1, (":",)),
-    Rule("PHONE", r"(\d{2,3}-\d{3,4}-\d{4})", 1),
-    Rule("PHONE", r"(\d{3}-\d{4}-\d{4})", 1),
-    Rule("PHONE", r"전화번호:\s*([0-9-]{10,15})", 1),
-    Rule("PHONE", r"연락처:\s*([0-9-]{10,15})", 1),
-    Rule("PHONE", r"TEL:\s*([0-9-]{10,15})", 1),
-    Rule("ADDRESS", r"주소:\s*([가-힣0-9\s-]+(?:시|구|군|동|로|길)[가-힣0-9\s-]*)", 1),
-    Rule("ADDRESS", r"([가-힣]+(?:시|도)\s+[가-힣]+(?:구|군)\s+[가-힣0-9\s-]*(?:로|길|동)[\s0-9]*)", 1),
-    Rule("ADDRESS", r"(서울시\s+[가-힣]+구[가-힣0-9\s-]*)", 1),
-    Rule("ADDRESS", r"(부산시\s+[가-힣]+구[가-힣0-9\s-]*)", 1),
-    Rule("EMAIL", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", 1),
-    Rule("COMPANY", rf"([가-힣]+(?:{ORG_ENDS}))", 1, ("소속:", "회사:", "기관:")),
-    Rule("COMPANY", rf"소속:\s*([가-힣0-9\s]+(?:{ORG_ENDS}))", 1, ("소속:", "회사:", "기관:")),
-    Rule("COMPANY", r"회사:\s*([가-힣0-9\s]+)", 1, ("소속:", "회사:", "기관:")),
-    Rule("COMPANY", r"기관:\s*([가-힣0-9\s]+)", 1, ("소속:", "회사:", "기관:")),
-    Rule("DATE", r"(\d{4}년\s*\d{1,2}월\s*\d{1,2}일)", 1),
-    Rule("DATE", r"(\d{4}\.\d{1,2}\.\d{1,2})", 1),
-    Rule("DATE", r"(\d{4}-\d{1,2}-\d{1,2})", 1),
-    Rule("DATE", r"(\d{1,2}/\d{1,2}/\d{4})", 1),
-    Rule("DATE", r"작성일:\s*([0-9년월일.\s-]+)", 1),
-    Rule("DATE", r"계약일:\s*([0-9년월일.\s-]+)", 1),
-    Rule("MONEY", r"(\d{1,3}(?:,\d{3})*원)", 1, ("금",)),
-    Rule("MONEY", r"금\s*(\d{1,3}(?:,\d{3})*원)", 1, ("금",)),
-    Rule("MONEY", r"계약금:\s*([0-9,원\s]+)", 1, ("금",)),
-    Rule("MONEY", r"사업비:\s*([0-9,원\s]+)", 1, ("금",)),
+    Rule("NAME", r"([가-힣]{2,4})(?=\s*(?:씨|님|선생|교수|박사|의원|대표|이사|부장|과장|대리|주임|팀장))", ("씨", "님", "선생", "교수", "박사", "의원", "대표", "이사", "부장", "과장", "대리", "주임", "팀장"), (":",)),
+    Rule("NAME", r"성명:\s*([가-힣]{2,4})", ("성명:",), (":",)),
+    Rule("NAME", r"이름:\s*([가-힣]{2,4})", ("이름:",), (":",)),
+    Rule("NAME", r"계약자:\s*([가-힣]{2,4})", ("계약자:",), (":",)),
+    Rule("NAME", r"(?:갑|을):\s*([가-힣]{2,4})", ("갑:", "을:"), (":",)),
+    Rule("PHONE", r"(\d{2,3}-\d{3,4}-\d{4})", ("-",)),
+    Rule("PHONE", r"(\d{3}-\d{4}-\d{4})", ("-",)),
+    Rule("PHONE", r"전화번호:\s*([0-9-]{10,15})", ("전화번호:",)),
+    Rule("PHONE", r"연락처:\s*([0-9-]{10,15})", ("연락처:",)),
+    Rule("PHONE", r"TEL:\s*([0-9-]{10,15})", ("TEL:",)),
+    Rule("ADDRESS", r"주소:\s*([가-힣0-9\s-]+(?:시|구|군|동|로|길)[가-힣0-9\s-]*)", ("주소:",)),
+    Rule("ADDRESS", r"([가-힣]+(?:시|도)\s+[가-힣]+(?:구|군)\s+[가-힣0-9\s-]*(?:로|길|동)[\s0-9]*)", ("구", "군"), run=HANGUL),
+    Rule("ADDRESS", r"(서울시\s+[가-힣]+구[가-힣0-9\s-]*)", ("서울시",)),
+    Rule("ADDRESS", r"(부산시\s+[가-힣]+구[가-힣0-9\s-]*)", ("부산시",)),
+    Rule("EMAIL", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", ("@",), run=LOCAL),
+    Rule("COMPANY", r"([가-힣]+(?:주식회사|㈜|회사|기관|재단|협회|센터|연구소|연구원|대학교|청|처|부|원))", ("㈜", "회사", "기관", "재단", "협회", "센터", "연구소", "연구원", "대학교", "청", "처", "부", "원"), ORGS, HANGUL),
+    Rule("COMPANY", r"소속:\s*([가-힣0-9\s]+(?:주식회사|㈜|회사|기관|재단|협회|센터|연구소|연구원|대학교|청|처|부|원))", ("소속:",), ORGS),
+    Rule("COMPANY", r"회사:\s*([가-힣0-9\s]+)", ("회사:",), ORGS),
+    Rule("COMPANY", r"기관:\s*([가-힣0-9\s]+)", ("기관:",), ORGS),
+    Rule("DATE", r"(\d{4}년\s*\d{1,2}월\s*\d{1,2}일)", ("년",)),
+    Rule("DATE", r"(\d{4}\.\d{1,2}\.\d{1,2})", (".",)),
+    Rule("DATE", r"(\d{4}-\d{1,2}-\d{1,2})", ("-",)),
+    Rule("DATE", r"(\d{1,2}/\d{1,2}/\d{4})", ("/",)),
+    Rule("DATE", r"작성일:\s*([0-9년월일.\s-]+)", ("작성일:",)),
+    Rule("DATE", r"계약일:\s*([0-9년월일.\s-]+)", ("계약일:",)),
+    Rule("MONEY", r"(\d{1,3}(?:,\d{3})*원)", ("원",), ("금",)),
+    Rule("MONEY", r"금\s*(\d{1,3}(?:,\d{3})*원)", ("금",), ("금",)),
+    Rule("MONEY", r"계약금:\s*([0-9,원\s]+)", ("계약금:",), ("금",)),
+    Rule("MONEY", r"사업비:\s*([0-9,원\s]+)", ("사업비:",), ("금",)),
 ]
 # Words and shapes that are no entities.
 GLYPHS = ["□", "☑", "○", "●"]
@@ -72,7 +85,7 @@ FILE_ENDINGS = ["png", "jpg", "pdf", "txt", "doc", "xlsx", "jpeg", "gif"]
 TYPE_ENDS = [" 및", " 와", " 또는"]
 
 
-def _any(test, words: list[str]) -> Column:
+def _any(test, words: list[str] | tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [test(F.lit(w)) for w in words])
 
 
@@ -148,9 +161,11 @@ def _shape(kind: Column, value: Column) -> Column:
 def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """(doc_id, value, type), distinct within a document; null and empty texts have none.
 
-    All patterns run in one projection over the text, which is exploded once and does not enter the shuffle.
+    All patterns run in one projection over the text, which is exploded once and does not enter the shuffle; a pattern runs only
+    over texts that hold one of its words, and over each run of characters once.
     """
     text = F.col(text_col)
+    none = F.array().cast("array<struct<type:string,value:string>>")
 
     def found(rule: Rule) -> Column:
         def tidy(v: Column) -> Column:
@@ -158,7 +173,7 @@ def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 v = F.replace(v, F.lit(word), F.lit(""))
             return F.struct(F.lit(rule.type).alias("type"), strip_ws(v).alias("value"))
 
-        return F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), tidy)
+        return F.when(_any(text.contains, rule.words), F.transform(F.regexp_extract_all(text, F.lit(rule.search()), F.lit(rule.group)), tidy)).otherwise(none)
 
     rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.concat(*[found(r) for r in rules])).alias("e")).select("doc_id", "e.value", "e.type")
     valid = F.col("type").isin("EMAIL", "MONEY") | is_valid_entity(F.col("value"), F.col("type"))
@@ -178,7 +193,11 @@ def filter_entities(df: DataFrame, types: list[str] | None = None, min_confidenc
 
 def merge_entities(model: DataFrame, rule: DataFrame) -> DataFrame:
     """Per document one row per value (case and outer blanks apart): model before rule, then type, then value."""
-    both = model.select("doc_id", "value", "type", F.lit(0).alias("rank")).unionByName(rule.select("doc_id", "value", "type", F.lit(1).alias("rank")))
+    return merge_ranked(model.select("doc_id", "value", "type", F.lit(0).alias("rank")).unionByName(rule.select("doc_id", "value", "type", F.lit(1).alias("rank"))))
+
+
+def merge_ranked(both: DataFrame) -> DataFrame:
+    """J1 over rows (doc_id, value, type, rank) of both sources, rank 0 those of the model."""
     key = F.lower(strip_ws(F.col("value")))
     best = both.withColumn("place", F.row_number().over(W.partitionBy("doc_id", key).orderBy("rank", "type", "value"))).filter("place = 1")
     return best.select("doc_id", "value", "type", F.when(F.col("rank") == 0, F.lit("model")).otherwise(F.lit("rule")).alias("source"))
@@ -211,8 +230,17 @@ def sort_entities(df: DataFrame) -> DataFrame:
     return df.orderBy("type", "value", "doc_id")
 
 
-def write_entity_results(df: DataFrame, out: str) -> None:
-    """One JSON object for each document that has entities."""
-    group_entities_by_type(df).filter("entity_count > 0").write.mode("overwrite").json(out)
+def entity_files(df: DataFrame, paths: DataFrame, root: str = "") -> DataFrame:
+    """(name, content): for each document with entities one JSON object under its path below ``root``, ``stem_entities.json``.
+
+    ``paths`` has (doc_id, path).
+    """
+    path = F.regexp_replace("path", "^(?:file:/*(?=/))?" + re.escape(root.rstrip("/")) + "/*", "") if root else F.col("path")
+    rows = group_entities_by_type(df).filter("entity_count > 0").join(paths.select("doc_id", "path"), "doc_id")
+    content = F.to_json(F.struct(F.col("path").alias("file"), "entities", "entity_count", F.map_keys("entities").alias("entity_types")))
+    return rows.select(F.concat(F.regexp_replace(path, r"\.[^./]*\z", ""), F.lit("_entities.json")).alias("name"), content.alias("content"))
 
 
+def write_entity_results(df: DataFrame, paths: DataFrame, out: str, root: str = "", job: str | None = None) -> None:
+    """The files of ``entity_files``, all of them or none."""
+    write_files(entity_files(df, paths, root), out, job)

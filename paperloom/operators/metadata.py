@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.classify import CONSENT, CONTRACT, detect_doc_type
+from ..sources.record_files import write_files
 
 # The roles of a contract and the shapes of names.
 ROLES = ["갑", "을"]
@@ -133,7 +137,20 @@ def record_name(path: Column, index: Column, several: Column) -> Column:
     return F.when(several, F.concat(stem, F.lit("__"), F.lpad(index.cast("string"), 2, "0"))).otherwise(stem)
 
 
-def write_records(records: DataFrame, out: str, name: Column | None = None) -> None:
-    """JSON lines, one object for each record, partitioned by document type and, where given, by the record's name."""
-    rows = records if name is None else records.withColumn("record", name)
-    rows.write.mode("overwrite").partitionBy("document_type", *([] if name is None else ["record"])).json(out)
+def record_files(records: DataFrame, root: str = "", path_col: str = "path", index_col: str | None = "multi_subject_index") -> DataFrame:
+    """(name, content): each record as JSON under the path of its text below ``root``, ``stem.json`` or ``stem__NN.json``.
+
+    A text with several records has the suffix.  ``path`` and columns whose names begin with ``_`` other than
+    ``_validation_errors`` are not part of the record, and null fields are left out.
+    """
+    path = F.regexp_replace(F.col(path_col), "^(?:file:/*(?=/))?" + re.escape(root.rstrip("/")) + "/*", "") if root else F.col(path_col)
+    index = F.lit(0) if index_col is None or index_col not in records.columns else F.coalesce(index_col, F.lit(0))
+    rows = records.withColumn("_index", index).withColumn("_several", F.count(F.lit(1)).over(W.partitionBy(path_col)) > 1)
+    folder = F.regexp_extract(path, r"^(.*/)?[^/]*\z", 1)
+    own = [c for c in records.columns if c != path_col and (not c.startswith("_") or c == "_validation_errors")]
+    return rows.select(F.concat(folder, record_name(path, F.col("_index"), F.col("_several")), F.lit(".json")).alias("name"), F.to_json(F.struct(*own)).alias("content"))
+
+
+def write_records(records: DataFrame, out: str, root: str = "", path_col: str = "path", job: str | None = None) -> None:
+    """One JSON file for each record (see ``record_files``), all of them or none."""
+    write_files(record_files(records, root, path_col), out, job)

@@ -50,7 +50,7 @@ RULES = {
         FieldRule("work_info.work_type", True, ("도서", "음악", "미술", "영상", "기타")),
         FieldRule("copyright_transfer.transfer_type", True, ("전체양도", "부분양도", "이용허락")),
         *_required("copyright_transfer.transfer_scope"),
-        FieldRule("public_nuri_license.license_type", False, _NURI),
+        FieldRule("public_nuri_license.nuri_type", False, _NURI),
         FieldRule("consent_info.consent_status", True, ("동의함", "동의하지 않음", "조건부동의")),
         *_required("consent_info.consent_date", "parties[].name"),
         FieldRule("parties[].role", True, ("저작자", "출판사", "기관", "대리인", "증인")),
@@ -67,6 +67,42 @@ RULES = {
         FieldRule("processing_info.extraction_confidence", low=0, high=1),
     ],
 }
+_RIGHTS = "reproduction_right performance_right broadcasting_right exhibition_right distribution_right rental_right derivative_work_right".split()
+
+
+def _kinds(string: str = "", number: str = "", boolean: str = "", array: str = "", object: str = "", rights: str = "") -> dict[str, str]:
+    """The type of each field, by lists of fields; the rights are booleans of the object ``rights``."""
+    named = {"string": string, "number": number, "boolean": boolean, "array": array, "object": object}
+    return {f: kind for kind, fields in named.items() for f in fields.split()} | {f"{rights}.{r}": "boolean" for r in _RIGHTS if rights}
+
+
+_PARTIES = "parties[].name parties[].phone parties[].address parties[].registration_no parties[].role"
+_CHECKBOX = {"checkbox_info": "object", "checkbox_info.pattern_detected": "string", "checkbox_info.extraction_confidence": "number", "checkbox_info.checkbox_fields_found": "array"}
+# The types of the schemas' fields.
+TYPES = {
+    "contract": _kinds(
+        f"contract_type rights_holder user work_title work_category contract_purpose contract_duration payment_currency signature_date effective_date expiration_date {_PARTIES}",
+        "payment_amount", "", "special_terms termination_conditions parties", "granted_rights contract_terms", "granted_rights",
+    ),
+    "consent": _kinds(
+        f"consent_type data_controller data_subject collection_purpose retention_period consent_status consent_date signature withdrawal_rights consequences_of_refusal {_PARTIES}",
+        "", "", "collected_data_types parties", "third_party_sharing contact_info",
+    ),
+    "general": _kinds(f"document_type title main_content key_dates[].date key_amounts[].currency {_PARTIES}", "key_amounts[].amount", "", "parties key_dates key_amounts important_terms", "checkbox_data"),
+    "copyright_transfer": _kinds(
+        f"document_type document_title work_category work_info.work_title work_info.work_type copyright_transfer.transfer_type public_nuri_license.nuri_type consent_info.consent_status consent_info.consent_date {_PARTIES}",
+        "", "", "parties consent_info.consent_scope", "work_info copyright_transfer public_nuri_license consent_info contract_terms copyright_transfer.transfer_scope copyright_transfer.compensation",
+    )
+    | _CHECKBOX,
+    "public_copyright": _kinds(
+        "consent_type data_controller data_subject consent_date signature utilizing_institution work_display.institution work_display.work_category work_display.detailed_info copyright_license.license_purpose "
+        "copyright_license.licensing_institution copyright_license.license_type public_nuri_license.license_purpose public_nuri_license.nuri_type personal_info_consent.collection_purpose "
+        "personal_info_consent.retention_period parties[].name parties[].phone parties[].address parties[].role processing_info.checkbox_pattern_detected",
+        "processing_info.extraction_confidence", "", "parties work_display.work_names public_nuri_license.available_types personal_info_consent.collected_data_types",
+        "work_display copyright_license public_nuri_license personal_info_consent processing_info work_display.work_details copyright_license.granted_rights", "copyright_license.granted_rights",
+    ),
+}
+TYPES |= {f"{name}_enhanced": TYPES[name] | _CHECKBOX for name in ("contract", "consent", "general")}
 #: Top-level fields of the schemas, the denominators of completeness.
 PROPERTIES = {
     "contract": "contract_type rights_holder user work_title work_category granted_rights contract_terms contract_purpose contract_duration payment_amount payment_currency signature_date effective_date expiration_date special_terms termination_conditions parties checkbox_info".split(),
@@ -140,10 +176,103 @@ def validate_records(df: DataFrame, schema: str) -> DataFrame:
 
 def completeness(df: DataFrame, schema: str) -> Column:
     """The share of the schema's top-level fields that a record of ``df`` has filled."""
-    own = PROPERTIES[schema]
+    own = PROPERTIES[schema.removesuffix("_enhanced")]
     return field_completeness([F.col(c) for c in own if c in df.columns], len(own))
 
 
+def _kind_of(value: Column) -> Column:
+    """The JSON type of a variant, null for a JSON null and for what is absent."""
+    name = F.schema_of_variant(value)
+    return (
+        F.when(name.startswith("OBJECT"), F.lit("object"))
+        .when(name.startswith("ARRAY"), F.lit("array"))
+        .when(name.isin("STRING", "BOOLEAN"), F.lower(name))
+        .when(name != "VOID", F.lit("number"))
+    )
+
+
+_RULE = "struct<field: string, path: string, around: string, top: string, kind: string, required: boolean, allowed: array<string>, low: double, high: double>"
+
+
+def answer_rules(spark: SparkSession) -> DataFrame:
+    """(schema, rules, lists, fields): the rules of each schema as rows, of fixed size; ``lists`` are those for items of lists."""
+    rows = []
+    for schema, own in RULES.items():
+        every = {r.field: r for r in own} | {f: FieldRule(f) for f in TYPES[schema] if f not in {r.field for r in own}}
+        plain, listed = [], []
+        for f, r in every.items():
+            top, _, inner = f.rpartition("[].")
+            around = inner.rpartition(".")[0]
+            row = (f, f"$.{inner}", f"$.{around}" if around else None, top or None, TYPES[schema].get(f), r.required, list(r.allowed) or None, *[None if x is None else float(x) for x in (r.low, r.high)])
+            (listed if top else plain).append(row)
+        rows.append((schema, plain, listed, PROPERTIES[schema.removesuffix("_enhanced")]))
+    return spark.createDataFrame(rows, f"schema string, rules array<{_RULE}>, lists array<{_RULE}>, fields array<string>")
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; the one-element array keeps the optimizer from repeating it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _wrong_in_answer(rule: Column, value: Column, name: Column) -> Column:
+    """What is wrong with one value of an answer, as strings or nulls; a JSON null is a missing value."""
+    say = lambda *what: F.concat(name, F.lit(": "), *[F.lit(w) if isinstance(w, str) else w for w in what])
+
+    def errors(x: Column) -> Column:
+        found = x["kind"]
+        number = F.when(found == "number", F.try_variant_get(x["value"], "$", "double"))
+        return F.array(
+            F.when(rule["required"] & found.isNull(), say("is required")),
+            F.when(found != rule["kind"], say("is not of type ", rule["kind"])),
+            F.when((found == "string") & ~F.array_contains(rule["allowed"], F.try_variant_get(x["value"], "$", "string")), say("is not one of the allowed values")),
+            F.when(number < rule["low"], say("is too small")),
+            F.when(number > rule["high"], say("is too large")),
+        )
+
+    return _with(F.struct(value.alias("value"), _kind_of(value).alias("kind")), errors)
+
+
+def answer_errors(answer: Column, rules: Column, lists: Column) -> Column:
+    """J5 on a model's answer, a variant: sorted array<string> of `field: what is wrong`, types included.
+
+    Fields of an object or of a list's items are asked for only where the object or list is.
+    """
+
+    def in_list(rule: Column) -> Column:
+        items = F.coalesce(F.try_variant_get(answer, F.concat(F.lit("$."), rule["top"]), "array<variant>"), F.array().cast("array<variant>"))
+        name = lambda at: F.concat(rule["top"], F.lit("/"), at.cast("string"), F.substring(F.replace(rule["path"], F.lit("$."), F.lit("/")), 1, 200))
+        return F.flatten(F.transform(items, lambda item, at: _wrong_in_answer(rule, F.try_variant_get(item, rule["path"], "variant"), name(at))))
+
+    asked = F.filter(rules, lambda r: r["around"].isNull() | F.coalesce(_kind_of(F.try_variant_get(answer, r["around"], "variant")) == "object", F.lit(False)))
+    plain = F.flatten(F.transform(asked, lambda r: _wrong_in_answer(r, F.try_variant_get(answer, r["path"], "variant"), r["field"])))
+    return F.array_sort(F.filter(F.concat(plain, F.flatten(F.transform(lists, in_list))), lambda e: e.isNotNull()))
+
+
+def answer_completeness(answer: Column, fields: Column) -> Column:
+    """The share of the schema's fields that an answer has, not null and not the empty string; 0 without fields."""
+
+    def filled(f: Column) -> Column:
+        value = F.try_variant_get(answer, F.concat(F.lit("$."), f), "variant")
+        return _kind_of(value).isNotNull() & ~F.coalesce(F.try_variant_get(value, "$", "string") == "", F.lit(False))
+
+    return F.when(F.size(fields) > 0, F.size(F.filter(fields, filled)) / F.size(fields)).otherwise(0.0)
+
+
+def validate_answers(df: DataFrame, schema_col: str = "schema", json_col: str = "metadata") -> DataFrame:
+    """J5 and T17 on models' answers: the rows with ``_validation_errors`` and ``completeness``, by the schema that each row names.
+
+    An answer is a JSON object as a string; what is none counts as the empty object, and a row of no known schema has nulls.
+    The rules of all schemas are one small table, joined by broadcast and applied to the paths of the answer.
+    """
+    rules = answer_rules(df.sparkSession).select(F.col("schema").alias("_schema"), F.struct("rules", "lists", "fields").alias("_rules"))
+    # the generator keeps the optimizer from parsing the answer for every rule
+    rows = df.select("*", F.explode(F.array(F.coalesce(F.try_parse_json(F.col(json_col)), F.parse_json(F.lit("{}"))))).alias("_answer"))
+    rows = rows.join(F.broadcast(rules), F.col(schema_col) == F.col("_schema"), "left")
+    answer = F.col("_answer")
+    rows = rows.withColumn("_validation_errors", answer_errors(answer, F.col("_rules.rules"), F.col("_rules.lists")))
+    return rows.withColumn("completeness", F.when(F.col("_rules").isNotNull(), answer_completeness(answer, F.col("_rules.fields")))).drop("_answer", "_schema", "_rules")
+
+
 def routes(spark: SparkSession) -> DataFrame:
     """(schema, required, n_fields): the rule table as rows, of fixed size."""
     rows = [(name, ",".join(r.field for r in rules if r.required and r.field.isidentifier()), len(rules)) for name, rules in RULES.items()]

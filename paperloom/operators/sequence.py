@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def decode_bio(tokens: DataFrame, key: tuple[str, ...] = ("sent_id",), label: str = "label", order: str = "pos", mode: str = "strict") -> DataFrame:
@@ -32,39 +35,46 @@ def span_filter(spans: DataFrame, span_min: float = 0.75) -> DataFrame:
     return spans.filter(F.col("confidence") > span_min)
 
 
-def tag_characters(text: Column, entities: Column) -> Column:
+@F.arrow_udf(ArrayType(StringType()))
+def tag_characters(text: pa.Array, entities: pa.Array) -> pa.Array:
     """Array of one BIO label per character; ``entities`` is array<struct<value,type>>.
 
     Longer entities come first, then the order given; every occurrence whose characters are all free is tagged, B on its
-    first character that is no space and I on the others; spaces stay O.
+    first character that is no space and I on the others; spaces stay O.  One automaton of a text's values finds all places
+    in one pass; a null text has null labels, null entities are none.
     """
-    n = F.length(text)
-    ranked = F.array_sort(
-        F.transform(F.array_distinct(F.filter(entities, lambda e: F.length(e["value"]) > 0)), lambda e, i: F.struct((-F.length(e["value"])).alias("size"), i.alias("i"), e["value"].alias("value"), e["type"].alias("type")))
-    )
-
-    def occurrences(e: Column) -> Column:
-        size = F.length(e["value"])
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: text.substr(p, size) == e["value"])
-        return F.transform(starts, lambda p: F.struct(p.alias("p"), (p + size).alias("q"), e["value"].alias("value"), e["type"].alias("type")))
-
-    spans = F.flatten(F.transform(ranked, occurrences))
-    start = F.array().cast("array<struct<p:int,q:int,value:string,type:string>>")
-
-    def take(acc: Column, s: Column) -> Column:
-        hit = F.exists(acc, lambda a: (a["p"] < s["q"]) & (s["p"] < a["q"]))
-        return F.when(hit, acc).otherwise(F.array_append(acc, s))
-
-    taken = F.aggregate(spans, start, take)
-
-    def label(spans: Column, p: Column) -> Column:
-        own = F.get(F.filter(spans, lambda s: (s["p"] <= p) & (p < s["q"])), 0)
-        lead = own["p"] + F.length(own["value"]) - F.length(F.ltrim(own["value"]))
-        return F.when(own.isNull() | (text.substr(p, F.lit(1)) == " "), F.lit("O")).when(p == lead, F.concat(F.lit("B-"), own["type"])).otherwise(F.concat(F.lit("I-"), own["type"]))
-
-    # the one-element array has the spans computed once and not for every character
-    labels = F.get(F.transform(F.array(taken), lambda spans: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: label(spans, p))), 0)
-    return F.when(n > 0, labels).otherwise(F.array().cast("array<string>"))
+    automata: dict[tuple, ahocorasick.Automaton | None] = {}
+
+    def automaton(own: tuple) -> ahocorasick.Automaton | None:
+        if own not in automata:
+            if len(automata) >= 1000:
+                automata.clear()
+            found = ahocorasick.Automaton()
+            for i, (value, kind) in enumerate(own):
+                if value and value not in found:
+                    found.add_word(value, (-len(value), i, len(value) - len(value.lstrip(" ")), kind))
+            if len(found):
+                found.make_automaton()
+            automata[own] = found if len(found) else None
+        return automata[own]
+
+    def labels(value: str | None, own: list[dict] | None) -> list[str] | None:
+        if value is None:
+            return None
+        out = ["O"] * len(value)
+        found = automaton(tuple((e["value"], e["type"]) for e in own or () if e))
+        if not found:
+            return out
+        taken = bytearray(len(value))
+        for size, _, start, lead, kind in sorted((size, i, end + 1 + size, lead, kind) for end, (size, i, lead, kind) in found.iter(value)):
+            if taken.find(1, start, start - size) < 0:
+                taken[start : start - size] = b"\1" * -size
+                out[start : start - size] = [f"I-{kind}" if c != " " else "O" for c in value[start : start - size]]
+                if lead < -size:
+                    out[start + lead] = f"B-{kind}"
+        return out
+
+    return pa.array([labels(t, e) for t, e in zip(text.to_pylist(), entities.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
 def expand_token_labels(tokens: DataFrame, key: tuple[str, ...] = ("sent_id",)) -> DataFrame:

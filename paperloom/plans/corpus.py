@@ -12,7 +12,7 @@ from ..operators import sequence as S
 from ..operators import synth as G
 from ..sources import files as X
 from .metadata import DOCS, docs
-from .rendered import CALLS, DUCK_TOKENS, DUCK_WORDS, PAGES, WORDS, tokens, view
+from .rendered import CALLS, DUCK_TOKENS, DUCK_WORDS, PAGES, SENTENCES, WORDS, tokens, view
 
 
 def ocr_lines(spark, sf_dir):
@@ -182,6 +182,24 @@ b AS (SELECT path, unnest(regexp_split_to_array(regexp_replace(text, '(?m)^[ \t\
 SELECT path, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS tokens FROM n WHERE n > 0 GROUP BY path"""
 
 
+#: Values of a sentence and their types, which hold and touch one another, as SQL.
+_GAZETTEER = [("company", "COMPANY"), ("company || ' 소속'", "GROUP"), ("substr(company, 1, 2)", "SHORT"), ("name", "NAME"), ("name || role", "TITLE"), ("role", "POSITION"), ("date", "DATE"), ("' ' || name", "LEAD")]
+
+
+def character_labels(spark, sf_dir):
+    """The label of every character."""
+    own = F.array(*[F.struct(F.expr(v).alias("value"), F.lit(k).alias("type")) for v, k in _GAZETTEER])
+    return view(spark, sf_dir, SENTENCES).select("doc_id", F.array_join(S.tag_characters(F.col("text"), own), " ").alias("labels"))
+
+
+_ENTRIES = ", ".join(f"{{'v': {v}, 'k': '{k}'}}" for v, k in _GAZETTEER)
+LABELS_SQL = f"""WITH e AS (SELECT doc_id, text, [{_ENTRIES}] AS e FROM ({SENTENCES})),
+c AS (SELECT doc_id, text, list_sort(flatten(list_transform(e, lambda x, i: list_transform(list_filter(range(1, length(text) + 1), lambda p: substr(text, p, length(x.v)) = x.v), lambda p: {{'size': -length(x.v), 'i': i, 'p': p, 'v': x.v, 'k': x.k}})))) AS c FROM e),
+g AS (SELECT doc_id, text, list_reduce(list_prepend([c[1]], list_transform(c, lambda x: [x])), lambda a, b: CASE WHEN len(list_filter(a, lambda y: y.p < b[1].p - b[1].size AND b[1].p < y.p - y.size)) > 0 THEN a ELSE list_concat(a, b) END) AS g FROM c)
+SELECT doc_id, array_to_string(list_transform(range(1, length(text) + 1), lambda p: CASE WHEN substr(text, p, 1) = ' ' THEN 'O' ELSE
+  coalesce(list_transform(list_filter(g, lambda s: s.p <= p AND p < s.p - s.size), lambda s: CASE WHEN p = s.p + length(s.v) - length(ltrim(s.v, ' ')) THEN 'B-' ELSE 'I-' END || s.k)[1], 'O') END), ' ') AS labels FROM g"""
+
+
 def synthetic_corpus(spark, sf_dir):
     """G1 with the pools of G2: four in five texts take the values for training, the others those for evaluation."""
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
@@ -290,7 +308,7 @@ QUERIES = {
     "choose_engine_consensus": choose_engine("consensus"), "assemble_documents": assemble_documents, "ocr_summary": ocr_summary, "decode_spans": decode_spans, "evaluate_entities": evaluate_entities,
     "evaluate_by_type": evaluate_by_type, "top_types": top_types, "evaluate_tokens": evaluate_tokens, "token_accuracy": token_accuracy, "stratified_split": stratified_split, "label_distribution": label_distribution,
     "first_sentences": first_sentences, "expand_labels": expand_labels, "conll_round_trip": conll_round_trip, "synthetic_corpus": synthetic_corpus, "synthetic_fields": synthetic_fields, "routed_fields": routed_fields,
-    "evaluation_mix": evaluation_mix, "latest_requests": latest_requests, "api_spend": api_spend, "folder_documents": folder_documents,
+    "evaluation_mix": evaluation_mix, "latest_requests": latest_requests, "api_spend": api_spend, "folder_documents": folder_documents, "character_labels": character_labels,
 }
 SQL = {
     "ocr_lines": LINES_SQL, "ocr_confidence": f"WITH w AS ({WORDS}) SELECT doc_id, page_number, round(avg(coalesce(confidence, 0)), 6) AS confidence FROM w GROUP BY ALL",
@@ -302,5 +320,5 @@ SQL = {
     "first_sentences": f"WITH {_TOK} SELECT sent_id, CAST(count(*) AS INT) AS n FROM tok GROUP BY sent_id ORDER BY sent_id LIMIT 100",
     "expand_labels": f"WITH {_TOK} SELECT gold AS label, count(*) AS tokens, count(*) * 5 AS characters FROM tok GROUP BY gold",
     "synthetic_corpus": SYNTH_SQL, "synthetic_fields": FIELDS_SQL, "routed_fields": ROUTED_SQL, "evaluation_mix": MIX_SQL, "latest_requests": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
-    "api_spend": SPEND_SQL, "folder_documents": FOLDER_SQL, "choose_engine_consensus": CONSENSUS_SQL, "conll_round_trip": CONLL_SQL,
+    "api_spend": SPEND_SQL, "folder_documents": FOLDER_SQL, "choose_engine_consensus": CONSENSUS_SQL, "conll_round_trip": CONLL_SQL, "character_labels": LABELS_SQL,
 }

@@ -58,11 +58,12 @@ def extract_entities(spark, sf_dir):
 
 
 def _merged(spark, sf_dir):
-    rule = rule_entities(spark, sf_dir)
     mail = F.col("type") == "EMAIL"
-    model = rule.filter(mail | ((F.col("type") == "PHONE") & (F.col("doc_id") % 3 == 0)))
-    model = model.select("doc_id", F.when(mail, F.upper("value")).otherwise(F.col("value")).alias("value"), F.when(mail, "EMAIL").otherwise("CONTACT_INFO").alias("type"))
-    return E.merge_entities(model, rule)
+    rule = F.struct("value", "type", F.lit(1).alias("rank"))
+    model = F.struct(F.when(mail, F.upper("value")).otherwise(F.col("value")).alias("value"), F.when(mail, "EMAIL").otherwise("CONTACT_INFO").alias("type"), F.lit(0).alias("rank"))
+    # both sources come of one pass over the texts
+    both = F.when(mail | ((F.col("type") == "PHONE") & (F.col("doc_id") % 3 == 0)), F.array(rule, model)).otherwise(F.array(rule))
+    return E.merge_ranked(rule_entities(spark, sf_dir).select("doc_id", F.inline(both)))
 
 
 def merge_entities(spark, sf_dir):

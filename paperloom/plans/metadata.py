@@ -118,7 +118,7 @@ _P5 = """CASE WHEN contains(lower(name), '계약서') OR contains(lower(name), '
 def _p7(kind: str) -> str:
     return f"""CASE WHEN contains(lower({kind}), '양도동의') OR contains(lower({kind}), 'copyright transfer') OR contains(lower({kind}), 'transfer consent') THEN 'copyright_transfer'
   WHEN contains(lower({kind}), '공공저작물') OR contains(lower({kind}), '공공누리') OR contains(lower({kind}), '자유이용허락') OR contains(lower({kind}), 'public copyright') THEN 'public_copyright'
-  WHEN contains(lower({kind}), '계약서') OR contains(lower({kind}), 'contract') THEN 'contract' WHEN contains(lower({kind}), '동의서') OR contains(lower({kind}), 'consent') THEN 'consent' ELSE 'general' END"""
+  WHEN contains(lower({kind}), '계약서') OR contains(lower({kind}), 'contract') THEN 'contract_enhanced' WHEN contains(lower({kind}), '동의서') OR contains(lower({kind}), 'consent') THEN 'consent_enhanced' ELSE 'general_enhanced' END"""
 
 
 CLASSIFY_SQL = rf"""WITH {DOCS}, masked AS (SELECT * FROM docs WHERE text IS NOT NULL), {TYPED}, n AS (SELECT *, text AS content, string_split(path, '/')[-1] AS name, replace(string_split(path, '/')[-1], '.txt', '') AS stem, string_split(text, chr(10))[1] AS title FROM typed), t AS (SELECT *, {_P2} AS p2 FROM n)
@@ -203,12 +203,11 @@ _ANS = """a AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 <> 0 AS c, o_orderke
 
 def validate_records(spark, sf_dir):
     rows = R.validate_records(_answers(spark, sf_dir), "contract")
-    full = T.field_completeness([F.col(c) for c in ("contract_type", "rights_holder", "user")], 8)
-    return rows.select("doc_id", F.array_join("_validation_errors", "; ").alias("errors"), F.round(full, 6).alias("completeness"))
+    return rows.select("doc_id", F.array_join("_validation_errors", "; ").alias("errors"), F.round(R.completeness(rows, "contract"), 6).alias("completeness"))
 
 
 VALIDATE_SQL = rf"""WITH {_ANS} SELECT doc_id, concat_ws('; ', CASE WHEN NOT c THEN 'contract_type: is required' END, CASE WHEN NOT r THEN 'rights_holder: is required' END, CASE WHEN NOT u THEN 'user: is required' END,
-  CASE WHEN confidence > 1 THEN 'confidence: is too large' END) AS errors, round((CAST(c AS INT) + CAST(r AS INT) + CAST(u AS INT)) / 8.0, 6) AS completeness FROM a"""
+  CASE WHEN confidence > 1 THEN 'confidence: is too large' END) AS errors, round((CAST(c AS INT) + CAST(r AS INT) + CAST(u AS INT)) / 18.0, 6) AS completeness FROM a"""
 
 
 def extraction_summary(spark, sf_dir):
@@ -225,7 +224,7 @@ def route_extraction(spark, sf_dir):
 
 
 ROUTE_SQL = rf"""WITH {DOCS}, n AS (SELECT *, text AS content, string_split(path, '/')[-1] AS name FROM docs WHERE text IS NOT NULL), t AS (SELECT doc_id, {_P2} AS document_type FROM n), s AS (SELECT *, {_p7('document_type')} AS schema FROM t)
-SELECT doc_id, document_type, schema, CASE schema WHEN 'contract' THEN 'contract_type,rights_holder,user' WHEN 'consent' THEN 'consent_type,data_controller,consent_status' WHEN 'general' THEN 'document_type,title'
+SELECT doc_id, document_type, schema, CASE schema WHEN 'contract_enhanced' THEN 'contract_type,rights_holder,user,granted_rights' WHEN 'consent_enhanced' THEN 'consent_type,data_controller,consent_status' WHEN 'general_enhanced' THEN 'document_type,title'
   WHEN 'copyright_transfer' THEN 'document_type,work_info,copyright_transfer,consent_info,parties' ELSE 'consent_type,work_display,copyright_license,public_nuri_license' END AS required FROM s"""
 
 

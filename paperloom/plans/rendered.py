@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables whose rows are spread by a key before texts are made of them.
+KEYS = {"orders": "o_orderkey"}
 TABLES = ("orders", "customer", "lineitem", "documents", "events", "part", "supplier")
 
 
@@ -122,11 +124,38 @@ FROM orders
 """.replace("{{", "{").replace("}}", "}")
 
 
+#: (doc_id, text, company, name, role, date): sentences with values that hold one another, and the values
+SENTENCES = f"""
+SELECT doc_id, company || ' 소속 ' || name || ' ' || role || ', ' || date || ' ' || company || ' 계약 ' || name || role AS text, company, name, role, date
+FROM (SELECT o_orderkey AS doc_id, {_COMPANY} AS company, {_NAME} AS name, {_pick(K, "과장", "대리", "부장")} AS role, {_DATE} AS date FROM orders)
+"""
+#: (doc_id, schema, text): answers of a model as text, with gaps, wrong types and values, for the eight schemas in turn
+_KC = "c_custkey"
+_SOMETIMES = lambda n, text, other="": f"CASE WHEN {_KC} % {n} = 0 THEN '{other}' ELSE '{text}' END"
+ANSWERS = f"""
+SELECT c_custkey AS doc_id, {_pick(f"CAST(floor(c_custkey / 11) AS BIGINT)", "contract", "contract_enhanced", "consent", "consent_enhanced", "general", "general_enhanced", "copyright_transfer", "public_copyright")} AS schema,
+  '{{"document_type": ' || {_SOMETIMES(3, '"x"', 'null')} || ', "title": ""' || ', "contract_type": ' || {_SOMETIMES(4, '"매매"', '7')} || ', "rights_holder": "가온"' || {_SOMETIMES(5, ', "user": "나래"')}
+  || ', "consent_type": "수집", "data_controller": "기관", "consent_status": ' || {_pick(_KC, '"동의함"', '"거부"', '"null"')} || ', "payment_amount": ' || {_SOMETIMES(13, '1000', '"1000"')}
+  || ', "granted_rights": ' || {_SOMETIMES(6, '{"reproduction_right": true}', '[]')} || ', "work_info": {{"work_title": ' || {_SOMETIMES(7, '"작품"', 'null')} || ', "work_type": ' || {_SOMETIMES(2, '"도서"', '"조각"')} || '}}'
+  || ', "work_display": {{"work_names": ' || {_SOMETIMES(9, '["가"]', '"가"')} || '}}, "parties": [{{"name": "가", "role": "저작자"}}, {{"name": ' || {_SOMETIMES(8, '"나"', 'null')} || ', "role": "친구"}}]'
+  || ', "checkbox_info": {{"pattern_detected": ' || {_SOMETIMES(10, '"pattern_a"', '"pattern_x"')} || ', "extraction_confidence": ' || {_SOMETIMES(12, '0.5', '1.5')} || '}}'
+  || ', "confidence": ' || {_SOMETIMES(12, '0.5', '1.5')} || '}}' AS text
+FROM customer
+""".replace("{{", "{").replace("}}", "}")
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of a rendered text over the tables of a folder."""
+    """The rows of a rendered text over the tables of a folder.
+
+    Texts are far larger than the rows they are made of, so these rows are spread by their key before they are rendered: a
+    table may be a few large row groups.  The number of partitions is given, as adaptive execution would join partitions by the
+    size of the rows and not of the texts.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in TABLES:
         if name in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            (rows.repartition(parts, KEYS[name]) if name in KEYS else rows).createOrReplaceTempView(name)
     return spark.sql(sql.replace('"end"', "`end`"))
 
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import strip_ws
+from ..functions.text import collapse_whitespace, strip_ws
 
 KINDS = {"pdf": ["pdf"], "docx": ["docx", "doc"], "image": ["png", "jpg", "jpeg", "tif", "tiff", "bmp"], "text": ["txt", "md"]}
 
@@ -43,20 +46,66 @@ def read_text_corpus(spark: SparkSession, root: str, exts: tuple[str, ...] = ("t
     return files.select("path", decode_text("content").alias("text")).filter(F.length(strip_ws(F.col("text"))) >= min_chars)
 
 
-def folder_documents(df: DataFrame, sep: str = "\n", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """S3: (folder, text, n_files): the files of a folder joined in order of name.
-
-    A folder without text files of its own gets those of its direct subfolders, in order of path.
-    """
+def _with_parents(df: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """(folder, name, text) of all files; a folder without files of its own also has those of its direct subfolders."""
     path = F.col(path_col)
     own = df.select(F.regexp_extract(path, r"^(.*)/[^/]*\z", 1).alias("folder"), path.alias("name"), F.col(text_col).alias("text"))
     # folders by name alone first, so that texts are copied to those parents only that have none of their own
     names = own.select("folder").distinct()
     above = names.select(F.regexp_extract("folder", r"^(.*)/[^/]*\z", 1).alias("parent"), "folder").filter("parent <> ''")
     above = above.join(names.withColumnRenamed("folder", "parent"), "parent", "left_anti")
-    parents = own.join(above, "folder").select(F.col("parent").alias("folder"), "name", "text")
-    groups = own.unionByName(parents).groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("name", "text"))).alias("f"))
-    return groups.select("folder", F.array_join("f.text", sep).alias("text"), F.size("f").alias("n_files"))
+    return own.unionByName(own.join(above, "folder").select(F.col("parent").alias("folder"), "name", "text"))
+
+
+def folder_parts(df: DataFrame, sep: str = "\n", collapse: bool = False, path_col: str = "path", text_col: str = "text", part_chars: int = 1 << 24) -> DataFrame:
+    """S3 in parts: (folder, first, text, n_files, with_text): stretches of a folder's files in order of name, joined by ``sep``.
+
+    The parts of a folder in order of ``first``, those with a text joined by ``sep``, are its document.  Files are
+    range-partitioned and sorted by folder and name and joined as they stream by, so a folder of any size is many tasks and
+    a part has about ``part_chars`` characters or one file.  Null texts count as files and add nothing; with ``collapse`` runs
+    of white space become one space and blank texts add nothing either.
+    """
+    rows = _with_parents(df, path_col, text_col)
+    if collapse:
+        rows = rows.withColumn("text", F.nullif(collapse_whitespace(F.col("text")), F.lit("")))
+    schema = pa.schema([("folder", pa.string()), ("first", pa.string()), ("text", pa.string()), ("n_files", pa.int64()), ("with_text", pa.int64())])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = first = None
+        texts: list[str] = []
+        held = files = 0
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((folder, first, sep.join(texts) if texts else None, files, len(texts)), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            for own, name, text in zip(*[b.column(c).to_pylist() for c in ("folder", "name", "text")], strict=True):
+                if files and (own != folder or held >= part_chars):
+                    yield part()
+                    texts, held, files = [], 0, 0
+                if not files:
+                    folder, first = own, name
+                files += 1
+                if text is not None:
+                    texts.append(text)
+                    held += len(text) + len(sep)
+        if files:
+            yield part()
+
+    ordered = rows.repartitionByRange("folder", "name").sortWithinPartitions("folder", "name", "text")
+    return ordered.mapInArrow(join, "folder string, first string, text string, n_files long, with_text long")
+
+
+def folder_documents(df: DataFrame, sep: str = "\n", collapse: bool = False, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """S3: (folder, text, n_files): the files of a folder joined in order of name, one row each.
+
+    A folder without text files of its own gets those of its direct subfolders, in order of path.  The variant with
+    ``sep=" "`` and ``collapse`` joins with spaces and collapses white space.  A folder's document is one string here;
+    ``folder_parts`` has folders that are too large for one.
+    """
+    parts = folder_parts(df, sep, collapse, path_col, text_col)
+    groups = parts.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("first", "text"))).alias("p"), F.sum("n_files").cast("int").alias("n_files"))
+    return groups.select("folder", F.array_join(F.filter("p.text", lambda x: x.isNotNull()), sep).alias("text"), "n_files")
 
 
 def parse_conll(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -72,7 +121,20 @@ def parse_conll(files: DataFrame, path_col: str = "path", text_col: str = "text"
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    return parse_conll(_files(spark, path, "*").select("path", decode_text("content").alias("text")))
+    """(path, sent_id from 0, tokens, labels) of CoNLL files, split inside a file.
+
+    Spark's text source reads records that end at an empty line, so a file of any size is many tasks; a record may hold several
+    sentences where a line of blanks stands between them.  Sentences are numbered inside the split of a file, then by the
+    number of those in the splits before.
+    """
+    blocks = spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", "true").text(path)
+    blocks = blocks.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    rows = parse_conll(blocks.select(F.struct("path", "block", "at").alias("key"), "text"), "key").select("path.*", F.col("sent_id").alias("k"), "tokens", "labels")
+    own = W.partitionBy("path", "block")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("at", "k")) - 1)
+    counts = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("path", "block", F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, ["path", "block"]).select("path", (F.col("before") + F.col("place")).cast("int").alias("sent_id"), "tokens", "labels")
 
 
 def conll_text(tokens: Column, labels: Column) -> Column:
@@ -145,11 +207,18 @@ def inventory_files(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root, "*").select("path", "length", "modificationTime", kind.alias("kind"))
 
 
-def scan_ocr_results(spark: SparkSession, root: str) -> DataFrame:
-    """(provider, category, doc, text) of a tree provider/category/doc/{doc}_extracted_text.txt."""
-    files = _files(spark, root, "*_extracted_text.txt").select("path", decode_text("content").alias("text"))
+def scan_ocr_results(spark: SparkSession, root: str, providers: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """(provider, category, doc, text) of a tree provider/category/doc/{doc}_extracted_text.txt.
+
+    Only the folders of the providers and categories asked for are listed: they are part of the path that Spark expands.
+    """
+
+    def level(names: list[str] | None) -> str:
+        return "*" if names is None else "{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", n) for n in names) + "}"
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_extracted_text.txt").load(f"{root}/{level(providers)}/{level(categories)}/*")
     parts = F.split("path", "/")
-    return files.select(F.element_at(parts, -4).alias("provider"), F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("doc"), "text")
+    return files.select(F.element_at(parts, -4).alias("provider"), F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("doc"), decode_text("content").alias("text"))
 
 
 def read_request_log(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:

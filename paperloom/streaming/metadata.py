@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.metadata import consent_records, contract_records
+from ..operators.metadata import consent_records, contract_records, write_records
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -16,10 +16,17 @@ def text_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metadata_stream(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Contract and consent records of all files not seen before, written once each as JSON; stops when it has caught up.
+    """Contract and consent records of all files not seen before, one JSON file each below ``out``; stops when it has caught up.
 
-    The projection is the batch one, so a stream over the same files gives the same rows.
+    The projection is the batch one, so a stream over the same files gives the same rows.  A batch is a job named by its
+    number: one that was committed before a restart is moved to its end and not written again, one that was not is written
+    anew under the same names, so each record is there once.
     """
     texts = text_stream(spark, path)
     records = contract_records(texts, "path").unionByName(consent_records(texts, "path"), allowMissingColumns=True)
-    return records.writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def store(batch: DataFrame, number: int) -> None:
+        named = batch.withColumn("path", F.col("doc_id")).drop("doc_id")
+        write_records(named, out, path, job=f"batch-{number}")
+
+    return records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -148,6 +148,21 @@ def test_tag_characters_round_trip(spark):
     assert got == [["B-COMPANY", "I-COMPANY", "I-COMPANY", "I-COMPANY", *["O"] * 6], ["B-X", "O", "I-X"], []]
 
 
+def test_tags_of_long_texts_overlaps_and_gaps(spark):
+    text = "가나다 라마 " * 20_000
+    df = spark.createDataFrame([(text, [("라마", "B"), ("가나다 라마", "A"), (" 가", "C")]), (None, []), ("aaa", None), ("aaa", [("aa", "X"), ("aa", "Y"), ("", "Z")])], "text string, e array<struct<value:string,type:string>>")
+    got = [r.x for r in df.select(sequence.tag_characters(F.col("text"), F.col("e")).alias("x")).collect()]
+    assert got[0] == ["B-A", "I-A", "I-A", "O", "I-A", "I-A", "O"] * 20_000
+    assert got[1:] == [None, ["O", "O", "O"], ["B-X", "I-X", "O"]]
+
+
+def test_entity_patterns_search_runs_once(spark):
+    # what begins in the middle of a run, right after a match, is found as by a plain search
+    text = "a@b.co_x@c.de 가나시 다구 라마길바사시 아군 자로 " + "가" * 30_000 + " " + "x" * 30_000 + " 나다회사라원마"
+    found = {(r.type, r.value) for r in entities.extract_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert {("EMAIL", "a@b.co"), ("EMAIL", "_x@c.de"), ("COMPANY", "나다회사라원"), ("ADDRESS", "가나시 다구 라마길바사시 아군 자로")} <= found
+
+
 def test_split_parts(spark):
     rows = [(i, ["B-A"] if i % 3 == 0 else ["O", "B-B", "B-A"] if i % 3 == 1 else ["O"]) for i in range(200)]
     s = sequence.stratified_split(spark.createDataFrame(rows, "sent_id long, labels array<string>")).collect()
@@ -308,7 +323,7 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / f"in/{i}.txt").write_text(text + str(i))
     for _ in range(2):
         metadata_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    got = {r.checksum_sha256 for r in spark.read.json(str(tmp_path / "out")).collect()}
+    got = {r.checksum_sha256 for r in spark.read.option("recursiveFileLookup", "true").json(str(tmp_path / "out")).collect()}
     df = docs(spark, *[text + str(i) for i in range(3)])
     assert got == {r.checksum_sha256 for r in metadata.contract_records(df).collect()} and len(got) == 3
 
@@ -325,7 +340,7 @@ def test_classes_branch_by_branch(spark):
     files = {"양도_1.pdf": "copyright", "저작권": "copyright", "동의.pdf": "general", "계약.pdf": "general", "동의서": "consent", "Agreement": "contract"}
     rows = spark.createDataFrame(list(files.items()), "name string, want string")
     assert rows.filter(C.category_from_filename(F.col("name")) != F.col("want")).count() == 0
-    kinds = {"Copyright Transfer Consent": "copyright_transfer", "양도동의": "copyright_transfer", "자유이용허락": "public_copyright", "계약": "general", "Contract": "contract", "동의서": "consent"}
+    kinds = {"Copyright Transfer Consent": "copyright_transfer", "양도동의": "copyright_transfer", "자유이용허락": "public_copyright", "계약": "general_enhanced", "Contract": "contract_enhanced", "동의서": "consent_enhanced"}
     rows = spark.createDataFrame(list(kinds.items()), "kind string, want string")
     assert rows.filter(C.schema_for_document_type(F.col("kind")) != F.col("want")).count() == 0
 
@@ -336,7 +351,6 @@ def test_record_names_and_nested_trims(spark):
     df = spark.sql("SELECT named_struct('work_title', ' x ', 'n', 1) AS work_info, named_struct('work_names', array(' a', 'b ')) AS work_display, ' u ' AS user")
     got = T.trim_record_fields(df).first()
     assert (got.work_info.work_title, got.work_info.n, list(got.work_display.work_names), got.user) == ("x", 1, ["a", "b"], "u")
-    assert df.select(T.field_completeness_by_schema([])).first()[0] == 0.0
 
 
 def test_pages_of_broken_documents_have_an_error(spark):
@@ -351,3 +365,12 @@ def test_pages_of_broken_documents_have_an_error(spark):
     files = spark.createDataFrame([("a", b"ok"), ("b", b"bad")], "path string, content binary")
     got = sorted((r.doc_id, r.page_number, r.error) for r in models.read_pages_of(files, load).collect())
     assert got == [("a", 1, None), ("a", 2, None), ("b", 0, "ValueError: no pages")]
+
+
+def test_answers_by_schema(spark):
+    rows = [(1, "contract", '{"contract_type": "x", "rights_holder": "y", "user": "z", "payment_amount": "7", "parties": [{"name": "a"}, {}, 5], "granted_rights": {"rental_right": 1}}'), (2, "contract", "no json"), (3, "other", "{}"), (4, "general", None), (5, "general", '{"document_type": null, "title": "", "parties": {}}')]
+    got = {r.i: (r._validation_errors, r.completeness) for r in records.validate_answers(spark.createDataFrame(rows, "i int, schema string, metadata string")).collect()}
+    assert got[1] == (["granted_rights.rental_right: is not of type boolean", "parties/1/name: is required", "parties/2/name: is required", "payment_amount: is not of type number"], 6 / 18)
+    assert got[2] == (["contract_type: is required", "rights_holder: is required", "user: is required"], 0.0)
+    assert got[3] == (None, None) and got[4][0] == ["document_type: is required", "title: is required"]
+    assert got[5] == (["document_type: is required", "parties: is not of type array"], 1 / 9)
