@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -59,7 +60,8 @@ PAGES = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset
 FENCE = frozenset(("foreignobject", "mtext"))
 # Fixed values of HTML: the widest spans that count.
 SPANS = {"colspan": 1000, "rowspan": 65534}
-#: Lines of a cell are broken at spaces beyond this width, so that a long paragraph does not widen all rows.
+#: Lines of a cell are broken at spaces beyond this width, so that a long paragraph does not widen all rows; nor are lines
+#: indented further.
 WIDEST = 200
 _DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)")
 _VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z]+)")
@@ -126,38 +128,69 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Builds the tree; tags that may be left out are opened and closed where the next tag implies it."""
+    """Builds the tree; tags that may be left out are opened and closed where the next tag implies it.
+
+    What no ``>`` ends is text, and is not searched again for one; open elements are found by the places of each tag.  So the
+    time for a page grows with its length, however broken it is.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.depth: Counter = Counter()  # open elements by tag, so that deep pages are not searched for what is not open
+        self.places: dict[str, list[int]] = defaultdict(list)  # where each tag is open, ascending
+        self.unended: set[str] = set()  # ends that do not come any more
 
     def _cut(self, at: int) -> None:
-        for node in self.open[at:]:
-            self.depth[node.tag] -= 1
+        for node in reversed(self.open[at:]):
+            self.places[node.tag].pop()
         del self.open[at:]
 
+    def _last(self, tags) -> int:
+        """The innermost place where one of the tags is open, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _end(self, tags: set[str], walls: set[str]) -> None:
         """Closes from the outermost open element of ``tags`` that no wall hides."""
-        if not any(self.depth[t] for t in tags):
+        own = [self.places[t] for t in tags if self.places.get(t)]
+        if not own:
             return
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in walls or self.open[i].tag in FENCE:
-                break
-            if self.open[i].tag in tags:
-                at = i
-        if at is not None:
-            self._cut(at)
+        wall = max(self._last(walls), self._last(FENCE))
+        inside = [p[k] for p in own if (k := bisect_right(p, wall)) < len(p)]
+        if inside:
+            self._cut(min(inside))
+
+    def _parsed(self, i: int, end: str, parse: Callable[[int], int]) -> int:
+        """The place after a piece of markup, or after the text that it is where nothing ends it."""
+        for mark in (">", end):
+            if mark not in self.unended and self.rawdata.find(mark, i + 1) < 0:
+                self.unended.add(mark)
+        k = -1 if self.unended & {">", end} else parse(i)
+        if k < 0:
+            k = 0 if ">" in self.unended else self.rawdata.find(">", i + 1) + 1
+            k = k or self.rawdata.find("<", i + 1)
+            k = len(self.rawdata) if k < 0 else k
+            self.handle_data(self.rawdata[i:k] if self.cdata_elem else unescape(self.rawdata[i:k]))
+        return k
+
+    def parse_starttag(self, i: int) -> int:
+        return self._parsed(i, ">", super().parse_starttag)
+
+    def parse_endtag(self, i: int) -> int:
+        return self._parsed(i, ">", super().parse_endtag)
+
+    def parse_pi(self, i: int) -> int:
+        return self._parsed(i, ">", super().parse_pi)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self._parsed(i, "--", super().parse_comment)
 
     def _push(self, tag: str, attrs: dict[str, str | None]) -> None:
         node = Node(tag, attrs, self.open[-1].inner)
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(node)
-            self.depth[tag] += 1
 
     def _leave(self) -> None:
         """Closes the formula or drawing that is open, up to what holds parts of a page."""
@@ -190,29 +223,26 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("p", "br"):
             self._leave()
-        if tag == "p" and not self.depth["p"]:
+        if tag == "p" and not self.places["p"]:
             self._push("p", {})
         if tag in VOID:
             if tag == "br":
                 self._push("br", {})
             return
-        if not self.depth[tag]:
+        at = self._last((tag,))
+        if not at:
+            return
+        if tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html") and self._last(("table", "td", "th")) > at:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._cut(i)
-                return
-            if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
-                return
-            if self.open[i].tag in FENCE and tag not in ("svg", "math"):
-                return
+        if tag in ("svg", "math") or self._last(FENCE) <= at:
+            self._cut(at)
 
     def parse_html_declaration(self, i: int) -> int:
         """CDATA is text in formulas and drawings, and a comment elsewhere."""
         if not self.rawdata.startswith("<![CDATA[", i):
-            return super().parse_html_declaration(i)
+            return self._parsed(i, ">", super().parse_html_declaration)
         if not self.open[-1].kind:
-            return self.rawdata.find(">", i) + 1 or super().parse_html_declaration(i)
+            return self._parsed(i, ">", lambda at: self.rawdata.find(">", at) + 1 or -1)
         end = self.rawdata.find("]]>", i + 9)
         self.handle_data(self.rawdata[i + 9 : end if end >= 0 else len(self.rawdata)])
         return end + 3 if end >= 0 else len(self.rawdata)
@@ -304,19 +334,37 @@ class Cell:
     at: int = 0
 
 
+@dataclass
+class Rows:
+    """The rows of a table; those of its foot come last, wherever it stands."""
+
+    body: list[list[Cell]] = field(default_factory=list)
+    foot: list[list[Cell]] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.to = self.body
+
+    def ordered(self) -> list[list[Cell]]:
+        return self.body + self.foot
+
+
 def _columns(rows: list[list[Cell]]) -> list[str]:
     """The rows of a table as lines of aligned columns; cells that span rows or columns leave what they span free."""
-    taken: dict[int, int] = {}  # column -> row up to which a cell from above has it
+    taken: list[tuple[int, int, int]] = []  # columns from, up to, and the row up to which a cell from above has them
     for y, row in enumerate(rows):
-        x = 0
+        x = k = 0
+        taken = sorted(t for t in taken if t[2] > y)
+        below = []
         for cell in row:
-            while taken.get(x, 0) > y:
-                x += 1
+            while k < len(taken) and taken[k][0] <= x:
+                x = max(x, taken[k][1])
+                k += 1
             cell.at = x
             last = y + cell.rows if cell.rows else len(rows)
             if last > y + 1:
-                taken.update(dict.fromkeys(range(x, x + cell.columns), last))
+                below.append((x, x + cell.columns, last))
             x += cell.columns
+        taken += below
     starts = sorted({c.at for row in rows for c in row})  # a column where no cell begins takes no room
     place = {x: i for i, x in enumerate(starts)}
     widths = [0] * len(starts)
@@ -345,9 +393,10 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(_MARKED.sub("", html))
+    end = html.rfind(">") + 1
+    tree.feed(_MARKED.sub("", html[:end]) + html[end:])
     tree.close()
-    writers, tables, lists, verbatim = [Lines()], [], [], 0
+    writers, tables, lists, outer, verbatim = [Lines()], [], [], [], 0
     work: list[tuple[bool, bool, Node | str]] = [(True, True, tree.root)]
     while work:
         enter, seen, node = work.pop()
@@ -369,26 +418,33 @@ def render(html: str | None) -> str:
             if tag in BLOCK:
                 out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol"):
-                lists.append([tag, node.number("start", 1) - 1, out.indent])
+                down = tag == "ol" and "reversed" in node.attrs
+                items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if down else 1
+                step = -1 if down else 1
+                lists.append([tag, node.number("start", items) - step, out.indent, step])
             elif tag == "li":
-                kind, number, indent = lists[-1] if lists else ["ul", 0, out.indent]
-                mark = ("- " if kind == "ul" else f"{number + 1}. ") if seen else ""
+                kind, number, indent, step = lists[-1] if lists else ["ul", 0, out.indent, 1]
+                number = node.number("value", number + step) if kind == "ol" else 0
+                mark = ("- " if kind == "ul" else f"{number}. ") if seen else ""
                 if lists:
-                    lists[-1][1] += 1
-                out.indent, out.marker = indent + " " * len(mark), mark
+                    lists[-1][1] = number
+                out.indent, out.marker = (indent + " " * len(mark))[:WIDEST], mark
             elif tag == "dd":
-                out.indent += "  "
+                outer.append(out.indent)
+                out.indent = (out.indent + "  ")[:WIDEST]
             elif tag == "pre":
                 verbatim += 1
             elif tag == "table":
-                tables.append([])
+                tables.append(Rows())
+            elif tag == "tfoot" and tables:
+                tables[-1].to = tables[-1].foot
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].to.append([])
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
+                if not tables[-1].to:
+                    tables[-1].to.append([])
                 writers.append(Lines())
-                lists.append(["ul", 0, ""])
+                lists.append(["ul", 0, "", 1])
             if node.kind and node.lined():
                 out.block(1)
             work.append((False, seen, node))
@@ -396,19 +452,21 @@ def render(html: str | None) -> str:
             continue
         if tag in ("td", "th") and tables:
             lists.pop()
-            tables[-1][-1].append(Cell(writers.pop().result(), node.span("colspan"), node.span("rowspan")))
+            tables[-1].to[-1].append(Cell(writers.pop().result(), node.span("colspan"), node.span("rowspan")))
             continue
         if tag == "table":
-            for line in _columns(tables.pop()):
+            for line in _columns(tables.pop().ordered()):
                 out._begin()
                 out.line.append(line)
                 out.block(1)
+        elif tag == "tfoot" and tables:
+            tables[-1].to = tables[-1].body
         elif tag in ("ul", "ol"):
             out.indent = lists.pop()[2]
         elif tag == "li":
             out.indent, out.marker = lists[-1][2] if lists else "", ""
         elif tag == "dd":
-            out.indent = out.indent[:-2]
+            out.indent = outer.pop()
         elif tag == "pre":
             verbatim -= 1
         if node.kind and node.lined() and tag != "tspan":

@@ -3,8 +3,8 @@
 A configuration is a multiset of lengths that fits into one sequence.  Only the histogram of lengths, one count for each
 length up to the capacity, reaches the driver.  There ``program`` covers all counts by as little of configurations as it can:
 each step prices the lengths by how little of them is covered so far, finds the most valuable completions of the least
-covered ones by a knapsack table, and adds a part of these; the same prices bound the optimum from below, and the
-steps end when the two are near.  Whole uses are kept, of the broken ones the larger are rounded up in place of the smaller, and what is left
+covered ones by a knapsack table, and adds a part of these, until all are covered; the same prices bound the optimum from
+below, and where uses and bound are not near, smaller parts are added.  Whole uses are kept, of the broken ones the larger are rounded up in place of the smaller, and what is left
 goes through the program again, until it is a fiftieth of the pieces; this rounding loss is placed by best fit.
 Spark then deals the pieces to the slots of the plan by their rank among the pieces of their length.
 """
@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,15 @@ from .hashing import release_memory
 from .words import SPACE, WordTable, classes, encode_texts
 
 CAPACITY = 2048
-#: A program ends at this gap between its uses and their lower bound, or after so many steps (each adds BATCH configurations).
-GAP, STEPS, BATCH, SHARE, SHARPNESS = 0.01, 8, 384, 0.7, 3.0
+#: A program's uses and their lower bound are near at this gap; SHARES are the parts of a length that one configuration may
+#: cover, tried one after the other until they are; a price table serves BATCH configurations.
+GAP, SHARES, BATCH, SHARPNESS = 0.01, (1.0, 0.2, 0.05), 24, 3.0
+#: What is less than this is covered.
+LEAST = 1e-7
 #: What rounding may leave to best fit: this share of the pieces, and no more than one piece for each length.
 LOSS = 0.02
-#: A sequence less full than this has gaps.
-FULL = 0.97
+#: A sequence less full than this has gaps; so many of those with the largest gaps are tried at most.
+FULL, LOOSE = 0.97, 64
 #: Pieces are ranked in parts: one for so many rows.
 RANK_ROWS = 2_000
 
@@ -88,45 +92,83 @@ def _complete(first: int, lengths: np.ndarray, prices: np.ndarray, value: np.nda
     return tuple(sorted(parts.items(), reverse=True))
 
 
-def program(counts: np.ndarray, capacity: int) -> tuple[dict[Config, float], float]:
-    """Configurations and how often to use each, and a lower bound of the sequences that any packing needs.
+@dataclass
+class Program:
+    """A covering solution: configurations and how often to use each, all uses, and a lower bound of what any solution needs."""
 
-    Weights start at the volumes, fall exponentially with what is covered, and are the dual solution of the bound.
+    used: dict[Config, float]
+    total: float
+    bound: float
+    steps: int
+
+    @property
+    def gap(self) -> float:
+        return self.total / self.bound - 1 if self.bound else 0.0
+
+
+def _cover(counts: np.ndarray, capacity: int, share: float) -> Program:
+    """Covers all counts; a configuration covers at most ``share`` of each of its lengths at once.
+
+    Weights start equal, fall exponentially with what is covered beyond the whole's progress, and are the dual solution of the
+    bound.  A configuration of a length that has run out since the prices were made waits for the next prices.
     """
     lengths = np.flatnonzero(counts)
     have = counts[lengths].astype(float)
-    left = have.copy()
-    where = {int(n): i for i, n in enumerate(lengths)}
-    used: dict[Config, float] = {}
-    total, bound = 0.0, float((have * lengths).sum()) / capacity
-    for _ in range(STEPS):
+    left, place = have.copy(), np.zeros(capacity + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    volume = float((have * lengths).sum())
+    out = Program({}, 0.0, volume / capacity, 0)
+
+    def use(parts: Config, most: float) -> bool:
+        at, times = place[[n for n, _ in parts]], np.array([k for _, k in parts], float)
+        uses = min(float((left[at] / times).min()), most * float((have[at] / times).min()))
+        if uses <= LEAST:
+            return False
+        out.used[parts] = out.used.get(parts, 0) + uses
+        out.total += uses
+        rest = left[at] - times * uses
+        left[at] = np.where(rest < LEAST, 0, rest)
+        return True
+
+    while left.any():
+        out.steps += 1
         cover = 1 - left / have
-        progress = float((cover * have * lengths).sum() / (have * lengths).sum())
+        progress = float((cover * have * lengths).sum() / volume)
         # long pieces first among equals, so that short ones remain to fill gaps
-        prices = lengths * (1 + 0.02 * lengths / capacity) * np.exp(-SHARPNESS * (cover - progress))
-        open_ = left >= np.minimum(1, have * 0.25)
-        if not open_.any() or total + 2 * float((left * lengths).sum()) / capacity <= (1 + GAP) * bound:
+        prices = np.where(left > 0, lengths * (1 + 0.02 * lengths / capacity) * np.exp(-SHARPNESS * (cover - progress)), 0)
+        value, choice = _price_table(lengths, prices, capacity)
+        out.bound = max(out.bound, float((have * prices).sum() / value[capacity]))
+        anchors = np.argsort(np.where(left > 0, cover - lengths / (4 * capacity), 9), kind="stable")[: min(BATCH, int((left > 0).sum()))]
+        done = [use(_complete(int(lengths[i]), lengths, prices, value, choice, counts, capacity), share) for i in anchors if left[i] > 0]
+        if not any(done):  # only traces are left, too little for the parts of a configuration
+            n = int(lengths[anchors[0]])
+            use(((n, min(capacity // n, int(counts[n]))),), 1.0) or left.__setitem__(anchors[0], 0)
+    return out
+
+
+def program(counts: np.ndarray, capacity: int) -> Program:
+    """The configuration program of a histogram: the first covering solution within GAP of its bound, or the best."""
+    best = None
+    for share in SHARES:
+        found = _cover(counts, capacity, share)
+        if best is None or found.total < best.total:
+            best = Program(found.used, found.total, max(found.bound, best.bound if best else 0.0), found.steps + (best.steps if best else 0))
+        else:
+            best.bound, best.steps = max(best.bound, found.bound), best.steps + found.steps
+        if best.gap <= GAP:
             break
-        value, choice = _price_table(lengths, np.where(open_, prices, 0), capacity)
-        prices = np.where(open_, prices, 0)
-        bound = max(bound, float((have * prices).sum() / value[capacity]))
-        anchors = np.argsort(np.where(open_, cover - lengths / (4 * capacity), 9), kind="stable")[: min(BATCH, int(open_.sum()))]
-        for i in anchors:
-            config = _complete(int(lengths[i]), lengths, prices, value, choice, counts, capacity)
-            times = SHARE * min(left[where[n]] / k for n, k in config)
-            if times > 0:
-                used[config] = used.get(config, 0) + times
-                total += times
-                for n, k in config:
-                    left[where[n]] -= k * times
-    return used, bound
-
-
-def _round(used: dict[Config, float], counts: np.ndarray, out: Counter) -> None:
-    """Moves whole uses from ``counts`` to ``out``: all that are whole, then the larger of the broken ones rounded up, as many as all of them make."""
+    return best
+
+
+def _round(used: dict[Config, float], counts: np.ndarray, out: Counter, capacity: int) -> None:
+    """Moves whole uses from ``counts`` to ``out``: all that are whole, then the broken ones rounded up, half as many as all of them make.
+
+    Of the broken ones those without gaps come first, then the larger ones; the rest goes through the program again.
+    """
     order = sorted(used.items(), key=lambda x: (-x[1], x[0]))
-    broken = sorted(((c, x % 1) for c, x in order), key=lambda x: (-x[1], x[0]))
-    ups = max(1, int(sum(x for _, x in broken)))
+    gaps = {c: sum(n * k for n, k in c) < FULL * capacity for c in used}
+    broken = sorted(((c, x % 1) for c, x in order), key=lambda x: (gaps[x[0]], -x[1], x[0]))
+    ups = max(1, int(sum(x for _, x in broken) / 2))
 
     def take(config: Config, times: int) -> int:
         whole = min(times, *(int(counts[n]) // k for n, k in config))
@@ -178,16 +220,22 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter,
         counts[capacity] = 0
     loss = min(int(LOSS * counts.sum()), int((counts > 0).sum()))
     while counts.sum() > loss:
-        used, _ = program(counts, capacity)
-        _round(used, counts, out)
+        _round(program(counts, capacity).used, counts, out, capacity)
     rest = _best_fit(counts, capacity)
-    # uses that rounding up left with gaps are placed anew with the rest where that takes fewer sequences: one of each at most
-    loose = Counter(c for c in out if sum(n * k for n, k in c) < FULL * capacity)
-    for config in loose:
+    # uses that rounding up left with gaps are placed anew with the rest where that takes fewer sequences: one of each at most,
+    # and as few of them as the saving takes
+    gaps = sorted((sum(n * k for n, k in c), c) for c in out)
+    best, loose, own = (out, rest), Counter(), counts.copy()
+    for size, config in gaps[:LOOSE]:
+        if size >= FULL * capacity:
+            break
+        loose[config] += 1
         for n, k in config:
-            counts[n] += k
-    other = _best_fit(counts, capacity) if loose else rest
-    return (out - loose, other) if other.total() < rest.total() + loose.total() else (out, rest)
+            own[n] += k
+        other = _best_fit(own, capacity)
+        if out.total() - loose.total() + other.total() < best[0].total() + best[1].total():
+            best = out - loose, other
+    return best
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
@@ -312,14 +360,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset: a packing of few sequences.
 
-    Pieces of one length are ranked in parts of bounded size (a hash of their row), whose counts are summed up per length;
-    so a length that holds most rows is not one task.  Rows that repeat get places of their own.
+    Pieces of one length are ranked in parts of bounded size (a hash of their row), as many as its count asks for, whose
+    counts are summed up per length; so a length that holds most rows is not one task.  Rows that repeat get places of their own.
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     arrays = pieces.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))
-    parts = max(1, -(-sum(histogram.values()) // RANK_ROWS))
+    parts = pieces.sparkSession.createDataFrame([(n, -(-k // RANK_ROWS)) for n, k in histogram.items()], "length long, parts long")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
     before = dealt.groupBy("length", "part").count()
     before = before.select("length", "part", (F.sum("count").over(W.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     order = W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")

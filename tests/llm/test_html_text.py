@@ -136,3 +136,36 @@ def test_broken_pages_never_fail():
     bits = ["<table>", "</table>", "<tr>", "<td rowspan=3>", "<td colspan='x'>", "</td>", "<ul>", "<li>", "</ul>", "<ol start='--5'>", "<p>", "</p>", "text ", "<svg><text>", "</svg>", "<math><mi>", "</math>", "<b", " a='", "'>", "<!--", "-->", "<![CDATA[", "]]>", "&amp;", "&#x110000;", "<pre>\n x", "</pre>", "<details>", "<summary>", "<select><option>", "<br/>", "</br>", "<foreignobject>", "\x00", "<script>", "</script>", "<dialog>", "<dd>", "<caption>", "<td rowspan=0>", "<th>"]
     for _ in range(10_000):
         assert isinstance(render("".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))), str)
+
+
+BROKEN = ["<a ", '<a b="', "<!--", "</b ", "<?p ", "<!x ", "<![if x", "<b>", "<b><p>", "<li>", "<b><li>", "<td>", "<table><tr><td>", "<p><b>", "</p>", "<", "&", "&#", "<svg><text>", "<math><mi>", "<script></", "<a b='>", "<ul><li><b>"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_a_broken_page_takes_time_as_its_length(piece):
+    import time
+
+    for text in (piece * (1_000_000 // len(piece) if "table" not in piece else 2000), "x" + piece * (200_000 // len(piece) if "table" not in piece else 500) + "y>"):
+        began = time.thread_time()
+        render(text)
+        assert time.thread_time() - began < 25
+
+
+def test_wide_and_tall_cells_take_time_as_their_number():
+    import time
+
+    began = time.thread_time()
+    render("<table>" + "<tr><td colspan=1000 rowspan=65534>x</td></tr>" * 1000 + "</table>")
+    assert time.thread_time() - began < 5
+
+
+def test_what_nothing_ends_is_text():
+    cases = {'a <b>x</b> y <a href="q': 'a x y <a href="q', "x <!-- y <b>z</b>": "x <!-- y <b>z", "x <a <a <a": "x <a <a <a", "x < y <b>z": "x < y z", "x </b y": "x </b y", "x <!doc y": "x <!doc y", "x <?p y": "x <?p y", "x <a &amp; y": "x <a & y"}
+    assert {h: render(h) for h in cases} == cases
+
+
+def test_list_numbers_and_table_feet():
+    assert render("<ol reversed><li>a<li>b<li>c</ol>") == "3. a\n2. b\n1. c"
+    assert render("<ol start=5 reversed><li>a<li>b</ol>") == "5. a\n4. b"
+    assert render("<ol><li>a<li value=7>b<li>c</ol>") == "1. a\n7. b\n8. c"
+    assert render("<table><tfoot><tr><td>sum<td>3</tfoot><tbody><tr><td>a<td>1<tr><td>b<td>2</tbody></table>") == "a   | 1\nb   | 2\nsum | 3"

@@ -37,7 +37,15 @@ def test_pieces_come_from_the_program(n, share):
     assert placed(main) + placed(rest) == n and placed(main) >= share * n
     counts = np.zeros(2049, np.int64)
     counts[list(h)] = list(h.values())
-    bound = P.program(counts, 2048)[1]
+    found = P.program(counts, 2048)
+    bound = found.bound
+    assert found.gap <= (0.01 if n > 1000 else 0.1)
+    covered = np.zeros(2049)
+    for config, times in found.used.items():
+        assert sum(a * k for a, k in config) <= 2048
+        for a, k in config:
+            covered[a] += k * times
+    assert (covered >= counts - 1e-4).all() and found.total == pytest.approx(sum(found.used.values()))
     volume = sum(a * k for a, k in h.items()) / 2048
     assert volume <= bound + 1e-6 and sum((main + rest).values()) <= bound * 1.01 + 2
 
@@ -45,8 +53,8 @@ def test_pieces_come_from_the_program(n, share):
 def test_bound_is_below_what_pairs_of_long_pieces_need():
     counts = np.zeros(2049, np.int64)
     counts[1100] = 50  # no two fit together
-    used, bound = P.program(counts, 2048)
-    assert bound == pytest.approx(50) and sum(P.solve({1100: 50})[0].values()) == 50
+    found = P.program(counts, 2048)
+    assert found.bound == pytest.approx(50) and found.total == pytest.approx(50) and sum(P.solve({1100: 50})[0].values()) == 50
 
 
 def test_all_words_like_the_library_many_texts_at_once():
