@@ -7,6 +7,7 @@ unless it is new to the table.  A hash only says where to look: a word is that o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -29,11 +30,13 @@ def classes() -> np.ndarray:
     from tokenizers import Regex, pre_tokenizers
 
     out = np.zeros(0x110000, np.uint8)
-    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x40000)))  # no plane above has letters, numbers or spaces
     every = "".join(map(chr, points.tolist()))
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (f"[{WHITE}]+", SPACE)):
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
         for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
             out[points[a:b]] = kind
+    for m in re.finditer(f"[{WHITE}]", every):
+        out[points[m.start()]] = SPACE
     return out
 
 
