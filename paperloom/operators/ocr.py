@@ -10,6 +10,8 @@ FIELDS = "struct<images:array<struct<fields:array<struct<inferText:string,inferC
 SYMBOLS = "struct<fullTextAnnotation:struct<pages:array<struct<blocks:array<struct<paragraphs:array<struct<words:array<struct<symbols:array<struct<text:string,confidence:double>>>>>>>>>>>>"
 PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
 LINE_DISTANCE = 20
+#: Distances up to which texts are compared before the whole product of their lengths is.
+BANDS = (32, 256, 2048)
 
 
 def parse_ocr_fields(df: DataFrame, id_col: str = "doc_id", json_col: str = "response") -> DataFrame:
@@ -58,6 +60,11 @@ def ocr_confidence(items: DataFrame, key: tuple[str, ...] = ("doc_id",), col: st
     return items.groupBy(*key).agg(F.avg(F.coalesce(F.col(col), F.lit(0.0))).alias("confidence"))
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """The edit distance, exactly: bands widen until it fits, so the work is the length of the texts times their distance."""
+    return F.coalesce(*[F.nullif(F.levenshtein(a, b, most), F.lit(-1)) for most in BANDS], F.levenshtein(a, b))
+
+
 def choose_ocr_engine(pages: DataFrame, method: str = "google_priority", first: str = "google") -> DataFrame:
     """One result per (doc_id, page_number) out of (provider, extracted_text, status).
 
@@ -71,10 +78,14 @@ def choose_ocr_engine(pages: DataFrame, method: str = "google_priority", first:
     elif method == "longest":
         order = [ok.desc(), F.length("extracted_text").desc()]
     elif method == "consensus":
-        other = pages.select("doc_id", "page_number", F.col("provider").alias("p2"), F.col("extracted_text").alias("t2"))
-        near = pages.join(other, ["doc_id", "page_number"]).filter("provider <> p2")
+        # of two results each is as near to the other, so only pages of three or more are compared, each pair once
+        some = pages.withColumn("n", F.count(F.lit(1)).over(page)).filter("n > 2")
+        other = some.select("doc_id", "page_number", F.col("provider").alias("p2"), F.col("extracted_text").alias("t2"))
+        pairs = some.join(other, ["doc_id", "page_number"]).filter("provider < p2")
         longest = F.greatest(F.length("extracted_text"), F.length("t2"), F.lit(1))
-        near = near.groupBy("doc_id", "page_number", "provider").agg(F.avg(1 - F.levenshtein("extracted_text", "t2") / longest).alias("near"))
+        pairs = pairs.withColumn("s", 1 - edit_distance(F.col("extracted_text"), F.col("t2")) / longest)
+        sides = pairs.select("doc_id", "page_number", F.explode(F.array("provider", "p2")).alias("provider"), "s")
+        near = sides.groupBy("doc_id", "page_number", "provider").agg(F.avg("s").alias("near"))
         pages = pages.join(near, ["doc_id", "page_number", "provider"], "left")
         order = [ok.desc(), F.coalesce("near", F.lit(0.0)).desc()]
     else:

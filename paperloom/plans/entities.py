@@ -162,13 +162,35 @@ def _best_parts(kind: str) -> list[str]:
 BEST_SQL = f"WITH {KINDS} " + " UNION ALL ".join(_best_parts("contract") + _best_parts("consent"))
 
 
+def _hits(spark, sf_dir, kind):
+    return L.field_candidates((_contracts if kind == "contract" else _consents)(spark, sf_dir), kind)
+
+
+def _hit_parts(kind: str) -> list[str]:
+    where = "document_type = '계약서'" if kind == "contract" else "document_type = '동의서'"
+    found = lambda p: f"SELECT doc_id, list_transform(regexp_extract_all(text, '{p}', 1, 'is'), lambda v: trim(v, {_WS})) AS h FROM kinds WHERE {where}"
+    return [
+        f"SELECT * FROM (SELECT doc_id, '{label}' AS label, {i} AS pattern_rank, unnest(range(len(h))) AS hit, unnest(h) AS value FROM ({found(p)})) WHERE length(value) > 1"
+        for label, ps in L.RANKED[kind].items() for i, p in enumerate(ps)
+    ]
+
+
+def fields_earliest(spark, sf_dir):
+    """W3 over all matches: the earliest of the first pattern that has any."""
+    return L.rank_candidates(_hits(spark, sf_dir, "contract").unionByName(_hits(spark, sf_dir, "consent")))
+
+
+EARLIEST_SQL = f"WITH {KINDS}, hits AS ({' UNION ALL '.join(_hit_parts('contract') + _hit_parts('consent'))}) SELECT doc_id, label, arg_min(value, pattern_rank * 1000000 + hit) AS value FROM hits GROUP BY doc_id, label"
+
+
 def fields_wide(spark, sf_dir):
-    labels = L.LABELS["contract"][:5]
-    wide = L.fields_wide(L.extract_fields_simple(_contracts(spark, sf_dir), "contract"), labels)
+    """The first match of each label of a contract."""
+    labels = list(L.RANKED["contract"])
+    wide = L.fields_wide(_hits(spark, sf_dir, "contract"), labels, ("pattern_rank", "hit"))
     return wide.select("doc_id", *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(labels)])
 
 
-WIDE_SQL = f"WITH {KINDS}, s AS ({_simple_sql('contract')}) SELECT doc_id, " + ", ".join(f"coalesce(min(value) FILTER (WHERE label = '{c}'), '') AS f{i}" for i, c in enumerate(L.LABELS["contract"][:5])) + " FROM s GROUP BY doc_id"
+WIDE_SQL = f"WITH {KINDS}, hits AS ({' UNION ALL '.join(_hit_parts('contract'))}) SELECT doc_id, " + ", ".join(f"coalesce(arg_min(value, pattern_rank * 1000000 + hit) FILTER (WHERE label = '{c}'), '') AS f{i}" for i, c in enumerate(L.RANKED["contract"])) + " FROM hits GROUP BY doc_id"
 
 
 def labelled_text(spark, sf_dir):
@@ -255,7 +277,7 @@ OPEN_SQL = rf"""WITH {DOCS} SELECT doc_id, CAST(NULL AS STRING) AS license_purpo
 
 QUERIES = {
     "extract_entities": extract_entities, "merge_entities": merge_entities, "entities_by_type": entities_by_type, "entity_summary": entity_summary, "merge_document_entities": merge_document_entities,
-    "filter_entities": filter_entities, "fields_simple": fields_simple, "fields_ranked": fields_ranked, "fields_first_rank": fields_best_ranked, "fields_best": fields_best, "fields_wide": fields_wide,
+    "filter_entities": filter_entities, "fields_simple": fields_simple, "fields_ranked": fields_ranked, "fields_first_rank": fields_best_ranked, "fields_best": fields_best, "fields_earliest": fields_earliest, "fields_wide": fields_wide,
     "labelled_text": labelled_text, "diff_corrections": diff_corrections, "checkboxes": checkboxes, "checkbox_summary": checkbox_summary, "checkbox_glyphs": checkbox_glyphs, "work_display": work_display,
     "license_terms": license_terms, "open_license": open_license,
 }
@@ -265,7 +287,7 @@ SQL = {
     "filter_entities": f"WITH {FOUND} SELECT doc_id, value, type FROM ent WHERE type = 'EMAIL' OR (type = 'NAME' AND doc_id % 10 = 9)",
     "fields_simple": SIMPLE_SQL, "fields_ranked": f"WITH {RANKED} SELECT * FROM cand",
     "fields_first_rank": f"WITH {RANKED} SELECT doc_id, label, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY pattern_rank, value) AS n FROM cand) WHERE n = 1",
-    "fields_best": BEST_SQL, "fields_wide": WIDE_SQL, "labelled_text": LABELLED_SQL, "diff_corrections": DIFF_SQL, "checkboxes": f"WITH {BOXES} SELECT * FROM boxes",
+    "fields_best": BEST_SQL, "fields_earliest": EARLIEST_SQL, "fields_wide": WIDE_SQL, "labelled_text": LABELLED_SQL, "diff_corrections": DIFF_SQL, "checkboxes": f"WITH {BOXES} SELECT * FROM boxes",
     "checkbox_summary": f"WITH {BOXES} SELECT doc_id, string_agg(category || '.' || key, ',' ORDER BY category || '.' || key) AS fields, count(*) FILTER (WHERE checked) AS n_checked, least(1.0, count(*) / 10.0) AS confidence FROM boxes GROUP BY doc_id",
     "checkbox_glyphs": GLYPH_SQL, "work_display": WORK_SQL, "license_terms": LICENSE_SQL, "open_license": OPEN_SQL,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import random
+import time
 import zipfile
 
 import pytest
@@ -109,6 +111,19 @@ def test_fields(spark):
     assert [(r.text, r.label, r.start, r.end) for r in spans] == [("ab c", "x", 0, 2), ("ab c", "z", 3, 4)]
 
 
+def test_earliest_match_wins(spark):
+    df = docs(spark, "성명: 하하하\n전화번호: 010-9999-9999\n성명: 가가가\n전화번호: 010-1111-1111", "", None)
+    rows = fields.field_candidates(df, "consent")
+    hits = {(r.hit, r.value) for r in rows.collect() if r.label == "양수인 성명" and r.pattern_rank == 1}
+    assert hits == {(0, "하하하"), (1, "가가가")}
+    best = {r.label: r.value for r in fields.rank_candidates(rows).collect()}
+    assert best["양수인 성명"] == "하하하"
+    wide = fields.fields_wide(rows, ["양수인 성명", "동의여부"], ("pattern_rank", "hit")).collect()
+    assert [(r["양수인 성명"], r["동의여부"]) for r in wide] == [("하하하", "")]
+    agreed = fields.field_candidates(docs(spark, "모두 승인", "끝"), "consent").collect()
+    assert [(r.doc_id, r.label, r.pattern_rank, r.hit, r.value) for r in agreed] == [(0, "동의여부", 0, 0, "승인")]
+
+
 @pytest.mark.parametrize("text", ["저작물명: 테스트 (📧복제권, ☐공연권, 📧공중송신권)", "저작물명: 테스트 (☑복제권, □공연권, ☑공중송신권)"])
 def test_checkboxes(spark, text):
     got = {r.key: r.checked for r in checkboxes.extract_checkboxes(docs(spark, text, None), "contract").collect()}
@@ -131,6 +146,21 @@ def test_ocr_lines_and_engines(spark):
     assert ocr.ocr_confidence(symbols).first().confidence == pytest.approx(0.45)
 
 
+def test_edit_distance_in_bands(spark):
+    random.seed(5)
+    word = lambda n: "".join(random.choice("가나ab ") for _ in range(n))
+    rows = [(word(random.randint(0, 400)), word(random.randint(0, 400))) for _ in range(60)] + [("", ""), ("가", None)]
+    rows += [(t, t[:50] + "x" * k + t[60:]) for k in (0, 9, 40, 300) for t in [word(500)]]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.filter(~ocr.edit_distance(F.col("a"), F.col("b")).eqNullSafe(F.levenshtein("a", "b"))).count() == 0
+    # long pages that differ little take time as their length
+    page = word(100_000)
+    near = [page, page[:70_000] + "ㄱㄴ" + page[70_000:], page[:500] + "ㄷ" + page[501:], page[:900] + "ㄷ" * 20 + page[920:]]
+    pages = spark.createDataFrame([(1, 1, f"p{i}", t, "success") for i, t in enumerate(near)], "doc_id long, page_number int, provider string, extracted_text string, status string")
+    began = time.time()
+    assert [r.provider for r in ocr.choose_ocr_engine(pages, "consensus").collect()] == ["p0"] and time.time() - began < 20
+
+
 def tag(spark, labels, mode="strict"):
     rows = [(1, i, i + 1 if i else 1, i + 2 if i else 1 + 1, x, 0.9) for i, x in enumerate(labels)]
     df = spark.createDataFrame(rows, "sent_id int, pos int, start int, end int, label string, confidence double")
