@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from paperloom.llm import toxicity as X
 
 
@@ -47,3 +49,35 @@ def test_without_positives_and_odd_rows(spark, make):
     got = X.score(docs, model).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert X.score(make([]), model).count() == 0 and X.drop_toxic(make([]), model).count() == 0
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_fit_follows_the_risk(prior):
+    # the risk as written, over a dense matrix, with gradients by differences; at prior 0.9 the corrected part falls below zero
+    rng = np.random.default_rng(5)
+    x = (rng.random((60, 7)) < 0.4).astype(float)
+    p, u = (rng.random(60) < 0.3).astype(float), (rng.random(60) < 0.8).astype(float)
+    x[p == 1, 0] = 1
+    owner, cols = np.nonzero(x)
+    soft = lambda f: np.log1p(np.exp(f))
+
+    def parts(theta):
+        f = x @ theta[:-1] + theta[-1]
+        mean = lambda w, loss: (w * loss).sum() / w.sum()
+        return prior * mean(p, soft(-f)), mean(u, soft(f)) - prior * mean(p, soft(f))
+
+    def slope(g, theta):
+        unit = np.eye(len(theta)) * 1e-5
+        return np.array([(g(theta + e) - g(theta - e)) / 2e-5 for e in unit])
+
+    theta, m, v, fell = np.append(np.zeros(7), np.log(prior / (1 - prior))), 0.0, 0.0, 0
+    for t in range(1, 41):
+        above = parts(theta)[1] >= 0
+        fell += not above
+        grad = slope((lambda z: sum(parts(z))) if above else (lambda z: -parts(z)[1]), theta)
+        grad[:-1] += 1e-4 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    model = X._fit(p, u, owner, cols, np.arange(7), prior, steps=40)
+    assert np.allclose(np.append(model.weights, model.bias), theta, atol=2e-3)
+    assert (fell > 0) == (prior == 0.9)
