@@ -61,7 +61,7 @@ def ocr_confidence(items: DataFrame, key: tuple[str, ...] = ("doc_id",), col: st
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """The edit distance, exactly: bands widen until it fits, so the work is the length of the texts times their distance."""
+    """The edit distance, exactly: bands widen until it fits, which costs less than the whole product where texts are near."""
     return F.coalesce(*[F.nullif(F.levenshtein(a, b, most), F.lit(-1)) for most in BANDS], F.levenshtein(a, b))
 
 
