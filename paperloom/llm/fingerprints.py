@@ -2,7 +2,8 @@
 
 Every five-word shingle is hashed to 64 bits and kept when its hash lies below a fixed fraction of the hash range.  As
 the threshold is the same for all documents, sketches of texts of very different lengths can be united, intersected
-and compared without the texts.  The query keeps the whole range, so that its likenesses are those of the texts.
+and compared without the texts.  The query's fingerprints hold the sketch of a quarter of the range, from which it estimates
+containment; its likenesses are taken over all shingles, before they are thinned, so they are those of the texts.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from .common import durable, table, text_of
 WORDS = 5
 #: A shingle is retained with probability 1 / SCALE, where nothing else is asked for.
 SCALE = 8
-#: The scale that retains every shingle.
-WHOLE = 1
+#: The scale that retains every shingle, and that of the query's fingerprints.
+WHOLE, KEPT = 1, 4
 
 
 def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
@@ -28,18 +29,31 @@ def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
     share.  A text that has shingles of which none is retained has no sketch (null): nothing is known of it, while an empty
     sketch is that of a text without words.  With scale 1 every text has a sketch, and all estimates are exact.
     """
+    return sketches(text, scale, k=k)[f"s{scale}"]
+
+
+def sketches(text: Column, *scales: int, k: int = WORDS) -> Column:
+    """struct<s1, s4, ...>: the sketches of a text at several scales, of shingles that are hashed once."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[\t\n\x0B\f\r]", " "), " "), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    least = -(1 << 63) + (1 << 64) // scale
+    finest = min(scales)
+
+    def below(h: Column, scale: int) -> Column:
+        return h if scale == WHOLE else F.filter(h, lambda x: x < F.lit(-(1 << 63) + (1 << 64) // scale))
 
     def thin(h: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-        low = many if scale == WHOLE else F.filter(many, lambda x: x < F.lit(least))
-        return F.when(F.size(h) >= k, F.sort_array(F.array_distinct(low))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(h) >= k, F.sort_array(F.array_distinct(below(many, finest)))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+
+    def known(t: Column) -> Column:
+        return F.struct(*[F.when((F.size(t[f"s{c}"]) > 0) | (t["n"] == 0), t[f"s{c}"]).alias(f"s{c}") for c in scales])
+
+    def coarser(t: Column) -> Column:
+        return F.struct(t["n"].alias("n"), *[(t["s"] if c == finest else F.when(t["n"] >= k, below(t["s"], c)).otherwise(t["s"])).alias(f"s{c}") for c in scales])
 
     # each step is bound once: transform over a one-element array is SQL's let
-    thinned = F.transform(F.array(hashes), lambda h: F.struct(thin(h).alias("s"), (F.size(h) > 0).alias("any")))
-    return F.get(F.transform(thinned, lambda t: F.when((F.size(t["s"]) > 0) | ~t["any"], t["s"])), 0)
+    bound = F.transform(F.array(hashes), lambda h: F.struct(thin(h).alias("s"), F.size(h).alias("n")))
+    return F.get(F.transform(F.transform(bound, coarser), known), 0)
 
 
 def union(a: Column, b: Column) -> Column:
@@ -68,6 +82,15 @@ def as_text(s: Column) -> Column:
     return F.lower(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
+def fingerprint(sketches: Column) -> Column:
+    """A digest of all shingles, a colon and the sketch that is kept: equal sets of shingles give equal fingerprints.
+
+    The digest tells texts apart of which no shingle is retained; all estimates are made of the sketch.
+    """
+    kept = F.coalesce(sketches[f"s{KEPT}"], F.array().cast("array<bigint>"))
+    return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(sketches[f"s{WHOLE}"])), 16, "0")), F.lit(":"), as_text(kept))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, scale: int = SCALE) -> DataFrame:
     """(doc_id, n_shingles_kept, sketch): one row per input row; null texts are empty, extra columns are ignored.
 
@@ -98,8 +121,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document, by descending identifier, after the last the first.  Null texts are empty.  Rows without an identifier
     have no next document: it is taken as empty.  Of rows that repeat an identifier the smallest text is the next document of
-    others.  Fingerprints hold every shingle, so likeness is the Jaccard similarity of the shingles; of two empty
-    fingerprints it is 1.
+    others.  ``fingerprint`` is a digest and the sketch that retains a quarter of the shingles.  ``near_edited`` and
+    ``near_next`` are the likeness before thinning, the Jaccard similarity of all shingles; of two texts without words it is
+    1.  ``kept_in_next`` and ``next_in_kept`` are estimated by the sketches: which share of the text's shingles the next
+    document has, and which of the next document's the text; null where no shingle was retained of the one that is held.
     """
     same = id_col == "doc_id"
     docs = base = docs.select(F.col(id_col) if same else F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -110,18 +135,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = own.join(want, "doc_id").groupBy("for_id").agg(F.min("text").alias("next_text"))
     alone = base.filter("doc_id IS NULL").withColumn("next_text", F.lit(None).cast("string"))
     both = own.join(heads, own["doc_id"] == heads["for_id"]).drop("for_id").unionByName(alone).withColumn("next_text", text_of("next_text"))
-    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("sketch", sketch(F.col("text"), scale=WHOLE))
+    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("own", sketches(F.col("text"), WHOLE, KEPT))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), cut)))
-    both = both.withColumn("edited_sketch", sketch(F.col("edited"), scale=WHOLE)).withColumn("next_sketch", sketch(F.col("next_text"), scale=WHOLE))
+    both = both.withColumn("other", sketches(F.col("edited"), WHOLE, KEPT)).withColumn("next", sketches(F.col("next_text"), WHOLE, KEPT))
+    whole, kept = f"s{WHOLE}", f"s{KEPT}"
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("own")[whole], F.col("other")[whole]).alias("near_edited"),
+        likeness(F.col("own")[whole], F.col("next")[whole]).alias("near_next"),
+        containment(F.col("own")[kept], F.col("next")[kept]).alias("kept_in_next"),
+        containment(F.col("next")[kept], F.col("own")[kept]).alias("next_in_kept"),
     )
 
 

@@ -63,7 +63,7 @@ def test_short_texts_are_compared_whole(spark, make):
         for other, near in ((t[: len(t) - c] + nxt[:c], got[i].near_edited), (nxt, got[i].near_next)):
             a, b = shingles(t), shingles(other)
             assert abs(near - len(a & b) / len(a | b)) < 1e-12
-        assert len(got[i].fingerprint) == 16 * len(shingles(t))
+        assert len(got[i].fingerprint) <= 17 + 16 * len(shingles(t))
 
 
 def test_sketches_of_a_scale_unite_and_contain(spark, make):
@@ -86,15 +86,30 @@ def test_identifiers_of_any_order(spark):
     assert {r.doc_id: r.edited_sha256 for r in G.edited_fingerprints(df).collect() if r.doc_id} == want
 
 
-def test_fingerprints_are_the_hashes_of_all_shingles(spark, make):
-    texts = {i: " ".join(f"W{(i * 3 + k) % 40}" for k in range(i % 12)) for i in range(60)}
+def test_fingerprints_are_the_retained_hashes(spark, make):
+    texts = {i: " ".join(f"W{(i * 3 + k) % 40}" for k in range(i % 12 * 4)) for i in range(60)}
     got = {r.doc_id: r for r in G.edited_fingerprints(make(list(texts.items()))).collect()}
-    hashed = {}
+    every = {r.doc_id: r.sketch for r in G.fingerprints(make(list(texts.items())), scale=G.WHOLE).collect()}
+    least = -(1 << 63) + (1 << 64) // G.KEPT
+    kept = {i: every[i] if len(t.split()) < G.WORDS else [h for h in every[i] if h < least] for i, t in texts.items()}
     for i, t in texts.items():
-        own = shingles(t)
-        assert len(got[i].fingerprint) == 16 * len(own)
-        parts = {got[i].fingerprint[k : k + 16] for k in range(0, len(got[i].fingerprint), 16)}
-        assert len(parts) == len(own) and got[i].fingerprint == "".join(sorted(parts, key=lambda h: int(h, 16) ^ 1 << 63))
-        for other in hashed:
-            assert len(parts & hashed[other]) == len(own & shingles(texts[other]))
-        hashed[i] = parts
+        assert len(every[i]) == len(shingles(t))
+        assert got[i].fingerprint.split(":")[1] == "".join(f"{h % (1 << 64):016x}" for h in kept[i])
+        for j, u in texts.items():
+            assert (got[i].fingerprint == got[j].fingerprint) == (shingles(t) == shingles(u))
+            assert len(set(every[i]) & set(every[j])) == len(shingles(t) & shingles(u))
+        for a, b, share in ((i, (i - 1) % 60, got[i].kept_in_next), ((i - 1) % 60, i, got[i].next_in_kept)):
+            want = len(set(kept[a]) & set(kept[b])) / len(kept[a]) if kept[a] else None if every[a] else 1.0
+            assert share == want
+
+
+def test_containment_in_a_far_longer_text(spark, make):
+    short = [f"s{k}" for k in range(400)]
+    long = [f"l{k}" for k in range(20000)]
+    rows = [(1, " ".join(long[:9000] + short[:200] + long[9000:])), (2, " ".join(short)), (3, " ".join(long[500:520])), (4, " ".join(long))]
+    got = {r.doc_id: r for r in G.edited_fingerprints(make(rows)).collect()}
+    true = len(shingles(rows[1][1]) & shingles(rows[0][1])) / len(shingles(rows[1][1]))
+    assert abs(got[2].kept_in_next - true) < 0.15 and got[2].next_in_kept < 0.03
+    # 20 words in 20,000: whatever is retained of the 20 words is retained of the long text
+    assert got[4].next_in_kept in (1.0, None) and got[4].kept_in_next < 0.01
+    assert all(len(got[i].fingerprint) < len(t) * 1.1 + 40 for i, t in rows)
