@@ -8,7 +8,7 @@ from .chat import OP3_SQL, op3_chat
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fingerprints import op9_fingerprints
 from .html_text import op4_html_text
-from .jaccard_join import op7_jaccard_join
+from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .merkle import OP11_SQL, op11_merkle
 from .packing import op6_packing
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_centroids": op12_centroids,
     "op13_secrets": op13_secrets,
 }
-SQL = {"op2_line_dedup": OP2_SQL, "op3_chat": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op11_merkle": OP11_SQL, "op12_centroids": OP12_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_chat": OP3_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_merkle": OP11_SQL, "op12_centroids": OP12_SQL}
