@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as E
 from ..operators import evaluate as V
+from ..operators import grammar as Y
 from ..operators import ocr as O
 from ..operators import records as R
 from ..operators import sequence as S
@@ -251,6 +252,42 @@ SELECT id, part, text, CAST(len(e) AS INT) AS n_entities, CAST(list_sum(list_tra
   CAST(list_sum(list_transform(own, lambda v: (length(text) - length(replace(text, v, ''))) // length(v) * length(replace(v, ' ', '')))) AS INT) AS n_tagged FROM d"""
 
 
+def varied_corpus(spark, sf_dir):
+    """G1 by the grammar: whole labels and places of the entities.  Identifiers are spread before texts are made of them."""
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    places = F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["start"].cast("string"), e["value"]))
+    return Y.synthesize_varied_corpus(ids).select("id", "text", F.array_join(places, "|").alias("entities"), F.array_join("labels", " ").alias("labels"))
+
+
+def _grammar_piece(p, n: int) -> str:
+    drawn = _hash("CAST(i - 1 AS STRING)", f"'{n}'")
+    if isinstance(p, str):
+        return f"'{p}'"
+    if isinstance(p, list):
+        return f"{_list(p)}[1 + {drawn} % {len(p)}]"
+    number = f"CAST({p[0]} + {drawn} % {p[1] - p[0] + 1} AS STRING)"
+    return f"lpad({number}, {p[2]}, '0')" if p[2] else number
+
+
+def _grammar_value(patterns: list[str]) -> str:
+    made = [" || ".join(_grammar_piece(p, n) for n, p in enumerate(Y.pieces(q))) for q in patterns]
+    return f"CASE {_hash('CAST(i - 1 AS STRING)', repr('form'))} % {len(made)} {' '.join(f'WHEN {k} THEN {m}' for k, m in enumerate(made))} END"
+
+
+_SLOTS = f"CASE s {' '.join(f"WHEN '{{{k}}}' THEN {_grammar_value(v)}" for k, v in Y.VALUES.items())} ELSE s END"
+VARIED_SQL = f"""WITH i AS (SELECT o_orderkey AS id FROM orders),
+a AS (SELECT id, CASE WHEN {_hash("'many'")} % 100 < 40 THEN 2 + {_hash("'sentences'")} % 3 ELSE 1 END AS n, CASE WHEN {_hash("'more'")} % 100 < 60 THEN 1 + {_hash("'extras'")} % 8 ELSE 0 END AS m FROM i),
+b AS (SELECT id, unnest(range(0, n)) AS j, m, n FROM a),
+c AS (SELECT id, any_value(m) AS m, flatten(list(CASE WHEN j > 0 THEN [chr(10)] ELSE [] END || [{', '.join(_list(Y.segments(t)) for t in Y.SENTENCES)}][1 + {_hash("'sentence'", "CAST(j AS STRING)")} % {len(Y.SENTENCES)}] ORDER BY j)) AS own FROM b GROUP BY id),
+d AS (SELECT id, own || flatten(list_transform(range(1, m + 1), lambda j: [{_of(_list(G.CONNECTORS), "'link'", "CAST(j AS STRING)")}, {_of(_list(['{' + k + '}' for k in Y.VALUES]), "'type'", "CAST(j AS STRING)")}]))
+    || CASE WHEN {_hash("'scan'")} % 100 < 20 THEN [{_of(_list(G.SCANNED), "'scanned'")}] ELSE [] END AS slots FROM c),
+e AS (SELECT id, unnest(slots) AS s, unnest(range(1, len(slots) + 1)) AS i FROM d WHERE len(list_filter(slots, lambda s: s[1] = '{{')) >= 3 AND len(list_distinct(list_filter(slots, lambda s: s[1] = '{{'))) >= 2),
+f AS (SELECT id, i, CASE WHEN s[1] = '{{' THEN s[2:-2] END AS k, {_SLOTS} AS v FROM e),
+g AS (SELECT *, CAST(sum(length(v)) OVER (PARTITION BY id ORDER BY i) - length(v) AS BIGINT) AS place FROM f)
+SELECT id, string_agg(v, '' ORDER BY i) AS text, string_agg(k || ':' || place || ':' || v, '|' ORDER BY i) AS entities,
+  string_agg(array_to_string(list_transform(range(1, length(v) + 1), lambda p: CASE WHEN k IS NULL OR substr(v, p, 1) = ' ' THEN 'O' WHEN p = 1 THEN 'B-' || k ELSE 'I-' || k END), ' '), ' ' ORDER BY i) AS labels FROM g GROUP BY id"""
+
+
 def synthetic_fields(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     return G.synthesize_field_documents(ids)
@@ -307,7 +344,7 @@ QUERIES = {
     "ocr_lines": ocr_lines, "ocr_confidence": ocr_confidence, "ocr_words": ocr_words, "choose_engine_priority": choose_engine("google_priority"), "choose_engine_longest": choose_engine("longest"),
     "choose_engine_consensus": choose_engine("consensus"), "assemble_documents": assemble_documents, "ocr_summary": ocr_summary, "decode_spans": decode_spans, "evaluate_entities": evaluate_entities,
     "evaluate_by_type": evaluate_by_type, "top_types": top_types, "evaluate_tokens": evaluate_tokens, "token_accuracy": token_accuracy, "stratified_split": stratified_split, "label_distribution": label_distribution,
-    "first_sentences": first_sentences, "expand_labels": expand_labels, "conll_round_trip": conll_round_trip, "synthetic_corpus": synthetic_corpus, "synthetic_fields": synthetic_fields, "routed_fields": routed_fields,
+    "first_sentences": first_sentences, "expand_labels": expand_labels, "conll_round_trip": conll_round_trip, "synthetic_corpus": synthetic_corpus, "varied_corpus": varied_corpus, "synthetic_fields": synthetic_fields, "routed_fields": routed_fields,
     "evaluation_mix": evaluation_mix, "latest_requests": latest_requests, "api_spend": api_spend, "folder_documents": folder_documents, "character_labels": character_labels,
 }
 SQL = {
@@ -319,6 +356,6 @@ SQL = {
     "stratified_split": f"WITH {_SPLIT} SELECT sent_id, split FROM f", "label_distribution": DIST_SQL,
     "first_sentences": f"WITH {_TOK} SELECT sent_id, CAST(count(*) AS INT) AS n FROM tok GROUP BY sent_id ORDER BY sent_id LIMIT 100",
     "expand_labels": f"WITH {_TOK} SELECT gold AS label, count(*) AS tokens, count(*) * 5 AS characters FROM tok GROUP BY gold",
-    "synthetic_corpus": SYNTH_SQL, "synthetic_fields": FIELDS_SQL, "routed_fields": ROUTED_SQL, "evaluation_mix": MIX_SQL, "latest_requests": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
+    "synthetic_corpus": SYNTH_SQL, "varied_corpus": VARIED_SQL, "synthetic_fields": FIELDS_SQL, "routed_fields": ROUTED_SQL, "evaluation_mix": MIX_SQL, "latest_requests": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
     "api_spend": SPEND_SQL, "folder_documents": FOLDER_SQL, "choose_engine_consensus": CONSENSUS_SQL, "conll_round_trip": CONLL_SQL, "character_labels": LABELS_SQL,
 }

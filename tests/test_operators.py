@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import classify as C
 from paperloom.functions import text as T
-from paperloom.operators import checkboxes, entities, evaluate, fields, metadata, models, ocr, records, sequence, synth
+from paperloom.operators import checkboxes, entities, evaluate, fields, grammar, metadata, models, ocr, records, sequence, synth
 from paperloom.sources import files
 from paperloom.streaming.metadata import metadata_stream
 
@@ -401,3 +401,24 @@ def test_answers_by_schema(spark):
     assert got[2] == (["contract_type: is required", "rights_holder: is required", "user: is required"], 0.0)
     assert got[3] == (None, None) and got[4][0] == ["document_type: is required", "title: is required"]
     assert got[5] == (["document_type: is required", "parties: is not of type array"], 1 / 9)
+
+
+def test_the_grammar_fills_every_type_and_labels_what_it_wrote(spark):
+    ids = spark.range(3000)
+    rows = grammar.synthesize_varied_corpus(ids).collect()
+    assert len(grammar.VALUES) == 23 and {e.type for r in rows for e in r.entities} == set(grammar.VALUES)
+    assert 1500 < len(rows) <= 3000 and len({e.value for r in rows for e in r.entities}) > 5000
+    for r in rows:
+        assert len(r.labels) == len(r.text) and "{" not in r.text and "<" not in r.text
+        want = ["O"] * len(r.text)
+        for e in r.entities:
+            assert r.text[e.start : e.start + len(e.value)] == e.value
+            for k, c in enumerate(e.value):
+                want[e.start + k] = "O" if c == " " else ("B-" if k == 0 else "I-") + e.type
+        assert r.labels == want and len(r.entities) >= 3 and len({e.type for e in r.entities}) >= 2
+    assert any(len([e for e in r.entities if e.type == "COMPANY"]) > 1 for r in rows)
+    again = grammar.synthesize_varied_corpus(ids.filter("id % 7 = 3").repartition(3)).collect()
+    assert {r.id: r for r in again} == {r.id: r for r in rows if r.id % 7 == 3}
+    odd = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "id long, text string")
+    assert len({r.text for r in grammar.synthesize_varied_corpus(odd).collect()}) <= 1
+    assert grammar.synthesize_varied_corpus(spark.range(0)).count() == 0
