@@ -11,6 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom import catalog
 from paperloom.functions import classify as C
 from paperloom.functions import text as T
 from paperloom.operators import checkboxes, entities, evaluate, fields, grammar, metadata, models, ocr, records, sequence, synth
@@ -343,6 +344,21 @@ def test_folder_documents(spark):
     assert got == {"/r/a": "one\ntwo", "/r/b": "three", "/r": "one\ntwo\nthree"}
 
 
+def test_folder_digests(spark):
+    # folders with and without files of their own, names that sort around the slash, null texts, one path twice
+    paths = ["/r/a/2", "/r/a/1", "/r/a-b/1", "/r/a/x y", "/r/b/3", "/s/1", "/s/t/1", "/s/t/2", "/q/v/w/1", "top", "u/1", "/9", "/r/a/1", "/q/v/w/0"]
+    df = spark.createDataFrame([(p, None if p.endswith("0") or p == "u/1" else f" {p}  {k}é") for k, p in enumerate(paths)], "path string, text string").repartition(5)
+    for options in ({}, {"sep": " ", "collapse": True}):
+        want = {(r.folder, hashlib.md5(r.text.encode()).hexdigest(), r.n_files) for r in files.folder_documents(df, **options).collect()}
+        made = files.folder_digests(df, **options)
+        assert {tuple(r) for r in made.collect()} == want and len(want) == 10 and made.count() == 10
+
+
+def test_folder_query_gathers_no_folder(spark):
+    plan = catalog.QUERIES["folder_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_join" not in plan
+
+
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     text = "계약서\n갑: 가온\n을: 나래\n2024-01-02"
