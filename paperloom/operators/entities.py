@@ -162,22 +162,28 @@ def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, value, type), distinct within a document; null and empty texts have none.
 
     All patterns run in one projection over the text, which is exploded once and does not enter the shuffle; a pattern runs only
-    over texts that hold one of its words, and over each run of characters once.
+    over texts that hold one of its words, and over each run of characters once.  Values are tested before they become rows, each
+    by the tests of its own type: as one filter over all types the tests make a method too large for the JVM to compile.
     """
     text = F.col(text_col)
-    none = F.array().cast("array<struct<type:string,value:string>>")
+    none = F.array().cast("array<string>")
 
     def found(rule: Rule) -> Column:
         def tidy(v: Column) -> Column:
             for word in rule.drop:
                 v = F.replace(v, F.lit(word), F.lit(""))
-            return F.struct(F.lit(rule.type).alias("type"), strip_ws(v).alias("value"))
+            return strip_ws(v)
 
         return F.when(_any(text.contains, rule.words), F.transform(F.regexp_extract_all(text, F.lit(rule.search()), F.lit(rule.group)), tidy)).otherwise(none)
 
-    rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.concat(*[found(r) for r in rules])).alias("e")).select("doc_id", "e.value", "e.type")
-    valid = F.col("type").isin("EMAIL", "MONEY") | is_valid_entity(F.col("value"), F.col("type"))
-    return rows.filter(_shape(F.col("type"), F.col("value")) & valid).distinct()
+    def of_type(name: str) -> Column:
+        kind = F.lit(name)
+        values = F.array_distinct(F.concat(*[found(r) for r in rules if r.type == name]))
+        keep = lambda v: _shape(kind, v) if name in ("EMAIL", "MONEY") else _shape(kind, v) & is_valid_entity(v, kind)
+        return F.transform(F.filter(values, keep), lambda v: F.struct(v.alias("value"), kind.alias("type")))
+
+    every = F.concat(*[of_type(name) for name in dict.fromkeys(r.type for r in rules)])
+    return df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(every).alias("e")).select("doc_id", "e.value", "e.type").distinct()
 
 
 def confidence_filter(tokens: DataFrame, token_min: float = 0.7) -> DataFrame:
