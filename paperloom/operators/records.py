@@ -182,16 +182,16 @@ def completeness(df: DataFrame, schema: str) -> Column:
 
 def _kind_of(value: Column) -> Column:
     """The JSON type of a variant, null for a JSON null and for what is absent."""
-    name = F.schema_of_variant(value)
-    return (
+    kind = lambda name: (
         F.when(name.startswith("OBJECT"), F.lit("object"))
         .when(name.startswith("ARRAY"), F.lit("array"))
         .when(name.isin("STRING", "BOOLEAN"), F.lower(name))
         .when(name != "VOID", F.lit("number"))
     )
+    return _with(F.schema_of_variant(value), kind)
 
 
-_RULE = "struct<field: string, path: string, around: string, top: string, kind: string, required: boolean, allowed: array<string>, low: double, high: double>"
+_RULE = "struct<field: string, path: array<string>, around: array<string>, top: string, kind: string, required: boolean, allowed: array<string>, low: double, high: double>"
 
 
 def answer_rules(spark: SparkSession) -> DataFrame:
@@ -203,7 +203,7 @@ def answer_rules(spark: SparkSession) -> DataFrame:
         for f, r in every.items():
             top, _, inner = f.rpartition("[].")
             around = inner.rpartition(".")[0]
-            row = (f, f"$.{inner}", f"$.{around}" if around else None, top or None, TYPES[schema].get(f), r.required, list(r.allowed) or None, *[None if x is None else float(x) for x in (r.low, r.high)])
+            row = (f, inner.split("."), around.split(".") if around else None, top or None, TYPES[schema].get(f), r.required, list(r.allowed) or None, *[None if x is None else float(x) for x in (r.low, r.high)])
             (listed if top else plain).append(row)
         rows.append((schema, plain, listed, PROPERTIES[schema.removesuffix("_enhanced")]))
     return spark.createDataFrame(rows, f"schema string, rules array<{_RULE}>, lists array<{_RULE}>, fields array<string>")
@@ -214,6 +214,11 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _at(value: Column, path: Column) -> Column:
+    """The variant at a path, an array of names; null where an object or name is missing.  A path as text would be parsed for every row."""
+    return F.aggregate(path, value, lambda v, name: F.try_element_at(F.try_variant_get(v, F.lit("$"), "map<string,variant>"), name))
+
+
 def _wrong_in_answer(rule: Column, value: Column, name: Column) -> Column:
     """What is wrong with one value of an answer, as strings or nulls; a JSON null is a missing value."""
     say = lambda *what: F.concat(name, F.lit(": "), *[F.lit(w) if isinstance(w, str) else w for w in what])
@@ -239,12 +244,12 @@ def answer_errors(answer: Column, rules: Column, lists: Column) -> Column:
     """
 
     def in_list(rule: Column) -> Column:
-        items = F.coalesce(F.try_variant_get(answer, F.concat(F.lit("$."), rule["top"]), "array<variant>"), F.array().cast("array<variant>"))
-        name = lambda at: F.concat(rule["top"], F.lit("/"), at.cast("string"), F.substring(F.replace(rule["path"], F.lit("$."), F.lit("/")), 1, 200))
-        return F.flatten(F.transform(items, lambda item, at: _wrong_in_answer(rule, F.try_variant_get(item, rule["path"], "variant"), name(at))))
+        items = F.coalesce(F.try_variant_get(_at(answer, F.array(rule["top"])), F.lit("$"), "array<variant>"), F.array().cast("array<variant>"))
+        name = lambda at: F.concat(rule["top"], F.lit("/"), at.cast("string"), F.lit("/"), F.array_join(rule["path"], "."))
+        return F.flatten(F.transform(items, lambda item, at: _wrong_in_answer(rule, _at(item, rule["path"]), name(at))))
 
-    asked = F.filter(rules, lambda r: r["around"].isNull() | F.coalesce(_kind_of(F.try_variant_get(answer, r["around"], "variant")) == "object", F.lit(False)))
-    plain = F.flatten(F.transform(asked, lambda r: _wrong_in_answer(r, F.try_variant_get(answer, r["path"], "variant"), r["field"])))
+    asked = F.filter(rules, lambda r: r["around"].isNull() | F.coalesce(_kind_of(_at(answer, r["around"])) == "object", F.lit(False)))
+    plain = F.flatten(F.transform(asked, lambda r: _wrong_in_answer(r, _at(answer, r["path"]), r["field"])))
     return F.array_sort(F.filter(F.concat(plain, F.flatten(F.transform(lists, in_list))), lambda e: e.isNotNull()))
 
 
@@ -252,8 +257,7 @@ def answer_completeness(answer: Column, fields: Column) -> Column:
     """The share of the schema's fields that an answer has, not null and not the empty string; 0 without fields."""
 
     def filled(f: Column) -> Column:
-        value = F.try_variant_get(answer, F.concat(F.lit("$."), f), "variant")
-        return _kind_of(value).isNotNull() & ~F.coalesce(F.try_variant_get(value, "$", "string") == "", F.lit(False))
+        return _with(_at(answer, F.array(f)), lambda v: _kind_of(v).isNotNull() & ~F.coalesce(F.try_variant_get(v, "$", "string") == "", F.lit(False)))
 
     return F.when(F.size(fields) > 0, F.size(F.filter(fields, filled)) / F.size(fields)).otherwise(0.0)
 

@@ -410,6 +410,13 @@ def test_pages_of_broken_documents_have_an_error(spark):
     assert got == [("a", 1, None), ("a", 2, None), ("b", 0, "ValueError: no pages")]
 
 
+def test_answers_are_read_by_names_and_not_by_parsed_paths(spark):
+    # a path that is no literal is parsed for every row
+    df = spark.createDataFrame([("contract", "{}")], "schema string, metadata string")
+    plan = records.validate_answers(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat($." not in plan
+
+
 def test_answers_by_schema(spark):
     rows = [(1, "contract", '{"contract_type": "x", "rights_holder": "y", "user": "z", "payment_amount": "7", "parties": [{"name": "a"}, {}, 5], "granted_rights": {"rental_right": 1}}'), (2, "contract", "no json"), (3, "other", "{}"), (4, "general", None), (5, "general", '{"document_type": null, "title": "", "parties": {}}')]
     got = {r.i: (r._validation_errors, r.completeness) for r in records.validate_answers(spark.createDataFrame(rows, "i int, schema string, metadata string")).collect()}
