@@ -226,7 +226,7 @@ TREE_SQL = f"""WITH p AS ({_PAPERS}) SELECT 'engine' || CAST(doc_id % 4 AS STRIN
 def text_corpus(spark, sf_dir):
     """A folder of texts, blank and short ones left out."""
     at = X.scratch(spark)
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.col("c_custkey") % 9, F.lit("/"), "c_custkey", F.when(F.col("c_custkey") % 5 == 0, ".pdf").when(F.col("c_custkey") % 2 == 0, ".md").otherwise(".txt")).alias("name"), F.expr("repeat('글 ', int(c_custkey % 8))").alias("content"))
+    rows = view(spark, sf_dir, "SELECT c_custkey FROM customer").select(F.concat(F.col("c_custkey") % 9, F.lit("/"), "c_custkey", F.when(F.col("c_custkey") % 5 == 0, ".pdf").when(F.col("c_custkey") % 2 == 0, ".md").otherwise(".txt")).alias("name"), F.expr("repeat('글 ', int(c_custkey % 8))").alias("content"))
     write_files(rows, at)
     return X.read_text_corpus(spark, at).select(F.regexp_extract("path", r"([^/]*/[^/]*)\z", 1).alias("name"), "text")
 
