@@ -163,7 +163,7 @@ def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     All patterns run in one projection over the text, which is exploded once and does not enter the shuffle; a pattern runs only
     over texts that hold one of its words, and over each run of characters once.  Values are tested before they become rows, each
-    by the tests of its own type: as one filter over all types the tests make a method too large for the JVM to compile.
+    by the tests of its own type alone.
     """
     text = F.col(text_col)
     none = F.array().cast("array<string>")
