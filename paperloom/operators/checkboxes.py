@@ -83,19 +83,31 @@ def ticked(text: Column, *names: str) -> Column:
     return text.rlike(rf"(?:{'|'.join(TICKED['A'])})\s*(?:{words})")
 
 
+def after_ticks(text: Column, names: list[str]) -> Column:
+    """What follows each ticked glyph and the blanks after it, as far as the longest of the names; a text is searched once."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)[{''.join(TICKED['A'])}]\s*(?=(.{{0,{max(map(len, names))}}}))"), F.lit(1))
+
+
+def begins_with(found: Column, names: list[str]) -> Column:
+    """Whether one of the names follows a ticked glyph, of what ``after_ticks`` found."""
+    return F.exists(found, lambda x: reduce(lambda a, b: a | b, [x.startswith(n) for n in names]))
+
+
+def _with_ticks(df: DataFrame, items: dict[str, list[str]], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, ticks): the generator keeps the optimizer from searching a text again for each item."""
+    names = [n for own in items.values() for n in own]
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.explode(F.array(after_ticks(F.col(text_col), names))).alias("ticks"))
+
+
 def extract_checkboxes(df: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, category, key, checked): every item of the kind, ticked under any of its names; null texts have none.
 
     A text is searched once, for its ticked glyphs; what follows each of them is then compared with the names.
     """
-    longest = max(len(n) for keys in ITEMS[kind].values() for names in keys.values() for n in names)
-    after = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s)(?:{'|'.join(TICKED['A'])})\s*(?=(.{{0,{longest}}}))"), F.lit(1))
+    after = after_ticks(F.col(text_col), [n for keys in ITEMS[kind].values() for names in keys.values() for n in names])
 
     def items(found: Column) -> Column:
-        def checked(names: list[str]) -> Column:
-            return F.exists(found, lambda x: reduce(lambda a, b: a | b, [x.startswith(n) for n in names]))
-
-        return F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("key"), checked(names).alias("checked")) for c, keys in ITEMS[kind].items() for k, names in keys.items()])
+        return F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("key"), begins_with(found, names).alias("checked")) for c, keys in ITEMS[kind].items() for k, names in keys.items()])
 
     rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.flatten(F.transform(F.array(after), items))).alias("c"))
     return rows.select("doc_id", "c.*")
@@ -114,33 +126,34 @@ def extract_work_display(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Names after 저작물명 up to ○ are either one `institution<title>` or a list of `YYYY년 <title>`.
     """
-    t = F.col(text_col)
-    names = strip_ws(F.regexp_extract(t, r"(?s)저작물명\s*:\s*(.*?)(?:○|\z)", 1))
+    items = ITEMS["public_copyright_consent"]["work_details"]
+    found = F.struct(strip_ws(F.regexp_extract("text", r"(?s)저작물명\s*:\s*(.*?)(?:○|\z)", 1)).alias("names"), F.struct(*[begins_with(F.col("ticks"), n).alias(key) for key, n in items.items()]).alias("components"))
+    rows = _with_ticks(df, items, id_col, text_col).select("doc_id", "text", F.inline(F.array(found)))
+    t, names = F.col("text"), F.col("names")
     titled = names.contains("<") & names.contains(">")
     institution = strip_ws(F.regexp_extract(names, r"([^<]+)<([^>]+)>", 1))
     title = strip_ws(F.regexp_extract(names, r"([^<]+)<([^>]+)>", 2))
     own = F.when(titled, F.array(F.concat(institution, F.lit("<"), title, F.lit(">")))).otherwise(F.regexp_extract_all(names, F.lit(r"(\d{4}년\s*<[^>]+>)"), F.lit(1)))
-    flags = {key: ticked(t, *n) for key, n in ITEMS["public_copyright_consent"]["work_details"].items()}
-    return df.select(
-        F.col(id_col).alias("doc_id"),
+    return rows.select(
+        "doc_id",
         F.when(titled, institution).alias("institution"),
         F.when(t.rlike(r"저작물명\s*:"), own).alias("work_names"),
         F.when(t.contains("우대미술"), F.lit("우대미술")).when(t.contains("의상") & t.contains("디자인"), F.lit("의상디자인")).alias("work_category"),
         missing(strip_ws(F.regexp_extract(t, r"(?s)상세정보\s*:\s*(.*?)(?:□|\z)", 1))).alias("detailed_info"),
-        reduce(lambda a, b: a + b, [f.cast("int") for f in flags.values()]).alias("n_components"),
-        F.struct(*[f.alias(key) for key, f in flags.items()]).alias("components"),
+        reduce(lambda a, b: a + b, [F.col("components")[key].cast("int") for key in items]).alias("n_components"),
+        "components",
     )
 
 
 def extract_license(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Purpose sentence and institution where they occur, one flag per right, and the fixed license type."""
-    t = F.col(text_col)
+    t = F.col("text")
     purpose, institution = "저작물의 개방을 통해 이용자가 자유롭게 이용할 수 있도록", "국립극장"
-    return df.select(
-        F.col(id_col).alias("doc_id"),
+    return _with_ticks(df, RIGHTS, id_col, text_col).select(
+        "doc_id",
         F.when(t.contains(purpose), F.lit(purpose)).alias("license_purpose"),
         F.when(t.contains(institution), F.lit(institution)).alias("licensing_institution"),
-        *[ticked(t, *names).alias(key) for key, names in RIGHTS.items()],
+        *[begins_with(F.col("ticks"), names).alias(key) for key, names in RIGHTS.items()],
         F.lit("비독점적 이용허락").alias("license_type"),
     )
 
