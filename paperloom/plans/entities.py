@@ -99,10 +99,13 @@ def filter_entities(spark, sf_dir):
     return E.filter_entities(scored, ["NAME", "EMAIL"], 0.85).select("doc_id", "value", "type")
 
 
+def _kinds(spark, sf_dir):
+    """Documents with their kind, which each query reads in one pass."""
+    return docs(spark, sf_dir).withColumn("document_type", detect_doc_type(F.col("text")))
+
+
 def _of_kind(spark, sf_dir, kind: str):
-    # the one-element array keeps the optimizer from repeating a rendered text for each condition
-    found = F.get(F.transform(F.array("text"), lambda t: detect_doc_type(t)), 0)
-    return docs(spark, sf_dir).withColumn("document_type", found).filter(F.col("document_type") == kind)
+    return _kinds(spark, sf_dir).filter(F.col("document_type") == kind)
 
 
 def _contracts(spark, sf_dir):
@@ -114,7 +117,7 @@ def _consents(spark, sf_dir):
 
 
 def fields_simple(spark, sf_dir):
-    return L.extract_fields_simple(_contracts(spark, sf_dir), "contract").unionByName(L.extract_fields_simple(_consents(spark, sf_dir), "consent"))
+    return L.extract_fields_simple(_kinds(spark, sf_dir))
 
 
 def _simple_sql(kind: str) -> str:
@@ -126,7 +129,7 @@ SIMPLE_SQL = f"WITH {KINDS} {_simple_sql('contract')} UNION ALL {_simple_sql('co
 
 
 def fields_ranked(spark, sf_dir):
-    return L.extract_fields_ranked(_contracts(spark, sf_dir), "contract").unionByName(L.extract_fields_ranked(_consents(spark, sf_dir), "consent"))
+    return L.extract_fields_ranked(_kinds(spark, sf_dir))
 
 
 def _ranked_parts(kind: str) -> list[str]:
@@ -145,7 +148,7 @@ def fields_best_ranked(spark, sf_dir):
 
 
 def fields_best(spark, sf_dir):
-    return L.extract_fields_best(_contracts(spark, sf_dir), "contract").unionByName(L.extract_fields_best(_consents(spark, sf_dir), "consent"))
+    return L.extract_fields_best(_kinds(spark, sf_dir))
 
 
 def _best_parts(kind: str) -> list[str]:
@@ -162,8 +165,6 @@ def _best_parts(kind: str) -> list[str]:
 BEST_SQL = f"WITH {KINDS} " + " UNION ALL ".join(_best_parts("contract") + _best_parts("consent"))
 
 
-def _hits(spark, sf_dir, kind):
-    return L.field_candidates((_contracts if kind == "contract" else _consents)(spark, sf_dir), kind)
 
 
 def _hit_parts(kind: str) -> list[str]:
@@ -177,7 +178,7 @@ def _hit_parts(kind: str) -> list[str]:
 
 def fields_earliest(spark, sf_dir):
     """W3 over all matches: the earliest of the first pattern that has any."""
-    return L.rank_candidates(_hits(spark, sf_dir, "contract").unionByName(_hits(spark, sf_dir, "consent")))
+    return L.rank_candidates(L.field_candidates(_kinds(spark, sf_dir)))
 
 
 EARLIEST_SQL = f"WITH {KINDS}, hits AS ({' UNION ALL '.join(_hit_parts('contract') + _hit_parts('consent'))}) SELECT doc_id, label, arg_min(value, pattern_rank * 1000000 + hit) AS value FROM hits GROUP BY doc_id, label"
@@ -186,7 +187,7 @@ EARLIEST_SQL = f"WITH {KINDS}, hits AS ({' UNION ALL '.join(_hit_parts('contract
 def fields_wide(spark, sf_dir):
     """The first match of each label of a contract."""
     labels = list(L.RANKED["contract"])
-    wide = L.fields_wide(_hits(spark, sf_dir, "contract"), labels, ("pattern_rank", "hit"))
+    wide = L.fields_wide(L.field_candidates(_contracts(spark, sf_dir), "contract"), labels, ("pattern_rank", "hit"))
     return wide.select("doc_id", *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(labels)])
 
 

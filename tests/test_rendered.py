@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from paperloom.operators import entities
+from pyspark.sql import functions as F
+
+from paperloom.operators import checkboxes, entities, fields
+from paperloom.plans.entities import QUERIES
 from paperloom.plans.rendered import ANSWERS, DOCUMENTS, view
 from paperloom.plans.services import _PAPERS
 
@@ -26,3 +29,33 @@ def test_texts_are_rendered_in_all_partitions(spark, sql):
 def test_values_are_tested_before_they_are_rows(spark):
     plan = entities.extract_entities(view(spark, SF, DOCUMENTS))._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (CASE WHEN" not in plan
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("sql", [DOCUMENTS, ANSWERS, _PAPERS])
+def test_a_text_is_rendered_once(spark, sql):
+    rows = view(spark, SF, sql).filter("text IS NOT NULL").select("doc_id", F.length("text"))
+    assert _plan(rows).count("lpad(") == _plan(view(spark, SF, sql)).count("lpad(")
+    assert "Filter isnotnull(text" in _plan(rows)
+
+
+def test_ticks_of_a_text_are_searched_once(spark):
+    odd = ["☑ 복제권 📧\n공연권", "☑☑ 전시권", "■복제", "● reproduction", "", None, "□ 복제권 ◉\t\t2차적저작물", "복제권 ✓"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    own = checkboxes.extract_license(df)
+    assert "RLIKE" not in _plan(own)
+    want = df.select("doc_id", *[checkboxes.ticked(F.col("text"), *names).alias(k) for k, names in checkboxes.RIGHTS.items()])
+    assert sorted(own.select(*want.columns).collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("name", ["fields_simple", "fields_ranked", "fields_best", "fields_earliest"])
+def test_documents_of_both_kinds_are_read_in_one_pass(spark, name):
+    assert "Union" not in _plan(QUERIES[name](spark, SF))
+
+
+def test_words_of_a_pattern_are_in_each_match():
+    assert fields._words(r"양도자\s*본인은.*?([가-힣]{2,4})\s*\(") == ["양도자", "본인은"]
+    assert fields._words(r"주소\s*[:：]\s*([^\n]+?)(?:\s*양수인|\s*\z)") == ["주소"] and fields._words(r"(동의함|동의)") == []
