@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.classify import CONSENT, CONTRACT, detect_doc_type
-from ..sources.record_files import write_files
+from ..sources.record_files import spread_files, write_files
 
 # The roles of a contract and the shapes of names.
 ROLES = ["갑", "을"]
@@ -148,7 +148,7 @@ def record_files(records: DataFrame, root: str = "", path_col: str = "path", ind
     rows = records.withColumn("_index", index).withColumn("_several", F.count(F.lit(1)).over(W.partitionBy(path_col)) > 1)
     folder = F.regexp_extract(path, r"^(.*/)?[^/]*\z", 1)
     own = [c for c in records.columns if c != path_col and (not c.startswith("_") or c == "_validation_errors")]
-    return rows.select(F.concat(folder, record_name(path, F.col("_index"), F.col("_several")), F.lit(".json")).alias("name"), F.to_json(F.struct(*own)).alias("content"))
+    return spread_files(rows.select(F.concat(folder, record_name(path, F.col("_index"), F.col("_several")), F.lit(".json")).alias("name"), F.to_json(F.struct(*own)).alias("content")))
 
 
 def write_records(records: DataFrame, out: str, root: str = "", path_col: str = "path", job: str | None = None) -> None:
