@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_entity, strip_ws
-from ..sources.record_files import write_files
+from ..sources.record_files import spread_files, write_files
 
 
 @dataclass(frozen=True)
@@ -244,7 +244,7 @@ def entity_files(df: DataFrame, paths: DataFrame, root: str = "") -> DataFrame:
     path = F.regexp_replace("path", "^(?:file:/*(?=/))?" + re.escape(root.rstrip("/")) + "/*", "") if root else F.col("path")
     rows = group_entities_by_type(df).filter("entity_count > 0").join(paths.select("doc_id", "path"), "doc_id")
     content = F.to_json(F.struct(F.col("path").alias("file"), "entities", "entity_count", F.map_keys("entities").alias("entity_types")))
-    return rows.select(F.concat(F.regexp_replace(path, r"\.[^./]*\z", ""), F.lit("_entities.json")).alias("name"), content.alias("content"))
+    return spread_files(rows.select(F.concat(F.regexp_replace(path, r"\.[^./]*\z", ""), F.lit("_entities.json")).alias("name"), content.alias("content")))
 
 
 def write_entity_results(df: DataFrame, paths: DataFrame, out: str, root: str = "", job: str | None = None) -> None:

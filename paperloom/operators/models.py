@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import build_prompt, parse_model_json, strip_markdown
-from ..sources.files import scratch
+from ..sources.files import kept
 
 TOKEN = "pos int, start int, end int, label string, confidence double"
 
@@ -52,13 +52,6 @@ def _called(df: DataFrame, load: Callable, name: str) -> DataFrame:
     return df.select("doc_id", "document_type", "prompt").mapInPandas(run, f"doc_id {kind}, document_type string, prompt string, model_used string, raw_response string, error string")
 
 
-def _answered(df: DataFrame) -> DataFrame:
-    """The rows written to ``spark.checkpoint.dir`` at once, or to a temporary folder where a local run has none."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(scratch(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def extract_with_model(df: DataFrame, schema_json: str, providers: list[tuple[str, Callable]], id_col: str = "doc_id", text_col: str = "text", type_col: str = "document_type") -> DataFrame:
     """(doc_id, document_type, metadata, model_used, raw_response, error): the first provider that answers.
 
@@ -69,7 +62,7 @@ def extract_with_model(df: DataFrame, schema_json: str, providers: list[tuple[st
     left = df.select(F.col(id_col).alias("doc_id"), F.col(type_col).alias("document_type"), build_prompt(F.col(text_col), schema_json, F.col(type_col)).alias("prompt")).filter("prompt IS NOT NULL")
     done = None
     for k, (name, load) in enumerate(providers):
-        got = _answered(_called(left, load, name))
+        got = kept(_called(left, load, name))
         keep = got if k == len(providers) - 1 else got.filter("error IS NULL")
         done = keep if done is None else done.unionByName(keep)
         left = got.filter("error IS NOT NULL").select("doc_id", "document_type", "prompt")

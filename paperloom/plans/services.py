@@ -182,7 +182,7 @@ def stored_records(spark, sf_dir):
     at = X.scratch(spark)
     write_files(_papers(spark, sf_dir), f"{at}/in")
     metadata_stream(spark, f"{at}/in", f"{at}/out", f"{at}/check").awaitTermination()
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{at}/out")
+    rows = X.read_files(X.list_files(spark, f"{at}/out", (".json",)))
     field = lambda name: F.get_json_object(F.col("content").cast("string"), f"$.{name}")
     return rows.select(F.regexp_extract("path", r"/out/(.*)\z", 1).alias("file"), field("identifier").alias("identifier"), field("effective_date").alias("effective_date"), field("subject.name").alias("subject"), field("multi_subject_index").cast("int").alias("place"))
 
@@ -200,9 +200,9 @@ def stored_entities(spark, sf_dir):
     d = view(spark, sf_dir, _PAPERS)
     write_entity_results(extract_entities(d), d, f"{at}/out", "/srv/data")
     rows = X.inventory_files(spark, f"{at}/out")
-    texts = spark.read.text(f"{at}/out", wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.get_json_object("value", "$.entity_count").cast("int").alias("entity_count"), F.get_json_object("value", "$.file").alias("source"))
-    name = lambda c: F.regexp_extract(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"/out/(.*)\z", 1)
-    return rows.select(F.regexp_extract("path", r"/out/(.*)\z", 1).alias("file"), "kind").join(texts.select(name(F.col("path")).alias("file"), "entity_count", "source"), "file")
+    told = X.read_files(rows).select("path", F.col("content").cast("string").alias("value"))
+    texts = told.select("path", F.get_json_object("value", "$.entity_count").cast("int").alias("entity_count"), F.get_json_object("value", "$.file").alias("source"))
+    return rows.join(texts, "path").select(F.regexp_extract("path", r"/out/(.*)\z", 1).alias("file"), "kind", "entity_count", "source")
 
 
 STORED_ENTITIES_SQL = f"""WITH {_OF_PAPERS(FOUND)}, n AS (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id)

@@ -89,6 +89,11 @@ class RecordWriter(DataSourceWriter):
             system.delete_dir(self._staging(root))
 
 
+def spread_files(rows: DataFrame) -> DataFrame:
+    """By name, over a stated number of partitions: adaptive execution would join partitions by their size, but each file costs."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+
+
 def stage_files(rows: DataFrame, out: str, job: str) -> None:
     """Rows (name, content) written below the staging folder and committed there."""
     rows.sparkSession.dataSource.register(RecordFiles)
@@ -123,6 +128,19 @@ def move_files(spark: SparkSession, out: str, job: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["moved"])
 
         names.mapInArrow(move, "moved long").agg(F.sum("moved")).collect()
+
+        def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, root = file_system(out)
+            for b in batches:
+                for folder in b.column("folder").to_pylist():
+                    files = posixpath.join(root, STAGING, job, folder, "files")
+                    if system.get_file_info(files).type == pafs.FileType.Directory:
+                        system.delete_dir(files)
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["cleared"])
+
+        # a folder for each file may have been left, too many for the driver alone
+        spread = attempts.select("folder").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder")
+        spread.mapInArrow(clear, "cleared long").agg(F.sum("cleared")).collect()
     system.delete_dir(staging)
 
 

@@ -127,3 +127,40 @@ def test_scan_lists_only_what_is_asked_for(spark, tmp_path):
     scan = lambda *a: sorted(tuple(r) for r in files.scan_ocr_results(spark, root, *a).collect())
     assert scan() == [("google", "계약서", "a", "google a"), ("google", "동의서", "b", "google b"), ("x,y", "계약서", "c", "x,y c")]
     assert scan(["google"]) == scan()[:2] and scan(["x,y"], ["계약서"]) == scan()[2:] and scan(None, ["동의서"]) == scan()[1:2]
+
+
+def test_trees_are_listed_and_read_by_tasks(spark, tmp_path):
+    made = {"a.txt": b"one", "d/b.txt": "둘".encode("cp949"), "d/e/빈 칸.md": b"", "d/e/f/c.json": b"{}", "_staging/x.txt": b"no", "d/.x.txt.crc": b"no", "k=_1/y.txt": b"yes"}
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    root = str(tmp_path)
+    listed = files.list_files(spark, root)
+    assert listed.count() == 5 and listed.filter("length = 0").count() == 1
+    spark_own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    assert sorted(listed.select("path", "length").filter("length > 0").collect()) == sorted(spark_own.select("path", "length").collect())
+    assert "FileScan" not in listed._jdf.queryExecution().executedPlan().toString()  # Spark's own sources list in the driver
+    assert sorted(files._files(spark, f"file://{root}", ".txt", ".md").collect()) == sorted(spark_own.filter("path NOT LIKE '%.json'").select("path", "content").collect())
+    with pytest.raises(FileNotFoundError):
+        files.inventory_files(spark, root + "/none")
+    scan = files.scan_ocr_results(spark, root, ["none"])
+    assert scan.count() == 0 and "FileScan" not in scan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_goes_over_a_table_of_names(spark, tmp_path):
+    (tmp_path / "in/빈 칸").mkdir(parents=True)
+    at = [str(tmp_path / x) for x in ("in", "out", "check")]
+    for i in range(30):
+        (tmp_path / f"in/빈 칸/{i}.txt").write_text(CONTRACT + str(i))
+    one = metadata_stream(spark, *at)
+    one.awaitTermination(120)
+    assert len(tree(at[1])) == 30 and one.lastProgress["numInputRows"] == 30  # each name once, and no whole text in the source
+    assert "text" not in spark.read.parquet(f"{at[2]}/arrivals").columns
+    two = metadata_stream(spark, *at)
+    two.awaitTermination(120)
+    assert spark.read.parquet(f"{at[2]}/arrivals").count() == 30 == len(tree(at[1]))
+
+
+def test_no_folder_is_left_of_a_job(spark, tmp_path):
+    W.write_files(spark.range(40).select(F.concat(F.col("id"), F.lit("/x/f.txt")).alias("name"), F.lit("x").alias("content")), str(tmp_path))
+    assert len(tree(tmp_path)) == 40 and not os.listdir(tmp_path / "_staging")
