@@ -86,8 +86,10 @@ def choose_ocr_engine(pages: DataFrame, method: str = "google_priority", first:
         pairs = pairs.withColumn("s", 1 - edit_distance(F.col("extracted_text"), F.col("t2")) / longest)
         sides = pairs.select("doc_id", "page_number", F.explode(F.array("provider", "p2")).alias("provider"), "s")
         near = sides.groupBy("doc_id", "page_number", "provider").agg(F.avg("s").alias("near"))
-        pages = pages.join(near, ["doc_id", "page_number", "provider"], "left")
-        order = [ok.desc(), F.coalesce("near", F.lit(0.0)).desc()]
+        # by page alone, as everything else here, so that rows which lie together by page are not sent again
+        near = near.groupBy("doc_id", "page_number").agg(F.map_from_entries(F.collect_list(F.struct("provider", "near"))).alias("near"))
+        pages = pages.join(near, ["doc_id", "page_number"], "left")
+        order = [ok.desc(), F.coalesce(F.try_element_at("near", F.col("provider")), F.lit(0.0)).desc()]
     else:
         raise ValueError(f"unknown method: {method}")
     best = pages.withColumn("place", F.row_number().over(page.orderBy(*order, "provider"))).filter("place = 1")
