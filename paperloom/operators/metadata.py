@@ -26,9 +26,8 @@ def party(text: Column, role: str) -> Column:
     A name may run over a line end, and one of white space only still counts, with an empty name.
     """
     windows = F.regexp_extract_all(text, F.lit(rf"{role}\s*[:：](?=([\s\S]{{0,{WINDOW}}}))"), F.lit(1))
-    found = F.get(F.filter(windows, lambda w: w.rlike(PARTY_NAME)), 0)
-    own = F.struct(F.lit(role).alias("role"), T.strip_ws(F.regexp_extract(found, PARTY_NAME, 1)).alias("name"), T.extract_business_no(found).alias("registration_no"))
-    return F.when(found.isNotNull(), own)
+    own = lambda w: F.struct(F.lit(role).alias("role"), T.strip_ws(F.regexp_extract(w, PARTY_NAME, 1)).alias("name"), T.extract_business_no(w).alias("registration_no"))
+    return F.get(F.transform(F.slice(F.filter(windows, lambda w: w.rlike(PARTY_NAME)), 1, 1), own), 0)
 
 
 def parties(text: Column) -> Column:
@@ -86,8 +85,9 @@ def _common(df: DataFrame, id_col: str) -> list[Column]:
 def contract_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forced: str | None = None) -> DataFrame:
     """One record for each contract; what is not found is null, parties an empty array.  Null texts give no record."""
     rows = classified(df, id_col, text_col, forced).filter(F.col("document_type") == CONTRACT)
-    dates = T.extract_date_range(F.col("text"))
-    amount = T.extract_amount(F.col("text"))
+    found = F.struct(T.extract_date_range(F.col("text")).alias("dates"), parties(F.col("text")).alias("parties"), T.extract_amount(F.col("text")).alias("found_amount"))
+    rows = rows.select("*", F.inline(F.array(found)))  # once for each text, wherever it is used
+    dates, amount = F.col("dates"), F.col("found_amount")
     return rows.select(
         "doc_id",
         "document_type",
@@ -98,7 +98,7 @@ def contract_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         dates["effective_date"].alias("effective_date"),
         dates["expiry_date"].alias("expiry_date"),
         F.when(amount.isNotNull(), F.struct(amount.alias("value"), F.lit("KRW").alias("currency"))).alias("amount"),
-        parties(F.col("text")).alias("parties"),
+        "parties",
         T.has_signature(F.col("text")).alias("signature_presence"),
         *_common(rows, id_col),
     )
