@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import checkboxes, entities, fields
-from paperloom.plans.entities import QUERIES
+from paperloom.catalog import QUERIES
+from paperloom.plans import corpus
 from paperloom.plans.rendered import ANSWERS, DOCUMENTS, view
 from paperloom.plans.services import _PAPERS
 
@@ -59,3 +60,23 @@ def test_documents_of_both_kinds_are_read_in_one_pass(spark, name):
 def test_words_of_a_pattern_are_in_each_match():
     assert fields._words(r"양도자\s*본인은.*?([가-힣]{2,4})\s*\(") == ["양도자", "본인은"]
     assert fields._words(r"주소\s*[:：]\s*([^\n]+?)(?:\s*양수인|\s*\z)") == ["주소"] and fields._words(r"(동의함|동의)") == []
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_dates_of_a_contract_are_searched_once(spark):
+    assert _plan(QUERIES["contract_records"](spark, SF)).count("(20") == 4  # the search, and the three parts of each date found
+
+
+def test_tokens_of_a_sentence_stay_together(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _exchanges(corpus.decode_spans(spark, SF)) == 1  # before words become rows
+        assert _exchanges(corpus.conll_round_trip(spark, SF)) == 1
+        plan = corpus.choose_engine("consensus")(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" in plan and not [x for x in plan.split("Exchange ")[1:] if "ENSURE_REQUIREMENTS" in x.split("\n")[0] and "provider" in x.split("\n")[0]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
