@@ -445,3 +445,15 @@ def test_the_grammar_fills_every_type_and_labels_what_it_wrote(spark):
     odd = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "id long, text string")
     assert len({r.text for r in grammar.synthesize_varied_corpus(odd).collect()}) <= 1
     assert grammar.synthesize_varied_corpus(spark.range(0)).count() == 0
+
+
+def test_the_grammar_fills_the_slots_of_many_texts_at_once(spark):
+    made = grammar.synthesize_varied_corpus(spark.range(50))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("md5(") < 20  # of the texts alone; a pick for each pattern before
+    df = spark.createDataFrame([("42/1", ["{NAME}", " 및 ", "{NAME}"]), ("42/2", []), ("42/3", ["글 x"])], "key string, slots array<string>")
+    rows = [r.made for r in df.coalesce(1).select(grammar.fill_slots("key", "slots").alias("made")).collect()]
+    part = lambda i, n, pool: grammar.PARTS[pool][int(hashlib.md5(f"42/1/{i}/{n}".encode()).hexdigest()[:8], 16) % len(grammar.PARTS[pool])]
+    names = [part(i, 0, "family") + part(i, 1, "given") for i in (0, 2)]
+    assert rows[0].text == " 및 ".join(names) and [(e.value, e.start) for e in rows[0].entities] == [(names[0], 0), (names[1], 6)]
+    assert rows[0].labels == ["B-NAME", "I-NAME", "I-NAME", "O", "O", "O", "B-NAME", "I-NAME", "I-NAME"]
+    assert (rows[1].text, rows[1].entities, rows[1].labels) == ("", [], []) and (rows[2].text, rows[2].labels) == ("글 x", ["O"] * 3)
