@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,36 +37,42 @@ def predict_tokens(df: DataFrame, load: Callable[[], Callable[[list[str]], list[
     return texts.mapInPandas(run, f"doc_id {kind}, {TOKEN}")
 
 
-def _called(df: DataFrame, load: Callable, name: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = load()
+def _asked(df: DataFrame, providers: list[tuple[str, Callable]]) -> DataFrame:
+    """Answers in one pass over (doc_id, document_type, prompt): of each batch, what a provider fails at goes to the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls = {}
         for b in batches:
-            out = []
-            for prompt in b["prompt"]:
-                try:
-                    out.append((call(prompt), None))
-                except Exception as e:  # the row keeps what went wrong
-                    out.append((None, f"{type(e).__name__}: {e}"))
-            yield b.assign(model_used=name, raw_response=[x for x, _ in out], error=[x for _, x in out])
+            prompts = b.column("prompt").to_pylist()
+            out = [None] * len(prompts)
+            left = range(len(prompts))
+            for k, (name, load) in enumerate(providers):
+                if left and k not in calls:  # a model that nothing is asked of is not loaded
+                    calls[k] = load()
+                failed = []
+                for i in left:
+                    try:
+                        out[i] = (name, calls[k](prompts[i]), None)
+                    except Exception as e:  # the row keeps what went wrong
+                        out[i] = (name, None, f"{type(e).__name__}: {e}")
+                        failed.append(i)
+                left = failed
+            answers = [pa.array([x[c] for x in out], pa.string()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("document_type"), *answers], ["doc_id", "document_type", "model_used", "raw_response", "error"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "document_type", "prompt").mapInPandas(run, f"doc_id {kind}, document_type string, prompt string, model_used string, raw_response string, error string")
+    return df.mapInArrow(run, f"doc_id {kind}, document_type string, model_used string, raw_response string, error string")
 
 
 def extract_with_model(df: DataFrame, schema_json: str, providers: list[tuple[str, Callable]], id_col: str = "doc_id", text_col: str = "text", type_col: str = "document_type") -> DataFrame:
     """(doc_id, document_type, metadata, model_used, raw_response, error): the first provider that answers.
 
-    ``providers`` are (name, load) in order; rows that failed go to the next one.  Each provider's answers are written once
-    before they are split by error, so a row is asked once of each and every row comes out.  ``metadata`` is the JSON object of
-    the answer as a string, an empty one where there is none.
+    ``providers`` are (name, load) in order; a row that failed goes to the next one in the same task, so a prompt is sent to
+    Python once, whatever its providers.  The answers are written once, without the prompts, so a row is asked once of each
+    and every row comes out.  ``metadata`` is the JSON object of the answer as a string, an empty one where there is none.
     """
-    left = df.select(F.col(id_col).alias("doc_id"), F.col(type_col).alias("document_type"), build_prompt(F.col(text_col), schema_json, F.col(type_col)).alias("prompt")).filter("prompt IS NOT NULL")
-    done = None
-    for k, (name, load) in enumerate(providers):
-        got = kept(_called(left, load, name))
-        keep = got if k == len(providers) - 1 else got.filter("error IS NULL")
-        done = keep if done is None else done.unionByName(keep)
-        left = got.filter("error IS NOT NULL").select("doc_id", "document_type", "prompt")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(type_col).alias("document_type"), build_prompt(F.col(text_col), schema_json, F.col(type_col)).alias("prompt")).filter("prompt IS NOT NULL")
+    done = kept(_asked(rows, providers))
     metadata = F.coalesce(parse_model_json(strip_markdown(F.col("raw_response"))), F.lit("{}"))
     return done.select("doc_id", "document_type", metadata.alias("metadata"), "model_used", "raw_response", "error")
 

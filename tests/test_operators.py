@@ -457,3 +457,17 @@ def test_the_grammar_fills_the_slots_of_many_texts_at_once(spark):
     assert rows[0].text == " 및 ".join(names) and [(e.value, e.start) for e in rows[0].entities] == [(names[0], 0), (names[1], 6)]
     assert rows[0].labels == ["B-NAME", "I-NAME", "I-NAME", "O", "O", "O", "B-NAME", "I-NAME", "I-NAME"]
     assert (rows[1].text, rows[1].entities, rows[1].labels) == ("", [], []) and (rows[2].text, rows[2].labels) == ("글 x", ["O"] * 3)
+
+
+def test_prompts_are_sent_once_and_answers_cleaned_once(spark):
+    """All providers are asked in one pass, and one that nothing is asked of is not loaded; the plan has each pattern once."""
+
+    def none():
+        raise RuntimeError("loaded")
+
+    df = docs(spark, "text", None).withColumn("document_type", F.lit("general"))
+    out = models.extract_with_model(df, "{}", [("first", lambda: lambda prompt: 'x\n```json\n{"a": 1}\n```'), ("second", none)])
+    assert [(r.model_used, r.metadata, r.error) for r in out.collect()] == [("first", '{"a": 1}', None)]
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("LogicalRDD") == 1 and "prompt" not in plan.toString()
+    assert plan.expressions().toString().count("```[a-zA-Z]*") == 1
