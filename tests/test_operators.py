@@ -471,3 +471,16 @@ def test_prompts_are_sent_once_and_answers_cleaned_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("LogicalRDD") == 1 and "prompt" not in plan.toString()
     assert plan.expressions().toString().count("```[a-zA-Z]*") == 1
+
+
+def test_spans_of_both_labels_are_counted_in_one_pass(spark):
+    kinds, at = ["O", "B-A", "I-A", "B-B", "I-B"], lambda i, k: hashlib.md5(f"{i}/{k}".encode()).digest()
+    rows = [(i, k, k * 3, k * 3 + 2, kinds[at(i, k)[0] % 5], kinds[at(i, k)[at(i, k)[1] % 3 and 0 or 2] % 5], 1.0) for i in range(200) for k in range(i % 9)]
+    t = spark.createDataFrame([*rows, (900, 0, 0, 0, "B-A", "B-A", 1.0)], "sent_id int, pos int, start int, end int, gold string, pred string, confidence double")
+    gold, pred = (sequence.decode_bio(t.withColumn("label", F.col(c)), mode="lenient") for c in ("gold", "pred"))
+    counts = evaluate.count_label_spans(t)
+    assert evaluate.evaluate_counts(counts).collect() == evaluate.evaluate_entities(gold, pred).collect() and evaluate.evaluate_counts(counts).first().tp > 50
+    assert sorted(evaluate.evaluate_counts_by_type(counts, t).collect()) == sorted(evaluate.evaluate_by_type(gold, pred, t).collect())
+    assert evaluate.evaluate_counts(evaluate.count_label_spans(t.limit(0))).first().n_gold == 0
+    plan = catalog.QUERIES["evaluate_entities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("posexplode") == 1 and "Join" not in plan  # the words are made and sorted once
