@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.text import clean_entity, strip_ws
+from ..functions.text import WHITE, clean_entity, strip_ws
 from ..sources.record_files import spread_files, write_files
+from .entity_search import GAP, Anchor, Search, any_of, search, search_texts
 
 
 @dataclass(frozen=True)
@@ -20,7 +24,7 @@ class Rule:
 
     One of ``words`` is in every match, so texts without any are not searched.  ``run`` are characters that every match begins
     with and that may go on without a limit: the search begins where such a run begins, or where the last match ended, and not
-    at each of its characters.
+    at each of its characters.  ``anchor`` is for the search of many texts at once; a rule without one begins with a fixed word.
     """
 
     type: str
@@ -29,6 +33,7 @@ class Rule:
     drop: tuple[str, ...] = ()
     run: str = ""
     group: int = 1
+    anchor: Anchor | None = None
 
     def search(self) -> str:
         return rf"(?:\G|(?<![{self.run}])){self.pattern}" if self.run else self.pattern
@@ -36,34 +41,37 @@ class Rule:
 
 HANGUL, LOCAL = "가-힣", "a-zA-Z0-9._%+-"
 ORGS = ("소속:", "회사:", "기관:")
+TITLES = ("씨", "님", "선생", "교수", "박사", "의원", "대표", "이사", "부장", "과장", "대리", "주임", "팀장")
+ORG_ENDS = ("주식회사", "㈜", "회사", "기관", "재단", "협회", "센터", "연구소", "연구원", "대학교", "청", "처", "부", "원")
+DIGIT = "0-9"
 # The patterns of each type, in order.
 RULES = [
-    Rule("NAME", r"([가-힣]{2,4})(?=\s*(?:씨|님|선생|교수|박사|의원|대표|이사|부장|과장|대리|주임|팀장))", ("씨", "님", "선생", "교수", "박사", "의원", "대표", "이사", "부장", "과장", "대리", "주임", "팀장"), (":",)),
+    Rule("NAME", r"([가-힣]{2,4})(?=\s*(?:씨|님|선생|교수|박사|의원|대표|이사|부장|과장|대리|주임|팀장))", ("씨", "님", "선생", "교수", "박사", "의원", "대표", "이사", "부장", "과장", "대리", "주임", "팀장"), (":",), anchor=Anchor(any_of(TITLES), HANGUL, 2, 4, spaces=True)),
     Rule("NAME", r"성명:\s*([가-힣]{2,4})", ("성명:",), (":",)),
     Rule("NAME", r"이름:\s*([가-힣]{2,4})", ("이름:",), (":",)),
     Rule("NAME", r"계약자:\s*([가-힣]{2,4})", ("계약자:",), (":",)),
     Rule("NAME", r"(?:갑|을):\s*([가-힣]{2,4})", ("갑:", "을:"), (":",)),
-    Rule("PHONE", r"(\d{2,3}-\d{3,4}-\d{4})", ("-",)),
-    Rule("PHONE", r"(\d{3}-\d{4}-\d{4})", ("-",)),
+    Rule("PHONE", r"(\d{2,3}-\d{3,4}-\d{4})", ("-",), anchor=Anchor(r"-(?=\d{3,4}-\d{4})", DIGIT, 2, 3)),
+    Rule("PHONE", r"(\d{3}-\d{4}-\d{4})", ("-",), anchor=Anchor(r"-(?=\d{4}-\d{4})", DIGIT, 3, 3)),
     Rule("PHONE", r"전화번호:\s*([0-9-]{10,15})", ("전화번호:",)),
     Rule("PHONE", r"연락처:\s*([0-9-]{10,15})", ("연락처:",)),
     Rule("PHONE", r"TEL:\s*([0-9-]{10,15})", ("TEL:",)),
     Rule("ADDRESS", r"주소:\s*([가-힣0-9\s-]+(?:시|구|군|동|로|길)[가-힣0-9\s-]*)", ("주소:",)),
-    Rule("ADDRESS", r"([가-힣]+(?:시|도)\s+[가-힣]+(?:구|군)\s+[가-힣0-9\s-]*(?:로|길|동)[\s0-9]*)", ("구", "군"), run=HANGUL),
+    Rule("ADDRESS", r"([가-힣]+(?:시|도)\s+[가-힣]+(?:구|군)\s+[가-힣0-9\s-]*(?:로|길|동)[\s0-9]*)", ("구", "군"), run=HANGUL, anchor=Anchor(r"[시도](?=\s+[가-힣]+[구군]\s)", HANGUL)),
     Rule("ADDRESS", r"(서울시\s+[가-힣]+구[가-힣0-9\s-]*)", ("서울시",)),
     Rule("ADDRESS", r"(부산시\s+[가-힣]+구[가-힣0-9\s-]*)", ("부산시",)),
-    Rule("EMAIL", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", ("@",), run=LOCAL),
-    Rule("COMPANY", r"([가-힣]+(?:주식회사|㈜|회사|기관|재단|협회|센터|연구소|연구원|대학교|청|처|부|원))", ("㈜", "회사", "기관", "재단", "협회", "센터", "연구소", "연구원", "대학교", "청", "처", "부", "원"), ORGS, HANGUL),
+    Rule("EMAIL", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", ("@",), run=LOCAL, anchor=Anchor("@", LOCAL)),
+    Rule("COMPANY", r"([가-힣]+(?:주식회사|㈜|회사|기관|재단|협회|센터|연구소|연구원|대학교|청|처|부|원))", ("㈜", "회사", "기관", "재단", "협회", "센터", "연구소", "연구원", "대학교", "청", "처", "부", "원"), ORGS, HANGUL, anchor=Anchor(any_of(ORG_ENDS), HANGUL)),
     Rule("COMPANY", r"소속:\s*([가-힣0-9\s]+(?:주식회사|㈜|회사|기관|재단|협회|센터|연구소|연구원|대학교|청|처|부|원))", ("소속:",), ORGS),
     Rule("COMPANY", r"회사:\s*([가-힣0-9\s]+)", ("회사:",), ORGS),
     Rule("COMPANY", r"기관:\s*([가-힣0-9\s]+)", ("기관:",), ORGS),
-    Rule("DATE", r"(\d{4}년\s*\d{1,2}월\s*\d{1,2}일)", ("년",)),
-    Rule("DATE", r"(\d{4}\.\d{1,2}\.\d{1,2})", (".",)),
-    Rule("DATE", r"(\d{4}-\d{1,2}-\d{1,2})", ("-",)),
-    Rule("DATE", r"(\d{1,2}/\d{1,2}/\d{4})", ("/",)),
+    Rule("DATE", r"(\d{4}년\s*\d{1,2}월\s*\d{1,2}일)", ("년",), anchor=Anchor(r"년(?=\s*\d{1,2}월)", DIGIT, 4, 4)),
+    Rule("DATE", r"(\d{4}\.\d{1,2}\.\d{1,2})", (".",), anchor=Anchor(r"\.(?=\d{1,2}\.\d)", DIGIT, 4, 4)),
+    Rule("DATE", r"(\d{4}-\d{1,2}-\d{1,2})", ("-",), anchor=Anchor(r"-(?=\d{1,2}-\d)", DIGIT, 4, 4)),
+    Rule("DATE", r"(\d{1,2}/\d{1,2}/\d{4})", ("/",), anchor=Anchor(r"/(?=\d{1,2}/\d{4})", DIGIT, 1, 2)),
     Rule("DATE", r"작성일:\s*([0-9년월일.\s-]+)", ("작성일:",)),
     Rule("DATE", r"계약일:\s*([0-9년월일.\s-]+)", ("계약일:",)),
-    Rule("MONEY", r"(\d{1,3}(?:,\d{3})*원)", ("원",), ("금",)),
+    Rule("MONEY", r"(\d{1,3}(?:,\d{3})*원)", ("원",), ("금",), anchor=Anchor("원", "0-9,", last=True)),
     Rule("MONEY", r"금\s*(\d{1,3}(?:,\d{3})*원)", ("금",), ("금",)),
     Rule("MONEY", r"계약금:\s*([0-9,원\s]+)", ("계약금:",), ("금",)),
     Rule("MONEY", r"사업비:\s*([0-9,원\s]+)", ("사업비:",), ("금",)),
@@ -158,14 +166,77 @@ def _shape(kind: Column, value: Column) -> Column:
     )
 
 
+def value_test(kind: str) -> Callable[[str], bool]:
+    """For a plain value of a type what ``_shape`` and ``is_valid_entity`` say of a column; e-mails and sums have their form alone."""
+    number, letters, digits = re.compile(r"\d+[년월일원]?\Z", re.ASCII), re.compile(r"[가-힣A-Za-z]+\Z"), re.compile(r"[0-9-]{10,15}\Z")
+    glyphs, ends, starts, particles, breaks = set(GLYPHS), tuple(BAD_ENDS), tuple(BAD_STARTS), set(PARTICLES), 1 if kind == "ADDRESS" else 2
+    verbs, exceptions, nouns = {*NAME_VERBS, *NAME_ROLES}, set(NAME_EXCEPTIONS), set(COMPANY_NOUNS)
+
+    def general(v: str) -> bool:
+        if not 2 <= len(v) <= 50 or v.endswith(ends) or v.startswith(starts) or v in particles or number.match(v):
+            return False
+        return v.count("\n") <= breaks and glyphs.isdisjoint(v) and v.strip(WHITE) != ""
+
+    def company(v: str) -> bool:
+        if len(v) < 4 and v not in SHORT_COMPANIES or v in nouns or "연락처" in v or "주소" in v or v.endswith("로부"):
+            return False
+        return not ("법원" in v and len(v) <= 6) and not (v.endswith("처") and len(v) <= 3)
+
+    tests = {
+        "NAME": lambda v: len(v) >= 2 and letters.match(v) is not None and general(v) and v not in verbs and not (v.endswith(("자", "인", "처")) and len(v) <= 4 and v not in exceptions),
+        "PHONE": lambda v: digits.match(v) is not None and general(v) and len(v) - v.count("-") >= 7,
+        "ADDRESS": lambda v: len(v) > 5 and general(v),
+        "COMPANY": lambda v: len(v) > 2 and company(v) and general(v),
+        "DATE": lambda v: len(v) > 4 and general(v) and v.lower() not in FILE_ENDINGS,
+        "MONEY": lambda v: "원" in v and len(v) > 2,
+        "EMAIL": lambda v: True,
+    }
+    return tests[kind]
+
+
+@cache
+def rule_searches() -> list[tuple[str, list[Search], Callable[[str], str | None]]]:
+    """``RULES`` for ``search_texts``: rules of a type with the same label prefixes share what makes their values."""
+
+    def value(kind: str, drop: tuple[str, ...]) -> Callable[[str], str | None]:
+        holds = value_test(kind)
+
+        def tidy(v: str) -> str | None:
+            for word in drop:
+                v = v.replace(word, "")
+            v = v.strip(WHITE)
+            return v if holds(v) else None
+
+        return tidy
+
+    by_value: dict[tuple[str, tuple[str, ...]], list[Search]] = {}
+    for r in RULES:
+        by_value.setdefault((r.type, r.drop), []).append(search(r.pattern, r.anchor, r.group))
+    return [(kind, searches, value(kind, drop)) for (kind, drop), searches in by_value.items()]
+
+
+@F.arrow_udf(StringType())
+def rule_entities(text: pa.Array) -> pa.Array:
+    """What ``RULES`` find in each text, as ``search_texts`` gives it."""
+    return search_texts(text.to_pylist(), rule_searches())
+
+
 def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """(doc_id, value, type), distinct within a document; null and empty texts have none.
 
-    All patterns run in one projection over the text, which is exploded once and does not enter the shuffle; a pattern runs only
-    over texts that hold one of its words, and over each run of characters once.  Values are tested before they become rows, each
-    by the tests of its own type alone.
+    ``RULES`` pass over a batch of texts at once.  Patterns of other rules run in one projection over the text, which is exploded
+    once and does not enter the shuffle; a pattern runs only over texts that hold one of its words, and over each run of
+    characters once.  Values are tested before they become rows, each by the tests of its own type alone.
     """
     text = F.col(text_col)
+    if rules is RULES:
+        # what is no UTF-8 is replaced, as patterns of columns do it
+        found = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), rule_entities(F.make_valid_utf8(text)).alias("found"))
+        # few bytes are sent for a document, to a given number of partitions, as adaptive execution would count these bytes and not the
+        # rows that come of them; outer, as the optimizer would search a second time to ask whether there is anything to explode
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = found.repartition(parts, "doc_id").select("doc_id", F.explode_outer(F.split("found", GAP)).alias("e")).filter("e IS NOT NULL").distinct()
+        return each.select("doc_id", F.expr("substr(e, instr(e, ' ') + 1)").alias("value"), F.substring_index("e", " ", 1).alias("type"))
     none = F.array().cast("array<string>")
 
     def found(rule: Rule) -> Column:

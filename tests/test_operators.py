@@ -191,6 +191,31 @@ def test_entity_patterns_search_runs_once(spark):
     assert {("EMAIL", "a@b.co"), ("EMAIL", "_x@c.de"), ("COMPANY", "나다회사라원"), ("ADDRESS", "가나시 다구 라마길바사시 아군 자로")} <= found
 
 
+def test_rules_pass_over_many_texts_at_once(spark):
+    # texts are searched together, and find what each pattern finds alone, from left to right, in each of them
+    parts = ["김하늘", " 과장", "대표이사", "님", "협회사", "주식회사", "연구원", "원부", "010-123-", "4567-8901", "234-5678", "12024-1-2", "345", "1,234,", "99", "원", "가시 ", "다구\n", "로 ", "길1", "a@", "b.co", "_x", "성명:", "갑:", "주소:", "소속: ", "회사:", "금", "2024", "년 1", "월 2일", ".1", "/2/2024", "□", ".", " ", "\0", "\x1c", "📧"]
+    drawn = [int(hashlib.md5(str(i).encode()).hexdigest(), 16) for i in range(600)]
+    texts = ["".join(parts[(x >> 6 * k) % len(parts)] for k in range(1 + x % 20)) for x in drawn] + [None, "", "가" * 300_000 + "원 " + "a" * 300_000 + "@b.co"]
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    own = entities.extract_entities(df)
+    got, want = own.collect(), entities.extract_entities(df, rules=list(entities.RULES)).collect()
+    assert own.columns == ["doc_id", "value", "type"] and len(set(got)) == len(got) == len(want) and set(got) == set(want)
+    assert {r.type for r in got} == {r.type for r in entities.RULES} and any(r.doc_id is None for r in got)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+
+
+def test_values_are_tested_as_columns_are(spark):
+    words = [*entities.GLYPHS, *entities.PARTICLES, *entities.NAME_VERBS, *entities.NAME_ROLES, *entities.NAME_EXCEPTIONS, *entities.COMPANY_NOUNS, *entities.SHORT_COMPANIES, *entities.FILE_ENDINGS, "국법원", "가로부", "처", "12", "2024년", "010-1234-5678", "--1-2-3-4-5-6", "원", "1,0원", "가나다라", "a.b", "a,b", "(가", "가)", "가\n나\n다라마바", "가" * 51, "", " ", "\t\n", "٣٣"]
+    values = sorted({a + b for a in words for b in ("", "자", "원", ".", "\n가나", "처")})
+    kinds = list(dict.fromkeys(r.type for r in entities.RULES))
+    v, k = F.col("v"), F.col("k")
+    holds = F.when(k.isin("EMAIL", "MONEY"), entities._shape(k, v)).otherwise(entities._shape(k, v) & entities.is_valid_entity(v, k))
+    rows = spark.createDataFrame([(a, b) for a in values for b in kinds], "v string, k string").select("v", "k", holds.alias("x")).collect()
+    tests = {kind: entities.value_test(kind) for kind in kinds}
+    assert [r for r in rows if tests[r.k](r.v) is not r.x] == []
+
+
 def test_split_parts(spark):
     rows = [(i, ["B-A"] if i % 3 == 0 else ["O", "B-B", "B-A"] if i % 3 == 1 else ["O"]) for i in range(200)]
     s = sequence.stratified_split(spark.createDataFrame(rows, "sent_id long, labels array<string>")).collect()
