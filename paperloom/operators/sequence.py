@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -85,9 +87,25 @@ def expand_token_labels(tokens: DataFrame, key: tuple[str, ...] = ("sent_id",))
 
 
 def token_labels_of_chars(tokens: DataFrame, chars: DataFrame, key: tuple[str, ...] = ("sent_id",)) -> DataFrame:
-    """E18 back: a token takes the label of its first character, O without one."""
-    first = chars.select(*key, F.col("char_pos").alias("start"), F.col("label").alias("char_label"))
-    return tokens.drop("label").join(first, [*key, "start"], "left").withColumn("label", F.coalesce("char_label", F.lit("O"))).drop("char_label")
+    """E18 back: a token takes the label of its first character, O without one.
+
+    A token comes once for each character that has its key and position; null ones match nothing.  Both become rows of one table,
+    sorted by key and position: where both are spread by the key alone no row is sent, while a join on two columns sends them all.
+    """
+    kinds, values = tokens.schema, [c for c in tokens.columns if c not in (*key, "start", "label")]
+    keys, null = [f"k{i}" for i in range(len(key))], F.lit(None)
+
+    def rows(df: DataFrame, at: str, is_token: bool, char: Column, own: list[Column]) -> DataFrame:
+        return df.select(*[F.col(c).alias(k) for c, k in zip(key, keys, strict=True)], F.col(at).alias("at"), char.alias("char"), F.lit(is_token).alias("is_token"), *[c.alias(f"v{i}") for i, c in enumerate(own)])
+
+    # a character without a label still is one, so labels are in structs; characters that match nothing have none and are not filtered,
+    # as both sides would then read other rows and could not share a shuffle
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*key, "char_pos")])
+    own = rows(tokens, "start", True, null.cast("struct<label:string>"), [F.col(c) for c in values])
+    both = own.unionAll(rows(chars, "char_pos", False, F.when(known, F.struct(F.col("label").cast("string").alias("label"))), [null.cast(kinds[c].dataType) for c in values]))
+    found = both.withColumn("chars", F.collect_list("char").over(W.partitionBy(*keys, "at"))).filter("is_token").withColumn("char", F.explode_outer("chars"))
+    out = [F.col(k).cast(kinds[c].dataType).alias(c) for c, k in zip((*key, "start"), (*keys, "at"), strict=True)]
+    return found.select(*out, *[F.col(f"v{i}").alias(c) for i, c in enumerate(values)], F.coalesce("char.label", F.lit("O")).alias("label"))
 
 
 def entity_types(labels: Column) -> Column:

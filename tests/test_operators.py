@@ -216,6 +216,16 @@ def test_values_are_tested_as_columns_are(spark):
     assert [r for r in rows if tests[r.k](r.v) is not r.x] == []
 
 
+def test_tokens_take_the_labels_of_their_first_characters(spark):
+    columns = "sent_id long, start int, end int, label string, words array<string>"
+    tokens = spark.createDataFrame([(1, 0, 3, "B-A", ["x"]), (1, 0, 2, "O", None), (1, 5, 6, "I-A", []), (2, 0, 1, "I-B", None), (2, 7, 7, "B-B", None), (2, None, 1, "B-B", None), (None, 0, 1, "B-C", ["y"]), (None, 0, 1, "B-C", ["z"])], columns)
+    chars = spark.createDataFrame([(1, 0, "B-X"), (1, 0, "O"), (1, 1, "I-X"), (1, 5, None), (2, 0, "I-B"), (2, None, "B-Y"), (None, 0, "B-Z"), (3, 0, "B-Z")], "sent_id long, char_pos long, label string")
+    got = sequence.token_labels_of_chars(tokens, chars)
+    assert got.columns == ["sent_id", "start", "end", "words", "label"] and dict(got.dtypes) == dict(tokens.dtypes)
+    want = [(1, 0, 3, ["x"], "B-X"), (1, 0, 3, ["x"], "O"), (1, 0, 2, None, "B-X"), (1, 0, 2, None, "O"), (1, 5, 6, [], "O"), (2, 0, 1, None, "I-B"), (2, 7, 7, None, "O"), (2, None, 1, None, "O"), (None, 0, 1, ["y"], "O"), (None, 0, 1, ["z"], "O")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_split_parts(spark):
     rows = [(i, ["B-A"] if i % 3 == 0 else ["O", "B-B", "B-A"] if i % 3 == 1 else ["O"]) for i in range(200)]
     s = sequence.stratified_split(spark.createDataFrame(rows, "sent_id long, labels array<string>")).collect()

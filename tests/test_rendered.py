@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import checkboxes, entities, fields
 from paperloom.catalog import QUERIES
 from paperloom.plans import corpus
-from paperloom.plans.rendered import ANSWERS, DOCUMENTS, view
+from paperloom.plans.rendered import ANSWERS, DOCUMENTS, parts_of_text, tokens, view
 from paperloom.plans.services import _PAPERS
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,19 @@ def test_tokens_of_a_sentence_stay_together(spark):
         assert "hashpartitioning(doc_id" in plan and not [x for x in plan.split("Exchange ")[1:] if "ENSURE_REQUIREMENTS" in x.split("\n")[0] and "provider" in x.split("\n")[0]]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_characters_are_not_sent_to_their_tokens(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _exchanges(corpus.expand_labels(spark, SF)) == 3  # documents for tokens and for characters, and the sums of labels
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_text_is_dealt_to_partitions_of_a_size(spark):
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert parts_of_text(spark, SF) == max(usual, -(-size // (1 << 21))) and parts_of_text(spark, SF, 1000) == -(-size // 1000) > usual
+    assert tokens(spark, SF, 9).rdd.getNumPartitions() == 9
