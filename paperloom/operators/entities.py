@@ -221,9 +221,12 @@ def rule_entities(text: pa.Array) -> pa.Array:
     return search_texts(text.to_pylist(), rule_searches())
 
 
-def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, copies: str | None = None) -> DataFrame:
     """(doc_id, value, type), distinct within a document; null and empty texts have none.
 
+    ``copies`` is a column that has, for each row, how many rows of the table have its identifier, where that is known: the entities
+    of a text are distinct, so those of the only row of a document are not sent to be compared.
+
     ``RULES`` pass over a batch of texts at once.  Patterns of other rules run in one projection over the text, which is exploded
     once and does not enter the shuffle; a pattern runs only over texts that hold one of its words, and over each run of
     characters once.  Values are tested before they become rows, each by the tests of its own type alone.
@@ -231,12 +234,16 @@ def extract_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col)
     if rules is RULES:
         # what is no UTF-8 is replaced, as patterns of columns do it
-        found = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), rule_entities(F.make_valid_utf8(text)).alias("found"))
+        found = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), *([copies] if copies else []), rule_entities(F.make_valid_utf8(text)).alias("found"))
+        # outer, as the optimizer would search a second time to ask whether there is anything to explode
+        each = lambda rows: rows.select("doc_id", F.explode_outer(F.split("found", GAP)).alias("e")).filter("e IS NOT NULL")
         # few bytes are sent for a document, to a given number of partitions, as adaptive execution would count these bytes and not the
-        # rows that come of them; outer, as the optimizer would search a second time to ask whether there is anything to explode
+        # rows that come of them
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = found.repartition(parts, "doc_id").select("doc_id", F.explode_outer(F.split("found", GAP)).alias("e")).filter("e IS NOT NULL").distinct()
-        return each.select("doc_id", F.expr("substr(e, instr(e, ' ') + 1)").alias("value"), F.substring_index("e", " ", 1).alias("type"))
+        once = F.col(copies).eqNullSafe(1) if copies else F.lit(False)
+        out = each(found.filter(~once).repartition(parts, "doc_id")).distinct()
+        out = each(found.filter(once)).unionAll(out) if copies else out
+        return out.select("doc_id", F.expr("substr(e, instr(e, ' ') + 1)").alias("value"), F.substring_index("e", " ", 1).alias("type"))
     none = F.array().cast("array<string>")
 
     def found(rule: Rule) -> Column:

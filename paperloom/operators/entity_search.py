@@ -87,11 +87,11 @@ def search(pattern: str, anchor: Anchor | None = None, group: int = 1) -> Search
 
 
 def search_texts(texts: list[str | None], kinds: list[tuple[str, list[Search], Callable[[str], str | None]]]) -> pa.StringArray:
-    """For each text its entities as "type value" with GAP between them, null without any; some may come twice.
+    """For each text its distinct entities as "type value" with GAP between them, null without any.
 
     ``kinds`` are types, their searches, and what makes a value of what these find, or null.
     """
-    found: list[list[str]] = [[] for _ in texts]
+    found: list[dict[str, None]] = [{} for _ in texts]
     at, n = 0, len(texts)
     while at < n:
         begins, size, first = [], 0, at
@@ -107,5 +107,5 @@ def search_texts(texts: list[str | None], kinds: list[tuple[str, list[Search], C
                 own = np.searchsorted(begins, np.array(places), "right") + (first - 1)
                 for i, raw in dict.fromkeys(zip(own.tolist(), raws, strict=True)):
                     if (v := value(raw)) is not None:
-                        found[i].append(f"{kind} {v}")
+                        found[i][f"{kind} {v}"] = None
     return pa.array([GAP.join(own) if own else None for own in found], pa.string())

@@ -9,6 +9,7 @@ from ..operators import entities as E
 from ..operators import fields as L
 from ..functions.classify import CONSENT, CONTRACT, detect_doc_type
 from .metadata import _WS, DOCS, TYPED, docs
+from .rendered import DOCUMENTS, view
 
 
 KINDS = f"{DOCS}, {TYPED.replace('typed AS', 'kinds AS').replace('FROM masked', 'FROM docs')}"
@@ -54,7 +55,8 @@ def rule_entities(spark, sf_dir):
 
 
 def extract_entities(spark, sf_dir):
-    return rule_entities(spark, sf_dir).select("doc_id", "value", "type")
+    # the queries below group entities by document, so they send them anyway
+    return E.extract_entities(view(spark, sf_dir, DOCUMENTS, copies=True), copies="copies").select("doc_id", "value", "type")
 
 
 def _merged(spark, sf_dir):

@@ -9,6 +9,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom import catalog
@@ -201,6 +202,9 @@ def test_rules_pass_over_many_texts_at_once(spark):
     got, want = own.collect(), entities.extract_entities(df, rules=list(entities.RULES)).collect()
     assert own.columns == ["doc_id", "value", "type"] and len(set(got)) == len(got) == len(want) and set(got) == set(want)
     assert {r.type for r in got} == {r.type for r in entities.RULES} and any(r.doc_id is None for r in got)
+    counted = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    again = counted.unionAll(counted.filter("doc_id > 300")).withColumn("n", F.when(F.col("doc_id") > 300, F.col("n") * 2).otherwise(F.col("n")))
+    assert sorted(map(str, entities.extract_entities(again, copies="n").collect())) == sorted(map(str, want))
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
 

@@ -91,6 +91,19 @@ def test_characters_are_not_sent_to_their_tokens(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_entities_of_documents_that_come_once_are_not_sent(spark, tmp_path):
+    plan = _plan(QUERIES["extract_entities"](spark, SF))
+    alone, more = plan.split("Union", 1)[1].split("Aggregate", 1)
+    # documents are dealt to the search of each, and only those that come more than once are sent after it
+    assert alone.count("RepartitionByExpression") == 1 and more.count("RepartitionByExpression") == 2
+    assert plan.count("ArrowEvalPython") == 2 and "(copies" in alone[: alone.index("RepartitionByExpression")]
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.unionAll(orders.filter("o_orderkey % 3 = 0")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{SF}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    got, want = QUERIES["extract_entities"](spark, str(tmp_path)).collect(), QUERIES["extract_entities"](spark, SF).collect()
+    assert len(got) == len(set(got)) and set(got) == set(want)
+
+
 def test_text_is_dealt_to_partitions_of_a_size(spark):
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
